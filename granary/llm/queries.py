@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from . import exact, simhash
+from . import bpe, exact, packing, records, simhash, substring, topk
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
+    "op3_best_fit_packing": packing.op3_best_fit_packing,
+    "op4_token_records": records.op4_token_records,
+    "op6_top_k": topk.op6_top_k,
+    "op7_byte_bpe": bpe.op7_byte_bpe,
+    "op8_substring_dedup": substring.op8_substring_dedup,
     "op9_exact_dedup": exact.op9_exact_dedup,
 }
 
-ORACLE_SQL = {"op9_exact_dedup": exact.OP9_SQL}
+ORACLE_SQL = {"op6_top_k": topk.OP6_SQL, "op9_exact_dedup": exact.OP9_SQL}
