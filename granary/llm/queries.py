@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from . import bpe, exact, packing, records, simhash, substring, topk
+from . import bpe, exact, nbsvm, nnpu, packing, pii, records, simhash, substring, topk
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
+    "op2_quality": nbsvm.op2_quality,
     "op3_best_fit_packing": packing.op3_best_fit_packing,
     "op4_token_records": records.op4_token_records,
+    "op5_toxicity": nnpu.op5_toxicity,
     "op6_top_k": topk.op6_top_k,
     "op7_byte_bpe": bpe.op7_byte_bpe,
     "op8_substring_dedup": substring.op8_substring_dedup,
     "op9_exact_dedup": exact.op9_exact_dedup,
+    "op10_pii": pii.op10_pii,
 }
 
 ORACLE_SQL = {"op6_top_k": topk.OP6_SQL, "op9_exact_dedup": exact.OP9_SQL}

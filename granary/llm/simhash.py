@@ -162,6 +162,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
+def drop_near_duplicates(docs: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose doc_id is not the smallest of its component; rows with a null doc_id stay."""
+    losers = near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(losers, "doc_id", "left_anti").select(*docs.columns)
+
+
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = near_duplicates(table(spark, sf_dir, "documents"))
     return got.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
