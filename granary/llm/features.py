@@ -58,7 +58,7 @@ RUNS = (2, 3, 5, 8, 16)
 
 
 def quality_features(text: bytes) -> np.ndarray:
-    """Words, shapes of words, pairs of shapes, and n-grams of one repeated word, each as an indicator."""
+    """Words, shapes of words, pairs of shapes, and n-grams of repeated words, each as an indicator."""
     ws = text.split()
     if not ws:
         return np.zeros(0, np.int32)
@@ -66,7 +66,12 @@ def quality_features(text: bytes) -> np.ndarray:
     pairs = s[:-1] * np.uint64(0xD6E8FEB86659FD93) + s[1:]
     edge = np.flatnonzero(np.append(True, w[1:] != w[:-1]))
     longest = int(np.diff(np.append(edge, len(w))).max())
-    return _fold(w, s, pairs, np.array([_h(b"run%d" % r, 6) for r in RUNS if longest >= r], np.uint64))
+    same = w[1:] == w[:-1]
+    # "a a b b" and "a a b b c c": n-grams by which of their words are equal.
+    twice = same[:-2] & ~same[1:-1] & same[2:]
+    thrice = twice[:-2] & twice[2:]
+    flags = [_h(b"run%d" % r, 6) for r in RUNS if longest >= r] + [_h(b"aabb", 6)] * bool(twice.any()) + [_h(b"aabbcc", 6)] * bool(thrice.any())
+    return _fold(w, s, pairs, np.array(flags, np.uint64))
 
 
 def word_features(text: bytes) -> np.ndarray:

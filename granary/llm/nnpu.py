@@ -29,6 +29,8 @@ THRESHOLD = 0.5
 #: Features that a classifier uses at most, and by how many deviations they stand out at least.
 FEATURES, STANDS_OUT = 1024, 5.0
 MODELS, STEPS, RATE, DECAY, SEED = 3, 400, 0.05, 1e-4, 11
+#: Where a text without any of the features starts: low, as most texts are not toxic.
+BIAS = -4.0
 
 
 class NnPu:
@@ -66,8 +68,7 @@ def descend(xp: np.ndarray, xu: np.ndarray, prior: float) -> tuple[np.ndarray, f
     n = xp.shape[1]
     w = np.zeros(n + 1)
     m, v = np.zeros(n + 1), np.zeros(n + 1)
-    # Start where no feature speaks: below the middle, as most texts are not toxic.
-    w[n] = -2.0
+    w[n] = BIAS
     for t in range(1, STEPS + 1):
         w32 = w[:n].astype(np.float32)
         sp, su = (1 / (1 + np.exp(-np.clip(x @ w32 + w[n], -30, 30))) for x in (xp, xu))
