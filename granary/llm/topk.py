@@ -8,6 +8,7 @@ to the smaller vec_id without a full sort. A task gives one list for each query
 Rows: a vector that is null, or holds null or non-finite components, takes no part, nor does a null vec_id. An empty vector has
 inner product 0 with empty ones. Vectors of another length than the query's are no candidates. Rows that share the query's
 vec_id are the query's own; a vec_id that repeats among the queries asks once for each of its rows, as long as they differ.
+A score beyond a long is an error.
 """
 
 from __future__ import annotations
