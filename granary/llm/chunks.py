@@ -53,22 +53,63 @@ class Encoder:
         return out
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that byte-level vocabularies write for each byte: printable ones as they are, others from U+0100 on."""
+    own = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = iter(range(0x100, 0x200))
+    return {b: chr(b) if b in own else chr(next(rest)) for b in range(256)}
+
+
+_LETTERS = _byte_letters()
+#: Words of letters below this are one match of the patterns in every version of Unicode's tables.
+_BEYOND = "\u0250"
+
+
+def _simple(chunk: str) -> bool:
+    """Whether a chunk is letters only, but for a space in front: one match, which the library's model can take at once."""
+    word = chunk[1:] if chunk[:1] == " " else chunk
+    return word.isalpha() and (word.isascii() or max(word) < _BEYOND)
+
+
 _encoders: dict[tuple, Encoder] = {}
 
 
 def library_encoder(path: str, drops_space: bool) -> Encoder:
-    """By the tokenizers library; one per worker and file."""
+    """By the tokenizers library; one per worker and file.
+
+    A full stop or comma after a letter or digit is a match of its own, so it is encoded apart from its word. Single words go
+    straight to the library's model, after its normaliser; all else goes through the library's whole chain.
+    """
     if (path, drops_space) not in _encoders:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(path)
         t.encode_special_tokens = True  # their strings in a text are ordinary text
+        tokenize, normal = t.model.tokenize, t.normalizer
+
+        def one(chunk: str) -> bytes | None:
+            """Ids of a chunk that is simple before and after the normaliser, else nothing."""
+            if not _simple(chunk):
+                return None
+            word = chunk
+            if normal is not None:
+                word = word.lower() if word.isascii() else normal.normalize_str(word)
+                if not _simple(word):
+                    return None
+            word = word.replace(" ", "Ġ") if word.isascii() else word.encode().decode("latin-1").translate(_LETTERS)
+            return array("I", [x.id for x in tokenize(word)]).tobytes()
 
         def encode(chunks: list[str]) -> Iterable[bytes]:
-            for i in range(0, len(chunks), 4096):
-                for e in t.encode_batch_fast(chunks[i : i + 4096], add_special_tokens=False):
-                    yield array("I", e.ids).tobytes()
-
-        _encoders[path, drops_space] = Encoder(cut_dropped if drops_space else cut_attached, encode)
+            cut = [(c[:-1], c[-1]) if c[-1] in ".," and c[-2:-1].isalnum() else (c, "") for c in chunks]
+            known, ids = encoder.known, {}
+            new = [c for c in {c for pair in cut for c in pair} if c not in known]
+            ids |= {c: x for c in new if (x := one(c)) is not None}
+            rest = [c for c in new if c not in ids]
+            for i in range(0, len(rest), 4096):
+                ids |= zip(rest[i : i + 4096], (array("I", e.ids).tobytes() for e in t.encode_batch_fast(rest[i : i + 4096], add_special_tokens=False)), strict=True)
+            of = lambda c: ids[c] if c in ids else known[c]
+            return [of(a) + of(b) for a, b in cut]
+
+        encoder = _encoders[path, drops_space] = Encoder(cut_dropped if drops_space else cut_attached, encode)
     return _encoders[path, drops_space]
