@@ -17,4 +17,4 @@ QUERIES = {
     "op10_pii": pii.op10_pii,
 }
 
-ORACLE_SQL = {"op6_top_k": topk.OP6_SQL, "op9_exact_dedup": exact.OP9_SQL}
+ORACLE_SQL = {"op6_top_k": topk.OP6_SQL, "op8_substring_dedup": substring.OP8_SQL, "op9_exact_dedup": exact.OP9_SQL}

@@ -307,3 +307,14 @@ def _key_member(h: np.ndarray, g: np.ndarray, among: np.ndarray) -> np.ndarray:
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"))
+
+
+OP8_SQL = """
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+p AS (SELECT doc_id, i, array_to_string(ws[i:i + 34], ' ') AS passage FROM w, unnest(range(1, len(ws) - 33)) u(i)),
+r AS (SELECT passage FROM p GROUP BY 1 HAVING count(*) > 1),
+gone AS (SELECT DISTINCT doc_id, i + k AS pos FROM p SEMI JOIN r USING (passage), range(35) x(k)),
+words AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM w),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY pos) AS t, count(*) AS n FROM words ANTI JOIN gone USING (doc_id, pos) GROUP BY 1)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)
+"""
