@@ -91,27 +91,27 @@ def q_tool_routing(spark: SparkSession, d: str) -> DataFrame:
 
 
 _MARKS = " OR ".join(f"contains(lower(chunk), '{m}')" for m in ret.FIGURE_MARKS)
-_FIGS = f"f AS (SELECT doc_id, chunk_index, CASE WHEN doc_id % 50 = 0 THEN 'Figure 1 shows backdoor ' WHEN doc_id % 50 = 1 THEN 'Table 2 lists ' ELSE '' END || chunk AS chunk FROM c)"
+_FIGS = f"f AS (SELECT doc_id, chunk_index, CASE WHEN doc_id % 1000 = 0 THEN 'Figure 1 shows backdoor ' WHEN doc_id % 50 = 1 THEN 'Table 2 lists ' ELSE '' END || chunk AS chunk FROM c)"
 
 
 @query(f"""
 WITH c AS ({q.CHUNKS}), {_FIGS},
-a AS (SELECT 0 AS source, doc_id, chunk_index, substr(chunk, 1, 350) AS text FROM f WHERE contains(lower(chunk), 'backdoor') AND ({_MARKS}) AND doc_id < 120 ORDER BY doc_id, chunk_index LIMIT 8),
-b AS (SELECT 1, doc_id, chunk_index, substr(chunk, 1, 350) FROM f WHERE doc_id % 10 = 1 AND ({_MARKS}) ORDER BY doc_id, chunk_index LIMIT 8)
+a AS (SELECT 0 AS source, doc_id, chunk_index, substr(chunk, 1, 350) AS text FROM f WHERE contains(lower(chunk), 'backdoor') AND ({_MARKS}) ORDER BY doc_id, chunk_index LIMIT 8),
+b AS (SELECT 1, doc_id, chunk_index, substr(chunk, 1, 350) FROM f WHERE ({_MARKS}) ORDER BY doc_id, chunk_index LIMIT 8)
 SELECT * FROM (SELECT * FROM a UNION ALL SELECT * FROM b) ORDER BY source, doc_id, chunk_index LIMIT 8
 """)
 def q_figure_evidence(spark: SparkSession, d: str) -> DataFrame:
-    """Evidence on figures of a paper (documents below 120), filled up with hits of the index (documents ending in 1)."""
+    """Evidence on figures with the keyword, filled up with other hits that show a figure or table."""
     n = F.col("doc_id") % 50
-    rows = chunk_rows(spark, d).withColumn("chunk", F.concat(F.when(n == 0, "Figure 1 shows backdoor ").when(n == 1, "Table 2 lists ").otherwise(""), "chunk"))
-    return ret.figure_evidence(rows.where("doc_id < 120"), rows.where("doc_id % 10 = 1"), "Backdoor", KEY, 8)
+    rows = chunk_rows(spark, d).withColumn("chunk", F.concat(F.when(F.col("doc_id") % 1000 == 0, "Figure 1 shows backdoor ").when(n == 1, "Table 2 lists ").otherwise(""), "chunk"))
+    return ret.figure_evidence(rows, rows, "Backdoor", KEY, 8)
 
 
 @query()
 def q_hashed_search(spark: SparkSession, d: str) -> DataFrame:
-    """Questions against chunks of their own language's documents through the built-in encoder, within a paper (source)."""
+    """Questions against all chunks through the built-in encoder, each within a paper (source)."""
     chunks = chunk_rows(spark, d).join(load(spark, d, "documents").select("doc_id", "source"), "doc_id")
-    rows = chunks.where("chunk_index = 0").select("doc_id", "source", enc.hashed_vector(F.col("chunk")).alias("v"))
+    rows = chunks.select("doc_id", "chunk_index", "source", enc.hashed_vector(F.col("chunk")).alias("v"))
     asked = load(spark, d, "benchmark").select("item_id", F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("source"), enc.hashed_vector(F.col("text")).alias("qv"))
-    scored = rows.join(asked, "source").select("item_id", "doc_id", F.round(scalars.dot(F.col("v"), F.col("qv")), 6).alias("similarity"))
-    return rel.best_per(scored, ["item_id"], [F.desc("similarity"), F.col("doc_id")], 3, "rank")
+    scored = rows.join(asked, "source").select("item_id", "doc_id", "chunk_index", F.round(scalars.dot(F.col("v"), F.col("qv")), 6).alias("similarity"))
+    return rel.best_per(scored, ["item_id"], [F.desc("similarity"), F.col("doc_id"), F.col("chunk_index")], 3, "rank")

@@ -172,11 +172,10 @@ def q_token_estimate(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
 SELECT doc_id, coalesce(nullif(regexp_replace(s[1:48], '_+$', ''), ''), 'paper') AS slug FROM (
-  SELECT doc_id, lower(regexp_replace(regexp_replace(regexp_replace(replace(strip_accents(substr(coalesce(text, ''), 1, 200)), 'ß', ''), '[^\\x00-\\x7F]', '', 'g'), '[^a-zA-Z0-9]+', '_', 'g'), '^_+|_+$', '', 'g')) AS s FROM documents)
+  SELECT doc_id, lower(regexp_replace(regexp_replace(regexp_replace(replace(strip_accents(coalesce(text, '')), 'ß', ''), '[^\\x00-\\x7F]', '', 'g'), '[^a-zA-Z0-9]+', '_', 'g'), '^_+|_+$', '', 'g')) AS s FROM documents)
 """)
 def q_slug(spark: SparkSession, d: str) -> DataFrame:
-    """Of a title, which is the first 200 characters here."""
-    return documents(spark, d).select("doc_id", tx.slug(F.substring("text", 1, 200)).alias("slug"))
+    return documents(spark, d).select("doc_id", tx.slug(F.col("text")).alias("slug"))
 
 
 _ESCAPED = "replace(replace(replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;')"
@@ -247,6 +246,6 @@ def q_collapse_blank_lines(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "pages").select("page_id", F.regexp_replace(h, r"\n{3,}", "\n\n").alias("collapsed"), F.length(h).alias("n"))
 
 
-@query(r"SELECT doc_id, CASE WHEN s = '' THEN 'empty' WHEN length(s) > 900 THEN 'too long' WHEN regexp_matches(s, '(?i)\b(import|open|exec|eval|compile|globals|locals|__|os|sys|subprocess|socket|pathlib|shutil|input)\b') THEN 'blocked' END AS verdict FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') AS s FROM documents WHERE lang = 'en')")
+@query(r"SELECT doc_id, CASE WHEN s = '' THEN 'empty' WHEN length(s) > 900 THEN 'too long' WHEN regexp_matches(s, '(?i)(?:^|[^\p{L}\p{N}_])(import|open|exec|eval|compile|globals|locals|__|os|sys|subprocess|socket|pathlib|shutil|input)(?:$|[^\p{L}\p{N}_])') THEN 'blocked' END AS verdict FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') AS s FROM documents)")
 def q_code_verdict(spark: SparkSession, d: str) -> DataFrame:
-    return documents(spark, d, "lang").where("lang = 'en'").select("doc_id", tx.code_verdict(F.col("text")).alias("verdict"))
+    return documents(spark, d).select("doc_id", tx.code_verdict(F.col("text")).alias("verdict"))

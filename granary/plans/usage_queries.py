@@ -163,10 +163,10 @@ def q_visible_templates(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("owner", F.coalesce("owner", F.lit(-1))).orderBy("owner", "id")
 
 
-@query(f"SELECT paper_id, CASE WHEN user_id = 370 THEN 'allowed' ELSE 'forbidden' END AS decision FROM {_PAPERS} p WHERE paper_id < 500 UNION ALL SELECT 999999999, 'missing'")
+@query(f"SELECT paper_id, CASE WHEN user_id = 370 THEN 'allowed' ELSE 'forbidden' END AS decision FROM {_PAPERS} p UNION ALL SELECT 999999999, 'missing'")
 def q_ownership(spark: SparkSession, d: str) -> DataFrame:
     """Allowed, forbidden or missing, for asked ids."""
-    asked = papers(spark, d).where("paper_id < 500").select("paper_id").union(spark.range(999999999, 1000000000).toDF("paper_id"))
+    asked = papers(spark, d).select("paper_id").union(spark.range(999999999, 1000000000).toDF("paper_id"))
     p = papers(spark, d).select("paper_id", "user_id")
     return asked.join(p, "paper_id", "left").select("paper_id", F.when(F.col("user_id").isNull(), "missing").when(F.col("user_id") == 370, "allowed").otherwise("forbidden").alias("decision"))
 
@@ -178,13 +178,13 @@ def q_valid_codes(spark: SparkSession, d: str) -> DataFrame:
     return rows.where(dates.expires(F.col("o_orderdate"), 10) > F.lit("1998-01-01 00:00:00").cast("timestamp_ntz")).select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("user_id"))
 
 
-_TAGGED = "(SELECT doc_id, substr(coalesce(text, ''), 1, 60) AS title, [source, lang] AS tags FROM documents)"
+_TAGGED = "(SELECT doc_id, coalesce(text, '') AS title, [source, lang] AS tags FROM documents)"
 
 
-@query(f"SELECT doc_id, title FROM {_TAGGED} t WHERE contains(lower(title), 'the') AND list_contains(tags, 'en')")
+@query(f"SELECT doc_id, substr(title, 1, 60) AS title FROM {_TAGGED} t WHERE contains(lower(title), 'the') AND list_contains(tags, 'en')")
 def q_title_tag_filter(spark: SparkSession, d: str) -> DataFrame:
-    rows = load(spark, d, "documents").select("doc_id", F.substring("text", 1, 60).alias("title"), F.array("source", "lang").alias("tags"))
-    return rows.where(F.contains(F.lower("title"), F.lit("the")) & F.array_contains("tags", "en")).select("doc_id", "title")
+    rows = load(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("title"), F.array("source", "lang").alias("tags"))
+    return rows.where(F.contains(F.lower("title"), F.lit("the")) & F.array_contains("tags", "en")).select("doc_id", F.substring("title", 1, 60).alias("title"))
 
 
 @query("SELECT DISTINCT unnest([source, CASE lang WHEN 'en' THEN 'General' ELSE lang END]) AS tag FROM documents")
@@ -390,8 +390,8 @@ def q_template_owners(spark: SparkSession, d: str) -> DataFrame:
     return rows.orderBy(F.desc(F.col("s_suppkey") % 2), F.desc("s_suppkey")).select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.coalesce("c_name", F.lit("")).alias("owner"))
 
 
-@query("SELECT o_orderkey AS id FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 5000) AND o_orderkey % 10 = 0")
+@query("SELECT o_orderkey AS id FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 5000)")
 def q_not_taken(spark: SparkSession, d: str) -> DataFrame:
     """A guard: only what is not there yet."""
     taken = load(spark, d, "customer").where("c_acctbal < 5000").select(F.col("c_custkey").alias("o_custkey"))
-    return load(spark, d, "orders").where("o_orderkey % 10 = 0").join(taken, "o_custkey", "left_anti").select(F.col("o_orderkey").alias("id"))
+    return load(spark, d, "orders").join(taken, "o_custkey", "left_anti").select(F.col("o_orderkey").alias("id"))
