@@ -16,8 +16,8 @@ from collections.abc import Callable, Iterable
 MARK = "\x01"
 _RUNS = re.compile(r"\s\s")
 _SINGLE = re.compile(r"(?<=\S)(?= \S)")
-#: Chunks kept per worker, and the longest that is kept: a bound on memory, not on what is encoded.
-CACHE, CACHED_CHARS = 500_000, 64
+#: Chunks in either half of a worker's cache, and the longest that is kept: a bound on memory, not on what is encoded.
+CACHE, CACHED_CHARS = 300_000, 64
 
 
 def cut_attached(text: str) -> list[str]:
@@ -28,28 +28,46 @@ def cut_attached(text: str) -> list[str]:
 
 
 def cut_dropped(text: str) -> list[str]:
-    """For tokenizers that drop white space."""
+    """For tokenizers that drop white space and case.
+
+    A text of Latin-1 letters is lower-cased at once: there one letter becomes one letter, whatever stands beside it, so chunks
+    that differ in case alone are one.
+    """
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        pass
+    else:
+        text = text.lower()
     return text.replace("\n", " ").split(" ")
 
 
 class Encoder:
-    """Ids of texts, as little-endian unsigned 32-bit integers in bytes, by way of a cache of chunks."""
+    """Ids of texts, as little-endian unsigned 32-bit integers in bytes, by way of a cache of chunks.
+
+    The cache has a young and an old half: when the young one is full it becomes the old one, and chunks that are met again move
+    back, so common chunks stay however many rare ones go by.
+    """
 
     def __init__(self, cut: Callable[[str], list[str]], encode: Callable[[list[str]], Iterable[bytes]]):
         self.cut, self.encode = cut, encode
         self.known: dict[str, bytes] = {"": b""}
+        self.old: dict[str, bytes] = {}
 
     def __call__(self, texts: list[str]) -> list[bytes]:
+        if len(self.known) > CACHE:
+            self.known, self.old = {"": b""}, self.known
         cut = [self.cut(t) for t in texts]
-        new = {c for cs in cut for c in cs if c not in self.known}
-        got = dict(zip(fresh := list(new), self.encode(fresh), strict=True)) if new else {}
-        if len(self.known) + len(got) > CACHE:
-            self.known = {c: self.known[c] for cs in cut for c in cs if c in self.known} | {"": b""}
-        long = {c: v for c, v in got.items() if len(c) > CACHED_CHARS}
-        self.known |= got
-        out = [b"".join(map(self.known.__getitem__, cs)) for cs in cut]
-        for c in long:
-            del self.known[c]
+        known, old = self.known, self.old
+        new = {c for cs in cut for c in cs if c not in known}
+        met = new & old.keys() if old else set()
+        known.update({c: old[c] for c in met})
+        if fresh := list(new - met):
+            known.update(zip(fresh, self.encode(fresh), strict=True))
+        out = [b"".join(map(known.__getitem__, cs)) for cs in cut]
+        for c in fresh:
+            if len(c) > CACHED_CHARS:
+                del known[c]
         return out
 
 

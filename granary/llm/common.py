@@ -9,7 +9,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -91,6 +91,25 @@ def batches(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list
             yield b, utf8(b.column("text"))
 
 
+class Memo(dict):
+    """What a function gives for a word, remembered: when ``size`` words are known they become the old ones, and words that are
+    met again move back, so common words stay however many rare ones go by."""
+
+    def __init__(self, of: Callable[[bytes], int], size: int):
+        self.of, self.size, self.old = of, size, {}
+
+    def __missing__(self, w: bytes) -> int:
+        v = self.old.get(w)
+        v = self[w] = self.of(w) if v is None else v
+        return v
+
+    def array(self, ws: list[bytes]) -> np.ndarray:
+        if len(self) > self.size:
+            self.old = dict(self)
+            self.clear()
+        return np.fromiter(map(self.__getitem__, ws), np.uint64, len(ws))
+
+
 class Grouped:
     """Complete groups from batches that are sorted by their key columns; a group may go over the edge of a batch.
 

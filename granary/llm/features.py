@@ -10,11 +10,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, held_out, kept
+from .common import Memo, batches, held_out, kept
 
 DIM = 1 << 18
-#: Words whose hashes a worker remembers.
-REMEMBERED = 400_000
+#: Words whose hashes a worker remembers, in either half of a memo.
+REMEMBERED = 120_000
 _SHAPE = bytes(65 if 65 <= b <= 90 else 48 if 48 <= b <= 57 else 97 if 97 <= b <= 122 or b >= 128 else b for b in range(256))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -25,27 +25,12 @@ def shape(word: bytes) -> bytes:
     return bytes(c for i, c in enumerate(s) if not i or c != s[i - 1] or c not in b"Aa0")
 
 
-class _Memo(dict):
-    def __init__(self, of: Callable[[bytes], int]):
-        self.of = of
-
-    def __missing__(self, w: bytes) -> int:
-        v = self[w] = self.of(w)
-        return v
-
-
 _h = xxhash.xxh64_intdigest
-_hash = _Memo(lambda w: _h(w, 1))
-_shape = _Memo(lambda w: _h(shape(w), 2))
-_bare = _Memo(lambda w: _h(w.lower().strip(b".,;:!?\"'()[]{}<>*#$%&-_|"), 3))
-_stem4 = _Memo(lambda w: _h(w.lower()[:4], 4))
-_stem5 = _Memo(lambda w: _h(w.lower()[:5], 5))
-
-
-def _of(memo: _Memo, ws: list[bytes]) -> np.ndarray:
-    if len(memo) > REMEMBERED:
-        memo.clear()
-    return np.fromiter(map(memo.__getitem__, ws), np.uint64, len(ws))
+_hash = Memo(lambda w: _h(w, 1), REMEMBERED)
+_shape = Memo(lambda w: _h(shape(w), 2), REMEMBERED)
+_bare = Memo(lambda w: _h(w.lower().strip(b".,;:!?\"'()[]{}<>*#$%&-_|"), 3), REMEMBERED)
+_stem4 = Memo(lambda w: _h(w.lower()[:4], 4), REMEMBERED)
+_stem5 = Memo(lambda w: _h(w.lower()[:5], 5), REMEMBERED)
 
 
 def _fold(*parts: np.ndarray) -> np.ndarray:
@@ -62,7 +47,7 @@ def quality_features(text: bytes) -> np.ndarray:
     ws = text.split()
     if not ws:
         return np.zeros(0, np.int32)
-    w, s = _of(_hash, ws), _of(_shape, ws)
+    w, s = _hash.array(ws), _shape.array(ws)
     pairs = s[:-1] * np.uint64(0xD6E8FEB86659FD93) + s[1:]
     edge = np.flatnonzero(np.append(True, w[1:] != w[:-1]))
     longest = int(np.diff(np.append(edge, len(w))).max())
@@ -79,7 +64,7 @@ def word_features(text: bytes) -> np.ndarray:
     ws = text.split()
     if not ws:
         return np.zeros(0, np.int32)
-    return _fold(_of(_bare, ws), _of(_stem4, ws), _of(_stem5, ws))
+    return _fold(_bare.array(ws), _stem4.array(ws), _stem5.array(ws))
 
 
 def _extract(features: Callable[[bytes], np.ndarray]) -> Callable:

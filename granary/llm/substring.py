@@ -30,7 +30,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches, drop_scratch, kept, scratch, table, text_batches
+from .common import Memo, batches, drop_scratch, kept, scratch, table, text_batches
 
 WINDOW = 35
 #: Perfect difference sets by their period.
@@ -39,8 +39,8 @@ COVERS = {1: (0,), 3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14,
 LEAST_ANCHOR = 12
 #: Hashes that a bucket holds about, and that a part holds back before it sends them.
 BUCKET, FLUSH = 1_000_000, 4_000_000
-#: Words whose hashes a worker remembers.
-REMEMBERED = 600_000
+#: Words whose hashes a worker remembers, in either half of the memo.
+REMEMBERED = 300_000
 _M = (np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93))
 
 
@@ -55,13 +55,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class _Words(dict):
-    def __missing__(self, w: bytes) -> int:
-        v = self[w] = xxhash.xxh64_intdigest(w)
-        return v
-
-
-_words = _Words()
+_words = Memo(xxhash.xxh64_intdigest, REMEMBERED)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -77,7 +71,7 @@ def _power(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_hashes(ws: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_words.__getitem__, ws), np.uint64, len(ws))
+    return _words.array(ws)
 
 
 def window_hashes(a: np.ndarray, at: np.ndarray, length: int, which: int) -> np.ndarray:
@@ -176,8 +170,6 @@ def _send(part: int, found: list[np.ndarray], buckets: int, wide: bool) -> Itera
 def _by_part(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch, list[bytes]]]:
     for b, texts in batches(it):
         part = b.column("part").to_numpy()
-        if len(_words) > REMEMBERED:
-            _words.clear()
         edge = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(part)]
         for s, e in zip(edge, edge[1:], strict=False):
             yield int(part[s]), b.slice(s, e - s), texts[s:e]
