@@ -22,6 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import near
 from .common import Grouped, batches, kept, table, text_batches
 from .components import connected_components
 
@@ -162,9 +163,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose doc_id is not the smallest of its component; rows with a null doc_id stay."""
-    losers = near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct()
+def drop_near_duplicates(docs: DataFrame, shingle: int = near.SHINGLE, similarity: float = near.SIMILARITY) -> DataFrame:
+    """``docs`` without the rows whose doc_id is not the smallest of its component; rows with a null doc_id stay.
+
+    Components are those of ``near.similar``: exact Jaccard of shingle sets, not the fingerprints, whose four bits answer to a
+    similarity of about 0.96.
+    """
+    rows = kept(near.similar(docs, shingle, similarity))
+    least = rows.groupBy("component").agg(F.min("doc_id").alias("least"))
+    losers = rows.join(least, "component").where("doc_id <> least").select("doc_id").distinct()
     return docs.join(losers, "doc_id", "left_anti").select(*docs.columns)
 
 

@@ -12,7 +12,7 @@ import xxhash
 from llm_odd import documents, nothing, prose
 
 
-from granary.llm import exact, simhash, substring
+from granary.llm import exact, near, simhash, substring
 from granary.llm.components import connected_components
 from granary.llm.queries import ORACLE_SQL, QUERIES
 
@@ -188,3 +188,42 @@ def test_shifted_passages_are_found(spark):
     assert got == {i: n for i, (_, n, _) in enumerate(plain_removal(texts, 35))} and min(got.values()) >= 35
 
 
+
+
+def similarity(a: str | None, b: str | None) -> float:
+    x, y = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in ((t or "").encode().lower().split() for t in (a, b)))
+    return len(x & y) / len(x | y)
+
+
+def near_copies(n: int) -> list[str]:
+    """Texts with some words changed, about half of them at 0.8 or more; chains, and prose of their own."""
+    r = random.Random(8)
+    texts = []
+    for k in range(n):
+        ws = prose(r.choice((8, 60, 200)), 5000 + k).split()
+        for _ in range(4):
+            texts.append(" ".join(ws))
+            for i in r.sample(range(len(ws)), r.choice((1, 2, 3, len(ws) // 20 + 1))):
+                ws[i] = f"new{r.random()}"
+    return texts
+
+
+@pytest.mark.parametrize("block", [1 << 21, 150])
+def test_near_copies_at_the_similarity_are_dropped(spark, block, monkeypatch):
+    monkeypatch.setattr(near, "BLOCK", block)
+    texts = near_copies(60)
+    par = list(range(len(texts)))
+
+    def find(i):
+        while par[i] != i:
+            i = par[i]
+        return i
+
+    far = 0
+    for j in range(len(texts)):
+        for i in range(j - j % 4, j):
+            if similarity(texts[i], texts[j]) >= 0.8:
+                far += bin(plain_fingerprint(texts[i]) ^ plain_fingerprint(texts[j])).count("1") > 4
+                par[max(find(i), find(j))] = min(find(i), find(j))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert far > 20 and {r["doc_id"] for r in simhash.drop_near_duplicates(df).collect()} == {find(i) for i in range(len(texts))}

@@ -192,3 +192,10 @@ def test_exact_stage_takes_repeated_rows(spark):
     docs = documents(spark)
     twice = docs.union(docs)
     assert exact.drop_duplicates(twice).count() == exact.drop_duplicates(docs).count()
+
+
+def test_near_stage_takes_copies_beyond_four_bits(spark, sf_dir):
+    """Documents 1 and 177 share 0.83 of their five-word shingles and differ in nine bits."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id IN (1, 2, 177)")
+    near = dict(corpus_pipeline.STAGES)["near_dedup"](spark, docs, sf_dir)
+    assert near.columns == docs.columns and {r["doc_id"] for r in near.collect()} == {1, 2}
