@@ -164,15 +164,26 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = near.SHINGLE, similarity: float = near.SIMILARITY) -> DataFrame:
-    """``docs`` without the rows whose doc_id is not the smallest of its component; rows with a null doc_id stay.
+    """``docs``, one row of each component: of its smallest doc_id, and within that id any one; rows with a null doc_id stay.
 
     Components are those of ``near.similar``: exact Jaccard of shingle sets, not the fingerprints, whose four bits answer to a
-    similarity of about 0.96.
+    similarity of about 0.96. Rows go by id and text, so a row of another text stays where its id occurs again. Rows that repeat
+    both are rare and are cut to one apart from the others.
     """
+    names = docs.columns
     rows = kept(near.similar(docs, shingle, similarity))
-    least = rows.groupBy("component").agg(F.min("doc_id").alias("least"))
-    losers = rows.join(least, "component").where("doc_id <> least").select("doc_id").distinct()
-    return docs.join(losers, "doc_id", "left_anti").select(*docs.columns)
+    own = F.struct("doc_id", "digest")
+    first = rows.groupBy("component").agg(F.min(own).alias("first"))
+    pair = lambda df: df.select(F.col("doc_id").alias("_near_id"), F.col("digest").alias("_near_digest"))
+    losers = pair(rows.join(first, "component").where(own != F.col("first"))).distinct()
+    marked = docs.withColumn("_text_digest", near.text_digest(docs))
+    same = (F.col("doc_id").cast("long") == F.col("_near_id")) & (F.col("_text_digest") == F.col("_near_digest"))
+    found = marked.join(losers, same, "left_anti")
+    repeats = pair(rows.groupBy("doc_id", "digest").agg(F.count("*").alias("n")).where("n > 1"))
+    if repeats.isEmpty():
+        return found.select(*names)
+    one = found.join(repeats, same, "left_semi").dropDuplicates(["doc_id", "_text_digest"])
+    return found.join(repeats, same, "left_anti").unionByName(one).select(*names)
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -227,3 +227,14 @@ def test_near_copies_at_the_similarity_are_dropped(spark, block, monkeypatch):
                 par[max(find(i), find(j))] = min(find(i), find(j))
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     assert far > 20 and {r["doc_id"] for r in simhash.drop_near_duplicates(df).collect()} == {find(i) for i in range(len(texts))}
+
+
+def test_near_copies_are_dropped_by_row(spark):
+    """Repeated ids: other texts of a losing id stay, and of near copies that share the smallest id one stays."""
+    a, b, c = prose(100, 31), prose(100, 32), prose(100, 33)
+    rows = [(1, a), (2, f"{a} more"), (2, b), (3, c), (3, f"{c} more"), (4, f"{c} again"), (5, "alone"), (5, "alone"), (None, a), (None, a)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = collected(simhash.drop_near_duplicates(docs), "doc_id", "text")
+    threes = [t for i, t in got if i == 3]
+    assert len(threes) == 1 and threes[0] in (c, f"{c} more")
+    assert Counter(r for r in got if r[0] != 3) == Counter([(1, a), (2, b), (5, "alone"), (None, a), (None, a)])
