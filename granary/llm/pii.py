@@ -3,7 +3,8 @@
 The patterns (e-mail, IP, payment card, phone) give the base spans, leftmost and non-overlapping for each kind; a match that
 fails its test is dropped without another try. The field labels words near a digit, an @ or a spelled-out at; it is trained from
 ``TABLE``, decoded by Viterbi over padded numpy batches, and adds spans of its own where no base span lies and the digits or the
-address hold up (a phone number without a plus, a card of 13 to 15 digits, a spelled-out address). Base spans always stay.
+address hold up (a phone number without a plus, of two groups only after a cue or with a leading zero, a card of 13 to 15 digits,
+a spelled-out address). Base spans always stay.
 
 Offsets are code points, ends are exclusive. Rows: a null text is empty; rows are judged one by one; repeated ids are kept.
 """
@@ -285,7 +286,15 @@ def train_crf(lines: list[str], steps: int = 250, rate: float = 0.1, decay: floa
 _AT = re.compile(r"@|[(\[]at[)\]]")
 
 
-def _holds(kind: str, text: str) -> bool:
+#: Words before a phone number, without case and punctuation; with one of them two groups of digits are enough.
+_CUES = frozenset("call phone tel telephone fax mobile cell text ring dial contact reach reached number line appelez llama whatsapp".split())
+
+
+def _cued(before: list[str]) -> bool:
+    return any(w.lower().strip(".,;:!?()[]") in _CUES for w in before)
+
+
+def _holds(kind: str, text: str, cued: bool = False) -> bool:
     """Whether a span of the field is what it says."""
     d = _digits(text)
     if kind == "email":
@@ -294,7 +303,8 @@ def _holds(kind: str, text: str) -> bool:
         return False
     if kind == "phone":
         groups = re.split(r"[^0-9]+", text.strip("()+. -"))
-        return 7 <= len(d) <= 15 and 3 <= len(groups) <= 6 and max(map(len, groups)) <= 7 and min(map(len, groups)) >= 1 + (len(groups) <= 4 and groups[0] != "1")
+        least = 2 if cued or d.startswith("0") else 3
+        return 7 <= len(d) <= 15 and least <= len(groups) <= 6 and max(map(len, groups)) <= 7 and min(map(len, groups)) >= 1 + (len(groups) <= 4 and groups[0] != "1")
     return kind == "card" and 13 <= len(d) <= 19 and luhn(d)
 
 
@@ -340,7 +350,8 @@ def added_spans(texts: list[str], base: list[list[Span]], crf: Crf) -> list[list
                     e -= 1
                 while s < e and texts[i][s] in "\"'<:;,":
                     s += 1
-                if s < e and e - s <= 320 and _holds(kind, texts[i][s:e]) and not any(x < e and s < y for x, y in taken[i]):
+                cued = kind == "phone" and _cued([texts[i][x:y] for x, y in w[max(0, t - REACH) : t]])
+                if s < e and e - s <= 320 and _holds(kind, texts[i][s:e], cued) and not any(x < e and s < y for x, y in taken[i]):
                     out[i].append((kind, s, e))
                     taken[i].append((s, e))
             t = end

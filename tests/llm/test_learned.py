@@ -199,3 +199,20 @@ def test_near_stage_takes_copies_beyond_four_bits(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id IN (1, 2, 177)")
     near = dict(corpus_pipeline.STAGES)["near_dedup"](spark, docs, sf_dir)
     assert near.columns == docs.columns and {r["doc_id"] for r in near.collect()} == {1, 2}
+
+
+def test_labelled_phones_of_the_table_come_out(spark):
+    """Each without a base span is in the spans and is redacted."""
+    spans = [[(m[0], m[2]) for m in re.finditer(r"\[(email|ip|card|phone) ((?:[^\[\]]|\[(?:at|dot)\])+)\]", x) if m[1] == "phone"] for x in pii.TABLE.split("\n")]
+    rows = [(i, x.replace(whole, phone), phone) for i, (x, found) in enumerate(zip(pii.TABLE.split("\n"), spans, strict=True)) for whole, phone in found]
+    rows = [(i, t, p) for i, t, p in rows if not pii.base_spans(t)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in pii.personal_data(docs).collect()}
+    assert len(rows) >= 14 and got == {i: f"phone:{t.index(p)}:{t.index(p) + len(p)}" for i, t, p in rows}
+    assert {r["doc_id"]: r["text"] for r in pii.redact_documents(docs).collect()} == {i: t.replace(p, "[PHONE]") for i, t, p in rows}
+
+
+@pytest.mark.parametrize(("text", "phone"), [("ring 555 0142999 please", "555 0142999"), ("about 555 0142999 people came", None)])
+def test_two_groups_need_a_cue_or_a_zero(crf, text, phone):
+    assert pii._holds("phone", "555 0142999") is False
+    assert [text[s:e] for _, s, e in pii.added_spans([text], [[]], crf)[0]] == ([phone] if phone else [])
