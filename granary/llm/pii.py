@@ -14,7 +14,6 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator
-from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -146,16 +145,17 @@ _WORD = re.compile(r"[^ \t-\r]+")
 _NEAR = re.compile(r"[0-9@]|[(\[]at[)\]]")
 #: Words on either side of a word with a digit or an @ that the field looks at.
 REACH = 3
+#: Characters of the longest words whose scores are remembered.
+REMEMBERED = 256
 #: Sequences that are decoded together.
 BATCH = 1024
 
 
-@cache
 def _shape(word: str) -> str:
-    """Letters squeezed to a or A, runs of digits with their length up to 5, other characters as they are; long ones cut."""
+    """Of the whole word: letters squeezed to a or A, runs of digits with their length up to 5, other characters as they are."""
     out: list[str] = []
     run = 0
-    for c in word[:64]:
+    for c in word:
         k = "0" if c in "0123456789" else "a" if c.islower() else "A" if c.isalpha() else c
         run = run + 1 if out and k == "0" and out[-1][0] == "0" else 1
         if k == "0" and run > 1:
@@ -192,12 +192,14 @@ class Crf:
 
     def _scores(self, word: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """What a word says of itself, of the word after it and of the word before it."""
-        if word not in self.memo:
-            if len(self.memo) > 200_000:
-                self.memo.clear()
+        if (found := self.memo.get(word)) is None:
             fs = _words_features(word)
-            self.memo[word] = tuple(self.emission[[self.known[k] for f in fs if (k := f"{at}{f}") in self.known]].sum(0) for at in (0, -1, 1))
-        return self.memo[word]
+            found = tuple(self.emission[[self.known[k] for f in fs if (k := f"{at}{f}") in self.known]].sum(0) for at in (0, -1, 1))
+            if len(word) <= REMEMBERED:
+                if len(self.memo) > 200_000:
+                    self.memo.clear()
+                self.memo[word] = found
+        return found
 
     def emissions(self, words: list[str]) -> np.ndarray:
         own = [self._scores(w) for w in words]
@@ -351,7 +353,7 @@ def added_spans(texts: list[str], base: list[list[Span]], crf: Crf) -> list[list
                 while s < e and texts[i][s] in "\"'<:;,":
                     s += 1
                 cued = kind == "phone" and _cued([texts[i][x:y] for x, y in w[max(0, t - REACH) : t]])
-                if s < e and e - s <= 320 and _holds(kind, texts[i][s:e], cued) and not any(x < e and s < y for x, y in taken[i]):
+                if s < e and _holds(kind, texts[i][s:e], cued) and not any(x < e and s < y for x, y in taken[i]):
                     out[i].append((kind, s, e))
                     taken[i].append((s, e))
             t = end

@@ -216,3 +216,12 @@ def test_labelled_phones_of_the_table_come_out(spark):
 def test_two_groups_need_a_cue_or_a_zero(crf, text, phone):
     assert pii._holds("phone", "555 0142999") is False
     assert [text[s:e] for _, s, e in pii.added_spans([text], [[]], crf)[0]] == ([phone] if phone else [])
+
+
+@pytest.mark.parametrize("n", [60, 70, 300, 5000])
+def test_long_words_are_seen_whole(crf, n):
+    """An address whose local part is longer than any prefix, spelled out in one word."""
+    address = "x" * n + "(at)example(dot)com"
+    assert pii._shape(address) == pii._shape("sam(at)example(dot)com")
+    text = f"his address {address} works"
+    assert [text[s:e] for _, s, e in pii.added_spans([text], [pii.base_spans(text)], crf)[0]] == [address]
