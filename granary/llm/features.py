@@ -95,6 +95,50 @@ def sample_features(docs: DataFrame, sample: DataFrame, features: Callable[[byte
     return np.append(0, np.cumsum(sizes)), col.flatten().to_numpy(), rows.column("label").to_numpy()
 
 
+def pack(ids: np.ndarray) -> bytes:
+    """Sorted ids as gaps of two bytes; a gap of 65535 or more is led by as many 65535 as it holds."""
+    gaps = np.diff(ids, prepend=0)
+    full = gaps // 65535
+    if not full.any():
+        return gaps.astype("<u2").tobytes()
+    out = np.full(len(ids) + int(full.sum()), 65535, "<u2")
+    out[np.arange(len(ids)) + np.cumsum(full)] = gaps % 65535
+    return out.tobytes()
+
+
+def unpack(packed: bytes) -> np.ndarray:
+    gaps = np.frombuffer(packed, "<u2")
+    return np.cumsum(gaps, dtype=np.int32)[gaps != 65535]
+
+
+def text_features(docs: DataFrame, features: Callable[[bytes], np.ndarray]) -> DataFrame:
+    """(doc_id, features) of each row, packed; checkpointed, so that the texts are worked out once for all that read it."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, texts in batches(it):
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([pack(features(t)) for t in texts], pa.binary())], ["doc_id", "features"])
+
+    return kept(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, features binary"))
+
+
+def feature_counts(rows: DataFrame) -> tuple[np.ndarray, int]:
+    """Rows that hold each feature, and rows in all: partial sums of each task, summed again; at most DIM + 1 reach the driver."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(DIM + 1, np.int64)
+        for b in it:
+            own = [unpack(x) for x in b.column("features").to_pylist()]
+            counts[:DIM] += np.bincount(np.concatenate([np.zeros(0, np.int32), *own]), minlength=DIM)
+            counts[DIM] += len(own)
+        held = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(held.astype(np.int32)), pa.array(counts[held])], ["feature", "n"])
+
+    got = rows.select("features").mapInArrow(run, "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(DIM + 1, np.int64)
+    counts[got.column("feature").to_numpy()] = got.column("n").to_numpy()
+    return counts[:DIM], int(counts[DIM])
+
+
 def score_rows(docs: DataFrame, scorer: Callable[[list[bytes]], np.ndarray], threshold: float) -> DataFrame:
     """(doc_id, held_out, score, predicted) by one pass over the texts."""
 

@@ -4,8 +4,9 @@ Confirmed toxic texts and unlabelled ones, both bounded samples outside the held
 With the class prior p (the share of confirmed toxic rows among all labelled rows outside the held-out fifth), the risk is
 p R(P, +) + max(0, R(U, -) - p R(P, -)): what toxic texts among the unlabelled cost as negatives is taken off, and where that
 would turn the negative part below zero the step goes the other way, so the risk can't be driven down by memorising. Features
-are words and stems that stand out among the toxic texts against the unlabelled; ``MODELS`` classifiers from different halves of
-the unlabelled texts are averaged.
+are words and stems that stand out among the toxic texts against all documents outside the held-out fifth, counted by partial
+sums; ``MODELS`` classifiers from different halves of the unlabelled sample are averaged. The features of each text are worked out
+once and checkpointed, to be counted and then scored.
 
 Rows: every row is scored, empty and null texts too; a null doc_id counts as held out. Without toxic or unlabelled texts every
 score is the prior.
@@ -13,14 +14,15 @@ score is the prior.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import held_out, table, text_batches
-from .features import DIM, bounded, sample_features, score_rows, training_labels, word_features
+from .features import DIM, bounded, feature_counts, predicted, sample_features, text_features, training_labels, unpack, word_features
 from .nbsvm import split_rows
 
 #: Toxic and unlabelled texts at most.
@@ -46,10 +48,10 @@ class NnPu:
         return out
 
 
-def standing_out(pos: list[np.ndarray], unl: list[np.ndarray], most: int = FEATURES) -> np.ndarray:
-    """Features more common among the toxic texts than chance allows, the clearest first."""
-    p, u = (np.bincount(np.concatenate(x) if x else np.zeros(0, np.int32), minlength=DIM) for x in (pos, unl))
-    rate = (u + 1) / (len(unl) + 2)
+def standing_out(pos: list[np.ndarray], held: np.ndarray, n: int, most: int = FEATURES) -> np.ndarray:
+    """Features more common among the toxic texts than among n unlabelled ones (held: how many hold each), the clearest first."""
+    p = np.bincount(np.concatenate(pos) if pos else np.zeros(0, np.int32), minlength=DIM)
+    rate = (held + 1) / (n + 2)
     z = (p - len(pos) * rate) / np.sqrt(len(pos) * rate * (1 - rate))
     z[p < 3] = 0
     best = np.argsort(-z, kind="stable")[:most]
@@ -85,9 +87,10 @@ def descend(xp: np.ndarray, xu: np.ndarray, prior: float) -> tuple[np.ndarray, f
     return w[:n], float(w[n])
 
 
-def fit(pos: list[np.ndarray], unl: list[np.ndarray], prior: float) -> NnPu:
+def fit(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, held: np.ndarray, rows: int) -> NnPu:
+    """held, rows: the documents that hold each feature, and all of them, of which ``unl`` is a sample."""
     prior = min(max(prior, 1e-3), 0.9)
-    found = standing_out(pos, unl) if pos and unl else np.zeros(0, np.int64)
+    found = standing_out(pos, held, rows) if pos and unl else np.zeros(0, np.int64)
     n = len(found)
     place = np.full(DIM, n, np.int32)
     place[found] = np.arange(n)
@@ -102,24 +105,30 @@ def fit(pos: list[np.ndarray], unl: list[np.ndarray], prior: float) -> NnPu:
     return NnPu(place, weights, bias)
 
 
-def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> NnPu:
-    text_batches(docs.sparkSession)
+def train(docs: DataFrame, labels: DataFrame, known_features: DataFrame, column: str = "toxic", positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> NnPu:
+    """known_features: (doc_id, features) of all rows of ``docs``."""
     known = training_labels(labels, column)
     n, toxic = known.agg(F.count("*"), F.sum((F.col("label") == 1).cast("int"))).first()
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where(~held_out(F.col("doc_id"))).distinct()
     both = bounded(known.where("label = 1"), positives).union(bounded(ids.select("doc_id", F.lit(0).alias("label")), unlabelled))
     # A toxic text that is also drawn as unlabelled serves as both.
     sides = [split_rows(*sample_features(docs, both.where(F.col("label") == side), word_features)[:2]) for side in (1, 0)]
-    return fit(*sides, (toxic or 0) / n if n else 0.0)
+    return fit(*sides, (toxic or 0) / n if n else 0.0, *feature_counts(known_features.where(~held_out(F.col("doc_id")))))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, held_out, score, predicted) for each row of ``docs``."""
-    return score_rows(docs, scorer(train(docs, labels)), threshold)
+    text_batches(docs.sparkSession)
+    rows = text_features(docs, word_features)
+    model = train(docs, labels, rows)
 
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            score = model.scores([unpack(x) for x in b.column("features").to_pylist()])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(score, pa.float64())], ["doc_id", "score"])
 
-def scorer(model: NnPu) -> Callable[[list[bytes]], np.ndarray]:
-    return lambda texts: model.scores([word_features(t) for t in texts])
+    scored = rows.mapInArrow(run, "doc_id long, score double")
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", predicted(F.col("score"), threshold))
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -225,3 +225,23 @@ def test_long_words_are_seen_whole(crf, n):
     assert pii._shape(address) == pii._shape("sam(at)example(dot)com")
     text = f"his address {address} works"
     assert [text[s:e] for _, s, e in pii.added_spans([text], [pii.base_spans(text)], crf)[0]] == [address]
+
+
+def test_packed_features_come_back():
+    r = np.random.default_rng(4)
+    for ids in ([], [0], [65535], [65534, 131070], [features.DIM - 1], [0, 65535, 131070, 200_000], np.unique(r.integers(features.DIM, size=700)), np.unique(r.integers(features.DIM, size=3))):
+        assert features.unpack(features.pack(np.array(ids, np.int32))).tolist() == list(ids)
+
+
+def test_base_rates_cover_all_documents(spark, monkeypatch):
+    """However few unlabelled texts are drawn, the rates that choose the features are counted on every document outside the fifth."""
+    seen = []
+    monkeypatch.setattr(nnpu.train, "__defaults__", ("toxic", 10, 10))
+    standing_out = nnpu.standing_out
+    monkeypatch.setattr(nnpu, "standing_out", lambda pos, *rates: seen.append(rates) or standing_out(pos, *rates))
+    docs = spark.createDataFrame([(i, f"word{i % 7} common {'rare' * (i == 1)}") for i in range(400)], "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, int(i % 7 == 0)) for i in range(100)], "doc_id long, toxic int")
+    assert nnpu.toxicity(docs, labels).count() == 400
+    own = [f"word{i % 7} common {'rare' * (i == 1)}".encode() for i in range(400) if zlib.crc32(str(i).encode()) % 5]
+    want = np.bincount(np.concatenate([features.word_features(t) for t in own]), minlength=features.DIM)
+    assert seen and seen[0][1] == len(own) and (seen[0][0] == want).all()
