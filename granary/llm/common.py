@@ -1,7 +1,8 @@
 """What the operators of this subpackage share: scratch tables, batches of texts, word splitting.
 
 Words are the maximal runs of bytes other than 0x20 and 0x09-0x0D. ``bytes.split()`` cuts at exactly those six bytes, so a
-UTF-8 text is split without a regular expression.
+UTF-8 text is split without a regular expression. Where a batch's words are only hashed they never become Python objects: ranges
+of bytes are found by numpy, and sums of bytes times powers of an odd number give each range its hash.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -91,6 +93,86 @@ def batches(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list
             yield b, utf8(b.column("text"))
 
 
+def mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+_MULTIPLIERS = (0x9FB21C651E98DF25, 0xD6E8FEB86659FD93)
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd multiplier modulo 2^64 and of its inverse, n at least."""
+    if which not in _powers or len(_powers[which][0]) < n:
+        size = 1 << max(12, (n - 1).bit_length())
+        up = np.full(size, np.uint64(_MULTIPLIERS[which]))
+        down = np.full(size, np.uint64(pow(_MULTIPLIERS[which], -1, 1 << 64)))
+        up[0] = down[0] = 1
+        _powers[which] = np.multiply.accumulate(up), np.multiply.accumulate(down)
+    return _powers[which]
+
+
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+
+
+def raw_texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all texts of a column in a row, and where each starts, with the end; null as empty."""
+    c = column.cast(pa.large_binary())
+    if c.null_count:
+        c = c.fill_null(b"")
+    edge = np.frombuffer(c.buffers()[1], np.int64)[c.offset : c.offset + len(c) + 1]
+    data = np.frombuffer(c.buffers()[2] or b"", np.uint8)[edge[0] : edge[-1]]
+    return data, edge - edge[0]
+
+
+def word_ranges(data: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of each word, and the number of words before each text, with the end; no word goes over a text's edge."""
+    inside = ~_SPACE[data]
+    cut = np.zeros(len(data) + 1, bool)
+    cut[edge] = True
+    before, after = np.append(False, inside[:-1]), np.append(inside[1:], False)
+    start = np.flatnonzero(inside & (~before | cut[:-1]))
+    end = np.flatnonzero(inside & (~after | cut[1:])) + 1
+    return start, end, np.searchsorted(start, edge)
+
+
+#: Bytes whose sums are taken at once; a longer range has its hash from elsewhere.
+SEGMENT = 1 << 16
+
+
+def segments(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> Iterator[tuple[slice, int, int]]:
+    """Ascending ranges in blocks that span at most SEGMENT bytes, or one longer range: which ranges, and the bytes they span."""
+    i = 0
+    while i < len(start):
+        j = max(i + 1, int(np.searchsorted(end, start[i] + SEGMENT, "right")))
+        yield slice(i, j), int(start[i]), int(end[j - 1])
+        i = j
+
+
+def running(data: np.ndarray, which: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of (byte + 1) times powers up to each place, and the inverse powers: a range's hash is (sums[b] - sums[a]) * down[a]."""
+    up, down = powers(which, max(SEGMENT, len(data)) + 1)
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=total[1:])
+    return total, down
+
+
+def range_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, which: int = 0) -> np.ndarray:
+    """A 64-bit hash of the bytes of each range; ranges ascend and do not overlap. Equal bytes have equal hashes in all batches."""
+    out = np.empty(len(start), np.uint64)
+    for at, lo, hi in segments(data, start, end):
+        if hi - lo > SEGMENT:
+            out[at] = xxhash.xxh64_intdigest(data[lo:hi].tobytes(), which)
+            continue
+        total, down = running(data[lo:hi], which)
+        a, b = start[at] - lo, end[at] - lo
+        out[at] = mix((total[b] - total[a]) * down[a])
+    return out
+
+
 class Memo(dict):
     """What a function gives for a word, remembered: when ``size`` words are known they become the old ones, and words that are
     met again move back, so common words stay however many rare ones go by."""

@@ -10,9 +10,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, batches, held_out, kept
+from .common import Memo, batches, held_out, kept, range_hashes, raw_texts, running, segments, word_ranges
 
 DIM = 1 << 18
+#: Feature ids of a sample that reach the driver at most.
+IDS = 1 << 25
 #: Words whose hashes a worker remembers, in either half of a memo.
 REMEMBERED = 120_000
 _SHAPE = bytes(65 if 65 <= b <= 90 else 48 if 48 <= b <= 57 else 97 if 97 <= b <= 122 or b >= 128 else b for b in range(256))
@@ -28,9 +30,6 @@ def shape(word: bytes) -> bytes:
 _h = xxhash.xxh64_intdigest
 _hash = Memo(lambda w: _h(w, 1), REMEMBERED)
 _shape = Memo(lambda w: _h(shape(w), 2), REMEMBERED)
-_bare = Memo(lambda w: _h(w.lower().strip(b".,;:!?\"'()[]{}<>*#$%&-_|"), 3), REMEMBERED)
-_stem4 = Memo(lambda w: _h(w.lower()[:4], 4), REMEMBERED)
-_stem5 = Memo(lambda w: _h(w.lower()[:5], 5), REMEMBERED)
 
 
 def _fold(*parts: np.ndarray) -> np.ndarray:
@@ -59,12 +58,63 @@ def quality_features(text: bytes) -> np.ndarray:
     return _fold(w, s, pairs, np.array(flags, np.uint64))
 
 
-def word_features(text: bytes) -> np.ndarray:
-    """Words without case and outer punctuation, and their first four and five bytes, each as an indicator."""
-    ws = text.split()
-    if not ws:
-        return np.zeros(0, np.int32)
-    return _fold(_bare.array(ws), _stem4.array(ws), _stem5.array(ws))
+#: Lower case of A-Z, and the punctuation that is taken off a word's ends.
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_OUTER = np.zeros(256, bool)
+_OUTER[np.frombuffer(b".,;:!?\"'()[]{}<>*#$%&-_|", np.uint8)] = True
+#: Bytes of the starts and ends of words that are features beside the word itself.
+STARTS, ENDS = (3, 4, 5, 6, 7, 8), (3, 4, 5)
+KINDS = 1 + len(STARTS) + len(ENDS)
+_ODD = np.random.default_rng(3).integers(1 << 62, size=KINDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def bare(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ranges without outer punctuation; a few bytes one by one, longer runs of it by one pass over all bytes."""
+    start, end = start.copy(), end.copy()
+    left, right = np.arange(len(start)), np.arange(len(start))
+    for _ in range(8):
+        left = left[(start[left] < end[left]) & _OUTER[data[np.minimum(start[left], len(data) - 1)]]]
+        start[left] += 1
+        right = right[(start[right] < end[right]) & _OUTER[data[end[right] - 1]]]
+        end[right] -= 1
+    if len(left) or len(right):
+        at = np.arange(len(data))
+        after = np.minimum.accumulate(np.where(_OUTER[data], len(data), at)[::-1])[::-1]
+        before = np.maximum.accumulate(np.where(_OUTER[data], -1, at))
+        start[left] = np.minimum(np.append(after, len(data))[start[left]], end[left])
+        end[right] = np.maximum(before[end[right] - 1] + 1, start[right])
+    return start, np.maximum(end, start)
+
+
+def word_parts(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """For each word its features, a row for each kind: itself without case and outer punctuation, its starts and its ends."""
+    data = _LOWER[data]
+    start, end = bare(data, start, end)
+    out = np.empty((KINDS, len(start)), np.int32)
+    shift = np.uint64(64 - DIM.bit_length() + 1)
+    for at, lo, hi in segments(data, start, end):
+        a, b = start[at] - lo, end[at] - lo
+        if hi - lo > 1 << 20:  # one very long word: only its hash and short pieces are taken
+            long = range_hashes(data, start[at], end[at])
+            ends = [(a, np.minimum(a + n, b)) for n in STARTS] + [(np.maximum(b - n, a), b) for n in ENDS]
+            rows = [long] + [range_hashes(data[lo:hi], x, y) for x, y in ends]
+        else:
+            total, down = running(data[lo:hi], 0)
+            base, inverse, last = total[a], down[a], total[b]
+            rows = [(last - base) * inverse]
+            rows += [(total[np.minimum(a + n, b)] - base) * inverse for n in STARTS]
+            rows += [(last - total[x]) * down[x] for n in ENDS for x in (np.maximum(b - n, a),)]
+        for k, h in enumerate(rows):
+            out[k, at] = (h * _ODD[k]) >> shift
+    return out
+
+
+def text_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Features of all words of a column of texts, and the number of words before each text, with the end."""
+    data, edge = raw_texts(column)
+    start, end, first = word_ranges(data, edge)
+    return word_parts(data, start, end), first
 
 
 def _extract(features: Callable[[bytes], np.ndarray]) -> Callable:
@@ -86,65 +136,69 @@ def bounded(rows: DataFrame, n: int) -> DataFrame:
     return kept(rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n))
 
 
+def sample_texts(docs: DataFrame, sample: DataFrame) -> DataFrame:
+    """The rows of ``sample`` (bounded, so it is broadcast) with their text; of several texts of an id, the one with the least hash."""
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    one = own.join(F.broadcast(sample.select("doc_id").distinct()), "doc_id").groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("least"))
+    return one.select("doc_id", F.col("least.text").alias("text")).join(F.broadcast(sample), "doc_id")
+
+
 def sample_features(docs: DataFrame, sample: DataFrame, features: Callable[[bytes], np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, feature ids, labels) of the sampled rows' whole texts, on the driver; ``sample`` is bounded, so it is broadcast."""
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id")
-    rows = own.mapInArrow(_extract(features), "doc_id long, label int, features array<int>").dropDuplicates(["doc_id"]).orderBy("doc_id").toArrow()
+    """(starts, feature ids, labels) of the sampled rows' whole texts, on the driver.
+
+    The rows are bounded by the sample; ``IDS`` bounds what they hold: in order of hash, rows count until it is reached.
+    """
+    rows = kept(sample_texts(docs, sample).mapInArrow(_extract(features), "doc_id long, label int, features array<int>"))
+    sizes = rows.select("doc_id", F.xxhash64("doc_id").alias("h"), F.size("features").alias("n")).toPandas().sort_values(["h", "doc_id"])
+    if sizes["n"].sum() > IDS:
+        few = sizes[sizes["n"].cumsum() <= IDS][["doc_id"]]
+        rows = rows.join(F.broadcast(rows.sparkSession.createDataFrame(few, "doc_id long")), "doc_id")
+    rows = rows.orderBy("doc_id").toArrow()
     col = rows.column("features").combine_chunks()
     sizes = np.array([len(x) for x in col], np.int64) if len(col) else np.zeros(0, np.int64)
     return np.append(0, np.cumsum(sizes)), col.flatten().to_numpy(), rows.column("label").to_numpy()
 
 
-def pack(ids: np.ndarray) -> bytes:
-    """Sorted ids as gaps of two bytes; a gap of 65535 or more is led by as many 65535 as it holds."""
-    gaps = np.diff(ids, prepend=0)
-    full = gaps // 65535
-    if not full.any():
-        return gaps.astype("<u2").tobytes()
-    out = np.full(len(ids) + int(full.sum()), 65535, "<u2")
-    out[np.arange(len(ids)) + np.cumsum(full)] = gaps % 65535
-    return out.tobytes()
-
+#: The unit of a rate: one word of a text of n words counts ONE / (n + EVEN), as a whole number, so that sums do not depend on order.
+ONE, EVEN = 1 << 24, 20
 
-def unpack(packed: bytes) -> np.ndarray:
-    gaps = np.frombuffer(packed, "<u2")
-    return np.cumsum(gaps, dtype=np.int32)[gaps != 65535]
 
+def rates(first: np.ndarray) -> np.ndarray:
+    """What a word of each text counts."""
+    return np.rint(ONE / (np.diff(first) + EVEN))
 
-def text_features(docs: DataFrame, features: Callable[[bytes], np.ndarray]) -> DataFrame:
-    """(doc_id, features) of each row, packed; checkpointed, so that the texts are worked out once for all that read it."""
 
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, texts in batches(it):
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([pack(features(t)) for t in texts], pa.binary())], ["doc_id", "features"])
+def rate_sums(docs: DataFrame) -> tuple[np.ndarray, int]:
+    """Sums over all rows of ``docs`` of the rate of each feature, and the rows: partial sums of each task, summed again.
 
-    return kept(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, features binary"))
-
-
-def feature_counts(rows: DataFrame) -> tuple[np.ndarray, int]:
-    """Rows that hold each feature, and rows in all: partial sums of each task, summed again; at most DIM + 1 reach the driver."""
+    At most DIM + 1 rows reach the driver.
+    """
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(DIM + 1, np.int64)
+        total = np.zeros(DIM + 1)
         for b in it:
-            own = [unpack(x) for x in b.column("features").to_pylist()]
-            counts[:DIM] += np.bincount(np.concatenate([np.zeros(0, np.int32), *own]), minlength=DIM)
-            counts[DIM] += len(own)
-        held = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(held.astype(np.int32)), pa.array(counts[held])], ["feature", "n"])
-
-    got = rows.select("features").mapInArrow(run, "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(DIM + 1, np.int64)
-    counts[got.column("feature").to_numpy()] = got.column("n").to_numpy()
-    return counts[:DIM], int(counts[DIM])
-
-
-def score_rows(docs: DataFrame, scorer: Callable[[list[bytes]], np.ndarray], threshold: float) -> DataFrame:
+            if b.num_rows:
+                ids, first = text_words(b.column("text"))
+                each = np.repeat(rates(first), np.diff(first))
+                for row in ids:
+                    total[:DIM] += np.bincount(row, each, DIM)
+                total[DIM] += b.num_rows
+        held = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(held.astype(np.int32)), pa.array(total[held].astype(np.int64))], ["feature", "n"])
+
+    got = docs.select("text").mapInArrow(run, "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n")).toArrow()
+    total = np.zeros(DIM + 1)
+    total[got.column("feature").to_numpy()] = got.column("n").to_numpy()
+    return total[:DIM] / ONE, int(total[DIM])
+
+
+def score_rows(docs: DataFrame, scorer: Callable[[pa.Array], np.ndarray], threshold: float) -> DataFrame:
     """(doc_id, held_out, score, predicted) by one pass over the texts."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, texts in batches(it):
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(scorer(texts), pa.float64())], ["doc_id", "score"])
+        for b in it:
+            if b.num_rows:
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(scorer(b.column("text")), pa.float64())], ["doc_id", "score"])
 
     scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", predicted(F.col("score"), threshold))

@@ -14,10 +14,11 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_batches
+from .common import table, text_batches, utf8
 from .features import DIM, bounded, quality_features, sample_features, score_rows, training_labels
 
 #: Labelled rows that the classifier learns from at most.
@@ -121,8 +122,8 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "quality", sample: i
     return fit(split_rows(starts, flat), np.asarray(y, np.int64))
 
 
-def scorer(model: NbSvm) -> Callable[[list[bytes]], np.ndarray]:
-    return lambda texts: model.scores([quality_features(t) for t in texts])
+def scorer(model: NbSvm) -> Callable[[pa.Array], np.ndarray]:
+    return lambda texts: model.scores([quality_features(t) for t in utf8(texts)])
 
 
 def quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -136,7 +137,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
 
     @F.pandas_udf("double")
     def scored(texts: pd.Series) -> pd.Series:
-        return pd.Series(score([(t or "").encode() for t in texts]))
+        return pd.Series(score(pa.array(texts, pa.string())))
 
     return docs.where(scored(F.coalesce(F.col("text").cast("string"), F.lit(""))) >= threshold)
 

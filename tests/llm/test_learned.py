@@ -17,19 +17,38 @@ from pyspark.sql import functions as F
 from granary.llm import exact, features, nbsvm, nnpu, pii, simhash, topk
 from granary.llm.queries import ORACLE_SQL, QUERIES
 
-BIG = "/root/testdata/sf0.01"
+BIG = "/root/testdata/sf0.1"
 
 
-@pytest.mark.parametrize(("name", "column", "least"), [("op2_quality", "quality", 0.9), ("op5_toxicity", "toxic", 0.9)])
-def test_held_out_accuracy(spark, name, column, least):
+@pytest.mark.parametrize(("name", "column", "rare"), [("op2_quality", "quality", 0), ("op5_toxicity", "toxic", 1)])
+def test_held_out_rows(spark, name, column, rare):
+    """Of the rarer class at least 0.85 are told, of the other one at most 0.02 taken for it, among long texts too."""
     got = QUERIES[name](spark, BIG).toPandas()
-    docs = spark.read.parquet(f"{BIG}/documents.parquet")
-    assert len(got) == docs.count() and got["score"].between(0, 1).all()
+    docs = spark.read.parquet(f"{BIG}/documents.parquet").selectExpr("doc_id", "length(text) AS n").toPandas()
+    assert len(got) == len(docs) and got["score"].between(0, 1).all()
     assert (got["held_out"] == [zlib.crc32(str(i).encode()) % 5 == 0 for i in got["doc_id"]]).all()
     assert (got["predicted"] == (got["score"] >= (0.3 if column == "quality" else 0.5))).all()
-    own = got.merge(spark.read.parquet(f"{BIG}/labels.parquet").toPandas(), on="doc_id")
+    own = got.merge(spark.read.parquet(f"{BIG}/labels.parquet").toPandas(), on="doc_id").merge(docs, on="doc_id")
     own = own[own["held_out"]]
-    assert (own["predicted"] == own[column]).mean() >= least
+    told, others = own[own[column] == rare], own[own[column] != rare]
+    assert (told["predicted"] == rare).mean() >= 0.85 and (others["predicted"] == rare).mean() <= 0.02
+    assert (others[others["n"] > 10_000]["predicted"] == rare).mean() <= 0.02
+    assert got["score"].nunique() > 0.5 * len(got)
+
+
+def test_toxic_by_rate_and_not_by_length(spark):
+    """Words that share two syllables with common ones: long clean texts hold more of them than short toxic ones."""
+    r = random.Random(8)
+    parts = [a + b for a in "bdfgklmnprst" for b in "aeiou"]
+    word = lambda: "".join(r.choice(parts) for _ in range(r.randint(1, 4)))
+    rows = []
+    for i in range(1500):
+        toxic, n = i % 8 == 0, r.choice((80, 150, 400, 3000)) if i % 8 else r.choice((80, 150, 400))
+        rows.append((i, " ".join("bada" + r.choice(parts) if toxic and r.random() < 0.03 else word() for _ in range(n)), int(toxic)))
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(4), spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id long, toxic int")
+    got = {x["doc_id"]: x["predicted"] for x in nnpu.toxicity(docs.drop("toxic"), labels).where("held_out").collect()}
+    toxic, clean = [got[i] for i, _, t in rows if t and i in got], [got[i] for i, _, t in rows if not t and i in got]
+    assert sum(toxic) >= 0.85 * len(toxic) and sum(clean) <= 0.03 * len(clean)
 
 
 @pytest.mark.parametrize("learn", [nbsvm.quality, nnpu.toxicity])
@@ -227,21 +246,80 @@ def test_long_words_are_seen_whole(crf, n):
     assert [text[s:e] for _, s, e in pii.added_spans([text], [pii.base_spans(text)], crf)[0]] == [address]
 
 
-def test_packed_features_come_back():
-    r = np.random.default_rng(4)
-    for ids in ([], [0], [65535], [65534, 131070], [features.DIM - 1], [0, 65535, 131070, 200_000], np.unique(r.integers(features.DIM, size=700)), np.unique(r.integers(features.DIM, size=3))):
-        assert features.unpack(features.pack(np.array(ids, np.int32))).tolist() == list(ids)
+def plain_parts(text: bytes) -> list[tuple[int, bytes]]:
+    """(kind, bytes) of each feature of each word."""
+    out = []
+    for w in text.split():
+        w = w.lower().strip(b".,;:!?\"'()[]{}<>*#$%&-_|")
+        out += [(0, w), *((n, w[:n]) for n in features.STARTS), *((-n, w[-n:]) for n in features.ENDS)]
+    return out
+
+
+def test_word_parts_are_the_words_and_their_ends():
+    import pyarrow as pa
+    from llm_odd import TEXTS
+
+    r = random.Random(2)
+    texts = [*TEXTS, *("".join(r.choice("abcAB .,-'\n\té$") for _ in range(r.randint(0, 60))) for _ in range(400)), "#" * 70_000 + "end" + "!" * 40, "$" * 500 + " " + "x" * 1_200_000]
+    ids, first = features.text_words(pa.array(texts))
+    assert len(first) == len(texts) + 1
+    known: dict = {}
+    for i, t in enumerate(texts):
+        got = ids[:, first[i] : first[i + 1]].T.ravel().tolist()
+        want = plain_parts((t or "").encode())
+        assert len(got) == len(want)
+        for g, w in zip(got, want, strict=True):
+            assert known.setdefault(w, g) == g
+    # Hashing spreads them: nearly all distinct features have an id of their own.
+    assert len(set(known.values())) > 0.97 * len(known)
 
 
 def test_base_rates_cover_all_documents(spark, monkeypatch):
-    """However few unlabelled texts are drawn, the rates that choose the features are counted on every document outside the fifth."""
+    """However few unlabelled texts are drawn, the rates that choose the features are those of every document outside the fifth."""
+    import pyarrow as pa
+
     seen = []
     monkeypatch.setattr(nnpu.train, "__defaults__", ("toxic", 10, 10))
     standing_out = nnpu.standing_out
-    monkeypatch.setattr(nnpu, "standing_out", lambda pos, *rates: seen.append(rates) or standing_out(pos, *rates))
+    monkeypatch.setattr(nnpu, "standing_out", lambda p, n, u, *rest: seen.append(u) or standing_out(p, n, u, *rest))
     docs = spark.createDataFrame([(i, f"word{i % 7} common {'rare' * (i == 1)}") for i in range(400)], "doc_id long, text string").repartition(4)
     labels = spark.createDataFrame([(i, int(i % 7 == 0)) for i in range(100)], "doc_id long, toxic int")
     assert nnpu.toxicity(docs, labels).count() == 400
-    own = [f"word{i % 7} common {'rare' * (i == 1)}".encode() for i in range(400) if zlib.crc32(str(i).encode()) % 5]
-    want = np.bincount(np.concatenate([features.word_features(t) for t in own]), minlength=features.DIM)
-    assert seen and seen[0][1] == len(own) and (seen[0][0] == want).all()
+    own = [f"word{i % 7} common {'rare' * (i == 1)}" for i in range(400) if zlib.crc32(str(i).encode()) % 5]
+    ids, first = features.text_words(pa.array(own))
+    want = sum(np.bincount(row, np.repeat(1 / (np.diff(first) + features.EVEN), np.diff(first)), features.DIM) for row in ids) / len(own)
+    assert len(seen) == 1 and np.abs(seen[0] - want).max() < 1e-6
+
+
+@pytest.mark.parametrize("prior", [0.05, 0.6])
+def test_risk_gradient_is_that_of_the_risk(prior):
+    """Against differences, where the negative part is positive and where it is not."""
+    r = np.random.default_rng(3)
+    xp, xu = r.normal(size=(30, 4)).astype(np.float32), r.normal(size=(50, 4)).astype(np.float32) - np.float32(0.5)
+    w = np.array([0.7, -0.4, 0.2, 0.1, 0.5 if prior < 0.5 else -0.2])
+    positive, negative, g = nnpu.risk_gradient(xp, xu, prior, w)
+    assert (negative >= 0) == (prior < 0.5)
+    risk = lambda v: (lambda a, b: a + b if prior < 0.5 else -b)(*nnpu.risk_gradient(xp, xu, prior, v)[:2])
+    step = 1e-2
+    numeric = [(risk(w + step * e) - risk(w - step * e)) / (2 * step) for e in np.eye(5)]
+    assert np.abs(g - numeric).max() < 2e-3
+
+
+def test_hinge_descent_reaches_the_least_loss():
+    """Against many small steps down the primal loss, with the classes weighing alike."""
+    r = np.random.default_rng(5)
+    rows = [np.unique(r.integers(12, size=5)).astype(np.int32) for _ in range(60)]
+    y = np.array([int(0 in x or 1 in x) ^ int(r.random() < 0.1) for x in rows])
+    c = 0.3
+    w, b = nbsvm.hinge_descent(rows, y, np.ones(features.DIM), c=c, rounds=2000)
+    x = np.zeros((60, 13))
+    for i, own in enumerate(rows):
+        x[i, own] = 1 / np.sqrt(len(own))
+    x[:, 12] = 1
+    sign, box = np.where(y == 1, 1.0, -1.0), c * 60 / (2 * np.bincount(y)[y])
+    loss = lambda v: v @ v / 2 + (box * np.maximum(0, 1 - sign * (x @ v))).sum()
+    v, best = np.zeros(13), np.inf
+    for t in range(1, 40_001):
+        v -= (v - ((box * sign * (sign * (x @ v) < 1)) @ x)) / (t + 10)
+        best = min(best, loss(v))
+    assert loss(np.append(w[:12], b)) <= best * 1.001 + 1e-6
