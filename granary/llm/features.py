@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, batches, held_out, kept, range_hashes, raw_texts, running, segments, word_ranges
+from .common import SEGMENT, Memo, batches, held_out, kept, range_hashes, raw_texts, running, segments, word_ranges
 
 DIM = 1 << 18
 #: Feature ids of a sample that reach the driver at most.
@@ -95,10 +95,9 @@ def word_parts(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
     shift = np.uint64(64 - DIM.bit_length() + 1)
     for at, lo, hi in segments(data, start, end):
         a, b = start[at] - lo, end[at] - lo
-        if hi - lo > 1 << 20:  # one very long word: only its hash and short pieces are taken
-            long = range_hashes(data, start[at], end[at])
-            ends = [(a, np.minimum(a + n, b)) for n in STARTS] + [(np.maximum(b - n, a), b) for n in ENDS]
-            rows = [long] + [range_hashes(data[lo:hi], x, y) for x, y in ends]
+        if hi - lo > SEGMENT:  # one very long word
+            pieces = [data[lo : lo + n] for n in STARTS] + [data[hi - n : hi] for n in ENDS]
+            rows = [range_hashes(data, start[at], end[at])] + [running(x, 0)[0][-1:] for x in pieces]
         else:
             total, down = running(data[lo:hi], 0)
             base, inverse, last = total[a], down[a], total[b]

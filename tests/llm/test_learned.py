@@ -295,7 +295,7 @@ def test_base_rates_cover_all_documents(spark, monkeypatch):
 def test_risk_gradient_is_that_of_the_risk(prior):
     """Against differences, where the negative part is positive and where it is not."""
     r = np.random.default_rng(3)
-    xp, xu = r.normal(size=(30, 4)).astype(np.float32), r.normal(size=(50, 4)).astype(np.float32) - np.float32(0.5)
+    xp, xu = r.normal(size=(30, 4)).astype(np.float32), (r.normal(size=(50, 4)) - [0.5 if prior < 0.5 else 4.0, 0, 0, 0]).astype(np.float32)
     w = np.array([0.7, -0.4, 0.2, 0.1, 0.5 if prior < 0.5 else -0.2])
     positive, negative, g = nnpu.risk_gradient(xp, xu, prior, w)
     assert (negative >= 0) == (prior < 0.5)
