@@ -81,6 +81,23 @@ def words(text: bytes) -> list[bytes]:
     return text.split()
 
 
+#: Bytes of texts that are worked on at once; a longer text is worked on alone.
+PIECE = 4 << 20
+
+
+def pieces(it: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Runs of rows of each batch whose texts have at most PIECE bytes, or one row, with the bytes and edges of their texts."""
+    for b in it:
+        if not b.num_rows:
+            continue
+        data, edge = raw_texts(b.column(column))
+        i = 0
+        while i < b.num_rows:
+            j = max(i + 1, int(np.searchsorted(edge, edge[i] + PIECE, "right")) - 1)
+            yield b.slice(i, j - i), data[edge[i] : edge[j]], edge[i : j + 1] - edge[i]
+            i = j
+
+
 def held_out(doc_id: Column) -> Column:
     """crc32 of the id's text modulo 5 is 0; a null id counts as held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(True))

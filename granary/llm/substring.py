@@ -11,7 +11,12 @@ of ``WINDOW - PERIOD + 1`` words, and of all positions only one in four is hashe
    words of the others.
 
 A common passage is one hash per part, whatever its count, so no bucket is hot; what a bucket holds is set by the number of
-buckets, which grows with the corpus. Answers lie in the shared folder by part, and each task reads only those of its parts.
+buckets, which grows with the corpus, and a bucket is a task. A part sends a row for each bucket it has a hash in, so on a very
+large corpus buckets grow up to LARGEST times before rows get short: with parts of 128 MB, 100 TB give rows of ten hashes. Larger
+parts make longer rows. Answers lie in the shared folder by part, and each task reads only those of its parts.
+
+Words are hashed by their bytes, by two polynomials; a window is told by 64 bits of one and 32 of the other, which share nothing
+but the text. Its words are not compared again: among 10^13 windows two different ones meet with a chance of about 10^-3.
 
 Rows: a null text has no words; rows are judged one by one, so repeated rows remove each other's windows; doc_id is only carried.
 """
@@ -22,15 +27,13 @@ import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.parquet as pq
-import xxhash
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Memo, batches, drop_scratch, kept, scratch, table, text_batches
+from .common import SEGMENT, drop_scratch, kept, mix, pieces, powers, range_hashes, scratch, segments, table, text_batches, word_ranges
 
 WINDOW = 35
 #: Perfect difference sets by their period.
@@ -39,9 +42,8 @@ COVERS = {1: (0,), 3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14,
 LEAST_ANCHOR = 12
 #: Hashes that a bucket holds about, and that a part holds back before it sends them.
 BUCKET, FLUSH = 1_000_000, 4_000_000
-#: Words whose hashes a worker remembers, in either half of the memo.
-REMEMBERED = 300_000
-_M = (np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93))
+#: How much larger a bucket may be, so that a part's row for it holds RUN hashes.
+LARGEST, RUN = 8, 256
 
 
 def cover_for(window: int) -> int:
@@ -49,73 +51,66 @@ def cover_for(window: int) -> int:
     return max(p for p in COVERS if p == 1 or window - p + 1 >= LEAST_ANCHOR)
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-_words = Memo(xxhash.xxh64_intdigest, REMEMBERED)
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
+def window_hashes(a: np.ndarray, at: np.ndarray, length: int, which: int) -> np.ndarray:
+    """A polynomial hash of the windows of ``length`` word hashes that start at ``at``, which ascends."""
+    out = np.empty(len(at), np.uint64)
+    for own, lo, hi in segments(a, at, at + length):
+        up, down = powers(which, max(SEGMENT, hi - lo) + 1)
+        total = np.zeros(hi - lo + 1, np.uint64)
+        np.cumsum(a[lo:hi] * up[: hi - lo], out=total[1:])
+        x = at[own] - lo
+        out[own] = mix((total[x + length] - total[x]) * down[x])
+    return out
 
-def _power(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd multiplier modulo 2^64 and of its inverse, n at least."""
-    if which not in _powers or len(_powers[which][0]) < n:
-        size = 1 << max(12, (n - 1).bit_length())
-        up = np.full(size, _M[which])
-        down = np.full(size, np.uint64(pow(int(_M[which]), -1, 1 << 64)))
-        up[0] = down[0] = 1
-        _powers[which] = np.multiply.accumulate(up), np.multiply.accumulate(down)
-    return _powers[which]
 
+class Texts:
+    """The words of a run of texts: where each lies, its text, and its hashes."""
 
-def word_hashes(ws: list[bytes]) -> np.ndarray:
-    return _words.array(ws)
+    def __init__(self, data: np.ndarray, edge: np.ndarray):
+        self.data, self.edge = data, edge
+        self.start, self.end, self.first = word_ranges(data, edge)
+        self.size = np.diff(self.first)
+        self._hashes: dict[int, np.ndarray] = {}
 
+    def hashes(self, which: int) -> np.ndarray:
+        if which not in self._hashes:
+            self._hashes[which] = range_hashes(self.data, self.start, self.end, which)
+        return self._hashes[which]
 
-def window_hashes(a: np.ndarray, at: np.ndarray, length: int, which: int) -> np.ndarray:
-    """A polynomial hash of the windows of ``length`` words that start at ``at``."""
-    up, down = _power(which, len(a) + 1)
-    total = np.zeros(len(a) + 1, np.uint64)
-    np.cumsum((a if which == 0 else mix(a)) * up[: len(a)], out=total[1:])
-    return mix((total[at + length] - total[at]) * down[at])
+    def of(self, words: np.ndarray) -> np.ndarray:
+        """The text of each word."""
+        return np.searchsorted(self.first, words, "right") - 1
 
 
 class Finder:
-    """Anchors and windows of one text."""
+    """Anchors and windows of a run of texts; none goes over a text's edge."""
 
     def __init__(self, window: int):
         self.window, self.period = window, cover_for(window)
         self.anchor = window - self.period + 1
-        self.cover = np.array(COVERS[self.period])
+        self.cover = np.isin(np.arange(self.period), COVERS[self.period])
 
-    def anchors(self, a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def anchors(self, t: Texts) -> tuple[np.ndarray, np.ndarray]:
         """Start and hash of each anchor; texts shorter than a window have none."""
-        n = len(a) - self.anchor + 1
-        if len(a) < self.window:
-            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        at = (np.arange(0, n, self.period)[:, None] + self.cover).ravel()
-        at = at[at < n]
-        return at, window_hashes(a, at, self.anchor, 0)
-
-    def candidates(self, a: np.ndarray, repeated: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        each = np.where(t.size >= self.window, t.size - self.anchor + 1, 0)
+        place = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+        at = (place + np.repeat(t.first[:-1], each))[self.cover[place % self.period]]
+        return at, window_hashes(t.hashes(0), at, self.anchor, 0)
+
+    def candidates(self, t: Texts, repeated: Answers) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Start and hash (64 and 32 bits) of each window that holds a repeated anchor."""
-        at, h = self.anchors(a)
-        hit = at[member(h, repeated)]
+        at, h = self.anchors(t)
+        hit = at[repeated.has(h)]
         if not len(hit):
             return hit, np.zeros(0, np.uint64), np.zeros(0, np.uint32)
-        starts = covered(np.maximum(hit - self.period + 1, 0), hit + 1, len(a) - self.window + 1)
-        at = np.flatnonzero(starts)
-        return at, window_hashes(a, at, self.window, 0), (window_hashes(a, at, self.window, 1) >> np.uint64(32)).astype(np.uint32)
+        own = t.of(hit)
+        at = np.flatnonzero(covered(np.maximum(hit - self.period + 1, t.first[own]), np.minimum(hit + 1, t.first[own + 1] - self.window + 1), len(t.start)))
+        return at, window_hashes(t.hashes(0), at, self.window, 0), (window_hashes(t.hashes(1), at, self.window, 1) >> np.uint64(32)).astype(np.uint32)
 
 
 def covered(start: np.ndarray, end: np.ndarray, n: int) -> np.ndarray:
     """True at the positions below n that lie in any [start, end)."""
-    d = np.zeros(n + 1, np.int64)
-    np.add.at(d, np.minimum(start, n), 1)
-    np.add.at(d, np.minimum(end, n), -1)
-    return np.cumsum(d[:n]) > 0
+    return np.cumsum(np.bincount(start, minlength=n + 1)[:n] - np.bincount(end, minlength=n + 1)[:n]) > 0
 
 
 def member(x: np.ndarray, among: np.ndarray) -> np.ndarray:
@@ -130,11 +125,9 @@ def member(x: np.ndarray, among: np.ndarray) -> np.ndarray:
 _KEY = np.dtype([("h", "<u8"), ("g", "<u4")])
 
 
-def keys(h: np.ndarray, g: np.ndarray | None = None) -> np.ndarray:
+def keys(h: np.ndarray, g: np.ndarray) -> np.ndarray:
     out = np.zeros(len(h), _KEY)
-    out["h"] = h
-    if g is not None:
-        out["g"] = g
+    out["h"], out["g"] = h, g
     return out
 
 
@@ -147,6 +140,31 @@ def runs(k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return k[at], np.diff(np.append(at, len(k)))
 
 
+class Answers:
+    """What the buckets told a part, sorted by hash, with a table of the hashes' upper bits that rules most others out."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys
+        self.top = keys["h"] if keys.dtype == _KEY else keys
+        bits = max(10, min(24, 4 + len(keys).bit_length()))
+        self.shift = np.uint64(64 - bits)
+        self.table = np.zeros(1 << bits, bool)
+        self.table[self.top >> self.shift] = True
+
+    def has(self, h: np.ndarray, g: np.ndarray | None = None) -> np.ndarray:
+        """Which of h (and g) are among them; equal h with another g are looked at one by one."""
+        out = np.zeros(len(h), bool)
+        some = np.flatnonzero(self.table[h >> self.shift])
+        lo, hi = (np.searchsorted(self.top, h[some], side) for side in ("left", "right"))
+        if g is None:
+            out[some] = lo < hi
+            return out
+        for k in range(int((hi - lo).max(initial=0))):
+            at = np.flatnonzero(lo + k < hi)
+            out[some[at]] |= self.keys["g"][lo[at] + k] == g[some[at]]
+        return out
+
+
 _SENT = pa.schema([("bucket", pa.int32()), ("part", pa.int32()), ("once", pa.binary()), ("more", pa.binary())])
 
 
@@ -161,75 +179,90 @@ def _send(part: int, found: list[np.ndarray], buckets: int, wide: bool) -> Itera
         top = k
     bucket = ((top >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
     edge = np.searchsorted(bucket, np.arange(buckets + 1))
-    for b in range(buckets):
+    for b in np.flatnonzero(np.diff(edge)).tolist():
         s = slice(edge[b], edge[b + 1])
-        if s.start < s.stop:
-            yield pa.RecordBatch.from_pylist([{"bucket": b, "part": part, "once": k[s][n[s] == 1].tobytes(), "more": k[s][n[s] > 1].tobytes()}], _SENT)
+        yield pa.RecordBatch.from_pylist([{"bucket": b, "part": part, "once": k[s][n[s] == 1].tobytes(), "more": k[s][n[s] > 1].tobytes()}], _SENT)
 
 
-def _by_part(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch, list[bytes]]]:
-    for b, texts in batches(it):
+def _by_part(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch, Texts]]:
+    for b, data, edge in pieces(it):
         part = b.column("part").to_numpy()
-        edge = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(part)]
-        for s, e in zip(edge, edge[1:], strict=False):
-            yield int(part[s]), b.slice(s, e - s), texts[s:e]
+        cut = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(part)]
+        for s, e in zip(cut, cut[1:], strict=False):
+            yield int(part[s]), b.slice(s, e - s), Texts(data[edge[s] : edge[e]], edge[s : e + 1] - edge[s])
 
 
 def _collect(it: Iterator[pa.RecordBatch], hashes: Callable, buckets: int, wide: bool) -> Iterator[pa.RecordBatch]:
     now, found, n = None, [], 0
     for part, _, texts in _by_part(it):
-        for t in [None, *texts]:
-            if n and (part != now or n > FLUSH):
-                yield from _send(now, found, buckets, wide)
-                found, n = [], 0
-            now = part
-            if t is not None and len(h := hashes(part, word_hashes(t.split()))):
-                found.append(h)
-                n += len(h)
+        if n and (part != now or n > FLUSH):
+            yield from _send(now, found, buckets, wide)
+            found, n = [], 0
+        now = part
+        if len(h := hashes(part, texts)):
+            found.append(h)
+            n += len(h)
     if n:
         yield from _send(now, found, buckets, wide)
 
 
-def _answers(folder: str, name: str, dtype: np.dtype | str) -> Callable[[int], np.ndarray]:
-    """The answers for a part, sorted; those of the last part are kept."""
+def _answers(folder: str, dtype: np.dtype | str) -> Callable[[int], Answers]:
+    """The answers for a part; those of the last part are kept."""
     system, base = fs.FileSystem.from_uri(folder)
     last: list = [None, None]
 
-    def of(part: int) -> np.ndarray:
+    def of(part: int) -> Answers:
         if last[0] != part:
             files = system.get_file_info(fs.FileSelector(f"{base}/part={part}", allow_not_found=True))
-            blobs = [x for f in files if f.path.endswith(".parquet") for x in pq.read_table(f.path, filesystem=system, columns=[name], partitioning=None).column(name).to_pylist()]
+            blobs = [x for f in files if f.path.endswith(".parquet") for x in pq.read_table(f.path, filesystem=system, columns=["found"], partitioning=None).column("found").to_pylist()]
             got = np.frombuffer(b"".join(blobs), dtype)
-            last[:] = part, (np.unique(got) if dtype == "<u8" else runs(got)[0] if len(got) else got)
+            last[:] = part, Answers(np.unique(got) if dtype == "<u8" else runs(got)[0] if len(got) else got)
         return last[1]
 
     return of
 
 
-def _repeated(pdf: pd.DataFrame) -> pd.DataFrame:
+def _repeated(once: list[bytes], more: list[bytes]) -> list[bytes]:
     """For each part, its anchors that occur more than once in the bucket."""
-    once = [np.frombuffer(x, "<u8") for x in pdf["once"]]
-    more = [np.frombuffer(x, "<u8") for x in pdf["more"]]
-    k, n = np.unique(np.concatenate(once + more), return_counts=True)
-    again = np.union1d(k[n > 1], np.concatenate(more))
-    out = [np.concatenate([o[member(o, again)], m]).tobytes() for o, m in zip(once, more, strict=True)]
-    return pd.DataFrame({"part": pdf["part"], "found": out})[[bool(x) for x in out]]
+    one, many = [np.frombuffer(x, "<u8") for x in once], [np.frombuffer(x, "<u8") for x in more]
+    k, n = np.unique(np.concatenate(one + many), return_counts=True)
+    again = np.union1d(k[n > 1], np.concatenate(many))
+    return [np.concatenate([o[member(o, again)], m]).tobytes() for o, m in zip(one, many, strict=True)]
 
 
-def _single(pdf: pd.DataFrame) -> pd.DataFrame:
+def _single(once: list[bytes], more: list[bytes]) -> list[bytes]:
     """For each part, its windows that occur nowhere else."""
-    once = [np.frombuffer(x, _KEY) for x in pdf["once"]]
-    more = [np.frombuffer(x, _KEY) for x in pdf["more"]]
-    at = np.repeat(np.arange(len(once)), [len(x) for x in once])
-    k = np.concatenate(once + more)
+    one = [np.frombuffer(x, _KEY) for x in once]
+    at = np.repeat(np.arange(len(one)), [len(x) for x in one])
+    k = np.concatenate(one + [np.frombuffer(x, _KEY) for x in more])
     order = np.lexsort((k["g"], k["h"]))
     s = k[order]
     same = (s["h"][1:] == s["h"][:-1]) & (s["g"][1:] == s["g"][:-1])
     alone = ~(np.append(False, same) | np.append(same, False))
     alone = np.sort(order[alone & (order < len(at))])
-    edge = np.searchsorted(at[alone], np.arange(len(once) + 1))
-    out = [k[alone[edge[i] : edge[i + 1]]].tobytes() for i in range(len(once))]
-    return pd.DataFrame({"part": pdf["part"], "found": out})[[bool(x) for x in out]]
+    edge = np.searchsorted(at[alone], np.arange(len(one) + 1))
+    return [k[alone[edge[i] : edge[i + 1]]].tobytes() for i in range(len(one))]
+
+
+def _told(answer: Callable) -> Callable:
+    """A task holds whole buckets, nearly always one; its rows are gathered and answered bucket by bucket."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple[int, bytes, bytes]]] = {}
+        for b in it:
+            for bucket, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                held.setdefault(bucket, []).append(tuple(row))
+        for bucket in list(held):
+            parts, once, more = zip(*held.pop(bucket), strict=True)
+            out = [(p, x) for p, x in zip(parts, answer(once, more), strict=True) if x]
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], ["part", "found"])
+
+    return run
+
+
+def bucket_count(hashes: float, parts: int) -> int:
+    """So many that a bucket holds BUCKET hashes, or up to LARGEST times as many where a part's row for a bucket would be below RUN."""
+    return max(1, round(max(hashes / BUCKET / LARGEST, min(hashes / BUCKET, hashes / parts / RUN))))
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = False) -> DataFrame:
@@ -237,64 +270,51 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = Fals
     spark = docs.sparkSession
     text_batches(spark)
     folder = scratch(spark, "repeats")
-    finder = Finder(window)
+    try:
+        return kept(_without_repeats(docs, Finder(window), with_text, folder))
+    finally:
+        drop_scratch(spark, folder)
+
+
+def _without_repeats(docs: DataFrame, finder: Finder, with_text: bool, folder: str) -> DataFrame:
+    spark = docs.sparkSession
     # Rows are written with the number of their part, so that later passes find the same parts however files are read.
     copy = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.octet_length("text").cast("long").alias("size"), F.spark_partition_id().alias("part"))
     copy.write.option("compression", "zstd").parquet(f"{folder}/docs")
     copy = spark.read.schema("doc_id long, text string, size long, part int").parquet(f"{folder}/docs")
-    size = copy.agg(F.sum("size")).first()[0] or 0
+    size, parts = copy.agg(F.sum("size"), F.max("part") + 1).first()
     # A word has at least two bytes with the space after it; most have about six.
-    count = lambda share: max(1, int(size / 6 * share / BUCKET) + 1)
+    count = lambda share: bucket_count((size or 0) / 6 * share, parts or 1)
 
     def ask(hashes: Callable, answer: Callable, name: str, buckets: int, wide: bool) -> str:
         sent = copy.select("part", "text").mapInArrow(lambda it: _collect(it, hashes(), buckets, wide), "bucket int, part int, once binary, more binary")
-        told = sent.groupBy("bucket").applyInPandas(answer, "part int, found binary")
+        told = sent.repartitionById(buckets, F.col("bucket")).mapInArrow(_told(answer), "part int, found binary")
         told.repartition("part").write.partitionBy("part").parquet(f"{folder}/{name}")
         return f"{folder}/{name}"
 
-    repeated = ask(lambda: lambda part, a: finder.anchors(a)[1], _repeated, "anchors", count(len(finder.cover) / finder.period), False)
+    repeated = ask(lambda: lambda part, t: finder.anchors(t)[1], _repeated, "anchors", count(finder.cover.mean()), False)
 
     def windows() -> Callable:
-        of = _answers(repeated, "found", "<u8")
-        return lambda part, a: keys(*finder.candidates(a, of(part))[1:])
+        of = _answers(repeated, "<u8")
+        return lambda part, t: keys(*finder.candidates(t, of(part))[1:])
 
     single = ask(windows, _single, "windows", count(0.5), True)
 
     def mark(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        anchors, alone = _answers(repeated, "found", "<u8"), _answers(single, "found", _KEY)
-        for part, b, texts in _by_part(it):
-            rows = []
-            for t in texts:
-                ws = t.split()
-                a = word_hashes(ws)
-                at, h, g = finder.candidates(a, anchors(part))
-                at = at[~_key_member(h, g, alone(part))]
-                gone = covered(at, at + window, len(ws)) if len(at) else np.zeros(len(ws), bool)
-                stay = b" ".join([w for w, x in zip(ws, gone.tolist(), strict=True) if not x] if len(at) else ws)
-                rows.append((len(ws), int(gone.sum()), hashlib.sha256(stay).hexdigest(), stay))
-            n, m, sha, stay = zip(*rows, strict=True)
-            cols = [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(m, pa.int64()), pa.array(sha)] + [pa.array(stay, pa.binary()).cast(pa.string())] * with_text
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_words", "n_removed", "kept_sha256", *["kept_text"] * with_text])
-
-    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
-    out = copy.select("doc_id", "part", "text").mapInArrow(mark, schema)
-    if with_text:
-        return out  # reads the scratch folder when it is used
-    out = kept(out)
-    drop_scratch(spark, folder)
-    return out
-
-
-def _key_member(h: np.ndarray, g: np.ndarray, among: np.ndarray) -> np.ndarray:
-    """Which (h, g) are among the sorted keys; equal h with another g are looked at one by one."""
-    out = np.zeros(len(h), bool)
-    if len(among) and len(h):
-        hs = among["h"]
-        lo, hi = np.searchsorted(hs, h), np.searchsorted(hs, h, "right")
-        for k in range(int((hi - lo).max())):
-            at = np.flatnonzero(lo + k < hi)
-            out[at] |= among["g"][lo[at] + k] == g[at]
-    return out
+        anchors, alone = _answers(repeated, "<u8"), _answers(single, _KEY)
+        for part, b, t in _by_part(it):
+            at, h, g = finder.candidates(t, anchors(part))
+            at = at[~alone(part).has(h, g)]
+            gone = covered(at, at + finder.window, len(t.start))
+            lost = np.bincount(t.of(np.flatnonzero(gone)), minlength=b.num_rows)
+            stay = []
+            for i in range(b.num_rows):
+                ws = t.data[t.edge[i] : t.edge[i + 1]].tobytes().split()
+                stay.append(b" ".join([w for w, x in zip(ws, gone[t.first[i] : t.first[i + 1]].tolist(), strict=True) if not x] if lost[i] else ws))
+            cols = [b.column("doc_id"), pa.array(t.size, pa.int64()), pa.array(lost, pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in stay])]
+            yield pa.RecordBatch.from_arrays(cols + [pa.array(stay, pa.binary()).cast(pa.string())] * with_text, ["doc_id", "n_words", "n_removed", "kept_sha256", *["kept_text"] * with_text])
+
+    return copy.select("doc_id", "part", "text").mapInArrow(mark, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
