@@ -3,7 +3,7 @@
 Each row of a matrix is a match of the pattern as byte tokens. In each round every row merges its leftmost pair of least rank;
 pairs are looked up in an open-addressing hash table; rows that have no pair left are taken out and the matrix is compacted.
 Matches of over ``LONG`` bytes use a heap that makes the same merges in the same order, so that one long run of letters costs
-n log n. Distinct chunks of text (see chunks.py) are encoded once per worker.
+n log n. Distinct chunks of text (see chunks.py) are encoded once per worker. Decoding copies the bytes of all ids at once.
 
 Rows: a null text is empty; the ids of a row depend on its text alone.
 """
@@ -39,7 +39,9 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class Bpe:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.pattern = ranks, regex.compile(pattern)
-        self.bytes_of = {rank: token for token, rank in ranks.items()}
+        token = {rank: token for token, rank in ranks.items()}
+        size = np.array([len(token.get(rank, b"")) for rank in range(max(token) + 1)])
+        self.token_at, self.token_size, self.token_bytes = np.cumsum(size) - size, size, np.frombuffer(b"".join(token[rank] for rank in sorted(token)), np.uint8)
         self.first = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         self.pairs = {(a, b): rank for token, rank in ranks.items() for i in range(1, len(token)) if (a := ranks.get(token[:i])) is not None and (b := ranks.get(token[i:])) is not None}
         self._hash()
@@ -163,7 +165,15 @@ class Bpe:
         return [b"".join(map(ids.__getitem__, ms)) for ms in cut]
 
     def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, array("I", ids)))
+        return self.decode_all(np.frombuffer(ids, "<u4"))[0].tobytes()
+
+    def decode_all(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of all ids in a row, and how many bytes lie before each, with the end."""
+        size = self.token_size[ids]
+        end = np.append(0, np.cumsum(size))
+        place = np.repeat(self.token_at[ids] - end[:-1], size)
+        place += np.arange(len(place))
+        return self.token_bytes[place], end
 
 
 _loaded: dict[tuple[str, str], tuple[Bpe, Encoder]] = {}
@@ -173,23 +183,22 @@ def load(path: str, pattern: str) -> tuple[Bpe, Encoder]:
     """One per worker."""
     if (path, pattern) not in _loaded:
         bpe = Bpe(read_ranks(path), pattern)
-        _loaded[path, pattern] = bpe, Encoder(cut_attached, bpe.encode_chunks)
+        _loaded[path, pattern] = bpe, Encoder(cut_attached, False, bpe.encode_chunks)
     return _loaded[path, pattern]
 
 
 def _round_trip(path: str, pattern: str, full: bool) -> Callable:
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, encode = load(path, pattern)
-        for b in it:
-            if not b.num_rows:
-                continue
-            ids = encode([x or "" for x in b.column("text").to_pylist()])
-            back = map(bpe.decode, ids)
+        bpe, encoder = load(path, pattern)
+        for b, ids, first in encoder.texts(it):
+            back, at = bpe.decode_all(ids)
+            own = [ids[i:j] for i, j in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+            texts = [back[i:j] for i, j in zip(at[first[:-1]].tolist(), at[first[1:]].tolist(), strict=True)]
             if full:
-                cols = [pa.array([np.frombuffer(i, "<u4").astype(np.int32) for i in ids], pa.list_(pa.int32())), pa.array(list(back), pa.binary())]
+                cols = [pa.array([x.astype(np.int32) for x in own], pa.list_(pa.int32())), pa.array([x.tobytes() for x in texts], pa.binary())]
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), *cols], ["doc_id", "ids", "decoded"])
                 continue
-            cols = [pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array([hashlib.sha256(i).hexdigest() for i in ids]), pa.array([hashlib.sha256(d).hexdigest() for d in back])]
+            cols = [pa.array(np.diff(first), pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in own]), pa.array([hashlib.sha256(x).hexdigest() for x in texts])]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *cols], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return run

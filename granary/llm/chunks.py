@@ -1,9 +1,14 @@
 """Texts cut where a tokenizer cuts them anyway, so that each distinct chunk is encoded once per worker.
 
 Byte-level patterns take a space with the word that follows it and a lone line feed by itself, so a text may be cut before a
-single space and around a single line feed that stand between other characters. A text with two white-space characters in a row
-is cut only before single spaces between non-spaces. A tokenizer that drops white space may be cut at every space. The tests
-hold chunked ids against those of the whole text.
+single space and around a single line feed that stand between other characters. A text with two white-space characters in a row,
+or with other white space than these two, is cut only before single spaces between non-spaces. A tokenizer that drops white
+space may be cut at every space and line feed. Either kind of pattern also ends a match where letters, digits and punctuation
+meet, but for apostrophes; here that is used between ASCII and Latin-1 letters, ASCII digits and ASCII punctuation, which no
+normaliser changes. The tests hold chunked ids against those of the whole text.
+
+Chunks are ranges of bytes, found by numpy and told by 128 bits of hash (two chunks of a worker's cache meet with a chance far
+below that of a failed disk), so a chunk that was met before never becomes a Python object: its ids are copied from a pool.
 """
 
 from __future__ import annotations
@@ -11,66 +16,225 @@ from __future__ import annotations
 import os
 import re
 from array import array
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 
-MARK = "\x01"
+from .common import pieces, range_hashes, raw_texts
+
+#: Chunks in either half of a worker's cache, and ids in either half: bounds on memory, not on what is encoded.
+CACHE, POOL = 400_000, 4_000_000
 _RUNS = re.compile(r"\s\s")
 _SINGLE = re.compile(r"(?<=\S)(?= \S)")
-#: Chunks in either half of a worker's cache, and the longest that is kept: a bound on memory, not on what is encoded.
-CACHE, CACHED_CHARS = 300_000, 64
+_SPACE, _LINE, _QUOTE = 0x20, 0x0A, 0x27
 
 
-def cut_attached(text: str) -> list[str]:
-    """For patterns that attach a space to the next word."""
-    if MARK in text or _RUNS.search(text):
-        return _SINGLE.split(text)
-    return text.replace(" ", "\x01 ").replace("\n", "\x01\n\x01").split(MARK)
+def _classes() -> np.ndarray:
+    """1 letters, 2 digits, 3 punctuation but for apostrophes, 0 all else."""
+    out = np.zeros(256, np.uint8)
+    for b in range(0x21, 0x7F):
+        out[b] = 1 if chr(b).isalpha() else 2 if chr(b).isdigit() else 3 if b != _QUOTE else 0
+    return out
 
 
-def cut_dropped(text: str) -> list[str]:
-    """For tokenizers that drop white space and case.
+_CLASS = _classes()
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+#: Control characters but for the line feed, and the first bytes of all white space beyond ASCII.
+_OTHER = np.zeros(256, bool)
+_OTHER[[*range(0x0A), *range(0x0B, 0x20), 0x7F]] = True
 
-    A text of Latin-1 letters is lower-cased at once: there one letter becomes one letter, whatever stands beside it, so chunks
-    that differ in case alone are one.
-    """
-    try:
-        text.encode("latin-1")
-    except UnicodeEncodeError:
-        pass
-    else:
-        text = text.lower()
-    return text.replace("\n", " ").split(" ")
+
+def _odd_places(data: np.ndarray) -> np.ndarray:
+    """Where something stands that single spaces and line feeds between other characters are not; white space beyond ASCII
+    starts with C2 85, C2 A0, E1 9A, E2 80, E2 81 or E3 80."""
+    blank = (data == _SPACE) | (data == _LINE)
+    odd = _OTHER[data]
+    odd[1:] |= blank[1:] & blank[:-1]
+    a, b = data[:-1], data[1:]
+    odd[:-1] |= ((a == 0xC2) & ((b == 0x85) | (b == 0xA0))) | ((a == 0xE1) & (b == 0x9A)) | ((a == 0xE2) & ((b == 0x80) | (b == 0x81))) | ((a == 0xE3) & (b == 0x80))
+    return np.flatnonzero(odd)
+
+
+def _class_cuts(data: np.ndarray) -> np.ndarray:
+    """True before a byte that starts another class than the byte before it; letters of Latin-1 count with both their bytes."""
+    c = _CLASS[data]
+    latin = np.flatnonzero((data[:-1] == 0xC3) & (data[1:] != 0x97) & (data[1:] != 0xB7))
+    c[latin] = c[latin + 1] = 1
+    cut = np.zeros(len(data) + 1, bool)
+    cut[1:-1] = (c[1:] != c[:-1]) & (c[1:] > 0) & (c[:-1] > 0)
+    return cut
+
+
+def cut_attached(data: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of each chunk, for patterns that attach a space to the next word."""
+    cut = _class_cuts(data)
+    cut[:-1] |= (data == _SPACE) | (data == _LINE)
+    cut[1:] |= data == _LINE
+    cut[edge] = True
+    for i in np.unique(np.searchsorted(edge, _odd_places(data), "right") - 1).tolist():
+        a, b = int(edge[i]), int(edge[i + 1])
+        text = data[a:b].tobytes().decode()
+        cut[a + 1 : b] = False
+        if _RUNS.search(text):
+            sizes = [len(x.encode()) for x in _SINGLE.split(text)]
+            cut[a + np.cumsum(sizes)] = True
+        else:  # other white space, but none beside white space
+            own = data[a:b]
+            cut[a:b] |= (own == _SPACE) | (own == _LINE)
+            cut[a + 1 : b + 1] |= own == _LINE
+    at = np.flatnonzero(cut)
+    return at[:-1], at[1:]
+
+
+def cut_dropped(data: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For tokenizers that drop white space and case."""
+    blank = (data == _SPACE) | (data == _LINE)
+    cut = _class_cuts(data)
+    cut[:-1] |= blank
+    cut[1:] |= blank
+    cut[edge] = True
+    at = np.flatnonzero(cut)
+    start, end = at[:-1], at[1:]
+    own = ~blank[start]
+    return start[own], end[own]
+
+
+class Table:
+    """Ids of chunks by two hashes of their bytes, in an open-addressing table; ids lie in a row in a pool."""
+
+    def __init__(self) -> None:
+        self.slots = np.full(1 << (2 * CACHE - 1).bit_length(), -1, np.int32)
+        self.h = np.zeros((2, CACHE), np.uint64)
+        self.at, self.size = np.zeros(CACHE, np.int64), np.zeros(CACHE, np.int64)
+        self.pool = np.zeros(POOL, "<u4")
+        self.n, self.used = 0, 0
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The number of each chunk, -1 where it is not known."""
+        out = np.full(h.shape[1], -1, np.int64)
+        if not self.n:
+            return out
+        todo = np.arange(h.shape[1])
+        mask = np.uint64(len(self.slots) - 1)
+        slot = h[0] & mask
+        while len(todo):
+            got = self.slots[slot]
+            there = got >= 0
+            todo, slot, got = todo[there], slot[there], got[there]
+            same = (self.h[0, got] == h[0, todo]) & (self.h[1, got] == h[1, todo])
+            out[todo[same]] = got[same]
+            todo, slot = todo[~same], (slot[~same] + np.uint64(1)) & mask
+        return out
+
+    def put(self, h: np.ndarray, ids: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Take in chunks that are not known yet and distinct; their numbers."""
+        n, total = h.shape[1], len(ids)
+        while self.n + n > len(self.at):
+            self.h, self.at, self.size = np.concatenate([self.h, np.zeros_like(self.h)], 1), np.append(self.at, np.zeros_like(self.at)), np.append(self.size, np.zeros_like(self.size))
+        while self.used + total > len(self.pool):
+            self.pool = np.append(self.pool, np.zeros_like(self.pool))
+        number = np.arange(self.n, self.n + n)
+        self.h[:, number], self.size[number] = h, size
+        self.at[number] = self.used + np.cumsum(size) - size
+        self.pool[self.used : self.used + total] = ids
+        self.n, self.used = self.n + n, self.used + total
+        if 2 * self.n > len(self.slots):
+            self.slots = np.full(1 << (4 * self.n - 1).bit_length(), -1, np.int32)
+            self._place(np.arange(self.n))
+        else:
+            self._place(number)
+        return number
+
+    def _place(self, number: np.ndarray) -> None:
+        mask = np.uint64(len(self.slots) - 1)
+        slot = self.h[0, number] & mask
+        while len(number):
+            free = np.flatnonzero(self.slots[slot] < 0)
+            _, first = np.unique(slot[free], return_index=True)
+            won = free[first]
+            self.slots[slot[won]] = number[won]
+            rest = np.ones(len(number), bool)
+            rest[won] = False
+            number, slot = number[rest], (slot[rest] + np.uint64(1)) & mask
+
+    @property
+    def full(self) -> bool:
+        return self.n > CACHE or self.used > POOL
+
+    def ids(self, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of chunks in a row, and how many each has."""
+        size = self.size[number]
+        end = np.cumsum(size)
+        place = np.repeat(self.at[number] - (end - size), size)
+        place += np.arange(len(place))
+        return self.pool[place], size
 
 
 class Encoder:
-    """Ids of texts, as little-endian unsigned 32-bit integers in bytes, by way of a cache of chunks.
+    """Ids of texts by way of a cache of chunks.
 
     The cache has a young and an old half: when the young one is full it becomes the old one, and chunks that are met again move
     back, so common chunks stay however many rare ones go by.
     """
 
-    def __init__(self, cut: Callable[[str], list[str]], encode: Callable[[list[str]], Iterable[bytes]]):
-        self.cut, self.encode = cut, encode
-        self.known: dict[str, bytes] = {"": b""}
-        self.old: dict[str, bytes] = {}
+    def __init__(self, cut: Callable, fold: bool, encode: Callable[[list[str]], Iterable[bytes]]):
+        #: fold: whether ASCII letters count alike in either case.
+        self.cut, self.fold, self.encode = cut, fold, encode
+        self.young, self.old = Table(), Table()
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > CACHE:
-            self.known, self.old = {"": b""}, self.known
-        cut = [self.cut(t) for t in texts]
-        known, old = self.known, self.old
-        new = {c for cs in cut for c in cs if c not in known}
-        met = new & old.keys() if old else set()
-        known.update({c: old[c] for c in met})
-        if fresh := list(new - met):
-            known.update(zip(fresh, self.encode(fresh), strict=True))
-        out = [b"".join(map(known.__getitem__, cs)) for cs in cut]
-        for c in fresh:
-            if len(c) > CACHED_CHARS:
-                del known[c]
+        """The ids of each text, as little-endian unsigned 32-bit integers."""
+        ids, first = self.ids(*raw_texts(pa.array(texts, pa.string())))
+        return [ids[a:b].tobytes() for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+
+    def ids(self, data: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and where each text's start, with the end."""
+        if self.young.full:
+            self.young, self.old = Table(), self.young
+        start, end = self.cut(data, edge)
+        keyed = self._keyed(data, start, end)
+        h = np.stack([range_hashes(keyed, start, end, which) for which in (0, 1)])
+        number = self.young.find(h)
+        lost = np.flatnonzero(number < 0)
+        if len(lost):
+            _, first, each = np.unique(h[0, lost] ^ (h[1, lost] << np.uint64(1)), return_index=True, return_inverse=True)
+            one = lost[first]
+            took = np.full(len(one), -1)
+            known = self.old.find(h[:, one])
+            if len(met := np.flatnonzero(known >= 0)):
+                took[met] = self.young.put(h[:, one[met]], *self.old.ids(known[met]))
+            if len(new := np.flatnonzero(known < 0)):
+                got = list(self.encode([data[a:b].tobytes().decode() for a, b in zip(start[one[new]].tolist(), end[one[new]].tolist(), strict=True)]))
+                size = np.fromiter(map(len, got), np.int64, len(got)) // 4
+                took[new] = self.young.put(h[:, one[new]], np.frombuffer(b"".join(got), "<u4"), size)
+            number[lost] = took[each]
+        ids, size = self.young.ids(number)
+        return ids, np.append(0, np.cumsum(size))[np.searchsorted(start, edge)]
+
+    def texts(self, it: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+        """Runs of rows with the ids of their column ``text``, and where each row's start, with the end."""
+        for b, data, edge in pieces(it):
+            yield b, *self.ids(data, edge)
+
+    def _keyed(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The bytes that tell chunks apart. Case is folded only where all letters are of Latin-1: beyond it some letters have a
+        composed form in one case only, so what a normaliser makes of a chunk can depend on its case."""
+        if not self.fold:
+            return data
+        out = _LOWER[data]
+        beyond = np.append(0, np.cumsum(data >= 0xC4))
+        for i in np.flatnonzero(beyond[end] > beyond[start]).tolist():
+            out[start[i] : end[i]] = data[start[i] : end[i]]
         return out
 
 
+def with_end(ids: np.ndarray, first: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """An id more at the end of each text."""
+    return np.insert(ids, first[1:], end), first + np.arange(len(first))
+
+
 def _byte_letters() -> dict[int, str]:
     """The letter that byte-level vocabularies write for each byte: printable ones as they are, others from U+0100 on."""
     own = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
@@ -80,7 +244,7 @@ def _byte_letters() -> dict[int, str]:
 
 _LETTERS = _byte_letters()
 #: Words of letters below this are one match of the patterns in every version of Unicode's tables.
-_BEYOND = "\u0250"
+_BEYOND = "ɐ"
 
 
 def _simple(chunk: str) -> bool:
@@ -95,8 +259,7 @@ _encoders: dict[tuple, Encoder] = {}
 def library_encoder(path: str, drops_space: bool) -> Encoder:
     """By the tokenizers library; one per worker and file.
 
-    A full stop or comma after a letter or digit is a match of its own, so it is encoded apart from its word. Single words go
-    straight to the library's model, after its normaliser; all else goes through the library's whole chain.
+    Single words go straight to the library's model, after its normaliser; all else goes through the library's whole chain.
     """
     if (path, drops_space) not in _encoders:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -119,15 +282,13 @@ def library_encoder(path: str, drops_space: bool) -> Encoder:
             return array("I", [x.id for x in tokenize(word)]).tobytes()
 
         def encode(chunks: list[str]) -> Iterable[bytes]:
-            cut = [(c[:-1], c[-1]) if c[-1] in ".," and c[-2:-1].isalnum() else (c, "") for c in chunks]
-            known, ids = encoder.known, {}
-            new = [c for c in {c for pair in cut for c in pair} if c not in known]
-            ids |= {c: x for c in new if (x := one(c)) is not None}
-            rest = [c for c in new if c not in ids]
+            out = [one(c) for c in chunks]
+            rest = [i for i, x in enumerate(out) if x is None]
             for i in range(0, len(rest), 4096):
-                ids |= zip(rest[i : i + 4096], (array("I", e.ids).tobytes() for e in t.encode_batch_fast(rest[i : i + 4096], add_special_tokens=False)), strict=True)
-            of = lambda c: ids[c] if c in ids else known[c]
-            return [of(a) + of(b) for a, b in cut]
+                own = rest[i : i + 4096]
+                for k, e in zip(own, t.encode_batch_fast([chunks[k] for k in own], add_special_tokens=False), strict=True):
+                    out[k] = array("I", e.ids).tobytes()
+            return out
 
-        encoder = _encoders[path, drops_space] = Encoder(cut_dropped if drops_space else cut_attached, encode)
+        _encoders[path, drops_space] = Encoder(cut_dropped if drops_space else cut_attached, drops_space, encode)
     return _encoders[path, drops_space]

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .chunks import library_encoder
+from .chunks import library_encoder, with_end
 from .common import kept, table, text_batches
 
 CAPACITY, END_ID = 2048, 0
@@ -155,26 +155,24 @@ def slots(runs: list[Run]) -> list[tuple[int, int, int, int, int, int]]:
 
 
 def _pieces(tokenizer: str, capacity: int, with_ids: bool) -> Callable:
-    end = int(END_ID).to_bytes(4, "little")
-
     def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part = library_encoder(tokenizer, True), TaskContext.get().partitionId()
+        encoder, part = library_encoder(tokenizer, True), TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
-        for b in it:
-            if not b.num_rows:
-                continue
+        for b, ids, first in encoder.texts(it):
             rows, own = [], []
-            for doc_id, ids in zip(b.column("doc_id").to_pylist(), encode([x or "" for x in b.column("text").to_pylist()]), strict=True):
-                ids += end
-                for k, i in enumerate(range(0, len(ids), 4 * capacity)):
-                    own.append(ids[i : i + 4 * capacity])
-                    n = len(own[-1]) // 4
-                    rows.append((doc_id, k, i // 4, n, zlib.crc32(own[-1]), part, int(seen[n])))
+            ids, first = with_end(ids, first, END_ID)
+            for doc_id, s, e in zip(b.column("doc_id").to_pylist(), first[:-1].tolist(), first[1:].tolist(), strict=True):
+                for k, i in enumerate(range(s, e, capacity)):
+                    x = ids[i : min(i + capacity, e)]
+                    n = len(x)
+                    if with_ids:
+                        own.append(x.astype(np.int32))
+                    rows.append((doc_id, k, i - s, n, zlib.crc32(x), part, int(seen[n])))
                     seen[n] += 1
             cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True)]
             names = ["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth"]
             if with_ids:
-                cols.append(pa.array([np.frombuffer(x, "<u4").astype(np.int32) for x in own], pa.list_(pa.int32())))
+                cols.append(pa.array(own, pa.list_(pa.int32())))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(cols, names)
 

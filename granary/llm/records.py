@@ -28,13 +28,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .chunks import library_encoder
+from .chunks import library_encoder, with_end
 from .common import drop_scratch, kept, scratch, table, text_batches
 
 END_ID = 0
 _HEAD, _LONG, _INT, _ENTRY = struct.Struct("<qBBI"), struct.Struct("<Q"), struct.Struct("<I"), struct.Struct("<QQ")
 #: Bytes that a writer holds back and a reader takes at once.
 BLOCK = 4 << 20
+#: Rows of a batch that a reader gives.
+ROWS = 8192
 
 
 def masked(data: bytes) -> int:
@@ -81,19 +83,18 @@ def read_at(path: str, which: list[int]) -> list[tuple[int | None, np.ndarray]]:
 
 
 def _write(folder: str, tokenizer: str, it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    encode, end = library_encoder(tokenizer, False), _INT.pack(END_ID)
+    encoder = library_encoder(tokenizer, False)
     shard, n, tokens, at = TaskContext.get().partitionId(), 0, 0, 0
     path = f"{folder}/shard-{shard:06d}-{uuid.uuid4().hex}.rec"
     system, name = fs.FileSystem.from_uri(path)
     system.create_dir(name.rpartition("/")[0], recursive=True)
     with system.open_output_stream(name, buffer_size=BLOCK) as rec, system.open_output_stream(name.removesuffix(".rec") + ".idx", buffer_size=BLOCK) as idx:
-        for b in it:
-            texts = [x or "" for x in b.column("text").to_pylist()]
-            for doc_id, ids in zip(b.column("doc_id").to_pylist(), encode(texts), strict=True):
-                got = np.frombuffer(ids + end, "<u4")
-                rec.write(data := frame(payload(doc_id, got)))
-                idx.write(_ENTRY.pack(at, len(got)))
-                at, n, tokens = at + len(data), n + 1, tokens + len(got)
+        for b, ids, first in encoder.texts(it):
+            ids, first = with_end(ids, first, END_ID)
+            for doc_id, i, j in zip(b.column("doc_id").to_pylist(), first[:-1].tolist(), first[1:].tolist(), strict=True):
+                rec.write(data := frame(payload(doc_id, ids[i:j])))
+                idx.write(_ENTRY.pack(at, j - i))
+                at, n, tokens = at + len(data), n + 1, tokens + j - i
     if n:
         yield pa.RecordBatch.from_pylist([{"shard": shard, "path": path, "records": n, "tokens": tokens}])
 
@@ -105,6 +106,10 @@ def write_token_records(docs: DataFrame, folder: str, tokenizer: str) -> DataFra
     return kept(ordered.mapInArrow(partial(_write, folder, tokenizer), "shard long, path string, records long, tokens long"))
 
 
+def _rows(out: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["doc_id", "start", "n_tokens", "ids_crc32"])
+
+
 def _read(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in it:
         for row in b.to_pylist():
@@ -112,28 +117,33 @@ def _read(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             start, n, out = row["start"], 0, []
             with system.open_input_stream(name, buffer_size=BLOCK) as rec:
                 for doc_id, ids in read_records(rec):
-                    out.append((doc_id, start, len(ids), zlib.crc32(ids.tobytes())))
+                    out.append((doc_id, start, len(ids), zlib.crc32(ids)))
                     start, n = start + len(ids), n + 1
+                    if len(out) == ROWS:
+                        yield _rows(out)
+                        out = []
             if n != row["records"] or start - row["start"] != row["tokens"]:
                 raise ValueError(f"{row['path']} does not hold what the manifest says")
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["doc_id", "start", "n_tokens", "ids_crc32"])
+            if out:
+                yield _rows(out)
 
 
 def read_token_records(manifest: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every record; ``start`` counts the ids of all records before it.
 
-    The running sum over shards has a row for each shard, and each shard is read by a task of its own.
+    The running sum over shards has a row for each shard, and each shard is read by a task of its own, in batches of ROWS rows.
     """
     before = F.coalesce(F.sum("tokens").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = manifest.withColumn("start", before.cast("long"))
-    return placed.repartition(max(1, manifest.count()), "shard").mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    shards = manifest.agg(F.max("shard") + 1).first()[0] or 1
+    return placed.repartitionById(shards, F.col("shard").cast("int")).mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op4_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     folder = scratch(spark, "records")
-    manifest = write_token_records(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"))
-    out = kept(read_token_records(manifest))
-    drop_scratch(spark, folder)
-    return out
+    try:
+        return kept(read_token_records(write_token_records(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"))))
+    finally:
+        drop_scratch(spark, folder)

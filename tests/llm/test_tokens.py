@@ -31,6 +31,38 @@ def texts() -> list[str]:
     return [t or "" for t in TEXTS] + ODD + ["".join(r.choice(" \n\t\x1c\x85\xa0abC'sé1.,|　") for _ in range(60)) for _ in range(500)]
 
 
+def fuzz(n: int) -> list[str]:
+    """Texts of letters whose lower case is longer or that compose in one case only, marks, white space, digits and punctuation."""
+    r = random.Random(9)
+    letters = ["İ", "I", "i", "\u0307", "H\u0331", "h\u0331", "T\u0308", "J\u030c", "w\u030a", "Σ", "ς", "ß", "ẞ", "é", "É", "e\u0301", "ª", "×", "÷", "ñ", "Ł", "ж", "日", "ﬁ", "Ǆ", "a", "B", "cd", "The", "ing", "S", "ll", "re", "t"]
+    other = ["'", "'s", "'S", "'ll", ".", ",", "..", "$$$", "%%%", "-", "(", ")", "1", "23", "4", "½", "²", " ", " ", " ", "  ", "\n", "\n\n", "\t", "\u00a0", "\u2003", "\u0085", "\x1c", "\u200b", "\u2028"]
+    return ["".join(r.choice(letters if r.random() < 0.65 else other) for _ in range(r.randint(1, 40))) for _ in range(n)]
+
+
+def test_seeded_fuzz_against_the_libraries():
+    """20,000 texts by all three encoders, part of them in a second round, when their chunks are known."""
+    texts = fuzz(20_000)
+    for name, drops in (("byte_bpe_50k.json", False), ("word_bpe_49k.json", True)):
+        encode, want = chunks.library_encoder(P.path(name), drops), [e.ids for e in library(name).encode_batch(texts, add_special_tokens=False)]
+        assert [t for t, g, w in zip(texts, encode(texts), want, strict=True) if np.frombuffer(g, "<u4").tolist() != w] == []
+        assert [t for t, g, w in zip(texts[:4000], encode(texts[:4000]), want, strict=False) if np.frombuffer(g, "<u4").tolist() != w] == []
+    b, encode = bpe.load(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=b.ranks, special_tokens={})
+    assert [t for t, g in zip(texts, encode(texts), strict=True) if np.frombuffer(g, "<u4").tolist() != enc.encode_ordinary(t)] == []
+
+
+def test_cache_that_overflows_gives_the_same_ids(texts, monkeypatch):
+    """Chunks go from half to half and are encoded again."""
+    monkeypatch.setattr(chunks, "CACHE", 50)
+    monkeypatch.setattr(chunks, "POOL", 200)
+    whole = chunks.library_encoder(P.path("byte_bpe_50k.json"), False)
+    small = chunks.Encoder(whole.cut, whole.fold, whole.encode)
+    r = random.Random(3)
+    for _ in range(60):
+        own = r.sample(texts, 12)
+        assert small(own) == whole(own)
+
+
 def library(name: str) -> Tokenizer:
     t = Tokenizer.from_file(P.path(name))
     t.encode_special_tokens = True
