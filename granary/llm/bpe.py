@@ -20,10 +20,9 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from .chunks import Encoder, cut_attached
-from .common import table, text_batches
+from .common import id_and_text, table, text_batches
 
 NONE = np.int32(2**31 - 1)
 #: Rows of a matrix and bytes of a match that goes into one.
@@ -208,7 +207,7 @@ def encode_decode(docs: DataFrame, ranks: str, pattern: str, digests: bool = Fal
     """(doc_id, ids, decoded), or (doc_id, n_tokens, ids_sha256, decoded_sha256) with ``digests``."""
     text_batches(docs.sparkSession)
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "doc_id long, ids array<int>, decoded binary"
-    return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(_round_trip(ranks, pattern, not digests), schema)
+    return id_and_text(docs).mapInArrow(_round_trip(ranks, pattern, not digests), schema)
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,7 +35,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset and Spark is local."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not found:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="granary-")
     if not spark.sparkContext.getCheckpointDir():
@@ -66,6 +67,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def numbered(docs: DataFrame, *names: str) -> tuple[DataFrame, list[str]]:
+    """``docs`` with its columns named by their place, and what the given ones are called there.
+
+    Columns are taken by their exact names, so others may have any name, one that differs in case alone too.
+    """
+    missing = [n for n in names if n not in docs.columns]
+    if missing:
+        raise ValueError(f"no column {', '.join(missing)} among {', '.join(docs.columns)}")
+    return docs.toDF(*(f"c{i}" for i in range(len(docs.columns)))), [f"c{docs.columns.index(n)}" for n in names]
+
+
+def id_and_text(docs: DataFrame) -> DataFrame:
+    """(doc_id long, text string), whatever other columns there are."""
+    own, (doc_id, text) = numbered(docs, "doc_id", "text")
+    return own.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+
+
 def text_batches(spark: SparkSession) -> None:
     """Keep Arrow batches of whole texts small; the setting is read when a plan is made."""
     ship(spark)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import kept, table
+from .common import id_and_text, kept, numbered, table
 
 COUNTERS = 256
 #: Summaries that are merged in one task.
@@ -64,7 +64,7 @@ def heavy_candidates(digests: DataFrame) -> DataFrame:
 def digests(docs: DataFrame) -> DataFrame:
     """(row, doc_id, digest, check, chars), checkpointed; ``row`` tells repeated rows apart."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.sha2(text, 256)).alias("digest"), F.xxhash64(text).alias("check"), F.octet_length(text).alias("chars"))
+    d = id_and_text(docs).select("doc_id", F.unhex(F.sha2(text, 256)).alias("digest"), F.xxhash64(text).alias("check"), F.octet_length(text).alias("chars"))
     return kept(d.select(F.monotonically_increasing_id().alias("row"), "*"))
 
 
@@ -89,22 +89,24 @@ def duplicates(docs: DataFrame) -> DataFrame:
 
 
 def drop_duplicates(docs: DataFrame) -> DataFrame:
-    """``docs``, one row of each group of equal texts; the columns stay as they are.
+    """``docs``, one row of each group of equal texts, that of the largest doc_id; the columns stay as they are.
 
-    Only ids and digests decide; the texts then meet the winners in one join on the id and the digest. Groups whose winner
-    repeats as a whole row are rare and are cut to one row apart from the others.
+    Only ids and digests decide; rows that go are told by id and digest in an anti-join, which adaptive execution broadcasts
+    where they are few. A pair that stays but occurs in several rows is rare, and is cut to one row apart from the others.
+    Nulls, empty tables and repeated rows are as in ``duplicates``; other columns may have any names and are only carried.
     """
-    names = docs.columns
-    stay = duplicates(docs).where("kept").select(F.col("doc_id").alias("_stay_id"), F.col("digest").alias("_stay_digest"))
-    text = F.coalesce(F.col("text"), F.lit(""))
-    marked = docs.withColumn("_digest", F.unhex(F.sha2(text, 256)))
-    found = marked.join(stay, F.col("doc_id").cast("long").eqNullSafe(F.col("_stay_id")) & (F.col("_digest") == F.col("_stay_digest")))
-    repeats = marked.groupBy("doc_id", "_digest").agg(F.count("*").alias("_n")).where("_n > 1")
-    if repeats.isEmpty():
-        return found.select(*names)
-    found = found.join(repeats.select(F.col("doc_id").alias("_r_id"), F.col("_digest").alias("_r_digest")), F.col("doc_id").eqNullSafe(F.col("_r_id")) & (F.col("_digest") == F.col("_r_digest")), "left")
-    once = found.where("_r_digest IS NULL").select(*names)
-    return once.unionByName(found.where("_r_digest IS NOT NULL").dropDuplicates(["doc_id", "_digest"]).select(*names))
+    plain, (doc_id, text) = numbered(docs, "doc_id", "text")
+    pairs = duplicates(docs).groupBy("doc_id", "digest").agg(F.max("kept").alias("stays"), F.count("*").alias("n"))
+    pairs = kept(pairs.where("NOT stays OR n > 1"))
+    digest = F.unhex(F.sha2(F.coalesce(F.col(text).cast("string"), F.lit("")), 256))
+    own = plain.select("*", F.col(doc_id).cast("long").alias("doc_id"), digest.alias("digest"))
+    other = pairs.select(F.col("doc_id").alias("other_id"), F.col("digest").alias("other_digest"), "stays")
+    same = F.col("doc_id").eqNullSafe(F.col("other_id")) & (F.col("digest") == F.col("other_digest"))
+    if pairs.where("stays").isEmpty():
+        return own.join(other, same, "left_anti").select(*plain.columns).toDF(*docs.columns)
+    once = own.join(other, same, "left_anti")
+    one = own.join(other.where("stays"), same, "left_semi").dropDuplicates(["doc_id", "digest"])
+    return once.unionByName(one).select(*plain.columns).toDF(*docs.columns)
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

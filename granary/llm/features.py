@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SEGMENT, Memo, batches, held_out, kept, range_hashes, raw_texts, running, segments, word_ranges
+from .common import SEGMENT, Memo, batches, held_out, id_and_text, kept, range_hashes, raw_texts, running, segments, word_ranges
 
 DIM = 1 << 18
 #: Feature ids of a sample that reach the driver at most.
@@ -137,7 +137,7 @@ def bounded(rows: DataFrame, n: int) -> DataFrame:
 
 def sample_texts(docs: DataFrame, sample: DataFrame) -> DataFrame:
     """The rows of ``sample`` (bounded, so it is broadcast) with their text; of several texts of an id, the one with the least hash."""
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    own = id_and_text(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     one = own.join(F.broadcast(sample.select("doc_id").distinct()), "doc_id").groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("least"))
     return one.select("doc_id", F.col("least.text").alias("text")).join(F.broadcast(sample), "doc_id")
 
@@ -199,7 +199,7 @@ def score_rows(docs: DataFrame, scorer: Callable[[pa.Array], np.ndarray], thresh
             if b.num_rows:
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(scorer(b.column("text")), pa.float64())], ["doc_id", "score"])
 
-    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
+    scored = id_and_text(docs).mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", predicted(F.col("score"), threshold))
 
 

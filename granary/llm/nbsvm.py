@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_batches, utf8
+from .common import numbered, table, text_batches, utf8
 from .features import DIM, bounded, quality_features, sample_features, score_rows, training_labels
 
 #: Labelled rows that the classifier learns from at most.
@@ -132,14 +132,19 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) ->
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that the classifier does not reject, with their columns, in one pass over the texts."""
+    """The rows of ``docs`` that the classifier does not reject, with their columns, in one pass over the texts.
+
+    A null text counts as empty and stays null; rows that repeat share their fate, and so do equal texts; an empty table stays
+    empty; rows whose score is the threshold stay; other columns may have any names and are only carried.
+    """
     score = scorer(train(docs, labels))
 
     @F.pandas_udf("double")
     def scored(texts: pd.Series) -> pd.Series:
         return pd.Series(score(pa.array(texts, pa.string())))
 
-    return docs.where(scored(F.coalesce(F.col("text").cast("string"), F.lit(""))) >= threshold)
+    plain, (text,) = numbered(docs, "text")
+    return plain.where(scored(F.coalesce(F.col(text).cast("string"), F.lit(""))) >= threshold).toDF(*docs.columns)
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, kept, text_batches
+from .common import batches, id_and_text, kept, text_batches
 from .components import connected_components
 
 SHINGLE, SIMILARITY, SEED = 5, 0.8, 42
@@ -129,15 +129,15 @@ def _verified(similarity: float) -> Callable:
     return run
 
 
-def text_digest(docs: DataFrame) -> Column:
+def text_digest(text: Column) -> Column:
     """Tells the texts of one doc_id apart."""
-    return F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
 
 
 def similar(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, digest, component) of each row whose doc_id is not null; rows of one component are linked by similar texts."""
     text_batches(docs.sparkSession)
-    own = docs.where(docs["doc_id"].isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), text_digest(docs).alias("digest"), F.col("text"))
+    own = id_and_text(docs).where("doc_id IS NOT NULL").select("doc_id", text_digest(F.col("text")).alias("digest"), "text")
     rows = kept(own.mapInArrow(_sketched(shingle), "doc_id long, digest long, key long, bands array<long>"))
     index = rows.select("key", F.explode("bands").alias("band"))
     lists = index.groupBy("band").agg(F.min("key").alias("hub"), F.max("key").alias("top")).where("hub < top").select("band", "hub")

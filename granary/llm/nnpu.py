@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, kept, table, text_batches
+from .common import held_out, id_and_text, kept, table, text_batches
 from .features import DIM, EVEN, ONE, bounded, rate_sums, rates, sample_texts, score_rows, text_words, training_labels
 
 #: Toxic and unlabelled texts at most.
@@ -147,8 +147,8 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", positives:
     known = training_labels(labels, column)
     n, toxic = known.agg(F.count("*"), F.sum((F.col("label") == 1).cast("int"))).first()
     prior = min(max((toxic or 0) / n if n else 0.0, 1e-3), 0.9)
-    free = docs.where(~held_out(F.col("doc_id").cast("long")))
-    ids = free.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    free = id_and_text(docs).where(~held_out(F.col("doc_id")))
+    ids = free.select("doc_id").distinct()
     both = bounded(known.where("label = 1"), positives).union(bounded(ids.select("doc_id", F.lit(0).alias("label")), unlabelled))
     # A toxic text that is also drawn as unlabelled serves as both.
     sides = both.groupBy("doc_id").agg(F.max(F.col("label") == 1).alias("toxic"), F.max(F.col("label") == 0).alias("drawn"))

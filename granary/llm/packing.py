@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .chunks import library_encoder, with_end
-from .common import kept, table, text_batches
+from .common import id_and_text, kept, table, text_batches
 
 CAPACITY, END_ID = 2048, 0
 
@@ -184,7 +184,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids: bo
     spark = docs.sparkSession
     text_batches(spark)
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long" + ", ids array<int>" * with_ids
-    pieces = kept(docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(_pieces(tokenizer, capacity, with_ids), schema))
+    pieces = kept(id_and_text(docs).mapInArrow(_pieces(tokenizer, capacity, with_ids), schema))
     by_part = kept(pieces.groupBy("part", "length").agg(F.count("*").alias("n")))
     lengths = {r["length"]: r["n"] for r in by_part.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most ``capacity`` rows
     runs = spark.createDataFrame(slots(plan(lengths, capacity)) or [(0, 0, 0, 0, 1, 0)], "r_length long, first long, after long, sequence long, each long, at long")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_batches
+from .common import id_and_text, numbered, table, text_batches
 
 KINDS = ("email", "ip", "card", "phone")
 #: The patterns of the base spans; possessive runs and look-behinds only keep long runs of digits from being tried again.
@@ -393,11 +393,12 @@ def personal_data(docs: DataFrame) -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans): counts are of base spans, ``spans`` has all."""
     text_batches(docs.sparkSession)
     schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_find(train_crf(TABLE.split("\n"))), schema)
+    return id_and_text(docs).mapInArrow(_find(train_crf(TABLE.split("\n"))), schema)
 
 
 def redact_documents(docs: DataFrame) -> DataFrame:
-    """``docs`` with each span of a text replaced by its kind; the other columns stay. A null text stays null."""
+    """``docs`` with each span of a text replaced by its kind; the other columns, of any names, stay. A null text stays null, an
+    empty one empty; repeated rows are judged alike."""
     text_batches(docs.sparkSession)
     crf = train_crf(TABLE.split("\n"))
 
@@ -408,7 +409,8 @@ def redact_documents(docs: DataFrame) -> DataFrame:
         more = added_spans(own, base, crf)
         return pd.Series([None if t is None else redact(t, x + y) if x or y else t for t, x, y in zip(texts, base, more, strict=True)], dtype=object)
 
-    return docs.withColumn("text", clean(F.col("text").cast("string")))
+    plain, (text,) = numbered(docs, "text")
+    return plain.withColumn(text, clean(F.col(text).cast("string"))).toDF(*docs.columns)
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

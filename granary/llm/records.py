@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .chunks import library_encoder, with_end
-from .common import drop_scratch, kept, scratch, table, text_batches
+from .common import drop_scratch, id_and_text, kept, scratch, table, text_batches
 
 END_ID = 0
 _HEAD, _LONG, _INT, _ENTRY = struct.Struct("<qBBI"), struct.Struct("<Q"), struct.Struct("<I"), struct.Struct("<QQ")
@@ -102,7 +102,7 @@ def _write(folder: str, tokenizer: str, it: Iterator[pa.RecordBatch]) -> Iterato
 def write_token_records(docs: DataFrame, folder: str, tokenizer: str) -> DataFrame:
     """Write ``docs`` (doc_id, text) and return the manifest (shard, path, records, tokens), which names what was committed."""
     text_batches(docs.sparkSession)
-    ordered = docs.select(F.col("doc_id").cast("long"), F.col("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = id_and_text(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     return kept(ordered.mapInArrow(partial(_write, folder, tokenizer), "shard long, path string, records long, tokens long"))
 
 

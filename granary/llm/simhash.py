@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import near
-from .common import Grouped, batches, kept, table, text_batches
+from .common import Grouped, batches, id_and_text, kept, numbered, table, text_batches
 from .components import connected_components
 
 SHINGLE, SEED, MAX_BITS = 4, 42, 4
@@ -75,7 +75,7 @@ def _fingerprints(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fp): the fingerprint as a signed long."""
     text_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(_fingerprints, "doc_id long, fp long")
+    return id_and_text(docs).mapInArrow(_fingerprints, "doc_id long, fp long")
 
 
 def shared_bytes(x: np.ndarray) -> np.ndarray:
@@ -170,20 +170,19 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = near.SHINGLE, similarit
     similarity of about 0.96. Rows go by id and text, so a row of another text stays where its id occurs again. Rows that repeat
     both are rare and are cut to one apart from the others.
     """
-    names = docs.columns
+    plain, (doc_id, text) = numbered(docs, "doc_id", "text")
     rows = kept(near.similar(docs, shingle, similarity))
     own = F.struct("doc_id", "digest")
     first = rows.groupBy("component").agg(F.min(own).alias("first"))
-    pair = lambda df: df.select(F.col("doc_id").alias("_near_id"), F.col("digest").alias("_near_digest"))
-    losers = pair(rows.join(first, "component").where(own != F.col("first"))).distinct()
-    marked = docs.withColumn("_text_digest", near.text_digest(docs))
-    same = (F.col("doc_id").cast("long") == F.col("_near_id")) & (F.col("_text_digest") == F.col("_near_digest"))
-    found = marked.join(losers, same, "left_anti")
-    repeats = pair(rows.groupBy("doc_id", "digest").agg(F.count("*").alias("n")).where("n > 1"))
-    if repeats.isEmpty():
-        return found.select(*names)
-    one = found.join(repeats, same, "left_semi").dropDuplicates(["doc_id", "_text_digest"])
-    return found.join(repeats, same, "left_anti").unionByName(one).select(*names)
+    # Most rows are their component alone; the pairs of the others are few beside the texts.
+    counts = rows.join(first, "component").groupBy("doc_id", "digest").agg(F.max(own == F.col("first")).alias("stays"), F.count("*").alias("n"))
+    pairs = kept(counts.where("NOT stays OR n > 1").select(F.col("doc_id").alias("other_id"), F.col("digest").alias("other_digest"), "stays"))
+    marked = plain.select("*", F.col(doc_id).cast("long").alias("doc_id"), near.text_digest(F.col(text)).alias("digest"))
+    same = (F.col("doc_id") == F.col("other_id")) & (F.col("digest") == F.col("other_digest"))
+    found = marked.join(pairs, same, "left_anti")
+    if not pairs.where("stays").isEmpty():
+        found = found.unionByName(marked.join(pairs.where("stays"), same, "left_semi").dropDuplicates(["doc_id", "digest"]))
+    return found.select(*plain.columns).toDF(*docs.columns)
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,7 +33,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SEGMENT, drop_scratch, kept, mix, pieces, powers, range_hashes, scratch, segments, table, text_batches, word_ranges
+from .common import SEGMENT, drop_scratch, id_and_text, kept, mix, pieces, powers, range_hashes, scratch, segments, table, text_batches, word_ranges
 
 WINDOW = 35
 #: Perfect difference sets by their period.
@@ -279,7 +279,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = Fals
 def _without_repeats(docs: DataFrame, finder: Finder, with_text: bool, folder: str) -> DataFrame:
     spark = docs.sparkSession
     # Rows are written with the number of their part, so that later passes find the same parts however files are read.
-    copy = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.octet_length("text").cast("long").alias("size"), F.spark_partition_id().alias("part"))
+    copy = id_and_text(docs).select("doc_id", "text", F.octet_length("text").cast("long").alias("size"), F.spark_partition_id().alias("part"))
     copy.write.option("compression", "zstd").parquet(f"{folder}/docs")
     copy = spark.read.schema("doc_id long, text string, size long, part int").parquet(f"{folder}/docs")
     size, parts = copy.agg(F.sum("size"), F.max("part") + 1).first()

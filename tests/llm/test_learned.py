@@ -180,6 +180,28 @@ def test_search_of_odd_vectors(spark, scale, monkeypatch):
     assert topk.top_k(df.where("false"), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def smallest_of_similar(texts: dict[int, str | None], n: int = 5, least: float = 0.8) -> set[int]:
+    """The smallest id of each component of texts whose sets of n words, of all pairs compared, have this Jaccard similarity."""
+
+    def shingles(t: str | None) -> frozenset:
+        ws = (t or "").encode().lower().split()
+        return frozenset(tuple(ws[i : i + n]) for i in range(len(ws) - n + 1)) if len(ws) > n else frozenset([tuple(ws)])
+
+    sets, root = {i: shingles(t) for i, t in texts.items()}, {i: i for i in texts}
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a in sorted(texts):
+        for b in sorted(texts):
+            if a < b and (c := len(sets[a] & sets[b])) >= least * (len(sets[a]) + len(sets[b]) - c):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return {find(i) for i in texts}
+
+
 def test_pipeline_stages(spark, sf_dir):
     """Each stage on all that the one before it kept; the decisions are those of the operators."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -196,7 +218,7 @@ def test_pipeline_stages(spark, sf_dir):
         last[t or ""] = max(i, last.get(t or "", i))
     assert once.columns == docs.columns and set(text(once)) == set(last.values())
     near = step["near_dedup"](spark, once, sf_dir).cache()
-    left = {r["component_id"] for r in simhash.near_duplicates(once).collect()}
+    left = smallest_of_similar(text(once))
     assert near.columns == docs.columns and set(text(near)) == left
     clean = step["personal_data"](spark, near, sf_dir).cache()
     assert clean.columns == docs.columns and set(text(clean)) == left and not any(pii.base_spans(t or "") for t in text(clean).values())
@@ -323,3 +345,60 @@ def test_hinge_descent_reaches_the_least_loss():
         v -= (v - ((box * sign * (sign * (x @ v) < 1)) @ x)) / (t + 10)
         best = min(best, loss(v))
     assert loss(np.append(w[:12], b)) <= best * 1.001 + 1e-6
+
+
+CLASHES = ["TEXT", "Doc_Id", "digest", "_digest", "other_id", "_stay_id", "c0", "part", "component", "stays", "n", "fp"]
+
+
+def clashing(docs):
+    """The odd rows with columns whose names the operators might use themselves."""
+    return docs.select("doc_id", "text", *[F.lit(f"own {c}").alias(f"x{i}") for i, c in enumerate(CLASHES)]).toDF("doc_id", "text", *CLASHES)
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stages_take_odd_rows_no_rows_and_clashing_names(spark, sf_dir, name):
+    step = dict(corpus_pipeline.STAGES)[name]
+    plain, clash = documents(spark).select("doc_id", "text"), clashing(documents(spark))
+    key = lambda df: Counter((r[0], r[1]) for r in df.collect())
+    got = step(spark, clash, sf_dir)
+    assert key(got) == key(step(spark, plain, sf_dir))
+    assert step(spark, clash.where("n = 'none'"), sf_dir).count() == 0
+    if name != "packing":
+        assert got.columns == clash.columns
+        assert all(list(r)[2:] == [f"own {c}" for c in CLASHES] for r in got.collect())
+        assert step(spark, nothing(spark), sf_dir).columns == nothing(spark).columns
+    with pytest.raises(ValueError, match="no column text"):
+        step(spark, plain.drop("text"), sf_dir)
+
+
+@pytest.mark.parametrize("of", [lambda d: exact.duplicates(d), lambda d: simhash.near_duplicates(d), lambda d: pii.personal_data(d)])
+def test_operators_take_clashing_names(spark, of):
+    plain, clash = documents(spark).select("doc_id", "text").coalesce(1), clashing(documents(spark)).coalesce(1)
+    assert sorted(map(str, of(clash).collect())) == sorted(map(str, of(plain).collect()))
+
+
+def test_exact_stage_keeps_what_brute_force_keeps(spark):
+    rows = [(r["doc_id"], r["text"] or "") for r in documents(spark).collect()]
+    best: dict = {}
+    for i, t in rows:
+        best[t] = max(best.get(t, i), i, key=lambda x: -1 if x is None else x)
+    got = Counter((r["doc_id"], r["text"] or "") for r in exact.drop_duplicates(documents(spark)).collect())
+    assert got == Counter((i, t) for t, i in best.items())
+
+
+@pytest.mark.parametrize("rows", ["odd", "none"])
+def test_whole_pipeline_on_odd_and_no_rows(spark, tmp_path, rows):
+    docs = documents(spark) if rows == "odd" else nothing(spark)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, int(i % 4 != 0), 0) for i in range(40)] if rows == "odd" else [], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r["doc_id"] for r in got} <= {r["doc_id"] for r in docs.collect()} and (rows == "odd") == bool(got)
+    by: dict = {}
+    for r in got:
+        by.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for held in by.values():
+        at = 0
+        for offset, n in sorted(held):
+            assert offset == at and n > 0
+            at += n
+        assert at <= 2048
