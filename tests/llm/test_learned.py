@@ -402,3 +402,27 @@ def test_whole_pipeline_on_odd_and_no_rows(spark, tmp_path, rows):
             assert offset == at and n > 0
             at += n
         assert at <= 2048
+
+
+@pytest.mark.parametrize("name", ["sf0.01", "sf0.1"])
+def test_no_labelled_span_is_taken_from_the_documents(spark, name):
+    spans = [m[2] for x in pii.TABLE.split("\n") for m in re.finditer(r"\[(email|ip|card|phone) ((?:[^\[\]]|\[(?:at|dot)\])+)\]", x)]
+    docs = spark.read.parquet(f"/root/testdata/{name}/documents.parquet")
+    assert len(spans) > 25 and [s for s in spans if docs.where(F.contains("text", F.lit(s))).count()] == []
+
+
+@pytest.mark.parametrize(("text", "found"), [
+    ("please ring (617) 555-0188 after lunch", "(617) 555-0188"), ("my telephone is 404-555-0119 now", "404-555-0119"), ("rufen Sie 0303 987654 an", "0303 987654"), ("tel. 040 7654321 abends", "040 7654321"),
+    ("write to rosa (at) mail.example (dot) org today", "rosa (at) mail.example (dot) org"), ("amex 3787 344936 71000 declined", "3787 344936 71000"),
+])
+def test_field_adds_spans_that_the_table_does_not_hold(crf, text, found):
+    assert found not in pii.TABLE
+    assert [text[s:e] for _, s, e in pii.added_spans([text], [pii.base_spans(text)], crf)[0]] == [found]
+
+
+def test_memory_of_words_is_bounded(crf, monkeypatch):
+    monkeypatch.setattr(pii, "MEMO", 20)
+    words = [f"w{i}" for i in range(200)] + ["x" * 1000]
+    want = [pii.Crf(*crf.__getstate__())._scores(w)[0].tolist() for w in words]
+    small = pii.Crf(*crf.__getstate__())
+    assert [small._scores(w)[0].tolist() for w in words] == want and len(small.memo) <= 21 and len(small.old) <= 21
