@@ -2,9 +2,12 @@
 
 Two fingerprints of 64 bits that differ in at most four bits share at least four of their eight positional bytes. The index
 lists fingerprints under triples of positional bytes; the 20 triples of ``TRIPLES`` are a Turan system, so any four shared
-bytes hold one of them and no pair is lost. In a list, the bytes that each pair shares are tallied, pairs below the guaranteed
-minimum of four are dropped, and the rest is verified by the number of differing bits. A list gives a spanning forest of its
-links and not all pairs, and long lists are dealt out in blocks.
+bytes hold one of them and no pair is lost. A list lies in one task, where its fingerprints are listed again under each of the
+five bytes that are left. A pair's tally is the three bytes of its list and one for each of these inner lists that it meets in;
+pairs that meet in none stay below the guaranteed minimum of four and are never looked at, and the rest is verified by the
+number of differing bits. A list gives a spanning forest of its links and not all pairs. Lists above ``LIST_BLOCK`` are dealt
+out to all pairs of blocks of about that size, so a triple that n distinct fingerprints share costs about n^2 / LIST_BLOCK rows,
+in as many tasks as it has pairs of blocks; copies of one fingerprint count once.
 
 Rows: a null or blank text has fingerprint zero, linked like any other. Rows with a null doc_id get a fingerprint, take no part
 in links and have a null component. Rows that repeat a doc_id are kept; the id's component is the smallest id that any of the
@@ -78,57 +81,78 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return id_and_text(docs).mapInArrow(_fingerprints, "doc_id long, fp long")
 
 
-def shared_bytes(x: np.ndarray) -> np.ndarray:
-    """Zero bytes in each XOR of two fingerprints: the tally of positional bytes that the two share."""
-    low = np.uint64(0x7F7F7F7F7F7F7F7F)
-    return np.bitwise_count(~(((x & low) + low) | x | low))
+def _rest(triple: int) -> list[int]:
+    return [p for p in range(8) if p not in TRIPLES[triple]]
 
 
-def _linked(x: np.ndarray) -> np.ndarray:
-    return (shared_bytes(x) >= MIN_BYTES) & (np.bitwise_count(x) <= MAX_BITS)
+def _byte(fp: np.ndarray, p: int) -> np.ndarray:
+    return ((fp >> np.uint64(8 * p)) & np.uint64(255)).astype(np.int64)
 
 
-def forest(fp: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Links that join all linked fingerprints of one list: each is visited once and compared with those not yet reached."""
-    out, left = [], fp
-    while len(left) > 1:
-        todo, left = [left[0]], left[1:]
-        while todo and len(left):
+def forest(fp: np.ndarray, triple: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Links that join all linked fingerprints of one list: each is visited once and meets, by way of the inner lists of its own
+    bytes, those not yet reached."""
+    inner = []
+    for p in _rest(triple):
+        b = _byte(fp, p)
+        order = np.argsort(b, kind="stable")
+        inner.append((b, order, np.searchsorted(b[order], np.arange(257))))
+    out, fresh, left, first = [], np.ones(len(fp), bool), len(fp), 0
+    while left > 1:
+        first += int(fresh[first:].argmax())
+        fresh[first], left = False, left - 1
+        todo = [first]
+        while todo and left:
             x = todo.pop()
-            hit = _linked(left ^ x)
-            if hit.any():
-                got = left[hit]
-                left = left[~hit]
-                out.append((np.full(len(got), x), got))
-                todo.extend(got)
+            met = np.concatenate([order[edge[b[x]] : edge[b[x] + 1]] for b, order, edge in inner])
+            hit, tally = np.unique(met[fresh[met]], return_counts=True)
+            hit = hit[tally + 3 >= MIN_BYTES]
+            hit = hit[np.bitwise_count(fp[hit] ^ fp[x]) <= MAX_BITS]
+            if len(hit):
+                fresh[hit], left = False, left - len(hit)
+                out.append((np.full(len(hit), fp[x]), fp[hit]))
+                todo.extend(hit.tolist())
     return out
 
 
-#: Lists up to this length are compared for all lists of a batch at once.
+#: Lists up to this length are tallied for all lists of a batch at once.
 SHORT = 24
 
 
+def _tallied(fp: np.ndarray, at: np.ndarray, triple: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all linked pairs within lists; at: the list of each fingerprint, triple: its list's triple."""
+    met = []
+    for p in range(8):
+        own = np.flatnonzero(np.array([p not in t for t in TRIPLES])[triple])
+        key = (at[own] << 8) | _byte(fp[own], p)
+        order = np.argsort(key, kind="stable")
+        own, key = own[order], key[order]
+        for lag in range(1, SHORT):
+            same = np.flatnonzero(key[lag:] == key[:-lag])
+            if not len(same):
+                break
+            met.append(own[same] * len(fp) + own[same + lag])
+    pair, tally = np.unique(np.concatenate([np.zeros(0, np.int64), *met]), return_counts=True)
+    pair = pair[tally + 3 >= MIN_BYTES]
+    a, b = pair // max(1, len(fp)), pair % max(1, len(fp))
+    near = np.bitwise_count(fp[a] ^ fp[b]) <= MAX_BITS
+    return a[near], b[near]
+
+
 def _links(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From (key, i, j, fp), sorted by the first three: links of each list."""
     for cols, starts in Grouped(3)(it):
-        fp = cols[3].astype(np.int64).view(np.uint64)
+        fp, triple = cols[3].astype(np.int64).view(np.uint64), (cols[0] >> 24).astype(np.int64)
         size = np.diff(np.append(starts, len(fp)))
         at = np.repeat(np.arange(len(size)), size)
-        a, b = [], []
-        short = size[at] <= SHORT
-        x, g = fp[short], at[short]
-        for lag in range(1, min(SHORT, int(size.max())) if len(x) else 0):
-            same = np.flatnonzero(g[lag:] == g[:-lag])
-            if not len(same):
-                break
-            hit = same[_linked(x[same] ^ x[same + lag])]
-            a.append(x[hit])
-            b.append(x[hit + lag])
-        for s, n in zip(starts[size > SHORT], size[size > SHORT], strict=True):
-            for p, q in forest(np.unique(fp[s : s + n])):
+        short = (size > 1)[at] & (size <= SHORT)[at]
+        x, y = _tallied(fp[short], at[short], triple[short])
+        a, b = [fp[short][x]], [fp[short][y]]
+        for s, n in zip(starts[size > SHORT].tolist(), size[size > SHORT].tolist(), strict=True):
+            for p, q in forest(np.unique(fp[s : s + n]), int(triple[s])):
                 a.append(p)
                 b.append(q)
-        if a and len(p := np.concatenate(a)):
+        if len(p := np.concatenate(a)):
             yield pa.RecordBatch.from_arrays([pa.array(p.view(np.int64)), pa.array(np.concatenate(b).view(np.int64))], ["a", "b"])
 
 

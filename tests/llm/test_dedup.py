@@ -102,6 +102,21 @@ def test_simhash_of_odd_rows(spark):
     assert simhash.drop_near_duplicates(docs).columns == docs.columns
 
 
+def test_tally_rejects_pairs_before_their_bits_are_counted(monkeypatch):
+    """In a list of fingerprints that share a triple and no more bytes no pair is verified; one more shared byte brings it there."""
+    triple = 0
+    rest = simhash._rest(triple)
+    fp = np.array([sum((17 * k + p) % 256 << 8 * p for p in rest) for k in range(200)], np.uint64)
+    seen, count = [], np.bitwise_count
+    monkeypatch.setattr(simhash.np, "bitwise_count", lambda x: seen.append(len(x)) or count(x))
+    at, key = np.zeros(20, np.int64), np.full(20, triple)
+    assert simhash.forest(fp, triple) == [] and simhash._tallied(fp[:20], at, key)[0].tolist() == [] and sum(seen) == 0
+    fp[7] = fp[5] ^ np.uint64(0b111 << 8 * rest[0])
+    assert [(a.tolist(), b.tolist()) for a, b in simhash.forest(fp, triple)] == [([fp[5]], [fp[7]])]
+    a, b = simhash._tallied(fp[:20], at, key)
+    assert (a.tolist(), b.tolist()) == ([5], [7])
+
+
 @pytest.mark.parametrize("block", [4096, 64])
 def test_links_lose_no_component(spark, block, monkeypatch):
     """Dense groups, chains and chance neighbours; with a small block long lists are dealt out."""
