@@ -179,7 +179,7 @@ def q_token_table(spark: SparkSession, d: str) -> DataFrame:
     return src.token_table(lines.unionByName(spark.createDataFrame([("| time | project | model | p | c | t |",), ("|---|---|---|---|---|---|",), ("# log",)], "value string")))
 
 
-@query(f"SELECT doc_id AS paper_id, coalesce(nullif(array_to_string(list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda p, i: CASE WHEN {q.strip('p')} <> '' THEN '[Page ' || i || '] ' || {q.strip('p')} END), lambda x: x IS NOT NULL), chr(10) || chr(10)), ''), '{src.NO_TEXT}') AS text FROM documents")
+@query(f"SELECT doc_id AS paper_id, coalesce(nullif(array_to_string(list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda p, i: CASE WHEN {q.strip('p')} <> '' THEN '[Page ' || i || ']' || chr(10) || {q.strip('p')} END), lambda x: x IS NOT NULL), chr(10) || chr(10)), ''), '{src.NO_TEXT}') AS text FROM documents")
 def q_pdf_pages(spark: SparkSession, d: str) -> DataFrame:
     """Lines stand for pages."""
     pages = load(spark, d, "documents").select(F.col("doc_id").alias("paper_id"), F.split(F.coalesce("text", F.lit("")), "\n").alias("pages"))

@@ -11,15 +11,19 @@ from granary.functions import text as tx
 def write_chunks(chunks: DataFrame, path: str, key: str = "paper_id") -> None:
     """Replace all chunks of the papers that are given, and of no other: dynamic overwrite of their partitions.
 
-    Blank chunks go; a paper of which nothing is left keeps what it had, as a partition without rows is not written.
+    Blank chunks go. A paper of which nothing is left gets one row without a chunk, so that its partition is overwritten too;
+    ``read_chunks`` leaves such rows out.
     """
-    rows = chunks.withColumn("chunk", tx.strip(F.col("chunk"))).where("chunk <> ''").withColumn("chunk_id", tx.chunk_id(F.col(key), F.col("chunk_index")))
+    own = chunks.withColumn("chunk", F.nullif(tx.strip(F.col("chunk")), F.lit("")))
+    some = own.groupBy(key).agg(F.max(F.col("chunk").isNotNull()).alias("some"))
+    full = own.where("chunk IS NOT NULL").withColumn("chunk_id", tx.chunk_id(F.col(key), F.col("chunk_index")))
+    rows = full.unionByName(some.where("NOT some").select(key), allowMissingColumns=True)
     rows.repartition(key).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
 
 
-def read_chunks(spark, path: str, paper) -> DataFrame:
+def read_chunks(spark, path: str, paper, key: str = "paper_id") -> DataFrame:
     """Only the paper's partition is read."""
-    return spark.read.parquet(path).where(F.col("paper_id") == paper)
+    return spark.read.parquet(path).where((F.col(key) == paper) & F.col("chunk").isNotNull())
 
 
 def write_results(results: DataFrame, path: str) -> None:

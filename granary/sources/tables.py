@@ -9,7 +9,8 @@ from granary.functions import text as tx
 
 
 #: What stands for a document without text.
-NO_TEXT = "No text could be extracted from this document."
+# Fixed value: what stands for a document without readable text.
+NO_TEXT = "未提取到可读文本，上传的 PDF 可能是扫描件或受保护文档。"
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,7 +57,7 @@ def pdf_pages(pages: DataFrame) -> DataFrame:
     """
     numbered = F.transform("pages", lambda p, i: F.struct((i + 1).alias("n"), tx.strip(p).alias("t")))
     full = F.filter(numbered, lambda x: x["t"] != "")
-    return pages.select("paper_id", F.when(F.size(full) > 0, F.array_join(F.transform(full, lambda x: F.concat(F.lit("[Page "), x["n"], F.lit("] "), x["t"])), "\n\n")).otherwise(F.lit(NO_TEXT)).alias("text"))
+    return pages.select("paper_id", F.when(F.size(full) > 0, F.array_join(F.transform(full, lambda x: F.concat(F.lit("[Page "), x["n"], F.lit("]\n"), x["t"])), "\n\n")).otherwise(F.lit(NO_TEXT)).alias("text"))
 
 
 def pdf_title(title: Column, file_name: Column) -> Column:

@@ -18,6 +18,8 @@ def test_chunks_are_replaced_by_paper(spark, tmp_path):
     plan = sinks.read_chunks(spark, path, "a")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(paper_id" in plan
     assert sinks.read_chunks(spark, path, "a").first()["chunk_id"].startswith("a:0:")
+    sinks.write_chunks(spark.createDataFrame([("a", 0, " \n"), ("a", 1, None)], schema), path)
+    assert sinks.read_chunks(spark, path, "a").count() == 0 and [r["chunk"] for r in sinks.read_chunks(spark, path, "b").collect()] == ["z"]
 
 
 def test_logs_and_results(spark, sf_dir, tmp_path):

@@ -25,7 +25,7 @@ def test_metadata_and_templates(spark, tmp_path):
 
 def test_pages_feeds_and_tables(spark):
     pages = spark.createDataFrame([("a", [" x ", "", "y"]), ("b", [" "])], "paper_id string, pages array<string>")
-    assert {r["paper_id"]: r["text"] for r in src.pdf_pages(pages).collect()} == {"a": "[Page 1] x\n\n[Page 3] y", "b": src.NO_TEXT}
+    assert {r["paper_id"]: r["text"] for r in src.pdf_pages(pages).collect()} == {"a": "[Page 1]\nx\n\n[Page 3]\ny", "b": src.NO_TEXT}
     xml = "<feed><entry><title>T  1</title><published>2024</published><id>u</id><summary>s</summary></entry><entry><id>v</id></entry></feed>"
     assert [tuple(r) for r in src.atom_entries(spark.createDataFrame([(xml,)], "xml string")).collect()] == [("T 1", "2024", "u", "s")]
     payload = json.dumps({"results": [{"title": str(i), "url": "u", "content": "c" * 600, "score": 0.5} for i in range(9)]})
