@@ -60,9 +60,8 @@ def q_rate_limit(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT event_type AS tool, event_id, count(*) OVER (PARTITION BY event_type ORDER BY epoch_us(ts) RANGE BETWEEN 3600000000 - 1 PRECEDING AND CURRENT ROW) AS trailing FROM events")
 def q_trailing_count(spark: SparkSession, d: str) -> DataFrame:
     """Calls of a tool in the hour before each call."""
-    us = F.unix_micros(F.col("ts").cast("timestamp"))
-    w = Window.partitionBy("event_type").orderBy("us").rangeBetween(-(3_600_000_000 - 1), 0)
-    return load(spark, d, "events").withColumn("us", us).select(F.col("event_type").alias("tool"), "event_id", F.count("*").over(w).alias("trailing"))
+    calls = load(spark, d, "events").select(F.col("event_type").alias("tool"), "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    return windows.trailing_count(calls, "tool", "us", 3_600_000_000).select("tool", "event_id", "trailing")
 
 
 @query("""

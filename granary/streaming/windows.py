@@ -8,6 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
@@ -35,6 +36,24 @@ def sessions(events: DataFrame, gap: str) -> DataFrame:
     return events.groupBy(F.session_window("ts", gap).alias("window"), "user_id").agg(*_sums()).select("user_id", _start(), "n", "total")
 
 
+def trailing_count(calls: DataFrame, key: str, at: str, span) -> DataFrame:
+    """``calls`` with ``trailing``: how many of the key came after ``at - span`` and up to ``at``, the call itself included.
+
+    Time is cut into buckets of ``span``. A call counts from its time on in its own bucket and stops counting at its end, which
+    lies in the next; so a bucket is decided by its own calls and the ends of the one before, and a busy key is many groups. Sums
+    run once over a group, whatever the window holds. A null time counts itself alone.
+    """
+    end = F.col(at) + F.lit(span)
+    bucket = lambda t: F.floor(t / F.lit(span)).cast("long")
+    own = F.struct(bucket(F.col(at)).alias("_b"), F.col(at).alias("_t"), F.lit(1).alias("_d"), F.lit(0).alias("_before"))
+    gone = F.struct(bucket(end).alias("_b"), end.alias("_t"), F.lit(-1).alias("_d"), (bucket(end) > bucket(F.col(at))).cast("int").alias("_before"))
+    rows = calls.where(F.col(at).isNotNull()).select("*", F.explode(F.array(own, gone)).alias("_x")).select(*calls.columns, "_x.*")
+    w = Window.partitionBy(key, "_b")
+    n = F.sum("_before").over(w) + F.sum("_d").over(w.orderBy("_t").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    counted = rows.withColumn("trailing", n.cast("long")).where("_d = 1").select(*calls.columns, "trailing")
+    return counted.unionByName(calls.where(F.col(at).isNull()).withColumn("trailing", F.lit(1).cast("long")))
+
+
 def decisions(requests: DataFrame, answers: DataFrame, seconds: int = 3600) -> DataFrame:
     """(request, decision): the first answer of the user within the time, or "timeout".
 
@@ -62,7 +81,8 @@ def decision_stream(requests: DataFrame, answers: DataFrame, seconds: int = 3600
 def _folder(spark: SparkSession) -> str:
     """In the folder that all machines share; one of our own only where Spark is local."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found and not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if not found and master != "local" and not master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{(found or 'file://' + tempfile.mkdtemp(prefix='granary-')).rstrip('/')}/granary-stream-{uuid.uuid4().hex}"
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from collections import deque
 
 from compare import rows
@@ -37,6 +38,36 @@ def test_rate_limit(spark, tmp_path):
     assert rows(_run(spark, tmp_path, calls, limiter.stream, "append").toPandas()) == rows(batch)
 
 
+def test_rate_limit_of_bursts(spark):
+    """Calm times, bursts and ties in many buckets of time: as one pass in order decides."""
+    rng, calls, i = random.Random(3), [], 0
+    for tool in "abc":
+        t = 0.0
+        for _ in range(40):
+            t += rng.choice([1.0, 30.0, 59.9, 60.0, 61.0, 400.0])
+            for _ in range(rng.choice([1, 20, 59, 60, 61, 130])):
+                t += rng.choice([0.0, 0.1, 0.5, 1.0, 1.5])
+                calls.append((tool, i, t))
+                i += 1
+    want = {}
+    for tool in "abc":
+        own = sorted((t, i) for c, i, t in calls if c == tool)
+        want |= zip([i for _, i in own], limiter.admit([t for t, _ in own], deque()), strict=True)
+    assert 0 < sum(want.values()) < len(want)
+    got = limiter.allowed(spark.createDataFrame([*calls, ("a", -1, None), (None, -2, 1.0)], "tool string, event_id long, at double").repartition(7)).collect()
+    assert len(got) == len(calls) + 2
+    assert {r["event_id"]: r["allowed"] for r in got} == want | {-1: True, -2: True}
+
+
+def test_trailing_count(spark):
+    rng = random.Random(4)
+    times = [rng.randrange(400) for _ in range(300)]
+    calls = spark.createDataFrame([*enumerate(times), (300, None)], "i long, at long").withColumn("k", F.col("i") % 2)
+    got = {r["i"]: r["trailing"] for r in windows.trailing_count(calls, "k", "at", 50).collect()}
+    want = {i: sum(j % 2 == i % 2 and t - 50 < u <= t for j, u in enumerate(times)) for i, t in enumerate(times)}
+    assert got == want | {300: 1}
+
+
 def test_admit_is_strict_and_rejected_calls_do_not_count():
     assert limiter.admit([0.0] * 61, deque()) == [True] * 60 + [False]
     assert limiter.admit([0.0] * 60 + [59.9, 60.0], deque()) == [True] * 60 + [False, True]
