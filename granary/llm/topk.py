@@ -1,9 +1,10 @@
 """Exact top-k by integer inner product: tiled matrix products, partial selection per tile, merging of top lists in a tree.
 
-A component x counts as floor(256 * x). The query set lies in the shared folder in tiles; each task holds the vectors of its
-partition, reads one tile of queries at a time and multiplies it with one tile of vectors at a time, so neither side's size
-bounds what fits. Of each product only the best k a query are kept: score and place make one exact whole number, so that ties go
-to the smaller vec_id without a full sort. A task gives one list for each query tile; lists are merged in a tree.
+A component x counts as floor(256 * x). The query set lies in the shared folder in tiles; each task holds a bounded run of its
+vectors, reads one tile of queries at a time and multiplies it with one tile of vectors at a time, so neither side's size, nor
+that of a partition, bounds what fits. Of each product only the best k a query are kept: score and place make one exact whole
+number, so that ties go to the smaller vec_id without a full sort. A run of vectors gives one list for each query tile; lists are
+merged in a tree.
 
 Rows: a vector that is null, or holds null or non-finite components, takes no part, nor does a null vec_id. An empty vector has
 inner product 0 with empty ones. Vectors of another length than the query's are no candidates. Rows that share the query's
@@ -18,6 +19,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.parquet as pq
 from pyarrow import fs
 from pyspark import TaskContext
@@ -29,6 +31,8 @@ from .common import drop_scratch, kept, scratch, table
 K, SCALE = 5, 256
 #: Queries and vectors of one product.
 QUERY_TILE, VECTOR_TILE = 1024, 4096
+#: Bytes of vectors, as doubles, that a task holds at once; sorting them into tiles takes about three times that.
+HELD = 128 << 20
 #: Lists that one task merges.
 FAN_IN = 32
 #: Products whose bound is below this are exact in doubles, together with the place of the vector in its tile.
@@ -117,31 +121,65 @@ def _query_tiles(folder: str) -> Iterator[tuple[int, tuple[np.ndarray, np.ndarra
                     n += 1
 
 
-def _search(folder: str, k: int) -> Callable:
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
-        for b in it:
-            if b.num_rows:
-                for ids, m in _whole(b):
+def _tiles(ids: np.ndarray, m: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Vectors of one length in tiles, ids ascending in each."""
+    order = np.argsort(ids, kind="stable")
+    for at in range(0, len(ids), VECTOR_TILE):
+        own = order[at : at + VECTOR_TILE]
+        yield ids[own], m[own]
+
+
+def _held(it: Iterator[pa.RecordBatch], most: int) -> Iterator[dict[int, list[tuple[np.ndarray, np.ndarray]]]]:
+    """The tiles of vectors by their length, in runs of at most ``most`` bytes of whole numbers, or one row."""
+    held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+    size = 0
+    for b in it:
+        if not b.num_rows:
+            continue
+        wide = pc.add(pc.multiply(pc.list_value_length(b.column(1)).cast(pa.int64()), 8), 8)
+        ends = np.cumsum(wide.to_numpy())
+        at = 0
+        while at < b.num_rows:
+            done = ends[at - 1] if at else 0
+            to = max(at + 1 if not size else at, int(np.searchsorted(ends, done + most - size, "right")))
+            if to > at:
+                for ids, m in _whole(b.slice(at, to - at)):
                     held.setdefault(m.shape[1], []).append((ids, m))
-        tiles: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
-        for n, parts in held.items():
-            ids, m = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-            order = np.argsort(ids, kind="stable")
-            ids, m = ids[order], m[order]
-            tiles[n] = [(ids[s : s + VECTOR_TILE], m[s : s + VECTOR_TILE]) for s in range(0, len(ids), VECTOR_TILE)]
-        held.clear()
+                size += int(ends[to - 1] - done)
+                at = to
+            if at < b.num_rows:
+                yield _joined(held)
+                held, size = {}, 0
+    if held:
+        yield _joined(held)
+
+
+def _joined(held: dict[int, list[tuple[np.ndarray, np.ndarray]]]) -> dict[int, list[tuple[np.ndarray, np.ndarray]]]:
+    out = {}
+    for n in list(held):
+        parts = held.pop(n)
+        out[n] = list(_tiles(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])))
+    return out
+
+
+def _search(folder: str, k: int, most: int) -> Callable:
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        for number, tile in _query_tiles(folder):
-            got = [_best(ids, m, tile, k) for ids, m in tiles.get(tile[1].shape[1], ())]
-            if got:
-                i, s = _join(np.concatenate([g[0] for g in got], 1), np.concatenate([g[1] for g in got], 1), k)
-                yield pa.RecordBatch.from_pylist([{"tile": number, "part": part, "query": tile[0].tobytes(), "ids": i.tobytes(), "scores": s.tobytes()}])
+        for flush, tiles in enumerate(_held(it, most)):
+            for number, tile in _query_tiles(folder):
+                i = s = None
+                for ids, m in tiles.get(tile[1].shape[1], ()):
+                    got = _best(ids, m, tile, k)
+                    i, s = got if i is None else _join(np.concatenate([i, got[0]], 1), np.concatenate([s, got[1]], 1), k)
+                if i is not None:
+                    row = {"tile": number, "part": part, "flush": flush, "query": tile[0].tobytes(), "ids": i.tobytes(), "scores": s.tobytes()}
+                    yield pa.RecordBatch.from_pylist([row])
 
     return run
 
 
 _LISTS = "tile long, part long, query binary, ids binary, scores binary"
+_FOUND = "tile long, part long, flush long, query binary, ids binary, scores binary"
 
 
 def _merge(k: int) -> Callable:
@@ -167,15 +205,23 @@ def _rows(k: int) -> Callable:
     return rows
 
 
-def top_k(vectors: DataFrame, queries: Column, k: int = K, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(query_id, rank, vec_id, score): the k best rows of ``vectors`` for each row for which ``queries`` (on vec_id) holds."""
+def top_k(vectors: DataFrame, queries: Column, k: int = K, id_col: str = "vec_id", vector: str = "embedding", held: int = HELD) -> DataFrame:
+    """(query_id, rank, vec_id, score): the k best rows of ``vectors`` for each row for which ``queries`` (on vec_id) holds.
+
+    A task holds vectors of at most ``held`` bytes at once, searches them with all queries and goes on to the next.
+    """
     spark = vectors.sparkSession
     usable = _usable(vectors, id_col, vector)
     folder = scratch(spark, "queries")
-    usable.where(queries).distinct().write.parquet(folder)
-    lists = kept(usable.mapInArrow(_search(folder, k), _LISTS))
-    drop_scratch(spark, folder)
-    most = lists.agg(F.max("part")).first()[0] or 0
+    try:
+        usable.where(queries).distinct().write.parquet(folder)
+        found = kept(usable.mapInArrow(_search(folder, k, held), _FOUND))
+    finally:
+        drop_scratch(spark, folder)
+    # Each list of a task is a part of its own, so a merge never takes more than FAN_IN of them.
+    last, flushes = found.agg(F.max("part"), F.max("flush") + 1).first()
+    lists = found.select("tile", (F.col("part") * F.lit(flushes or 1) + F.col("flush")).alias("part"), "query", "ids", "scores")
+    most = (last or 0) * (flushes or 1) + (flushes or 1) - 1
     while most:
         most //= FAN_IN
         lists = lists.withColumn("part", F.col("part") - F.pmod("part", F.lit(FAN_IN))).groupBy("tile", "part").applyInPandas(_merge(k), _LISTS)

@@ -178,6 +178,8 @@ def test_search_of_odd_vectors(spark, scale, monkeypatch):
     got = topk.top_k(df, F.col("vec_id") % 50 == 0).collect()
     assert Counter((x["query_id"], x["rank"], x["vec_id"], x["score"]) for x in got) == plain_top(rows)
     assert topk.top_k(df.where("false"), F.col("vec_id") % 50 == 0).count() == 0
+    for held in (1, 200, 5000):  # runs of one vector, of some, of most
+        assert sorted(topk.top_k(df, F.col("vec_id") % 50 == 0, held=held).collect()) == sorted(got)
 
 
 def smallest_of_similar(texts: dict[int, str | None], n: int = 5, least: float = 0.8) -> set[int]:
