@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 TERMINAL = ("done", "failed", "cancelled")
 
@@ -22,6 +23,34 @@ def latest(reports: DataFrame) -> DataFrame:
     return live.groupBy("task").agg(F.max_by("status", "at").alias("status"), F.max_by("model", named).alias("model"), F.count("*").alias("updates"))
 
 
+def cancel(states: DataFrame, requests: DataFrame) -> DataFrame:
+    """(task, accepted, status after it) of each request: only a known task that has not ended can be cancelled."""
+    met = requests.select("task").distinct().join(states.select("task", "status"), "task", "left")
+    runs = F.col("status").isNotNull() & ~F.col("status").isin(*TERMINAL)
+    after = F.when(F.col("status").isNull(), "unknown").when(runs, "cancelled").otherwise(F.col("status"))
+    return met.select("task", F.coalesce(runs, F.lit(False)).alias("accepted"), after.alias("status"))
+
+
+#: A subscription ends on these; a cancelled task may still be heard of.
+LAST = ("done", "failed")
+
+
+def frames(reports: DataFrame, subscribers: DataFrame, every: int = 15) -> DataFrame:
+    """(task, at, status, idle) from (task, at: whole seconds, status) and (task, since): what a subscriber is sent.
+
+    First the state at that time, if the task is known; then each change until one that ends it. ``idle`` is the number of signs
+    of life sent before, one for each ``every`` seconds without a change; a change on that very second goes first.
+    """
+    met = reports.join(subscribers, "task")
+    now = met.where("at <= since").groupBy("task", "since").agg(F.max_by("status", "at").alias("status")).select("task", F.col("since").alias("at"), "status", "since")
+    all_ = now.unionByName(met.where("at > since").select("task", "at", "status", "since"))
+    w = Window.partitionBy("task").orderBy("at")
+    over = F.max(F.col("status").isin(*LAST)).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    gap = F.col("at") - F.coalesce(F.lag("at").over(w), F.col("since"))
+    idle = F.greatest(F.floor((gap - 1) / F.lit(every)), F.lit(0)).cast("long")
+    return all_.select("task", "at", "status", idle.alias("idle"), F.coalesce(over, F.lit(False)).alias("over")).where("NOT over").drop("over")
+
+
 STATE = "status string, model string, updates long"
 OUTPUT = "task long, status string, model string, updates long"
 

@@ -78,18 +78,18 @@ def decision_stream(requests: DataFrame, answers: DataFrame, seconds: int = 3600
     return r.join(a, within, "left")
 
 
-def _folder(spark: SparkSession) -> str:
-    """In the folder that all machines share; one of our own only where Spark is local."""
+def scratch(spark: SparkSession, what: str = "stream") -> str:
+    """A new folder in the folder that all machines share; one of our own only where Spark is local."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     master = spark.sparkContext.master
     if not found and master != "local" and not master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return f"{(found or 'file://' + tempfile.mkdtemp(prefix='granary-')).rstrip('/')}/granary-stream-{uuid.uuid4().hex}"
+    return f"{(found or 'file://' + tempfile.mkdtemp(prefix='granary-')).rstrip('/')}/granary-{what}-{uuid.uuid4().hex}"
 
 
 def run_stream(spark: SparkSession, path: str, plan: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Run an aggregate over a stream of event files until all are read, and return its last result."""
-    folder = _folder(spark)
+    folder = scratch(spark)
     events = timed(spark.readStream.schema(EVENTS).parquet(f"{path}*"))  # a pattern, as the table is a file or a folder of files
     write = lambda df, _: df.write.mode("overwrite").parquet(f"{folder}/out")
     q = plan(events).writeStream.outputMode("complete").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(write).start()
