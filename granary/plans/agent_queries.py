@@ -17,9 +17,10 @@ from granary.sources import sinks
 from granary.sources.tables import load
 from granary.streaming import tasks, windows
 
+from . import sql as q
 from .registry import query
 from .stream_queries import _STATUS, reports
-from .text_queries import _BLOCK, _ESCAPED, _SECTIONS, section_rows
+from .text_queries import _BLOCK, _ESCAPED, _SECTIONS, chunk_rows, section_rows
 
 
 @query("""
@@ -138,3 +139,13 @@ def q_token_log(spark: SparkSession, d: str) -> DataFrame:
     for go in (0, 1):
         sinks.append_log(sinks.token_rows(calls.where(F.col("event_id") % 2 == go)), path)
     return spark.read.parquet(path).groupBy("user_id", "model").agg(F.sum("total_tokens").alias("total_tokens"), F.count("*").alias("calls"))
+
+
+@query(f"WITH c AS ({q.CHUNKS}) SELECT doc_id, chunk_index, CASE WHEN doc_id % 10 = 1 THEN 'new ' || chunk ELSE chunk END AS chunk FROM c WHERE doc_id % 10 <> 2")
+def q_chunk_store(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks of all documents written by paper; then some papers are replaced and some emptied, and the table is read back."""
+    path, rows = windows.scratch(spark, "chunks"), chunk_rows(spark, d)
+    sinks.write_chunks(rows, path, "doc_id", 16)
+    again = rows.where("doc_id % 10 IN (1, 2)").withColumn("chunk", F.when(F.col("doc_id") % 10 == 1, F.concat(F.lit("new "), "chunk")))
+    sinks.write_chunks(again, path, "doc_id", 16)
+    return spark.read.parquet(path).where("chunk IS NOT NULL").select("doc_id", "chunk_index", "chunk")

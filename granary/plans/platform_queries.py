@@ -90,12 +90,14 @@ def _listed(xs: str, most: int, cap: int) -> str:
     return f"array_to_string(list_transform(list_slice({xs}, 1, {most}), lambda x, i: i || '. ' || substr(x, 1, {cap})), chr(10))"
 
 
-_PARTS = f"WITH c AS ({q.CHUNKS}), p AS (SELECT doc_id, list(chunk ORDER BY chunk_index) AS cs FROM c GROUP BY 1), s AS (SELECT p.*, source, lang, list_filter(string_split(cs[1], '. '), lambda x: length(x) >= 28) AS pts FROM p JOIN documents USING (doc_id))"
+_PARTS = f"WITH {q.KEY_SENTENCES}, s AS (SELECT k.doc_id, source, lang, parts AS cs, pts FROM k JOIN documents USING (doc_id))"
 
 
 def _papers(spark: SparkSession, d: str) -> DataFrame:
-    rows = load(spark, d, "documents").select("doc_id", "source", "lang", tx.chunks(F.coalesce("text", F.lit(""))).alias("cs")).where("size(cs) > 0")
-    return rows.withColumn("pts", F.filter(F.split(F.col("cs")[0], r"\. "), lambda x: F.length(x) >= 28))
+    """Documents with chunks, and their key sentences as points."""
+    rows = load(spark, d, "documents").select("doc_id", "source", "lang", F.coalesce("text", F.lit("")).alias("text")).where(F.regexp_like("text", F.lit(tx.WS.replace("[", "[^", 1))))
+    both = tx.let(tx.chunks(F.col("text")), lambda cs: F.struct(cs.alias("cs"), tx.key_sentences(cs).alias("pts")))
+    return rows.select("doc_id", "source", "lang", both.alias("p")).select("doc_id", "source", "lang", "p.cs", "p.pts")
 
 
 @query(f"{_PARTS} SELECT doc_id, '# ' || doc_id || chr(10) || chr(10) || '- 领域标签：' || lang || chr(10) || chr(10) || '## 指标' || chr(10) || '- ASR：N/A' || chr(10) || chr(10) || '## 要点' || chr(10) || {_listed('pts', 8, 260)} || chr(10) || chr(10) || '## 证据' || chr(10) || {_listed('cs', 4, 260)} AS markdown FROM s")
@@ -111,9 +113,9 @@ def q_improvement_md(spark: SparkSession, d: str) -> DataFrame:
     return _papers(spark, d).select("doc_id", render.improvement_markdown(F.col("doc_id").cast("string"), F.col("pts"), F.col("cs"), ideas).alias("markdown"))
 
 
-@query("SELECT item_id, 'https://export.example.org/api?search=' || replace(url_encode(substr(text, 1, 80)), '%20', '+') AS url FROM benchmark")
+@query("SELECT item_id, 'https://export.example.org/api?search=' || replace(url_encode(text), '%20', '+') AS url FROM benchmark")
 def q_url_encode(spark: SparkSession, d: str) -> DataFrame:
-    return load(spark, d, "benchmark").select("item_id", F.concat(F.lit("https://export.example.org/api?search="), F.url_encode(F.substring("text", 1, 80))).alias("url"))
+    return load(spark, d, "benchmark").select("item_id", F.concat(F.lit("https://export.example.org/api?search="), F.url_encode("text")).alias("url"))
 
 
 @query("SELECT conv_id, CAST(coalesce(sum(length(text)) FILTER (role = 'user'), 0) AS BIGINT) AS input_tokens, CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS output_tokens FROM conversations GROUP BY 1")
@@ -186,10 +188,10 @@ def q_pdf_pages(spark: SparkSession, d: str) -> DataFrame:
     return src.pdf_pages(pages)
 
 
-@query("SELECT page_id, CASE WHEN length(trim(t)) > 2 AND NOT contains(lower(t), 'untitled') THEN trim(t) ELSE 'file_' || page_id END AS title FROM (SELECT page_id, CASE WHEN page_id % 4 = 0 THEN 'Untitled page' WHEN page_id % 4 = 1 THEN ' ' ELSE ' ' || substr(regexp_extract(html, '<title>([^<]*)', 1), 1, 30) END AS t FROM pages)")
+@query("SELECT page_id, CASE WHEN length(trim(t)) > 2 AND NOT contains(lower(t), 'untitled') THEN trim(t) ELSE 'file_' || page_id END AS title FROM (SELECT page_id, CASE WHEN page_id % 4 = 0 THEN 'Untitled ' || html WHEN page_id % 4 = 1 THEN ' ' ELSE ' ' || regexp_extract(html, '<title>([^<]*)', 1) END AS t FROM pages)")
 def q_pdf_title(spark: SparkSession, d: str) -> DataFrame:
     n = F.col("page_id") % 4
-    t = F.when(n == 0, "Untitled page").when(n == 1, " ").otherwise(F.concat(F.lit(" "), F.substring(F.regexp_extract("html", "<title>([^<]*)", 1), 1, 30)))
+    t = F.when(n == 0, F.concat(F.lit("Untitled "), "html")).when(n == 1, " ").otherwise(F.concat(F.lit(" "), F.regexp_extract("html", "<title>([^<]*)", 1)))
     return load(spark, d, "pages").select("page_id", src.pdf_title(t, F.concat(F.lit("/up/file_"), F.col("page_id").cast("string"), F.lit(".pdf"))).alias("title"))
 
 

@@ -64,11 +64,11 @@ def q_json_round(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"), F.to_json(F.struct(F.col("event_type").alias("event"), F.col("user_id").alias("user"))).alias("payload"))
 
 
-@query(f"SELECT doc_id, CASE WHEN trim(coalesce(t, '')) = '' THEN t WHEN contains(lower(t), 'fail') THEN '[untranslated] ' || t ELSE t END AS translated FROM (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN '' WHEN 1 THEN 'fail ' || source ELSE {q.collapse('text')} END AS t FROM documents)")
+@query(f"SELECT doc_id, CASE WHEN trim(coalesce(t, '')) = '' THEN t WHEN contains(lower(t), 'fail') THEN '[untranslated] ' || t ELSE t END AS translated FROM (SELECT doc_id, CASE WHEN doc_id % 5 = 1 THEN 'fail ' ELSE '' END || {q.collapse('text')} AS t FROM documents)")
 def q_translate_once(spark: SparkSession, d: str) -> DataFrame:
     """Equal texts are translated once; failures keep the text behind a mark."""
     n = F.col("doc_id") % 5
-    t = F.when(n == 0, "").when(n == 1, F.concat(F.lit("fail "), "source")).otherwise(tx.collapse(F.col("text")))
+    t = F.concat(F.when(n == 1, "fail ").otherwise(""), tx.collapse(F.col("text")))
     return rel.translate_once(load(spark, d, "documents").select("doc_id", t.alias("t")), "t", enc.plugged("translate"), "translated").select("doc_id", "translated")
 
 

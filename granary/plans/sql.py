@@ -37,6 +37,13 @@ def sentences(x: str) -> str:
     return f"list_filter(list_transform(string_split({marked}, chr(30)), lambda s: {strip('s')}), lambda s: s <> '')"
 
 
+#: CTEs that end in k: (doc_id, parts: chunks, pts: key sentences).
+KEY_SENTENCES = f"""
+c AS ({CHUNKS}), p AS (SELECT doc_id, list(chunk ORDER BY chunk_index) AS parts FROM c GROUP BY 1),
+x AS (SELECT doc_id, parts, string_split(regexp_replace(array_to_string(parts[1:24], ' '), '([。！？.!?]){WS}+', '\\1' || chr(30), 'g'), chr(30)) AS cut FROM p),
+f AS (SELECT doc_id, parts, list_slice(list_transform(list_filter(list_transform(cut, lambda x: {collapse("x")}), lambda x: length(x) >= 28), lambda x: x[1:260]), 1, 8) AS found FROM x),
+k AS (SELECT doc_id, parts, CASE WHEN len(found) > 0 THEN found ELSE list_slice(list_transform(parts, lambda x: x[1:260]), 1, 8) END AS pts FROM f)"""
+
 HEAD_LINES = ("1. Introduction", "2.3 Method details", "RESULTS", "Results show", "A.1 APPENDIX", "IV. EVALUATION", "123 BIG TITLE", "3 BIG TITLE", "[Page 3] ABSTRACT text", "I N TRODUCTION", "摘要：内容", "摘要内容", "4.1.2.3 DEEP DIVE INTO DATA", "CONCLUSION")
 
 

@@ -39,15 +39,7 @@ def q_units40(spark: SparkSession, d: str) -> DataFrame:
     return documents(spark, d).select("doc_id", u.alias("u")).select("doc_id", F.size("u").alias("n_units"), F.array_join("u", "\x1f").alias("units"))
 
 
-_KEY = f"""
-WITH c AS ({q.CHUNKS}), p AS (SELECT doc_id, list(chunk ORDER BY chunk_index) AS parts FROM c GROUP BY 1),
-s AS (SELECT doc_id, parts, string_split(regexp_replace(array_to_string(parts[1:24], ' '), '([。！？.!?]){q.WS}+', '\\1' || chr(30), 'g'), chr(30)) AS cut FROM p),
-k AS (SELECT doc_id, parts, list_slice(list_transform(list_filter(list_transform(cut, lambda x: {q.collapse("x")}), lambda x: length(x) >= 28), lambda x: x[1:260]), 1, 8) AS found FROM s)
-SELECT doc_id, array_to_string(CASE WHEN len(found) > 0 THEN found ELSE list_slice(list_transform(parts, lambda x: x[1:260]), 1, 8) END, chr(31)) AS key_sentences FROM k
-"""
-
-
-@query(_KEY)
+@query(f"WITH {q.KEY_SENTENCES} SELECT doc_id, array_to_string(pts, chr(31)) AS key_sentences FROM k")
 def q_key_sentences(spark: SparkSession, d: str) -> DataFrame:
     parts = tx.chunks(F.col("text"))
     # A text has chunks where it has more than white space; a filter on the chunks would be pushed below them and work them out twice.

@@ -2,28 +2,48 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.functions import text as tx
 
 
-def write_chunks(chunks: DataFrame, path: str, key: str = "paper_id") -> None:
-    """Replace all chunks of the papers that are given, and of no other: dynamic overwrite of their partitions.
+#: Folders of a chunk table; a table keeps the number it was first written with.
+BUCKETS = 256
+
+
+def _bucket(key: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(key.cast("string")), F.lit(buckets)).cast("int")
 
-    Blank chunks go. A paper of which nothing is left gets one row without a chunk, so that its partition is overwritten too;
-    ``read_chunks`` leaves such rows out.
-    """
-    own = chunks.withColumn("chunk", F.nullif(tx.strip(F.col("chunk")), F.lit("")))
-    some = own.groupBy(key).agg(F.max(F.col("chunk").isNotNull()).alias("some"))
-    full = own.where("chunk IS NOT NULL").withColumn("chunk_id", tx.chunk_id(F.col(key), F.col("chunk_index")))
-    rows = full.unionByName(some.where("NOT some").select(key), allowMissingColumns=True)
-    rows.repartition(key).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
 
+def _there(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
-def read_chunks(spark, path: str, paper, key: str = "paper_id") -> DataFrame:
-    """Only the paper's partition is read."""
-    return spark.read.parquet(path).where((F.col(key) == paper) & F.col("chunk").isNotNull())
+
+def write_chunks(chunks: DataFrame, path: str, key: str = "paper_id", buckets: int = BUCKETS) -> None:
+    """Replace all chunks of the papers that are given, and of no other; blank chunks go, so an emptied paper has none.
+
+    Papers lie in ``buckets`` folders by hash, in order of the key. Only folders that a given paper falls into are written again:
+    what they hold of other papers, found by an anti-join, with the new chunks. Each folder has a row without a chunk, so that one
+    which is left empty is overwritten too; ``read_chunks`` leaves it out.
+    """
+    spark = chunks.sparkSession
+    full = chunks.withColumn("chunk", F.nullif(tx.strip(F.col("chunk")), F.lit(""))).withColumn("chunk_id", tx.chunk_id(F.col(key), F.col("chunk_index"))).withColumn("bucket", _bucket(F.col(key), buckets))
+    papers = chunks.select(key).distinct().withColumn("bucket", _bucket(F.col(key), buckets))
+    touched = [r["bucket"] for r in papers.select("bucket").distinct().collect()]  # at most as many as there are folders
+    rows = full.where("chunk IS NOT NULL")
+    if _there(spark, path):
+        old = spark.read.schema(rows.schema).parquet(path).where(F.col("bucket").isin(touched) & F.col("chunk").isNotNull())
+        rows = rows.unionByName(old.join(papers.select(key), key, "left_anti"))
+    marks = papers.select("bucket").distinct()
+    rows.unionByName(marks, allowMissingColumns=True).repartition("bucket").sortWithinPartitions("bucket", key).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+
+
+def read_chunks(spark: SparkSession, path: str, paper, key: str = "paper_id", buckets: int = BUCKETS) -> DataFrame:
+    """Only the paper's folder is read, and of it the row groups that may hold the paper."""
+    mine = F.col("bucket") == spark.range(1).select(_bucket(F.lit(paper), buckets)).first()[0]
+    return spark.read.parquet(path).where(mine & (F.col(key) == paper) & F.col("chunk").isNotNull()).drop("bucket")
 
 
 def write_results(results: DataFrame, path: str) -> None:

@@ -13,15 +13,27 @@ def test_chunks_are_replaced_by_paper(spark, tmp_path):
     path, schema = str(tmp_path / "c"), "paper_id string, chunk_index int, chunk string"
     sinks.write_chunks(spark.createDataFrame([("a", 0, "x"), ("a", 1, "y"), ("b", 0, "z")], schema), path)
     sinks.write_chunks(spark.createDataFrame([("a", 0, " new "), ("a", 1, "  ")], schema), path)
-    got = spark.read.parquet(path)
+    got = spark.read.parquet(path).where("chunk IS NOT NULL")
     assert sorted((r["paper_id"], r["chunk"]) for r in got.collect()) == [("a", "new"), ("b", "z")]
     plan = sinks.read_chunks(spark, path, "a")._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(paper_id" in plan
+    assert "PartitionFilters: [isnotnull(bucket" in plan and "EqualTo(paper_id,a)" in plan
     assert sinks.read_chunks(spark, path, "a").first()["chunk_id"].startswith("a:0:")
     sinks.write_chunks(spark.createDataFrame([("a", 0, " \n"), ("a", 1, None)], schema), path)
     assert sinks.read_chunks(spark, path, "a").count() == 0 and [r["chunk"] for r in sinks.read_chunks(spark, path, "b").collect()] == ["z"]
 
 
+def test_papers_that_share_a_folder(spark, tmp_path):
+    path, schema = str(tmp_path / "c"), "paper long, chunk_index int, chunk string"
+    want = {i: f"old {i}" for i in range(40)}
+    sinks.write_chunks(spark.createDataFrame([(i, 0, t) for i, t in want.items()], schema), path, "paper", 3)
+    sinks.write_chunks(spark.createDataFrame([(i, 0, "" if i % 2 else f"new {i}") for i in range(0, 40, 5)] + [(77, 0, "x")], schema), path, "paper", 3)
+    want = {i: f"new {i}" if i % 5 == 0 else t for i, t in want.items() if i % 10 != 5} | {77: "x"}
+    assert {r["paper"]: r["chunk"] for r in spark.read.parquet(path).where("chunk IS NOT NULL").collect()} == want
+    assert len(list((tmp_path / "c").glob("bucket=*"))) == 3
+    assert [r["chunk"] for r in sinks.read_chunks(spark, path, 11, "paper", 3).collect()] == ["old 11"]
+    assert sinks.read_chunks(spark, path, 15, "paper", 3).count() == 0
+
+
 def test_logs_and_results(spark, sf_dir, tmp_path):
     calls = spark.createDataFrame([(1, "m", 2, 3, "chat", "t")], "user_id long, model string, prompt_tokens long, completion_tokens long, action string, created_at string")
     for _ in range(2):
