@@ -8,14 +8,14 @@ from pyspark.sql.window import Window
 
 from granary.functions import text as tx
 from granary.operators import render
-from granary.sources.tables import load
+from granary.sources.tables import load, spread
 
 from . import sql as q
 from .registry import query
 
 
 def documents(spark: SparkSession, d: str, *names: str) -> DataFrame:
-    return load(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *names)
+    return spread(load(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *names), "doc_id")
 
 
 def chunk_rows(spark: SparkSession, d: str) -> DataFrame:

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from granary.functions import text as tx
 
 
-#: What stands for a document without text.
 # Fixed value: what stands for a document without readable text.
 NO_TEXT = "未提取到可读文本，上传的 PDF 可能是扫描件或受保护文档。"
 
@@ -17,6 +16,19 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+
+#: Bytes for each core below which a table is dealt out over all of them.
+SPREAD = 32 << 20
+
+
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """A small table dealt out by ``key`` over all cores, for work that is heavy for each row: a file of one row group is one task
+    otherwise. A table above ``SPREAD`` bytes a core has splits enough and is not shuffled; the rows are the same either way."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return rows.repartition(cores, key) if size < SPREAD * cores else rows
+
+
 def read_json_rows(spark: SparkSession, path: str, schema: str, malformed: str = "DROPMALFORMED") -> DataFrame:
     """A JSON array or JSON lines, with a schema given; files that do not parse are dropped, as a directory scan would."""
     return spark.read.schema(schema).option("multiLine", True).option("mode", malformed).json(path)

@@ -34,3 +34,14 @@ def test_retrieval_has_no_cartesian_product(name, spark, sf_dir):
 def test_filters_and_columns_reach_the_scan(spark, sf_dir):
     plan = QUERIES["q_usage_by_model"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(ts)" in plan and "props" not in plan
+
+
+def test_only_small_tables_are_dealt_out(spark, sf_dir, monkeypatch):
+    from granary.sources import tables
+
+    plan = lambda: QUERIES["q_sections"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    want = sorted(map(str, QUERIES["q_chunks"](spark, sf_dir).collect()))
+    assert plan().count("Exchange hashpartitioning(doc_id") == 1 and "REPARTITION_BY_NUM" in plan()
+    monkeypatch.setattr(tables, "SPREAD", 0)
+    assert "REPARTITION_BY_NUM" not in plan()
+    assert sorted(map(str, QUERIES["q_chunks"](spark, sf_dir).collect())) == want
