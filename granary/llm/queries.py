@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact, nbsvm, nnpu, packing, pii, records, simhash, substring, topk
+from . import binary, bpe, exact, mining, nbsvm, nnpu, packing, pii, records, simhash, substring, topk
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_substring_dedup": substring.op8_substring_dedup,
     "op9_exact_dedup": exact.op9_exact_dedup,
     "op10_pii": pii.op10_pii,
+    "op11_binary_packing": binary.op11_binary_packing,
+    "op12_hard_negatives": mining.op12_hard_negatives,
 }
 
-ORACLE_SQL = {"op6_top_k": topk.OP6_SQL, "op8_substring_dedup": substring.OP8_SQL, "op9_exact_dedup": exact.OP9_SQL}
+ORACLE_SQL = {"op6_top_k": topk.OP6_SQL, "op8_substring_dedup": substring.OP8_SQL, "op9_exact_dedup": exact.OP9_SQL, "op12_hard_negatives": mining.OP12_SQL}
