@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import binary, bpe, exact, mining, nbsvm, nnpu, packing, pii, records, simhash, substring, topk
+from . import balls, binary, bpe, exact, mining, nbsvm, nnpu, packing, pii, records, simhash, substring, topk
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_pii": pii.op10_pii,
     "op11_binary_packing": binary.op11_binary_packing,
     "op12_hard_negatives": mining.op12_hard_negatives,
+    "op13_ball_k_means": balls.op13_ball_k_means,
 }
 
-ORACLE_SQL = {"op6_top_k": topk.OP6_SQL, "op8_substring_dedup": substring.OP8_SQL, "op9_exact_dedup": exact.OP9_SQL, "op12_hard_negatives": mining.OP12_SQL}
+ORACLE_SQL = {"op6_top_k": topk.OP6_SQL, "op8_substring_dedup": substring.OP8_SQL, "op9_exact_dedup": exact.OP9_SQL, "op12_hard_negatives": mining.OP12_SQL, "op13_ball_k_means": balls.OP13_SQL}
