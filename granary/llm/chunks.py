@@ -7,8 +7,8 @@ space may be cut at every space and line feed. Either kind of pattern also ends
 meet, but for apostrophes; here that is used between ASCII and Latin-1 letters, ASCII digits and ASCII punctuation, which no
 normaliser changes. The tests hold chunked ids against those of the whole text.
 
-Chunks are ranges of bytes, found by numpy and told by 128 bits of hash (two chunks of a worker's cache meet with a chance far
-below that of a failed disk), so a chunk that was met before never becomes a Python object: its ids are copied from a pool.
+Chunks are ranges of bytes, found by numpy and looked up by a hash; the cache keeps their bytes, and a chunk is another's like only
+if all its bytes are the same. A chunk that was met before never becomes a Python object: its ids are copied from a pool.
 """
 
 from __future__ import annotations
@@ -21,10 +21,10 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 
-from .common import pieces, range_hashes, raw_texts
+from .common import byte_hashes, pieces, raw_texts, same_bytes, spare
 
-#: Chunks in either half of a worker's cache, and ids in either half: bounds on memory, not on what is encoded.
-CACHE, POOL = 400_000, 4_000_000
+#: Chunks in either half of a worker's cache, and ids and bytes in either half: bounds on memory, not on what is encoded.
+CACHE, POOL, BYTES = 400_000, 4_000_000, 16 << 20
 _RUNS = re.compile(r"\s\s")
 _SINGLE = re.compile(r"(?<=\S)(?= \S)")
 _SPACE, _LINE, _QUOTE = 0x20, 0x0A, 0x27
@@ -101,45 +101,78 @@ def cut_dropped(data: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndar
     return start[own], end[own]
 
 
+class Chunks:
+    """Ranges of some bytes, which have eight to spare, with a hash of each."""
+
+    def __init__(self, data: np.ndarray, start: np.ndarray, size: np.ndarray, h: np.ndarray):
+        self.data, self.start, self.size, self.h = data, start, size, h
+
+    def __len__(self) -> int:
+        return len(self.start)
+
+    def __getitem__(self, which: np.ndarray) -> Chunks:
+        return Chunks(self.data, self.start[which], self.size[which], self.h[which])
+
+    def same(self, other: Chunks) -> np.ndarray:
+        """Which chunks have the bytes of the other's in their place."""
+        out = (self.h == other.h) & (self.size == other.size)
+        at = np.flatnonzero(out)
+        out[at] = same_bytes(self.data, self.start[at], other.data, other.start[at], self.size[at])
+        return out
+
+
+def _room(x: np.ndarray, n: int) -> np.ndarray:
+    """At least n places, twice as many where there are not."""
+    return x if n <= len(x) else np.append(x, np.zeros(max(n - len(x), len(x)), x.dtype))
+
+
+def _runs(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places of ranges, in a row."""
+    end = np.cumsum(size)
+    place = np.repeat(start - (end - size), size)
+    place += np.arange(len(place))
+    return place
+
+
 class Table:
-    """Ids of chunks by two hashes of their bytes, in an open-addressing table; ids lie in a row in a pool."""
+    """Ids of chunks in an open-addressing table by hash; bytes and ids lie in a row in pools."""
 
     def __init__(self) -> None:
         self.slots = np.full(1 << (2 * CACHE - 1).bit_length(), -1, np.int32)
-        self.h = np.zeros((2, CACHE), np.uint64)
+        self.own = Chunks(np.zeros(4 * CACHE + 8, np.uint8), np.zeros(CACHE, np.int64), np.zeros(CACHE, np.int64), np.zeros(CACHE, np.uint64))
         self.at, self.size = np.zeros(CACHE, np.int64), np.zeros(CACHE, np.int64)
         self.pool = np.zeros(POOL, "<u4")
-        self.n, self.used = 0, 0
+        self.n, self.used, self.held = 0, 0, 0
 
-    def find(self, h: np.ndarray) -> np.ndarray:
+    def find(self, chunks: Chunks) -> np.ndarray:
         """The number of each chunk, -1 where it is not known."""
-        out = np.full(h.shape[1], -1, np.int64)
+        out = np.full(len(chunks), -1, np.int64)
         if not self.n:
             return out
-        todo = np.arange(h.shape[1])
+        todo = np.arange(len(chunks))
         mask = np.uint64(len(self.slots) - 1)
-        slot = h[0] & mask
+        slot = chunks.h & mask
         while len(todo):
             got = self.slots[slot]
             there = got >= 0
             todo, slot, got = todo[there], slot[there], got[there]
-            same = (self.h[0, got] == h[0, todo]) & (self.h[1, got] == h[1, todo])
+            same = chunks[todo].same(self.own[got])
             out[todo[same]] = got[same]
             todo, slot = todo[~same], (slot[~same] + np.uint64(1)) & mask
         return out
 
-    def put(self, h: np.ndarray, ids: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """Take in chunks that are not known yet and distinct; their numbers."""
-        n, total = h.shape[1], len(ids)
-        while self.n + n > len(self.at):
-            self.h, self.at, self.size = np.concatenate([self.h, np.zeros_like(self.h)], 1), np.append(self.at, np.zeros_like(self.at)), np.append(self.size, np.zeros_like(self.size))
-        while self.used + total > len(self.pool):
-            self.pool = np.append(self.pool, np.zeros_like(self.pool))
+    def put(self, chunks: Chunks, ids: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Take in chunks that are not known yet and differ in their hash; their numbers."""
+        n, own = len(chunks), self.own
         number = np.arange(self.n, self.n + n)
-        self.h[:, number], self.size[number] = h, size
-        self.at[number] = self.used + np.cumsum(size) - size
-        self.pool[self.used : self.used + total] = ids
-        self.n, self.used = self.n + n, self.used + total
+        total, wide = self.used + len(ids), self.held + int(chunks.size.sum())
+        self.at, self.size, self.pool = _room(self.at, self.n + n), _room(self.size, self.n + n), _room(self.pool, total)
+        own.start, own.size, own.h, own.data = _room(own.start, self.n + n), _room(own.size, self.n + n), _room(own.h, self.n + n), _room(own.data, wide + 8)
+        self.at[number], self.size[number] = self.used + np.cumsum(size) - size, size
+        own.start[number], own.size[number], own.h[number] = self.held + np.cumsum(chunks.size) - chunks.size, chunks.size, chunks.h
+        self.pool[self.used : total] = ids
+        own.data[self.held : wide] = chunks.data[_runs(chunks.start, chunks.size)]
+        self.n, self.used, self.held = self.n + n, total, wide
         if 2 * self.n > len(self.slots):
             self.slots = np.full(1 << (4 * self.n - 1).bit_length(), -1, np.int32)
             self._place(np.arange(self.n))
@@ -149,7 +182,7 @@ class Table:
 
     def _place(self, number: np.ndarray) -> None:
         mask = np.uint64(len(self.slots) - 1)
-        slot = self.h[0, number] & mask
+        slot = self.own.h[number] & mask
         while len(number):
             free = np.flatnonzero(self.slots[slot] < 0)
             _, first = np.unique(slot[free], return_index=True)
@@ -161,15 +194,12 @@ class Table:
 
     @property
     def full(self) -> bool:
-        return self.n > CACHE or self.used > POOL
+        return self.n > CACHE or self.used > POOL or self.held > BYTES
 
     def ids(self, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of chunks in a row, and how many each has."""
         size = self.size[number]
-        end = np.cumsum(size)
-        place = np.repeat(self.at[number] - (end - size), size)
-        place += np.arange(len(place))
-        return self.pool[place], size
+        return self.pool[_runs(self.at[number], size)], size
 
 
 class Encoder:
@@ -194,22 +224,24 @@ class Encoder:
         if self.young.full:
             self.young, self.old = Table(), self.young
         start, end = self.cut(data, edge)
-        keyed = self._keyed(data, start, end)
-        h = np.stack([range_hashes(keyed, start, end, which) for which in (0, 1)])
-        number = self.young.find(h)
+        keyed = spare(self._keyed(data, start, end))
+        chunks = Chunks(keyed, start, end - start, byte_hashes(keyed, start, end))
+        number = self.young.find(chunks)
         lost = np.flatnonzero(number < 0)
-        if len(lost):
-            _, first, each = np.unique(h[0, lost] ^ (h[1, lost] << np.uint64(1)), return_index=True, return_inverse=True)
+        while len(lost):  # once, but for different chunks of one hash
+            _, first, each = np.unique(chunks.h[lost], return_index=True, return_inverse=True)
             one = lost[first]
             took = np.full(len(one), -1)
-            known = self.old.find(h[:, one])
+            known = self.old.find(chunks[one])
             if len(met := np.flatnonzero(known >= 0)):
-                took[met] = self.young.put(h[:, one[met]], *self.old.ids(known[met]))
+                took[met] = self.young.put(chunks[one[met]], *self.old.ids(known[met]))
             if len(new := np.flatnonzero(known < 0)):
                 got = list(self.encode([data[a:b].tobytes().decode() for a, b in zip(start[one[new]].tolist(), end[one[new]].tolist(), strict=True)]))
                 size = np.fromiter(map(len, got), np.int64, len(got)) // 4
-                took[new] = self.young.put(h[:, one[new]], np.frombuffer(b"".join(got), "<u4"), size)
-            number[lost] = took[each]
+                took[new] = self.young.put(chunks[one[new]], np.frombuffer(b"".join(got), "<u4"), size)
+            same = chunks[lost].same(chunks[one[each]])
+            number[lost[same]] = took[each[same]]
+            lost = lost[~same]
         ids, size = self.young.ids(number)
         return ids, np.append(0, np.cumsum(size))[np.searchsorted(start, edge)]
 

@@ -2,7 +2,8 @@
 
 Words are the maximal runs of bytes other than 0x20 and 0x09-0x0D. ``bytes.split()`` cuts at exactly those six bytes, so a
 UTF-8 text is split without a regular expression. Where a batch's words are only hashed they never become Python objects: ranges
-of bytes are found by numpy, and sums of bytes times powers of an odd number give each range its hash.
+of bytes are found by numpy and hashed eight bytes at a time. Sums of bytes times powers of an odd number (``range_hashes``) are
+for features alone, where two words may share a number; they do not tell texts apart.
 """
 
 from __future__ import annotations
@@ -208,6 +209,56 @@ def range_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, which: in
     return out
 
 
+#: Ranges of up to so many bytes are hashed and compared by numpy, eight bytes at a time; longer ones each for itself.
+WIDE = 64
+_MASK = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+_STEP = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
+
+
+def lanes(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, as a number; ``data`` ends with eight bytes to spare."""
+    return np.ndarray(len(data) - 7, np.dtype("<u8"), data, strides=(1,))
+
+
+def spare(data: np.ndarray) -> np.ndarray:
+    return np.append(data, np.zeros(8, np.uint8))
+
+
+def byte_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, which: int = 0) -> np.ndarray:
+    """A 64-bit hash of the bytes of each range: each eight bytes go through a mixing permutation with what came before.
+
+    ``data`` has eight bytes to spare. Equal bytes have equal hashes in all batches; ``which`` gives independent ones.
+    """
+    size = end - start
+    out = mix(size.astype(np.uint64) + _STEP[which])
+    eight = lanes(data)
+    todo = np.flatnonzero((size > 0) & (size <= WIDE))
+    at, left, h = start[todo], size[todo], out[todo]
+    while len(todo):
+        h = mix((h ^ (eight[at] & _MASK[np.minimum(left, 8)])) * _STEP[1 - which] + _STEP[which])
+        out[todo] = h
+        go = left > 8
+        todo, at, left, h = todo[go], at[go] + 8, left[go] - 8, h[go]
+    for i in np.flatnonzero(size > WIDE).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(data[start[i] : end[i]], which)
+    return out
+
+
+def same_bytes(a: np.ndarray, at: np.ndarray, b: np.ndarray, by: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the ``size`` bytes of ``a`` from each ``at`` are those of ``b`` from ``by``; both have eight bytes to spare."""
+    out = np.ones(len(size), bool)
+    x, y = lanes(a), lanes(b)
+    todo, done = np.flatnonzero((size > 0) & (size <= WIDE)), 0
+    while len(todo):
+        left = size[todo] - done
+        differ = ((x[at[todo] + done] ^ y[by[todo] + done]) & _MASK[np.minimum(left, 8)]) != 0
+        out[todo[differ]] = False
+        todo, done = todo[(left > 8) & ~differ], done + 8
+    for i in np.flatnonzero(size > WIDE).tolist():
+        out[i] = np.array_equal(a[at[i] : at[i] + size[i]], b[by[i] : by[i] + size[i]])
+    return out
+
+
 class Memo(dict):
     """What a function gives for a word, remembered: when ``size`` words are known they become the old ones, and words that are
     met again move back, so common words stay however many rare ones go by."""

@@ -15,8 +15,10 @@ buckets, which grows with the corpus, and a bucket is a task. A part sends a row
 large corpus buckets grow up to LARGEST times before rows get short: with parts of 128 MB, 100 TB give rows of ten hashes. Larger
 parts make longer rows. Answers lie in the shared folder by part, and each task reads only those of its parts.
 
-Words are hashed by their bytes, by two polynomials; a window is told by 64 bits of one and 32 of the other, which share nothing
-but the text. Its words are not compared again: among 10^13 windows two different ones meet with a chance of about 10^-3.
+Words are hashed by their bytes, eight at a time through a mixing permutation, long ones by XXH3, and a window by the hashes of
+its halves, theirs, and so on down to its words, mixed at each step. A window is told by 128 bits, two such hashes with their own
+constants; no sum or product of words or bytes stands alone, so texts of two words in a pattern are told apart like others. Words
+are not compared again: among 10^13 windows two different ones meet with a chance of about 10^-13, if the hashes are as good as random.
 
 Rows: a null text has no words; rows are judged one by one, so repeated rows remove each other's windows; doc_id is only carried.
 """
@@ -33,7 +35,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SEGMENT, drop_scratch, id_and_text, kept, mix, pieces, powers, range_hashes, scratch, segments, table, text_batches, word_ranges
+from .common import byte_hashes, drop_scratch, id_and_text, kept, mix, pieces, scratch, spare, table, text_batches, word_ranges
 
 WINDOW = 35
 #: Perfect difference sets by their period.
@@ -51,16 +53,15 @@ def cover_for(window: int) -> int:
     return max(p for p in COVERS if p == 1 or window - p + 1 >= LEAST_ANCHOR)
 
 
+_JOIN = (np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB))
+
+
 def window_hashes(a: np.ndarray, at: np.ndarray, length: int, which: int) -> np.ndarray:
-    """A polynomial hash of the windows of ``length`` word hashes that start at ``at``, which ascends."""
-    out = np.empty(len(at), np.uint64)
-    for own, lo, hi in segments(a, at, at + length):
-        up, down = powers(which, max(SEGMENT, hi - lo) + 1)
-        total = np.zeros(hi - lo + 1, np.uint64)
-        np.cumsum(a[lo:hi] * up[: hi - lo], out=total[1:])
-        x = at[own] - lo
-        out[own] = mix((total[x + length] - total[x]) * down[x])
-    return out
+    """A hash of the windows of ``length`` word hashes that start at ``at``: of two windows of the largest power of two within."""
+    n = 1
+    while 2 * n <= length and len(at):
+        a, n = mix(a[:-n] * _JOIN[which] + a[n:]), 2 * n
+    return mix(a[at] * _JOIN[which] + a[at + (length - n)]) if n < length else a[at]
 
 
 class Texts:
@@ -74,7 +75,7 @@ class Texts:
 
     def hashes(self, which: int) -> np.ndarray:
         if which not in self._hashes:
-            self._hashes[which] = range_hashes(self.data, self.start, self.end, which)
+            self._hashes[which] = byte_hashes(spare(self.data), self.start, self.end, which)
         return self._hashes[which]
 
     def of(self, words: np.ndarray) -> np.ndarray:
@@ -98,14 +99,14 @@ class Finder:
         return at, window_hashes(t.hashes(0), at, self.anchor, 0)
 
     def candidates(self, t: Texts, repeated: Answers) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Start and hash (64 and 32 bits) of each window that holds a repeated anchor."""
+        """Start and hash (two of 64 bits) of each window that holds a repeated anchor."""
         at, h = self.anchors(t)
         hit = at[repeated.has(h)]
         if not len(hit):
-            return hit, np.zeros(0, np.uint64), np.zeros(0, np.uint32)
+            return hit, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
         own = t.of(hit)
         at = np.flatnonzero(covered(np.maximum(hit - self.period + 1, t.first[own]), np.minimum(hit + 1, t.first[own + 1] - self.window + 1), len(t.start)))
-        return at, window_hashes(t.hashes(0), at, self.window, 0), (window_hashes(t.hashes(1), at, self.window, 1) >> np.uint64(32)).astype(np.uint32)
+        return at, window_hashes(t.hashes(0), at, self.window, 0), window_hashes(t.hashes(1), at, self.window, 1)
 
 
 def covered(start: np.ndarray, end: np.ndarray, n: int) -> np.ndarray:
@@ -122,7 +123,7 @@ def member(x: np.ndarray, among: np.ndarray) -> np.ndarray:
     return among[i] == x
 
 
-_KEY = np.dtype([("h", "<u8"), ("g", "<u4")])
+_KEY = np.dtype([("h", "<u8"), ("g", "<u8")])
 
 
 def keys(h: np.ndarray, g: np.ndarray) -> np.ndarray:

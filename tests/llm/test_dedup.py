@@ -13,6 +13,7 @@ from llm_odd import documents, nothing, prose
 
 
 from granary.llm import exact, near, simhash, substring
+from granary.llm.common import byte_hashes, spare
 from granary.llm.components import connected_components
 from granary.llm.queries import ORACLE_SQL, QUERIES
 
@@ -253,3 +254,20 @@ def test_near_copies_are_dropped_by_row(spark):
     threes = [t for i, t in got if i == 3]
     assert len(threes) == 1 and threes[0] in (c, f"{c} more")
     assert Counter(r for r in got if r[0] != 3) == Counter([(1, a), (2, b), (5, "alone"), (None, a), (None, a)])
+
+
+def test_windows_of_words_in_a_pattern_are_told_apart(spark):
+    """Thue-Morse words of letters in a word, and of words in a window, with their letters or words exchanged."""
+    morse = lambda n, a, b: [b if i.bit_count() % 2 else a for i in range(n)]
+    filler = [f"w{i}" for i in range(34)]
+    texts = [" ".join([*filler[:17], "".join(morse(n, *ab)), *filler[17:]]) for n in (512, 1024, 2048, 8192) for ab in ("ab", "ba", "ca")]
+    texts += [" ".join(morse(64, *ab)) for ab in (("ab", "cd"), ("cd", "ab"), ("b", "a"))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring.remove_repeats(docs).collect()}
+    assert got == dict(enumerate(plain_removal(texts, 35)))
+    assert all(got[i][1] == 0 for i in range(12))
+    # Words that share their first 64 bytes, and words that differ in the last byte of a run of eight.
+    words = [c * k + e for k in (7, 8, 15, 63, 64, 65, 200) for c in "ab" for e in "xy"]
+    data = np.frombuffer("".join(words).encode(), np.uint8)
+    end = np.cumsum([len(w) for w in words])
+    assert all(len(set(byte_hashes(spare(data), end - [len(w) for w in words], end, which).tolist())) == len(words) for which in (0, 1))

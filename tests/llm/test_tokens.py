@@ -250,3 +250,37 @@ def test_best_fit_of_counts_is_best_fit_of_pieces():
 def test_vocabularies_are_where_the_parameter_says():
     ranks = bpe.read_ranks(P.path("byte_bpe_50k.tiktoken"))
     assert len(ranks) == 50_256 and base64.b64encode(bytes([0]))
+
+
+def morse(n: int, a: str = "a", b: str = "b") -> str:
+    """A Thue-Morse word of n letters: sums of its letters times powers of any number are those of the word with a and b exchanged,
+    modulo a power of two that grows with the square of the logarithm of n."""
+    return "".join(b if i.bit_count() % 2 else a for i in range(n))
+
+
+def morse_texts() -> list[str]:
+    return [f"x {morse(n, *ab)} y" for n in (64, 512, 1024, 2048, 4096, 8192) for ab in (("a", "b"), ("b", "a"), ("c", "a"), ("q", "Q"))]
+
+
+def test_words_of_one_polynomial_have_their_own_ids(spark):
+    texts = morse_texts()
+    for name, drops in (("byte_bpe_50k.json", False), ("word_bpe_49k.json", True)):
+        got = chunks.library_encoder(P.path(name), drops)(texts)
+        assert [np.frombuffer(g, "<u4").tolist() for g in got] == [e.ids for e in library(name).encode_batch(texts, add_special_tokens=False)]
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
+    assert {r.doc_id: (list(r.ids), bytes(r.decoded).decode()) for r in bpe.encode_decode(docs, path, P.PATTERN).collect()} == {i: (enc.encode_ordinary(t), t) for i, t in enumerate(texts)}
+
+
+def test_chunks_of_one_hash_have_their_own_ids(texts, monkeypatch):
+    """With hashes of three bits nearly all chunks meet others of their hash, within a batch, in the young and in the old half."""
+    full = chunks.byte_hashes
+    monkeypatch.setattr(chunks, "byte_hashes", lambda *a: full(*a) & np.uint64(7))
+    monkeypatch.setattr(chunks, "CACHE", 60)
+    for name, drops in (("byte_bpe_50k.json", False), ("word_bpe_49k.json", True)):
+        whole = chunks.library_encoder(P.path(name), drops)
+        small, own = chunks.Encoder(whole.cut, whole.fold, whole.encode), texts[:12] + ODD + morse_texts()[:8]
+        want = [e.ids for e in library(name).encode_batch(own, add_special_tokens=False)]
+        for at in (0, 7, 0):
+            assert [np.frombuffer(g, "<u4").tolist() for x in range(at, len(own), 5) for g in small(own[x : x + 5])] == want[at:]
