@@ -20,7 +20,7 @@ from granary.streaming import tasks, windows
 from . import sql as q
 from .registry import query
 from .stream_queries import _STATUS, reports
-from .text_queries import _BLOCK, _ESCAPED, _SECTIONS, chunk_rows, section_rows
+from .text_queries import _BLOCK, _ESCAPED, _SECTIONS, chunk_rows, section_lists
 
 
 @query("""
@@ -56,7 +56,7 @@ SELECT doc_id, '<!doctype html><html lang="zh-CN"><head><meta charset="utf-8"><t
 """)
 def q_layout_page(spark: SparkSession, d: str) -> DataFrame:
     """The page in two columns of each document; titles hold what has to be escaped."""
-    rows = section_rows(spark, d).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("section", "title", "content"))).alias("s"))
+    rows = section_lists(spark, d).where(F.size("s") > 0)
     title = F.concat(F.lit("<"), F.col("doc_id").cast("string"), F.lit(">"))
     return rows.join(load(spark, d, "documents").select("doc_id", "lang"), "doc_id").select("doc_id", render.layout_html(title, F.col("lang"), F.col("s")).alias("page"))
 

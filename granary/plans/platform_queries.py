@@ -137,7 +137,7 @@ def q_sse_parse(spark: SparkSession, d: str) -> DataFrame:
     body = F.to_json(F.struct("event_id", F.col("event_type").alias("kind"), F.col("user_id").alias("user")))
     raw = F.when(n == 0, F.concat(F.lit(": ping\ndata: "), body, F.lit("\n\n"))).when(n == 1, F.concat(F.lit("event: x\ndata: "), body, F.lit("\n\n"))).otherwise(F.concat(F.lit("data: "), F.substring(body, 1, 12)))
     lines = load(spark, d, "events").select(F.explode(F.split(raw, "\n")).alias("line")).where(F.startswith("line", F.lit("data: ")))
-    read = lines.select(F.from_json(F.substring("line", 7, 1 << 20), "event_id long, kind string, user long", {"mode": "PERMISSIVE"}).alias("r"))
+    read = lines.select(F.from_json(F.expr("substring(line, 7)"), "event_id long, kind string, user long", {"mode": "PERMISSIVE"}).alias("r"))
     return read.where("r.kind IS NOT NULL AND r.user IS NOT NULL").select("r.event_id", "r.kind", "r.user")
 
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from granary.functions import text as tx
 from granary.operators import render
@@ -48,11 +47,11 @@ def q_key_sentences(spark: SparkSession, d: str) -> DataFrame:
 
 
 def paper_lines(spark: SparkSession, d: str) -> DataFrame:
-    """(doc_id, pos, line): lines of documents, with a heading of a fixed list before every third line."""
+    """(doc_id, lines): stripped lines of documents, with a heading of a fixed list before every third line; blank ones go."""
     heads = F.array(*(F.lit(h) for h in q.HEAD_LINES))
     own = F.transform(F.split("text", "\n"), lambda x, i: F.when(i % 3 == 0, F.array(F.element_at(heads, ((F.col("doc_id") + i) % len(q.HEAD_LINES)).cast("int") + 1), x)).otherwise(F.array(x)))
-    rows = documents(spark, d).select("doc_id", F.posexplode(F.flatten(own)).alias("pos", "line"))
-    return rows.select("doc_id", "pos", tx.strip(F.col("line")).alias("line")).where("line <> ''")
+    lines = F.filter(F.transform(F.flatten(own), tx.strip), lambda x: x != "")
+    return documents(spark, d).select("doc_id", lines.alias("lines"))
 
 
 _LINES = f"""
@@ -60,49 +59,39 @@ _LINES = f"""
     SELECT doc_id, flatten(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x, i: CASE WHEN (i - 1) % 3 = 0 THEN [heads[CAST((doc_id + i - 1) % {len(q.HEAD_LINES)} AS BIGINT) + 1], x] ELSE [x] END)) AS ls
     FROM documents, (SELECT [{", ".join(q.quoted(h) for h in q.HEAD_LINES)}] AS heads))
 """
-_PARSED = q.parsed_heading(f"SELECT doc_id, pos, {q.strip('line')} AS line FROM ({_LINES}) WHERE {q.strip('line')} <> ''")
-
-
-def parsed_lines(spark: SparkSession, d: str) -> DataFrame:
-    rows = paper_lines(spark, d).withColumn("h", tx.parse_heading(F.col("line")))
-    return rows.select("doc_id", "pos", "line", F.col("h.title").alias("title"), F.col("h.rest").alias("rest"))
+_PARSED = q.parsed_heading(f"SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS INTEGER) AS pos, {q.strip('line')} AS line FROM ({_LINES}) WHERE {q.strip('line')} <> ''")
 
 
 @query(f"SELECT doc_id, pos, line, title, rest FROM ({_PARSED}) WHERE title IS NOT NULL")
 def q_headings(spark: SparkSession, d: str) -> DataFrame:
-    return parsed_lines(spark, d).where("title IS NOT NULL")
-
+    """Heading lines by their place among the lines that are not blank."""
+    parsed = F.transform("lines", lambda x, i: F.struct(i.alias("pos"), x.alias("line"), tx.parse_heading(x).alias("h")))
+    rows = paper_lines(spark, d).select("doc_id", F.explode(F.filter(parsed, lambda x: x["h"].isNotNull())).alias("x"))
+    return rows.select("doc_id", "x.pos", "x.line", "x.h.title", "x.h.rest")
 
-def section_rows(spark: SparkSession, d: str) -> DataFrame:
-    """(doc_id, section, title, content): lines between headings; the window is over the lines of one document."""
-    w = Window.partitionBy("doc_id").orderBy("pos")
-    rows = parsed_lines(spark, d).withColumn("section", F.sum(F.col("title").isNotNull().cast("int")).over(w).cast("int"))
-    body = F.when(F.col("title").isNull(), F.col("line")).otherwise(F.nullif(F.col("rest"), F.lit("")))
-    grouped = rows.groupBy("doc_id", "section").agg(F.max("title").alias("title"), F.array_sort(F.collect_list(F.struct("pos", body.alias("b")))).alias("ls"))
-    text = F.array_join(F.transform(F.filter("ls", lambda x: x["b"].isNotNull()), lambda x: x["b"]), "\n")
-    return grouped.select("doc_id", "section", F.coalesce("title", F.lit(DEFAULT_TITLE)).alias("title"), tx.strip(text).alias("content")).where("content <> ''")
 
+def section_lists(spark: SparkSession, d: str) -> DataFrame:
+    """(doc_id, s: array of struct(section, title, content)); no row leaves its task."""
+    return paper_lines(spark, d).select("doc_id", tx.sections(F.col("lines")).alias("s"))
 
-#: The title of what stands before the first heading.
-DEFAULT_TITLE = "## 全文导读"
 
 _SECTIONS = f"""
 WITH p AS ({_PARSED}), n AS (SELECT *, CAST(sum(CASE WHEN title IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS INTEGER) AS section FROM p),
 g AS (SELECT doc_id, section, max(title) AS title, string_agg(CASE WHEN title IS NULL THEN line WHEN rest <> '' THEN rest END, chr(10) ORDER BY pos) AS content FROM n GROUP BY 1, 2)
-SELECT doc_id, section, coalesce(title, '{DEFAULT_TITLE}') AS title, {q.strip("content")} AS content FROM g WHERE coalesce({q.strip("content")}, '') <> ''
+SELECT doc_id, section, coalesce(title, '{tx.BEFORE_HEADINGS}') AS title, {q.strip("content")} AS content FROM g WHERE coalesce({q.strip("content")}, '') <> ''
+UNION ALL SELECT doc_id, 0, '{tx.WHOLE_TEXT}', string_agg(line, chr(10) ORDER BY pos) FROM p GROUP BY 1 HAVING max(CASE WHEN title IS NULL OR rest <> '' THEN 1 ELSE 0 END) = 0
 """
 
 
 @query(_SECTIONS)
 def q_sections(spark: SparkSession, d: str) -> DataFrame:
-    return section_rows(spark, d)
+    return section_lists(spark, d).select("doc_id", F.inline("s"))
 
 
 def merged_sections(spark: SparkSession, d: str) -> DataFrame:
     """(doc_id, sections: array of struct(title, content)), short ones and equal titles merged."""
-    ordered = F.array_sort(F.collect_list(F.struct("section", "title", "content")))
-    rows = section_rows(spark, d).groupBy("doc_id").agg(F.transform(ordered, lambda s: F.struct(s["title"].alias("title"), s["content"].alias("content"))).alias("s"))
-    return rows.select("doc_id", tx.merge_sections(F.col("s")).alias("sections"))
+    plain = F.transform("s", lambda s: F.struct(s["title"].alias("title"), s["content"].alias("content")))
+    return section_lists(spark, d).select("doc_id", tx.merge_sections(plain).alias("sections"))
 
 
 @query()
@@ -163,9 +152,15 @@ def q_token_estimate(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("conv_id", "turn", tx.token_estimate(F.col("t")).alias("tokens"))
 
 
-@query("""
-SELECT doc_id, coalesce(nullif(regexp_replace(s[1:48], '_+$', ''), ''), 'paper') AS slug FROM (
-  SELECT doc_id, lower(regexp_replace(regexp_replace(regexp_replace(replace(strip_accents(coalesce(text, '')), 'ß', ''), '[^\\x00-\\x7F]', '', 'g'), '[^a-zA-Z0-9]+', '_', 'g'), '^_+|_+$', '', 'g')) AS s FROM documents)
+_ONE, _MANY = tx.compatible()
+_SPELLED = "MAP {" + ", ".join(f"{q.quoted(k)}: {q.quoted(v)}" for k, v in _MANY.items()) + "}"
+
+
+@query(f"""
+WITH t AS (SELECT doc_id, translate(coalesce(text, ''), {q.quoted("".join(_ONE))}, {q.quoted("".join(_ONE.values()))}) AS t FROM documents),
+m AS (SELECT {_SPELLED} AS names),
+a AS (SELECT doc_id, array_to_string(list_transform(regexp_extract_all(t, '(?s).'), lambda x: coalesce(names[x], x)), '') AS t FROM t, m)
+SELECT doc_id, coalesce(nullif(lower(regexp_replace(regexp_replace(regexp_replace(t, '[^\\x00-\\x7F]', '', 'g'), '[^a-zA-Z0-9]+', '_', 'g'), '^_+|_+$', '', 'g')), ''), 'paper')[1:48] AS slug FROM a
 """)
 def q_slug(spark: SparkSession, d: str) -> DataFrame:
     return documents(spark, d).select("doc_id", tx.slug(F.col("text")).alias("slug"))
@@ -191,8 +186,7 @@ _HEAD = render.TRANSLATION_HEAD.replace("{language}", "' || lang || '").replace(
 
 @query(f"WITH s AS ({_SECTIONS}) SELECT doc_id, '{_HEAD}' || chr(10) || chr(10) || string_agg(title || chr(10) || chr(10) || content, chr(10) || chr(10) ORDER BY section) || chr(10) AS markdown FROM s JOIN documents USING (doc_id) GROUP BY doc_id, lang")
 def q_render_md(spark: SparkSession, d: str) -> DataFrame:
-    sections = section_rows(spark, d).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("section", "title", "content"))).alias("s"))
-    rows = sections.join(load(spark, d, "documents").select("doc_id", "lang"), "doc_id")
+    rows = section_lists(spark, d).where(F.size("s") > 0).join(load(spark, d, "documents").select("doc_id", "lang"), "doc_id")
     return rows.select("doc_id", render.translation_markdown(F.col("doc_id").cast("string"), F.col("lang"), F.col("s"), F.lit(0), F.lit("2024-01-01T00:00:00Z")).alias("markdown"))
 
 
@@ -201,7 +195,7 @@ _BLOCK = f"'<h' || l || '>' || {_ESCAPED.format(x='h')} || '</h' || l || '><p>'
 
 @query(f"WITH s AS ({_SECTIONS}), b AS (SELECT *, least(4, greatest(2, length(title) - length(replace(title, '#', '')))) AS l, trim(ltrim(title, '#')) AS h FROM s) SELECT doc_id, string_agg({_BLOCK}, chr(10) ORDER BY section) AS body FROM b GROUP BY 1")
 def q_render_html(spark: SparkSession, d: str) -> DataFrame:
-    rows = section_rows(spark, d).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("section", "title", "content"))).alias("s"))
+    rows = section_lists(spark, d).where(F.size("s") > 0)
     return rows.select("doc_id", render.layout_body(F.col("s")).alias("body"))
 
 

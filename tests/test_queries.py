@@ -45,3 +45,10 @@ def test_only_small_tables_are_dealt_out(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(tables, "SPREAD", 0)
     assert "REPARTITION_BY_NUM" not in plan()
     assert sorted(map(str, QUERIES["q_chunks"](spark, sf_dir).collect())) == want
+
+
+@pytest.mark.parametrize("name", ["q_headings", "q_sections", "q_sections_merged", "q_render_html"])
+def test_no_line_leaves_its_document(name, spark, sf_dir):
+    """Small tables are dealt out once; nothing else is shuffled."""
+    plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "REPARTITION_BY_NUM" in plan

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
@@ -89,7 +90,7 @@ def merged(sections: list[tuple[str, str]]) -> list[tuple[str, str]]:
             out[-1] = (out[-1][0], f"{out[-1][1]}\n{short}".strip())
         elif short:
             out.append((title, content))
-    return out
+    return out or [("## 全文", "")]
 
 
 @pytest.mark.parametrize("sections", [[], [("a", "x")], [("a", "x" * 79), ("b", "y" * 79)], [("a", "x" * 80), ("b", "y" * 80), ("c", "z"), ("b", "w" * 90)], [("a", "x" * 90), ("b", " "), ("a", "y")], [("a", "x" * 90), ("c", "s"), ("a", "y")]])
@@ -104,11 +105,27 @@ def test_token_estimate(spark, text, n):
     assert one(spark, tx.token_estimate(F.col("t")), t=text) == n
 
 
-@pytest.mark.parametrize(("text", "want"), [("Été à Zürich!", "ete_a_zurich"), ("日本", "paper"), ("", "paper"), ("a" * 60, "a" * 48), ("--x--y--", "x_y")])
+@pytest.mark.parametrize(("text", "want"), [("Été à Zürich!", "ete_a_zurich"), ("日本", "paper"), ("", "paper"), ("a" * 60, "a" * 48), ("--x--y--", "x_y"), ("a" * 47 + " bc", "a" * 47 + "_"), ("ĳs ﬁn Ǆ ２０２４ x² ½ ①", "ijs_fin_dz_2024_x2_12_1")])
 def test_slug(spark, text, want):
     assert one(spark, tx.slug(F.col("t")), t=text) == want
 
 
+def test_ascii_of_every_character(spark):
+    every = [chr(c) for c in (*range(0x80, 0xD800), *range(0xE000, 0x30000), *range(0xE0000, 0xE0200))]
+    df = spark.createDataFrame([(i, f"<{c}>") for i, c in enumerate(every)], "i int, t string")
+    got = [r["x"] for r in df.select("i", tx.ascii_of(F.col("t")).alias("x")).sort("i").collect()]
+    assert [c for c, x in zip(every, got, strict=True) if x != f"<{unicodedata.normalize('NFKD', c).encode('ascii', 'ignore').decode()}>"] == []
+
+
+@pytest.mark.parametrize(("lines", "want"), [
+    ([], []), (["INTRODUCTION"], [(0, "## 全文", "INTRODUCTION")]), (["ABSTRACT", "1 METHOD"], [(0, "## 全文", "ABSTRACT\n1 METHOD")]), (["a", "b"], [(0, "## 全文导读", "a\nb")]),
+    (["a", "RESULTS", "b", "c", "CONCLUSION", "摘要：d"], [(0, "## 全文导读", "a"), (1, "## 结果", "b\nc"), (3, "## 摘要", "d")]),
+])
+def test_sections(spark, lines, want):
+    df = spark.createDataFrame([(lines,)], "l array<string>").select(tx.sections(F.col("l")).alias("s"))
+    assert [tuple(s) for s in df.first()["s"]] == want
+
+
 def test_json_and_keys(spark):
     assert one(spark, tx.first_json_object(F.col("t")), t='so {"a": {"b": 1}} ok') == '{"a": {"b": 1}}'
     assert one(spark, tx.first_json_object(F.col("t")), t="so {a ok}") is None
