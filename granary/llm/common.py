@@ -46,8 +46,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint of a narrow table: it cuts the lineage and survives lost executors; Spark's cleaner drops it."""
+    """A reliable checkpoint of a narrow table: it cuts the lineage and survives lost executors. Spark's cleaner drops its files with
+    the last reference to it, as the running context is told so here; by default it would leave them."""
     shared_dir(df.sparkSession)
+    df.sparkSession.sparkContext._jsc.sc().conf().set("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     return df.checkpoint(eager=True)
 
 

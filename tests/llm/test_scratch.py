@@ -1,0 +1,27 @@
+"""What operators leave behind in the shared folder, once their result was written and let go."""
+
+from __future__ import annotations
+
+import gc
+import time
+from pathlib import Path
+
+import pytest
+
+from granary.llm.common import shared_dir
+from granary.llm.queries import QUERIES
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_nothing_stays(name, spark, sf_dir, tmp_path):
+    folder = Path(shared_dir(spark).removeprefix("file:"))
+    left = lambda: {p for p in folder.rglob("*") if p.is_file() and not p.name.startswith(".")}
+    before = left()
+    QUERIES[name](spark, sf_dir).write.parquet(str(tmp_path / "out"))
+    for _ in range(40):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        if not left() - before:
+            break
+        time.sleep(0.5)
+    assert not left() - before
