@@ -56,7 +56,7 @@ SELECT doc_id, '<!doctype html><html lang="zh-CN"><head><meta charset="utf-8"><t
 """)
 def q_layout_page(spark: SparkSession, d: str) -> DataFrame:
     """The page in two columns of each document; titles hold what has to be escaped."""
-    rows = section_lists(spark, d).where(F.size("s") > 0)
+    rows = section_lists(spark, d)
     title = F.concat(F.lit("<"), F.col("doc_id").cast("string"), F.lit(">"))
     return rows.join(load(spark, d, "documents").select("doc_id", "lang"), "doc_id").select("doc_id", render.layout_html(title, F.col("lang"), F.col("s")).alias("page"))
 
@@ -138,7 +138,7 @@ def q_token_log(spark: SparkSession, d: str) -> DataFrame:
     calls = e.select("user_id", F.col("event_type").alias("model"), (F.col("event_id") % 100).alias("prompt_tokens"), (F.col("event_id") % 7).alias("completion_tokens"), F.lit("chat").alias("action"), F.col("ts").alias("created_at"), "event_id")
     for go in (0, 1):
         sinks.append_log(sinks.token_rows(calls.where(F.col("event_id") % 2 == go)), path)
-    return spark.read.parquet(path).groupBy("user_id", "model").agg(F.sum("total_tokens").alias("total_tokens"), F.count("*").alias("calls"))
+    return windows.settled(spark.read.parquet(path).groupBy("user_id", "model").agg(F.sum("total_tokens").alias("total_tokens"), F.count("*").alias("calls")), path)
 
 
 @query(f"WITH c AS ({q.CHUNKS}) SELECT doc_id, chunk_index, CASE WHEN doc_id % 10 = 1 THEN 'new ' || chunk ELSE chunk END AS chunk FROM c WHERE doc_id % 10 <> 2")
@@ -148,4 +148,4 @@ def q_chunk_store(spark: SparkSession, d: str) -> DataFrame:
     sinks.write_chunks(rows, path, "doc_id", 16)
     again = rows.where("doc_id % 10 IN (1, 2)").withColumn("chunk", F.when(F.col("doc_id") % 10 == 1, F.concat(F.lit("new "), "chunk")))
     sinks.write_chunks(again, path, "doc_id", 16)
-    return spark.read.parquet(path).where("chunk IS NOT NULL").select("doc_id", "chunk_index", "chunk")
+    return windows.settled(spark.read.parquet(path).where("chunk IS NOT NULL").select("doc_id", "chunk_index", "chunk"), path)

@@ -10,8 +10,10 @@ from granary.functions import dates, scalars
 from granary.functions import text as tx
 from granary.operators import relational as rel
 from granary.operators import render
+from granary.sources import pdf
 from granary.sources import tables as src
-from granary.sources.tables import load
+from granary.sources.tables import load, spread
+from granary.streaming import windows
 
 from . import sql as q
 from .registry import query
@@ -181,6 +183,29 @@ def q_token_table(spark: SparkSession, d: str) -> DataFrame:
     return src.token_table(lines.unionByName(spark.createDataFrame([("| time | project | model | p | c | t |",), ("|---|---|---|---|---|---|",), ("# log",)], "value string")))
 
 
+#: Characters of a page, where documents are made to files.
+PAGE = 1500
+
+
+@query(f"""
+WITH p AS (SELECT doc_id, i, {q.strip(f"substr(coalesce(text, ''), CAST(i * {PAGE} + 1 AS BIGINT), {PAGE})")} AS t FROM documents, unnest(range(CAST(ceil(length(coalesce(text, '')) / {PAGE}.0) AS BIGINT))) u(i))
+SELECT doc_id AS paper_id, CASE WHEN doc_id % 10 = 3 THEN '{src.NO_TEXT}' ELSE coalesce(string_agg('[Page ' || (i + 1) || ']' || chr(10) || t, chr(10) || chr(10) ORDER BY i) FILTER (t <> ''), '{src.NO_TEXT}') END AS text
+FROM documents LEFT JOIN p USING (doc_id) GROUP BY doc_id
+""")
+def q_pdf_text(spark: SparkSession, d: str) -> DataFrame:
+    """All documents as PDF files of pages, read back page by page; every tenth file is no PDF at all."""
+    pdf.register(spark)
+    path = windows.scratch(spark, "pdf")
+    text = F.coalesce("text", F.lit(""))
+    broken = F.col("doc_id") % 10 == 3
+    files = load(spark, d, "documents").select(
+        F.col("doc_id").cast("string").alias("name"), F.when(~broken, tx.blocks(text, PAGE)).alias("pages"), F.when(broken, F.encode(text, "UTF-8")).alias("raw")
+    )
+    spread(files, "name").write.format("pdf").mode("append").option("path", path).save()
+    got = pdf.texts(spark.read.format("pdf").load(path))
+    return windows.settled(got.select(F.regexp_extract("path", r"(-?\d+)\.pdf$", 1).cast("long").alias("paper_id"), "text"), path)
+
+
 @query(f"SELECT doc_id AS paper_id, coalesce(nullif(array_to_string(list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda p, i: CASE WHEN {q.strip('p')} <> '' THEN '[Page ' || i || ']' || chr(10) || {q.strip('p')} END), lambda x: x IS NOT NULL), chr(10) || chr(10)), ''), '{src.NO_TEXT}') AS text FROM documents")
 def q_pdf_pages(spark: SparkSession, d: str) -> DataFrame:
     """Lines stand for pages."""

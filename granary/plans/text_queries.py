@@ -66,7 +66,7 @@ _PARSED = q.parsed_heading(f"SELECT doc_id, CAST(row_number() OVER (PARTITION BY
 def q_headings(spark: SparkSession, d: str) -> DataFrame:
     """Heading lines by their place among the lines that are not blank."""
     parsed = F.transform("lines", lambda x, i: F.struct(i.alias("pos"), x.alias("line"), tx.parse_heading(x).alias("h")))
-    rows = paper_lines(spark, d).select("doc_id", F.explode(F.filter(parsed, lambda x: x["h"].isNotNull())).alias("x"))
+    rows = paper_lines(spark, d).select("doc_id", F.explode_outer(F.filter(parsed, lambda x: x["h"].isNotNull())).alias("x")).where("x IS NOT NULL")
     return rows.select("doc_id", "x.pos", "x.line", "x.h.title", "x.h.rest")
 
 
@@ -85,7 +85,8 @@ UNION ALL SELECT doc_id, 0, '{tx.WHOLE_TEXT}', string_agg(line, chr(10) ORDER BY
 
 @query(_SECTIONS)
 def q_sections(spark: SparkSession, d: str) -> DataFrame:
-    return section_lists(spark, d).select("doc_id", F.inline("s"))
+    # Spark would put a filter on the size of what inline takes below the dealing out, and work all sections out twice.
+    return section_lists(spark, d).select("doc_id", F.inline_outer("s")).where("section IS NOT NULL")
 
 
 def merged_sections(spark: SparkSession, d: str) -> DataFrame:
@@ -96,7 +97,7 @@ def merged_sections(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def q_sections_merged(spark: SparkSession, d: str) -> DataFrame:
-    rows = merged_sections(spark, d).select("doc_id", F.posexplode("sections").alias("pos", "s"))
+    rows = merged_sections(spark, d).select("doc_id", F.posexplode_outer("sections").alias("pos", "s"))
     return rows.select("doc_id", "pos", F.col("s.title").alias("title"), F.col("s.content").alias("content"))
 
 
@@ -186,7 +187,7 @@ _HEAD = render.TRANSLATION_HEAD.replace("{language}", "' || lang || '").replace(
 
 @query(f"WITH s AS ({_SECTIONS}) SELECT doc_id, '{_HEAD}' || chr(10) || chr(10) || string_agg(title || chr(10) || chr(10) || content, chr(10) || chr(10) ORDER BY section) || chr(10) AS markdown FROM s JOIN documents USING (doc_id) GROUP BY doc_id, lang")
 def q_render_md(spark: SparkSession, d: str) -> DataFrame:
-    rows = section_lists(spark, d).where(F.size("s") > 0).join(load(spark, d, "documents").select("doc_id", "lang"), "doc_id")
+    rows = section_lists(spark, d).join(load(spark, d, "documents").select("doc_id", "lang"), "doc_id")
     return rows.select("doc_id", render.translation_markdown(F.col("doc_id").cast("string"), F.col("lang"), F.col("s"), F.lit(0), F.lit("2024-01-01T00:00:00Z")).alias("markdown"))
 
 
@@ -195,8 +196,7 @@ _BLOCK = f"'<h' || l || '>' || {_ESCAPED.format(x='h')} || '</h' || l || '><p>'
 
 @query(f"WITH s AS ({_SECTIONS}), b AS (SELECT *, least(4, greatest(2, length(title) - length(replace(title, '#', '')))) AS l, trim(ltrim(title, '#')) AS h FROM s) SELECT doc_id, string_agg({_BLOCK}, chr(10) ORDER BY section) AS body FROM b GROUP BY 1")
 def q_render_html(spark: SparkSession, d: str) -> DataFrame:
-    rows = section_lists(spark, d).where(F.size("s") > 0)
-    return rows.select("doc_id", render.layout_body(F.col("s")).alias("body"))
+    return section_lists(spark, d).select("doc_id", render.layout_body(F.col("s")).alias("body"))
 
 
 @query(f"WITH c AS ({q.CHUNKS}), p AS (SELECT doc_id, list(chunk ORDER BY chunk_index) AS cs FROM c GROUP BY 1) SELECT doc_id, array_to_string(list_transform(cs[1:8], lambda x, i: '[Context ' || i || ']' || chr(10) || x[1:2500]), chr(10) || chr(10)) AS block, '关于「' || doc_id || '」的回答：' || chr(10) || chr(10) || '以下信息来自当前论文的检索结果，供参考：' || chr(10) || array_to_string(list_transform(cs[1:3], lambda x, i: i || '. ' || x[1:300]), chr(10)) AS fallback FROM p")

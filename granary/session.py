@@ -3,10 +3,19 @@
 from __future__ import annotations
 
 import os
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
 
+def ship(spark: SparkSession) -> None:
+    """Let local Python workers import this package from where it lies; on a cluster it goes by --py-files as usual."""
+    root = str(Path(__file__).resolve().parents[1])
+    env = spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH", "")]))
+
+
 def local_session(cpus: int = 8, app: str = "granary") -> SparkSession:
     """A local session: ANSI, UTC, adaptive execution, as many shuffle partitions as cores."""
     os.environ.setdefault("SPARK_LOCAL_IP", "127.0.0.1")
@@ -18,6 +27,7 @@ def local_session(cpus: int = 8, app: str = "granary") -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("GRANARY_DRIVER_MEMORY", "8g"))

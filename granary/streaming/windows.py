@@ -78,13 +78,39 @@ def decision_stream(requests: DataFrame, answers: DataFrame, seconds: int = 3600
     return r.join(a, within, "left")
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all machines share; one of our own only where Spark is local and none is set."""
+    sc = spark.sparkContext
+    found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not found:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="granary-")
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(found)
+    return found
+
+
 def scratch(spark: SparkSession, what: str = "stream") -> str:
-    """A new folder in the folder that all machines share; one of our own only where Spark is local."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    master = spark.sparkContext.master
-    if not found and master != "local" and not master.startswith("local["):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return f"{(found or 'file://' + tempfile.mkdtemp(prefix='granary-')).rstrip('/')}/granary-{what}-{uuid.uuid4().hex}"
+    """A new folder in the shared one."""
+    return f"{shared_dir(spark).rstrip('/')}/granary-{what}-{uuid.uuid4().hex}"
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def settled(rows: DataFrame, path: str) -> DataFrame:
+    """A checkpoint of what was read from a scratch folder, which is dropped then; the checkpoint goes with the last reference to
+    it, as Spark's cleaner is told so on the running context."""
+    spark = rows.sparkSession
+    shared_dir(spark)
+    spark.sparkContext._jsc.sc().conf().set("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
+    try:
+        return rows.checkpoint(eager=True)
+    finally:
+        drop(spark, path)
 
 
 def run_stream(spark: SparkSession, path: str, plan: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -94,4 +120,4 @@ def run_stream(spark: SparkSession, path: str, plan: Callable[[DataFrame], DataF
     write = lambda df, _: df.write.mode("overwrite").parquet(f"{folder}/out")
     q = plan(events).writeStream.outputMode("complete").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(write).start()
     q.awaitTermination()
-    return spark.read.parquet(f"{folder}/out")
+    return settled(spark.read.parquet(f"{folder}/out"), folder)
