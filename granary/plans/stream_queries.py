@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from granary.functions import text as tx
 from granary.operators import render
 from granary.sources.tables import load
-from granary.streaming import limiter, tasks, windows
+from granary.streaming import broker, limiter, sessions, tasks, windows
 
 from .registry import query
 
@@ -134,3 +134,61 @@ def q_stream_answer(spark: SparkSession, d: str) -> DataFrame:
     rows = load(spark, d, "conversations").where("role = 'assistant'").select("conv_id", "turn", F.posexplode(tx.fixed_pieces(F.col("text"))).alias("pos", "piece"))
     parts = F.array_sort(F.collect_list(F.struct("turn", "pos", "piece")))
     return rows.groupBy("conv_id").agg(F.array_join(F.transform(parts, lambda x: x["piece"]), "").alias("answer"), F.count("*").alias("frames"))
+
+
+DAY = 86_400
+_ENDED = "('done', 'failed', 'cancelled')"
+
+
+@query(f"""
+WITH r AS (SELECT user_id AS task, event_id AS seq, CASE WHEN event_id % 8 = 0 THEN 'create' WHEN event_type = 'error' THEN 'cancel' ELSE 'update' END AS what, {_STATUS} AS status, CASE WHEN event_id % 5 = 0 THEN event_type END AS model FROM events),
+k AS (SELECT *, min(seq) FILTER (what = 'create') OVER (PARTITION BY task) AS born FROM r),
+p AS (SELECT task, seq, what, status, CASE WHEN what <> 'cancel' THEN model END AS model, lag(what) OVER w AS before, lag(status) OVER w AS was, sum(CASE WHEN what = 'create' THEN 1 ELSE 0 END) OVER w AS life FROM k WHERE seq >= born WINDOW w AS (PARTITION BY task ORDER BY seq)),
+e AS (SELECT *, coalesce(last_value(model IGNORE NULLS) OVER (PARTITION BY task, life ORDER BY seq), '') AS kept FROM p),
+c AS (SELECT task, seq, CASE WHEN what = 'cancel' THEN 'cancelled' ELSE status END AS status, kept AS model FROM e WHERE what <> 'cancel' OR (before <> 'cancel' AND was NOT IN {_ENDED})),
+s AS (SELECT DISTINCT user_id AS task, 'a' AS subscriber, user_id % 97 * 20 AS since FROM events UNION ALL SELECT DISTINCT user_id, 'b', user_id % 89 * 50 FROM events),
+n AS (SELECT task, subscriber, since, max(seq) AS seq FROM s JOIN c USING (task) WHERE seq <= since GROUP BY 1, 2, 3),
+f AS (SELECT task, subscriber, since, since AS "at", status, model FROM n JOIN c USING (task, seq) UNION ALL SELECT task, subscriber, since, seq, status, model FROM s JOIN c USING (task) WHERE seq > since),
+x AS (SELECT *, coalesce(max(CASE WHEN status IN ('done', 'failed') THEN 1 ELSE 0 END) OVER (PARTITION BY task, subscriber ORDER BY "at" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS over_, lag("at") OVER (PARTITION BY task, subscriber ORDER BY "at") AS last FROM f)
+SELECT task, subscriber, "at", status, model, CAST(greatest(("at" - coalesce(last, since) - 1) // 15, 0) AS BIGINT) AS idle FROM x WHERE over_ = 0
+""")
+def q_task_broker(spark: SparkSession, d: str) -> DataFrame:
+    """What two subscribers of each task are sent by a stream that is stopped twice: states, with the signs of life before each."""
+    created = F.col("event_id") % 8 == 0
+    what = F.when(created, "create").when(F.col("event_type") == "error", "cancel").otherwise("update")
+    status = F.element_at(F.array(*(F.lit(s) for s, _ in PROGRESS)), (F.col("event_id") % 8).cast("int") + 1)
+    e = load(spark, d, "events")
+    reports_ = e.select(F.col("user_id").alias("task"), F.col("event_id").alias("second"), F.lit(0).alias("seq"), what.alias("what"), F.lit(None).cast("string").alias("subscriber"), status.alias("status"), F.when(F.col("event_id") % 5 == 0, F.col("event_type")).alias("model"))
+    both = F.explode(F.array(F.struct(F.lit("a").alias("s"), (F.col("user_id") % 97 * 20).alias("t")), F.struct(F.lit("b").alias("s"), (F.col("user_id") % 89 * 50).alias("t"))))
+    asked = e.select("user_id").distinct().select(F.col("user_id").alias("task"), both.alias("x")).select("task", F.col("x.t").alias("second"), F.lit(1).alias("seq"), F.lit("subscribe").alias("what"), F.col("x.s").alias("subscriber"), F.lit(None).cast("string").alias("status"), F.lit(None).cast("string").alias("model"))
+    # A watermark starts at second 0, and what is not later than a watermark is late; so time starts a day later.
+    timed = reports_.unionByName(asked).withColumn("at", F.timestamp_seconds(F.col("second") + DAY))
+    cuts = [0, 1500, 4000, 1 << 40]
+    lots = [timed.where((F.col("second") >= a) & (F.col("second") < b)).drop("second") for a, b in zip(cuts, cuts[1:], strict=False)]
+    sent = windows.in_goes(spark, lots, broker.frames).where("kind = 'state'")
+    return sent.select("task", "subscriber", (F.unix_seconds("at") - DAY).alias("at"), "status", F.coalesce("model", F.lit("")).alias("model"), "idle")
+
+
+@query("""
+WITH c AS (SELECT user_id AS owner, event_id AS seq, CASE event_type WHEN 'signup' THEN 'create' WHEN 'view' THEN 'get' WHEN 'click' THEN 'say' WHEN 'purchase' THEN 'close' ELSE 'list' END AS what,
+  lag(event_id, CAST(1 + event_id % 4 AS INTEGER)) OVER (PARTITION BY user_id ORDER BY event_id) AS target FROM events),
+s AS (SELECT m.owner, m.seq AS made, min(x.seq) AS closed FROM c m LEFT JOIN c x ON x.owner = m.owner AND x.what = 'close' AND x.target = m.seq WHERE m.what = 'create' GROUP BY 1, 2),
+o AS (SELECT c.*, s.made IS NOT NULL AND coalesce(closed >= c.seq, true) AS there FROM c LEFT JOIN s ON s.owner = c.owner AND s.made = c.target),
+n AS (SELECT o.*, (SELECT count(*) FROM s WHERE s.owner = o.owner AND made <= o.seq AND coalesce(closed > o.seq, true)) AS live,
+  count(*) FILTER (what = 'say' AND there) OVER (PARTITION BY owner, target ORDER BY seq) AS spoken,
+  (SELECT string_agg(s.owner || '-' || made, ',' ORDER BY made) FROM s WHERE s.owner = o.owner AND made <= o.seq AND coalesce(closed > o.seq, true)) AS names FROM o)
+SELECT owner, seq, what, CASE what WHEN 'create' THEN owner || '-' || seq WHEN 'list' THEN coalesce(names, '') ELSE coalesce(owner || '-' || target, '') END AS session,
+  what IN ('create', 'list') OR there AS ok, CAST(CASE WHEN what IN ('create', 'list', 'close') THEN live WHEN there THEN spoken ELSE 0 END AS BIGINT) AS n FROM n
+""")
+def q_session_commands(spark: SparkSession, d: str) -> DataFrame:
+    """Answers of a stream of commands on sessions: users make them, speak in those made a few events ago, close and list them."""
+    target = F.lag("event_id", 1).over(w := Window.partitionBy("user_id").orderBy("event_id"))
+    for k in (2, 3, 4):
+        target = F.when(F.col("event_id") % 4 == k - 1, F.lag("event_id", k).over(w)).otherwise(target)
+    kinds = {"signup": "create", "view": "get", "click": "say", "purchase": "close", "error": "list"}
+    what = F.coalesce(*(F.when(F.col("event_type") == k, v) for k, v in kinds.items()))
+    rows = load(spark, d, "events").select(F.col("user_id").alias("owner"), F.col("event_id").alias("seq"), what.alias("what"), F.concat_ws("-", F.col("user_id"), target).alias("session"), target.alias("t"), F.col("event_type").alias("text"))
+    rows = rows.withColumn("session", F.when(F.col("t").isNotNull(), F.col("session"))).drop("t")
+    middle = 700
+    got = windows.in_goes(spark, [rows.where(F.col("seq") < middle), rows.where(F.col("seq") >= middle)], sessions.answers)
+    return got.select("owner", "seq", "what", F.coalesce("session", F.lit("")).alias("session"), "ok", "n")

@@ -121,3 +121,19 @@ def run_stream(spark: SparkSession, path: str, plan: Callable[[DataFrame], DataF
     q = plan(events).writeStream.outputMode("complete").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(write).start()
     q.awaitTermination()
     return settled(spark.read.parquet(f"{folder}/out"), folder)
+
+
+def in_goes(spark: SparkSession, rows: list[DataFrame], plan: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """All that a stream appends, which is stopped and started again between one lot of rows and the next; its state goes on.
+
+    Each lot is written before its go, so it is one micro-batch; the state store is the one that ``transformWithState`` needs.
+    """
+    from .broker import start
+
+    folder = scratch(spark)
+    for lot in rows:
+        lot.write.mode("append").parquet(f"{folder}/in")
+        stream = plan(spark.readStream.schema(lot.schema).parquet(f"{folder}/in"))
+        write = stream.writeStream.outputMode("append").format("parquet").option("checkpointLocation", f"{folder}/state").option("path", f"{folder}/out").trigger(availableNow=True)
+        start(spark, write.start).awaitTermination()
+    return settled(spark.read.schema(stream.schema).parquet(f"{folder}/out"), folder)

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import random
+import time
 from collections import deque
 
+import pytest
 from compare import rows
 from pyspark.sql import functions as F
 
 from granary.plans import stream_queries as sq
-from granary.streaming import limiter, tasks, windows
+from granary.streaming import broker, limiter, sessions, tasks, windows
 
 
 def _run(spark, folder, table, plan, mode):
@@ -83,3 +85,61 @@ def test_decision_stream(spark, sf_dir, tmp_path):
     got = {r["request"] for r in spark.table("pairs").where("answer IS NOT NULL").collect()}
     want = windows.decisions(e.where("event_type = 'signup'"), e.where("event_type IN ('purchase', 'error')")).where("decision <> 'timeout'")
     assert got == {r["request"] for r in want.collect()}
+
+
+def lots_of(spark, rows, schema, cuts):
+    df = spark.createDataFrame(rows, schema)
+    return [df.where((F.col("seq") >= a) & (F.col("seq") < b)) for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
+COMMANDS = "task long, second long, seq long, what string, subscriber string, status string, model string"
+
+
+@pytest.mark.parametrize("cuts", [[0, 99], [0, 4, 6, 99], [0, 2, 5, 7, 8, 99]])
+def test_frames_do_not_depend_on_micro_batches(spark, cuts):
+    """Signs of life by the clock of commands: sent with the next command or by a timer, and each once."""
+    rows = [
+        (1, 100, 0, "update", None, "parsing", "m"), (1, 101, 1, "subscribe", "a", None, None), (1, 131, 2, "create", None, "queued", "m"), (2, 131, 3, "create", None, "queued", None),
+        (1, 146, 4, "update", None, "parsing", None), (1, 150, 5, "cancel", None, None, None), (1, 160, 6, "cancel", None, None, None), (1, 170, 7, "subscribe", "b", None, None),
+        (1, 200, 8, "update", None, "done", "n"), (1, 230, 9, "update", None, "parsing", None), (2, 231, 10, "subscribe", "c", None, None), (2, 300, 11, "update", None, "failed", None),
+    ]
+    lots = [x.withColumn("at", F.timestamp_seconds("second")).drop("second") for x in lots_of(spark, rows, COMMANDS, cuts)]
+    got = windows.in_goes(spark, lots, broker.frames).select("task", "subscriber", F.unix_seconds("at"), "kind", "status", "model", "idle")
+    life = lambda task, who, *at: [(task, who, t, "keep-alive", None, None, i) for i, t in enumerate(at, 1)]
+    want = [(1, "a", 131, "state", "queued", "m", 1), (1, "a", 146, "state", "parsing", "m", 0), (1, "a", 150, "state", "cancelled", "m", 0), (1, "b", 170, "state", "cancelled", "m", 0)]
+    want += [(1, w, 200, "state", "done", "n", n) for w, n in (("a", 3), ("b", 1))] + [(2, "c", 231, "state", "queued", None, 0), (2, "c", 300, "state", "failed", None, 4)]
+    want += life(1, "a", 116) + life(1, "a", 165, 180, 195) + life(1, "b", 185) + life(2, "c", 246, 261, 276, 291)
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+
+
+def test_signs_of_life_by_the_clock_of_the_machine(spark, tmp_path):
+    """No command comes, yet frames do; and a task is forgotten when its time is over."""
+    rows = [(1, 100, 0, "create", None, "queued", None), (1, 101, 1, "subscribe", "a", None, None)]
+    spark.createDataFrame(rows, COMMANDS).withColumn("at", F.timestamp_seconds("second")).drop("second").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("task long, seq long, what string, subscriber string, status string, model string, at timestamp").parquet(str(tmp_path / "in"))
+    write = broker.frames(stream, 1, "processing", ttl=3600).writeStream.outputMode("append").format("memory").queryName("life").option("checkpointLocation", str(tmp_path / "state")).trigger(processingTime="1 second")
+    q = broker.start(spark, write.start)
+    try:
+        for _ in range(60):
+            time.sleep(1)
+            if spark.table("life").where("kind = 'keep-alive'").count() > 1:
+                break
+    finally:
+        q.stop()
+    got = spark.table("life").orderBy("at").collect()
+    assert [r["kind"] for r in got[:3]] == ["state", "keep-alive", "keep-alive"] and [r["idle"] for r in got[:3]] == [0, 1, 2]
+    with pytest.raises(ValueError):
+        broker.frames(stream, ttl=5)
+
+
+@pytest.mark.parametrize("cuts", [[0, 99], [0, 4, 7, 99]])
+def test_sessions_of_owners(spark, cuts):
+    say = lambda seq, s: (1, seq, "say", s, f"text {seq}")
+    rows = [
+        (1, 0, "list", None, None), (1, 1, "create", None, None), (1, 2, "get_or_create", "1-1", None), (1, 3, "get_or_create", "1-9", None), say(4, "1-1"), say(5, "1-1"), say(6, "1-3"), (1, 7, "get", "1-1", None),
+        (1, 8, "list", None, None), (1, 9, "close", "1-1", None), (1, 10, "close", "1-1", None), say(11, "1-1"), (1, 12, "get", "1-3", None), (1, 13, "get", None, None), (1, 14, "list", None, None), (2, 15, "get", "1-3", None), (2, 16, "list", None, None),
+    ]
+    got = windows.in_goes(spark, lots_of(spark, rows, "owner long, seq long, what string, session string, text string", cuts), sessions.answers).orderBy("seq")
+    want = [("", True, 0), ("1-1", True, 1), ("1-1", True, 0), ("1-3", True, 2), ("1-1", True, 1), ("1-1", True, 2), ("1-3", True, 1), ("1-1", True, 2)]
+    want += [("1-1,1-3", True, 2), ("1-1", True, 1), ("1-1", False, 1), ("1-1", False, 0), ("1-3", True, 1), (None, False, 0), ("1-3", True, 1), ("1-3", False, 0), ("", True, 0)]
+    assert [(r["session"], r["ok"], r["n"]) for r in got.collect()] == want
