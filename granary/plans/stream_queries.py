@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from granary.functions import text as tx
 from granary.operators import render
 from granary.sources.tables import load
-from granary.streaming import broker, limiter, sessions, tasks, windows
+from granary.streaming import broker, limiter, sessions, tasks, upserts, windows
 
 from .registry import query
 
@@ -192,3 +192,50 @@ def q_session_commands(spark: SparkSession, d: str) -> DataFrame:
     middle = 700
     got = windows.in_goes(spark, [rows.where(F.col("seq") < middle), rows.where(F.col("seq") >= middle)], sessions.answers)
     return got.select("owner", "seq", "what", F.coalesce("session", F.lit("")).alias("session"), "ok", "n")
+
+
+@query(f"""
+WITH r AS (SELECT user_id, event_id AS seq, CASE WHEN event_id % 3 = 0 THEN {_STATUS} END AS status, CASE WHEN event_id % 5 = 0 THEN event_type END AS tag, event_type = 'error' AND event_id % 4 = 1 AS gone FROM events),
+l AS (SELECT r.* FROM r LEFT JOIN (SELECT user_id, max(seq) AS cut FROM r WHERE gone GROUP BY 1) USING (user_id) WHERE cut IS NULL OR seq > cut)
+SELECT user_id, max(seq) AS seq, coalesce(max_by(status, seq) FILTER (status IS NOT NULL), '') AS status, coalesce(max_by(tag, seq) FILTER (tag IS NOT NULL), '') AS tag FROM l GROUP BY 1
+""")
+def q_stream_upsert(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of users by a stream of patches in three micro-batches: a null keeps what was there, some events delete the row."""
+    status = F.element_at(F.array(*(F.lit(s) for s, _ in PROGRESS)), (F.col("event_id") % 8).cast("int") + 1)
+    rows = load(spark, d, "events").select(
+        "user_id", F.col("event_id").alias("seq"), F.when(F.col("event_id") % 3 == 0, status).alias("status"), F.when(F.col("event_id") % 5 == 0, F.col("event_type")).alias("tag"),
+        ((F.col("event_type") == "error") & (F.col("event_id") % 4 == 1)).alias("gone"),
+    )
+    folder = windows.scratch(spark, "upserts")
+    for a, b in ((0, 300), (300, 2000), (2000, 1 << 60)):
+        rows.where((F.col("seq") >= a) & (F.col("seq") < b)).write.mode("append").parquet(f"{folder}/in")
+        source = spark.readStream.schema(rows.schema).parquet(f"{folder}/in")
+        upserts.stream(source, f"{folder}/table", f"{folder}/state", "user_id", "seq", gone="gone", patch=True).awaitTermination()
+    got = upserts.table(spark, f"{folder}/table", rows.drop("gone").schema, "user_id")
+    return windows.settled(got.select("user_id", "seq", *[F.coalesce(c, F.lit("")).alias(c) for c in ("status", "tag")]), folder)
+
+
+_FIRST_HALF, _LAST = "TIMESTAMP '2024-01-10'", "TIMESTAMP '2024-01-20'"
+
+
+@query(f"""
+WITH e AS (SELECT * FROM events WHERE NOT (event_id % 10 = 7 AND ts < {_FIRST_HALF})),
+a AS (SELECT event_id, user_id, ts, value FROM e WHERE event_type = 'signup'), b AS (SELECT event_id, user_id, ts, event_type, value FROM e WHERE event_type IN ('purchase', 'error', 'click')),
+m AS (SELECT a.event_id AS request, a.value AS own, min_by(b.event_type, b.event_id) AS kind, min_by(b.value, b.event_id) AS other FROM a LEFT JOIN b ON a.user_id = b.user_id AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL 3600 SECOND GROUP BY 1, 2)
+SELECT request, CASE kind WHEN 'purchase' THEN 'approved' WHEN 'error' THEN 'rejected' WHEN 'click' THEN 'edited' ELSE 'timeout' END AS decision, round(CASE WHEN kind = 'click' THEN other ELSE own END, 4) AS state FROM m
+""")
+def q_hitl_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Requests with their first decision within the hour, by a join of two streams; an edit takes the place of the request's state.
+
+    Some events of the first days come after those of later ones, on both sides: they are behind the watermark and do not count.
+    """
+    e = windows.timed(load(spark, d, "events"))
+    late = (F.col("event_id") % 10 == 7) & (F.col("ts") < F.expr(_FIRST_HALF))
+    # The last lot ends with events far ahead on both sides, so that all other requests are decided.
+    ahead = e.limit(1).select("event_id", F.expr("TIMESTAMP '2100-01-01'").alias("ts"), F.lit(-1).cast("long").alias("user_id"), F.explode(F.array(F.lit("signup"), F.lit("purchase"))).alias("event_type"), "value", "props")
+    lots = [e.where(~late & (F.col("ts") < F.expr(_FIRST_HALF))), e.where((F.col("ts") >= F.expr(_FIRST_HALF)) & (F.col("ts") < F.expr(_LAST))), e.where(late | (F.col("ts") >= F.expr(_LAST))), ahead]
+    joined = lambda s: windows.decision_stream(s.where("event_type = 'signup'"), s.where("event_type IN ('purchase', 'error', 'click')"))
+    met = windows.in_goes(spark, lots, joined).where("user_id >= 0")
+    first = met.groupBy("request", "own").agg(F.min_by(F.struct("event_type", "other"), "answer").alias("a"))
+    decision = F.when(F.col("a.event_type") == "purchase", "approved").when(F.col("a.event_type") == "error", "rejected").when(F.col("a.event_type") == "click", "edited").otherwise("timeout")
+    return first.select("request", decision.alias("decision"), F.round(F.when(F.col("a.event_type") == "click", F.col("a.other")).otherwise(F.col("own")), 4).alias("state"))

@@ -72,8 +72,8 @@ def decisions(requests: DataFrame, answers: DataFrame, seconds: int = 3600) -> D
 
 def decision_stream(requests: DataFrame, answers: DataFrame, seconds: int = 3600) -> DataFrame:
     """The same as a join of two streams: both are watermarked, so state is dropped once the time is over."""
-    r = requests.select(F.col("event_id").alias("request"), "user_id", F.col("ts").alias("asked")).withWatermark("asked", "10 minutes")
-    a = answers.select(F.col("event_id").alias("answer"), F.col("user_id").alias("answered_by"), F.col("ts").alias("answered"), "event_type").withWatermark("answered", "10 minutes")
+    r = requests.select(F.col("event_id").alias("request"), "user_id", F.col("value").alias("own"), F.col("ts").alias("asked")).withWatermark("asked", "10 minutes")
+    a = answers.select(F.col("event_id").alias("answer"), F.col("user_id").alias("answered_by"), F.col("ts").alias("answered"), "event_type", F.col("value").alias("other")).withWatermark("answered", "10 minutes")
     within = (F.col("user_id") == F.col("answered_by")) & (F.col("answered") >= F.col("asked")) & (F.col("answered") <= F.col("asked") + F.expr(f"INTERVAL {seconds} SECONDS"))
     return r.join(a, within, "left")
 
