@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from granary.functions import scalars
 from granary.functions import text as tx
@@ -77,6 +78,25 @@ def cosine_top_k(vectors: DataFrame, queries: Column, k: int, id_col: str, vecto
     return best_per(scored, ["query_id"], [F.desc("similarity"), F.col("id")], k, "rank")
 
 
+def select_tools(questions: DataFrame, tools: DataFrame, k: int = 3, least: float = 0.4) -> DataFrame:
+    """(question_id, rank, tool) for ``questions`` (question_id, question, v) from ``tools`` (entry, tool, v).
+
+    A keyword names its tool at once. Other questions get the tools of the k nearest entries, at ``least`` near, each tool once. The
+    table of tools is small, and every task holds it.
+    """
+    ruled = questions.select("question_id", F.col("v").alias("a"), tx.tool_by_keyword(F.col("question")).alias("tool"))
+    named = ruled.where("tool IS NOT NULL").select("question_id", F.lit(1).alias("rank"), "tool")
+    entries = F.broadcast(tools.select("entry", "tool", F.col("v").alias("b")))
+    a, b = F.col("a"), F.col("b")
+    size = scalars.norm(a) * scalars.norm(b)
+    near = F.coalesce(F.round(F.when(size > 0, scalars.dot(a, b) / size), 6), F.lit(0.0)).alias("similarity")
+    scored = ruled.where("tool IS NULL").drop("tool").crossJoin(entries).select("question_id", "entry", "tool", near)
+    first = best_per(scored, ["question_id"], [F.desc("similarity"), F.col("entry")], max(1, k), "place").where(F.col("similarity") >= least)
+    once = first.groupBy("question_id", "tool").agg(F.min("place").alias("place"))
+    ranked = once.withColumn("rank", F.row_number().over(Window.partitionBy("question_id").orderBy("place")))
+    return named.unionByName(ranked.select("question_id", "rank", "tool"))
+
+
 # Words that mark figures and tables.
 FIGURE_MARKS = ("figure", "fig.", "table", "图", "表")
 

@@ -126,6 +126,23 @@ def q_tool_routing(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "benchmark").select("item_id", F.coalesce(tx.tool_by_keyword(asked), F.lit("none")).alias("tool"))
 
 
+@query(f"""
+WITH t AS (SELECT item_id, lower(CASE item_id % 5 WHEN 0 THEN 'What is the Weather? ' WHEN 1 THEN 'search paper on ' ELSE '' END || text) AS t FROM benchmark),
+n AS (SELECT item_id, CASE {_RULE} END AS tool FROM t),
+s AS (SELECT item_id, b.vec_id AS entry, 'tool_' || b.vec_id % 5 AS tool, {_COS} AS similarity FROM n JOIN embeddings a ON a.vec_id = item_id JOIN embeddings b ON b.vec_id < 12 WHERE n.tool IS NULL),
+p AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY similarity DESC, entry) AS place FROM s),
+o AS (SELECT item_id, tool, min(place) AS place FROM p WHERE place <= 6 AND similarity >= 0.05 GROUP BY 1, 2)
+SELECT item_id, 1 AS rank, tool FROM n JOIN embeddings ON vec_id = item_id WHERE tool IS NOT NULL UNION ALL SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY place) AS INTEGER), tool FROM o
+""")
+def q_tool_selection(spark: SparkSession, d: str) -> DataFrame:
+    """Tools by a keyword, or by the six nearest of twelve entries of five tools, each tool once; vectors stand for the questions'."""
+    n, e = F.col("item_id") % 5, load(spark, d, "embeddings")
+    asked = F.concat(F.when(n == 0, "What is the Weather? ").when(n == 1, "search paper on ").otherwise(""), "text")
+    questions = load(spark, d, "benchmark").join(e, F.col("vec_id") == F.col("item_id")).select(F.col("item_id").alias("question_id"), asked.alias("question"), F.col("embedding").alias("v"))
+    tools = e.where("vec_id < 12").select(F.col("vec_id").alias("entry"), F.concat(F.lit("tool_"), (F.col("vec_id") % 5).cast("string")).alias("tool"), F.col("embedding").alias("v"))
+    return ret.select_tools(questions, tools, 6, 0.05).withColumnRenamed("question_id", "item_id")
+
+
 _MARKS = " OR ".join(f"contains(lower(chunk), '{m}')" for m in ret.FIGURE_MARKS)
 _FIGS = f"f AS (SELECT doc_id, chunk_index, CASE WHEN doc_id % 1000 = 0 THEN 'Figure 1 shows backdoor ' WHEN doc_id % 50 = 1 THEN 'Table 2 lists ' ELSE '' END || chunk AS chunk FROM c)"
 

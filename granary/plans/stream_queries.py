@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from granary.functions import text as tx
+from granary.functions import tools
 from granary.operators import render
 from granary.sources.tables import load
-from granary.streaming import broker, limiter, sessions, tasks, upserts, windows
+from granary.streaming import broker, events, limiter, sessions, tasks, upserts, windows
 
 from .registry import query
 
@@ -239,3 +240,62 @@ def q_hitl_stream(spark: SparkSession, d: str) -> DataFrame:
     first = met.groupBy("request", "own").agg(F.min_by(F.struct("event_type", "other"), "answer").alias("a"))
     decision = F.when(F.col("a.event_type") == "purchase", "approved").when(F.col("a.event_type") == "error", "rejected").when(F.col("a.event_type") == "click", "edited").otherwise("timeout")
     return first.select("request", decision.alias("decision"), F.round(F.when(F.col("a.event_type") == "click", F.col("a.other")).otherwise(F.col("own")), 4).alias("state"))
+
+
+def _halved(value: float, by: float = 2.0) -> int:
+    return int(value // by)
+
+
+def _facts(**given) -> dict:
+    return {"n": len(given), "names": sorted(given)}
+
+
+def _owner(text: str, _context: dict) -> str:
+    return f"{_context['user']}: {text}"
+
+
+TOOLS = {"halve": _halved, "facts": _facts, "owner": _owner}
+
+
+@query("""
+WITH c AS (SELECT event_id AS call_id, ['halve', 'facts', 'owner', 'nobody'][CAST(event_id % 4 AS INTEGER) + 1] AS tool, event_id % 7 AS k, user_id, event_type FROM events)
+SELECT call_id, tool, coalesce(CASE
+    WHEN tool = 'halve' AND k > 1 AND k <> 3 THEN '{"result":' || call_id // 2 || '}'
+    WHEN tool = 'facts' AND k <> 3 THEN CASE WHEN k > 1 THEN '{"n":2,"names":["text","value"]}' WHEN k = 1 THEN '{"n":0,"names":[]}' ELSE '{"n":3,"names":["by","text","value"]}' END
+    WHEN tool = 'owner' AND k <> 1 AND k <> 3 THEN '{"result":"' || user_id || ': ' || event_type || '"}' END, '') AS result,
+  coalesce(CASE WHEN k = 3 THEN 'tool execution failed: arguments are no JSON object' WHEN tool = 'nobody' THEN 'tool not registered: nobody'
+    WHEN k = 1 AND tool = 'halve' THEN 'missing required argument: value' WHEN k = 1 AND tool = 'owner' THEN 'missing required argument: text' WHEN k = 0 AND tool = 'halve' THEN 'tool execution failed: float floor division by zero' END, '') AS error
+FROM c
+""")
+def q_tool_calls(spark: SparkSession, d: str) -> DataFrame:
+    """Calls of Python tools run on executors: some lack arguments, some are no JSON objects, one tool divides, one is unknown."""
+    k = F.col("event_id") % 7
+    both = F.struct(F.col("event_id").cast("double").alias("value"), F.col("event_type").alias("text"))
+    arguments = F.when(k == 0, F.to_json(F.struct(F.col("event_id").cast("double").alias("value"), F.col("event_type").alias("text"), F.lit(0.0).alias("by")))).when(k == 3, "[1]").when(k > 1, F.to_json(both))
+    names = F.element_at(F.array(*(F.lit(x) for x in (*TOOLS, "nobody"))), (F.col("event_id") % 4).cast("int") + 1)
+    calls = load(spark, d, "events").select(F.col("event_id").alias("call_id"), names.alias("tool"), arguments.alias("arguments"), F.to_json(F.struct(F.col("user_id").alias("user"))).alias("context"))
+    got = tools.run_tools(calls, TOOLS)
+    return got.select("call_id", "tool", F.coalesce("result", F.lit("")).alias("result"), F.coalesce("error", F.lit("")).alias("error"))
+
+
+#: Subscribers with their patterns; a null one takes all.
+BUS = (("audit", "web.*"), ("errors", "*.error"), ("first", "web.[cs]*"), ("pages", "page-?"), ("rest", "mobile.[!v]*"), ("none", "web.buy"), ("all", None))
+
+
+@query("""
+WITH e AS (SELECT event_id, CASE WHEN user_id % 2 = 0 THEN 'web' ELSE 'mobile' END || '.' || event_type AS k, 'page-' || user_id % 15 AS component, value, CASE WHEN event_id % 4 = 0 THEN TIMESTAMP '2030-01-01' ELSE ts END AS t FROM events),
+s(subscriber, pattern) AS (VALUES ('audit', 'web.*'), ('errors', '*.error'), ('first', 'web.[cs]*'), ('pages', 'page-?'), ('rest', 'mobile.[!v]*'), ('none', 'web.buy'), ('all', '*'))
+SELECT subscriber, event_id, strftime(t, '%Y-%m-%d %H:%M:%S') AS stamp, subscriber <> 'errors' OR event_id % 3 <> 0 AS ok, CASE subscriber WHEN 'errors' THEN CASE WHEN event_id % 3 = 0 THEN 'failed' ELSE CAST(event_id AS VARCHAR) END ELSE '' END AS answer
+FROM e JOIN s ON k GLOB pattern OR component GLOB pattern
+""")
+def q_event_bus(spark: SparkSession, d: str) -> DataFrame:
+    """Deliveries of a stream's events to subscribers by pattern; every fourth has no time, and a handler that reads numbers fails at times."""
+    layer = F.when(F.col("user_id") % 2 == 0, "web").otherwise("mobile")
+    rows = windows.timed(load(spark, d, "events")).select(
+        "event_id", F.when(F.col("event_id") % 4 != 0, F.col("ts")).alias("at"), layer.alias("layer"), F.concat(F.lit("page-"), (F.col("user_id") % 15).cast("string")).alias("component"), F.col("event_type").alias("action"),
+        F.when(F.col("event_id") % 3 == 0, "?").otherwise(F.col("event_id").cast("string")).alias("payload"),
+    )
+    subscribers = spark.createDataFrame(BUS, "subscriber string, pattern string")
+    told = lambda s: events.deliveries(s, subscribers, F.expr("TIMESTAMP '2030-01-01'"), {"errors": F.expr("try_cast(payload AS bigint)")})
+    got = windows.in_goes(spark, [rows.where("event_id < 400"), rows.where("event_id >= 400")], told)
+    return got.select("subscriber", "event_id", F.date_format("stamp", "yyyy-MM-dd HH:mm:ss").alias("stamp"), "ok", F.coalesce("answer", F.lit("failed")).alias("answer"))
