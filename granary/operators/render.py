@@ -44,33 +44,10 @@ def layout_body(sections: Column) -> Column:
     return F.when(F.size(sections) > 0, F.array_join(F.transform(sections, block), "\n")).otherwise("<p>未提取到可读文本。</p>")
 
 
-def layout_html(title: Column, language: Column, sections: Column) -> Column:
-    """A page in two columns around the blocks."""
-    return F.concat(
-        F.lit('<!doctype html><html lang="zh-CN"><head><meta charset="utf-8"><title>'), tx.html_escape(title),
-        F.lit("</title><style>.cols{column-count:2}@media(max-width:900px){.cols{column-count:1}}</style></head><body><h1>"), tx.html_escape(title),
-        F.lit("</h1><p>目标语言："), tx.html_escape(language), F.lit('</p><article class="cols">'), layout_body(sections), F.lit("</article></body></html>"),
-    )
-
-
 def _bullets(items: Column, most: int, cap: int) -> Column:
     return F.array_join(F.transform(F.slice(items, 1, most), lambda x, i: F.concat(i + 1, F.lit(". "), F.substring(x, 1, cap))), "\n")
 
 
-def summary_markdown(title: Column, tags: Column, points: Column, evidence: Column, indicators: Column | None = None) -> Column:
-    """Title, tags, at most 8 key points and 4 pieces of evidence of 260 characters; a table of indicators where given (a map)."""
-    parts = [F.concat(F.lit("# "), title), F.concat(F.lit("- 领域标签："), F.array_join(tags, ", ")), F.concat(F.lit("## 要点\n"), _bullets(points, 8, 260)), F.concat(F.lit("## 证据\n"), _bullets(evidence, 4, 260))]
-    if indicators is not None:
-        parts.insert(2, F.concat(F.lit("## 指标\n"), F.array_join(F.transform(F.map_entries(indicators), lambda e: F.concat(F.lit("- "), e["key"], F.lit("："), F.coalesce(F.nullif(e["value"], F.lit("")), F.lit("N/A")))), "\n")))
-    return F.concat_ws("\n\n", *parts)
-
-
-def improvement_markdown(title: Column, highlights: Column, evidence: Column, ideas: Column) -> Column:
-    """At most 4 highlights, 5 pieces of evidence of 220 characters, and the ideas (name, plan, score: null for none)."""
-    idea = lambda x, i: F.concat(F.lit("### "), i + 1, F.lit(". "), x["name"], F.lit("\n"), x["plan"], F.coalesce(F.concat(F.lit("\n- 评分："), x["score"].cast("string")), F.lit("")))
-    return F.concat_ws("\n\n", F.concat(F.lit("# "), title), F.concat(F.lit("## 亮点\n"), _bullets(highlights, 4, 260)), F.concat(F.lit("## 证据\n"), _bullets(evidence, 5, 220)), F.array_join(F.transform(ideas, idea), "\n\n"))
-
-
 def fallback_answer(question: Column, contexts: Column) -> Column:
     """What is said when no model answers: the first three contexts, 300 characters of each."""
     listed = F.concat(F.lit("关于「"), question, F.lit("」的回答：\n\n以下信息来自当前论文的检索结果，供参考：\n"), _bullets(contexts, 3, 300))

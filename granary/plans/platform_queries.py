@@ -88,33 +88,6 @@ def q_result_names(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "documents").select("doc_id", render.result_name(kind, F.concat(F.col("source"), F.lit(".md"))).alias("name"))
 
 
-def _listed(xs: str, most: int, cap: int) -> str:
-    return f"array_to_string(list_transform(list_slice({xs}, 1, {most}), lambda x, i: i || '. ' || substr(x, 1, {cap})), chr(10))"
-
-
-_PARTS = f"WITH {q.KEY_SENTENCES}, s AS (SELECT k.doc_id, source, lang, parts AS cs, pts FROM k JOIN documents USING (doc_id))"
-
-
-def _papers(spark: SparkSession, d: str) -> DataFrame:
-    """Documents with chunks, and their key sentences as points."""
-    rows = load(spark, d, "documents").select("doc_id", "source", "lang", F.coalesce("text", F.lit("")).alias("text")).where(F.regexp_like("text", F.lit(tx.WS.replace("[", "[^", 1))))
-    both = tx.let(tx.chunks(F.col("text")), lambda cs: F.struct(cs.alias("cs"), tx.key_sentences(cs).alias("pts")))
-    return rows.select("doc_id", "source", "lang", both.alias("p")).select("doc_id", "source", "lang", "p.cs", "p.pts")
-
-
-@query(f"{_PARTS} SELECT doc_id, '# ' || doc_id || chr(10) || chr(10) || '- 领域标签：' || lang || chr(10) || chr(10) || '## 指标' || chr(10) || '- ASR：N/A' || chr(10) || chr(10) || '## 要点' || chr(10) || {_listed('pts', 8, 260)} || chr(10) || chr(10) || '## 证据' || chr(10) || {_listed('cs', 4, 260)} AS markdown FROM s")
-def q_summary_md(spark: SparkSession, d: str) -> DataFrame:
-    md = render.summary_markdown(F.col("doc_id").cast("string"), F.array("lang"), F.col("pts"), F.col("cs"), F.create_map(F.lit("ASR"), F.lit("")))
-    return _papers(spark, d).select("doc_id", md.alias("markdown"))
-
-
-@query(f"{_PARTS} SELECT doc_id, '# ' || doc_id || chr(10) || chr(10) || '## 亮点' || chr(10) || {_listed('pts', 4, 260)} || chr(10) || chr(10) || '## 证据' || chr(10) || {_listed('cs', 5, 220)} || chr(10) || chr(10) || '### 1. try ' || source || chr(10) || 'plan' || chr(10) || '- 评分：1.5' || chr(10) || chr(10) || '### 2. other' || chr(10) || 'N/A' AS markdown FROM s")
-def q_improvement_md(spark: SparkSession, d: str) -> DataFrame:
-    idea = lambda n, p, s: F.struct(n.alias("name"), F.lit(p).alias("plan"), F.lit(s).cast("double").alias("score"))
-    ideas = F.array(idea(F.concat(F.lit("try "), "source"), "plan", 1.5), idea(F.lit("other"), "N/A", None))
-    return _papers(spark, d).select("doc_id", render.improvement_markdown(F.col("doc_id").cast("string"), F.col("pts"), F.col("cs"), ideas).alias("markdown"))
-
-
 @query("SELECT item_id, 'https://export.example.org/api?search=' || replace(url_encode(text), '%20', '+') AS url FROM benchmark")
 def q_url_encode(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "benchmark").select("item_id", F.concat(F.lit("https://export.example.org/api?search="), F.url_encode("text")).alias("url"))

@@ -72,26 +72,6 @@ def q_translate_once(spark: SparkSession, d: str) -> DataFrame:
     return rel.translate_once(load(spark, d, "documents").select("doc_id", t.alias("t")), "t", enc.plugged("translate"), "translated").select("doc_id", "translated")
 
 
-#: Ideas by rule: whether they are for the attack domain, and their names.
-RULE_IDEAS = (
-    (True, "adaptive trigger"), (True, "clean-label variant"), (True, "cross-domain transfer"), (True, "stealth budget"), (True, "defence-aware training"),
-    (False, "stronger baselines"), (False, "ablation by module"), (False, "robustness under shift"),
-)
-
-
-@query(f"""
-WITH i(backdoor, idea) AS (VALUES {", ".join(f"({str(b).lower()}, '{n}')" for b, n in RULE_IDEAS)}),
-d AS (SELECT doc_id, CAST(regexp_extract(source, '(\\d+)$', 1) AS INTEGER) % 5 IN (1, 2, 4) AS backdoor FROM documents)
-SELECT doc_id, idea FROM d JOIN i USING (backdoor)
-""")
-def q_rule_ideas(spark: SparkSession, d: str) -> DataFrame:
-    from .text_queries import _template
-
-    ideas = spark.createDataFrame(RULE_IDEAS, "backdoor boolean, idea string")
-    rows = load(spark, d, "documents").select("doc_id", F.contains(F.lower(tx.domain_tag(_template(F.col("source")))), F.lit("backdoor")).alias("backdoor"))
-    return rows.join(F.broadcast(ideas), "backdoor").select("doc_id", "idea")
-
-
 @query("""
 WITH e AS (SELECT user_id, event_id, event_type, event_type <> 'error' AS good FROM events)
 SELECT user_id, min_by(event_type, event_id) FILTER (good) AS verdict, CAST(count(*) FILTER (NOT good) AS BIGINT) AS rejected FROM e GROUP BY 1

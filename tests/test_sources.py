@@ -41,13 +41,6 @@ def test_title_names_and_rendering(spark):
     assert [r[0] for r in df.select(src.pdf_title(F.col("t"), F.col("f"))).collect()] == ["My.Paper", "Good title"]
     one = lambda c: spark.range(1).select(c.alias("x")).first()["x"]
     assert one(render.result_name(F.lit("summary"), F.lit("a/tinghua.md"))) == "summary_tinghua.md"
-    points = F.array(*(F.lit(f"p{i}") for i in range(9)))
-    text = one(render.summary_markdown(F.lit("T"), F.array(F.lit("NLP")), points, points, F.create_map(F.lit("ASR"), F.lit(""))))
-    assert "8. p7" in text and "9. " not in text and "ASR：N/A" in text
-    ideas = F.array(F.struct(F.lit("n").alias("name"), F.lit("p").alias("plan"), F.lit(1.5).alias("score")))
-    assert "评分：1.5" in one(render.improvement_markdown(F.lit("T"), points, points, ideas))
-    page = one(render.layout_html(F.lit("<T>"), F.lit("zh"), F.array(F.struct(F.lit("### H").alias("title"), F.lit("a\n[Page 2]").alias("content")))))
-    assert "&lt;T&gt;" in page and "<h3>H</h3><p>a<br><h3>第 2 页</h3></p>" in page
 
 
 def test_upserts_and_tools(spark):
