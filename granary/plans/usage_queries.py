@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -10,6 +12,7 @@ from granary.functions import dates, scalars
 from granary.functions import text as tx
 from granary.operators import relational as rel
 from granary.sources.tables import load
+from granary.streaming import windows
 
 from .registry import query
 
@@ -120,6 +123,34 @@ def q_usage_report(spark: SparkSession, d: str) -> DataFrame:
     return per[0].unionByName(per[1]).groupBy("kind").agg(F.array_sort(F.collect_list(F.struct("first", line.alias("l")))).alias("ls")).select("kind", F.array_join(F.transform("ls", lambda x: x["l"]), "\n").alias("report"))
 
 
+def token_report(log: DataFrame) -> DataFrame:
+    """(part, ord, line): the whole report on token use, in order: totals, sums by project and by model in the order in which they
+    were first seen, then the log (seq, at, project, model, prompt, completion), newest first. Lines are rows, so the log may be large."""
+    total = F.col("prompt") + F.col("completion")
+    text = lambda part, *lines: log.sparkSession.createDataFrame([(part, i, x) for i, x in enumerate(lines)], "part int, ord long, line string")
+    # The report's heads.
+    heads = [text(0, "# 🤖 全局大模型 Token 消耗记录", "", "## 📊 汇总数据"), text(2, "", "### 📁 按项目统计"), text(4, "", "### 🧠 按模型统计"), text(6, "", "## 📝 详细日志", "| 时间 | 项目名称 | 模型名称 | 输入 Tokens | 输出 Tokens | 总 Tokens |", "|---|---|---|---|---|---|")]
+    whole = log.agg(F.coalesce(F.sum(total), F.lit(0)).alias("n")).select(F.lit(1).alias("part"), F.lit(0).cast("long").alias("ord"), F.concat(F.lit("- 全局总消耗: `"), "n", F.lit("` Tokens")).alias("line"))
+    per = lambda part, c: log.groupBy(F.col(c).alias("name")).agg(F.sum(total).alias("n"), F.min("seq").alias("ord")).select(F.lit(part).alias("part"), "ord", F.concat(F.lit("- "), "name", F.lit(": `"), "n", F.lit("` Tokens")).alias("line"))
+    cells = F.concat(F.lit("| "), F.concat_ws(" | ", "at", "project", "model", "prompt", "completion", total), F.lit(" |"))
+    rows = log.select(F.lit(7).alias("part"), (-F.col("seq")).alias("ord"), cells.alias("line"))
+    return reduce(DataFrame.unionByName, [*heads, whole, per(3, "project"), per(5, "model"), rows])
+
+
+@query(f"""
+WITH u AS (SELECT event_id AS seq, strftime(ts, '%Y-%m-%d %H:%M:%S') AS t, action AS project, model, prompt, completion FROM {_USE} x)
+SELECT part, ord, line FROM (VALUES (0, 0, '# 🤖 全局大模型 Token 消耗记录'), (0, 1, ''), (0, 2, '## 📊 汇总数据'), (2, 0, ''), (2, 1, '### 📁 按项目统计'), (4, 0, ''), (4, 1, '### 🧠 按模型统计'), (6, 0, ''), (6, 1, '## 📝 详细日志'),
+  (6, 2, '| 时间 | 项目名称 | 模型名称 | 输入 Tokens | 输出 Tokens | 总 Tokens |'), (6, 3, '|---|---|---|---|---|---|')) h(part, ord, line)
+UNION ALL SELECT 1, 0, '- 全局总消耗: `' || CAST(coalesce(sum(prompt + completion), 0) AS BIGINT) || '` Tokens' FROM u
+UNION ALL SELECT 3, min(seq), '- ' || project || ': `' || CAST(sum(prompt + completion) AS BIGINT) || '` Tokens' FROM u GROUP BY project
+UNION ALL SELECT 5, min(seq), '- ' || model || ': `' || CAST(sum(prompt + completion) AS BIGINT) || '` Tokens' FROM u GROUP BY model
+UNION ALL SELECT 7, -seq, '| ' || t || ' | ' || project || ' | ' || model || ' | ' || prompt || ' | ' || completion || ' | ' || (prompt + completion) || ' |' FROM u
+""")
+def q_token_report(spark: SparkSession, d: str) -> DataFrame:
+    """The report on token use with its log."""
+    return token_report(usage(spark, d, False).select(F.col("event_id").alias("seq"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("at"), F.col("action").alias("project"), "model", "prompt", "completion"))
+
+
 ACTIVE = ("queued", "parsing", "translating", "summarizing", "critiquing")
 _PAPERS = "(SELECT o_orderkey AS paper_id, o_custkey AS user_id, o_orderdate AS created_at, o_orderstatus AS status, o_totalprice AS price FROM orders)"
 _TASKS = "(SELECT l_orderkey AS paper_id, l_orderkey * 10 + l_linenumber AS task_id, CASE l_linestatus WHEN 'O' THEN 'queued' ELSE 'done' END AS status FROM lineitem)"
@@ -260,10 +291,15 @@ _REQUEST = "(SELECT page_id, ['POST', 'DELETE', 'PUT'][CAST(page_id % 3 AS BIGIN
 
 
 def audit(requests: DataFrame) -> DataFrame:
-    """(page_id, method, path) with action, resource type and resource id; requests without a rule are not logged."""
-    rules = requests.sparkSession.createDataFrame([(i, *r) for i, r in enumerate(AUDIT_RULES)], "ord int, r_method string, prefix string, action string, resource_type string")
-    hit = rel.first_rule(requests, rules, (F.col("method") == F.col("r_method")) & F.startswith(F.col("path"), F.col("prefix")), ["page_id"], "ord")
-    return hit.select("page_id", "method", "path", "action", "resource_type", F.element_at(F.split(F.regexp_replace("path", "/+$", ""), "/"), -1).alias("resource_id"))
+    """(page_id, method, path) with action, resource type, resource id and detail; requests without a rule are not logged.
+
+    The rules are a list of fixed size within the expression, so a row is decided where it is, in a table or a stream.
+    """
+    rules = F.array(*(F.struct(*(F.lit(x).alias(k) for k, x in zip(("m", "prefix", "action", "resource_type"), r, strict=True))) for r in AUDIT_RULES))
+    first = F.get(F.filter(rules, lambda r: (F.col("method") == r["m"]) & F.startswith(F.col("path"), r["prefix"])), 0)
+    hit = requests.withColumn("rule", first).where("rule IS NOT NULL")
+    detail = F.to_json(F.struct("method", "path", "status_code")) if "status_code" in requests.columns else F.to_json(F.struct("method", "path"))
+    return hit.select("page_id", "method", "path", "rule.action", "rule.resource_type", F.element_at(F.split(F.regexp_replace("path", "/+$", ""), "/"), -1).alias("resource_id"), detail.alias("detail"))
 
 
 def requests(spark: SparkSession, d: str) -> DataFrame:
@@ -277,7 +313,18 @@ WITH r(ord, m, prefix, action, resource_type) AS (VALUES {_RULES}), h AS (SELECT
 SELECT page_id, method, path, action, resource_type, string_split(regexp_replace(path, '/+$', ''), '/')[-1] AS resource_id FROM h WHERE n = 1
 """)
 def q_audit_match(spark: SparkSession, d: str) -> DataFrame:
-    return audit(requests(spark, d))
+    return audit(requests(spark, d)).drop("detail")
+
+
+@query(f"""
+WITH r(ord, m, prefix, action, resource_type) AS (VALUES {_RULES}), h AS (SELECT q.*, r.*, row_number() OVER (PARTITION BY page_id ORDER BY ord) AS n FROM {_REQUEST} q JOIN r ON q.method = r.m AND starts_with(q.path, r.prefix))
+SELECT page_id, action, resource_type, string_split(regexp_replace(path, '/+$', ''), '/')[-1] AS resource_id, '{{"method":"' || method || '","path":"' || path || '","status_code":' || (200 + page_id % 3) || '}}' AS detail FROM h WHERE n = 1
+""")
+def q_audit_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The audit log that a stream of requests has appended, with the detail of each."""
+    rows = requests(spark, d).withColumn("status_code", F.col("page_id") % 3 + 200)
+    got = windows.in_goes(spark, [rows.where("page_id % 2 = 0"), rows.where("page_id % 2 = 1")], audit)
+    return got.select("page_id", "action", "resource_type", "resource_id", "detail")
 
 
 #: Subscribers and the patterns of events that they ask for.

@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.functions import text as tx
+from granary.operators.render import result_name
+
+from .files import write_files
 
 
 #: Folders of a chunk table; a table keeps the number it was first written with.
@@ -46,9 +49,11 @@ def read_chunks(spark: SparkSession, path: str, paper, key: str = "paper_id", bu
     return spark.read.parquet(path).where(mine & (F.col(key) == paper) & F.col("chunk").isNotNull()).drop("bucket")
 
 
-def write_results(results: DataFrame, path: str) -> None:
-    """(kind, content): texts by kind."""
-    results.select("kind", F.col("content").alias("value")).repartition("kind").write.mode("overwrite").partitionBy("kind").text(path)
+def write_results(results: DataFrame, folder: str) -> None:
+    """(paper_id, kind, template, content): a file for each result, in its paper's folder, named by kind and template. Results of
+    other papers and kinds stay; ``tables.results`` reads them."""
+    name = result_name(F.col("kind"), F.col("template"))
+    write_files(results.select(F.concat_ws("/", F.col("paper_id").cast("string"), name).alias("path"), F.coalesce("content", F.lit("")).alias("content")), folder)
 
 
 def append_log(rows: DataFrame, path: str) -> None:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.functions import text as tx
+from granary.operators.render import result_name
 
 
 # Fixed value: what stands for a document without readable text.
@@ -29,21 +30,21 @@ def spread(rows: DataFrame, key: str) -> DataFrame:
     return rows.repartition(cores, key) if size < SPREAD * cores else rows
 
 
-def read_json_rows(spark: SparkSession, path: str, schema: str, malformed: str = "DROPMALFORMED") -> DataFrame:
-    """A JSON array or JSON lines, with a schema given; files that do not parse are dropped, as a directory scan would."""
-    return spark.read.schema(schema).option("multiLine", True).option("mode", malformed).json(path)
+def read_json_rows(spark: SparkSession, path: str, schema: str, malformed: str = "DROPMALFORMED", lines: bool = False) -> DataFrame:
+    """Files of a JSON array or object each, or of one object a line, with a schema given; what does not parse is dropped."""
+    return spark.read.schema(schema).option("multiLine", not lines).option("mode", malformed).json(path)
 
 
-def paper_metadata(spark: SparkSession, path: str) -> DataFrame:
-    """Paper rows of a JSON file, each with its template's tag first among its tags, newest first."""
-    rows = read_json_rows(spark, path, "paper_id string, title string, template string, created_at string, domain_tags array<string>")
+def paper_metadata(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Paper rows of JSON files (an array each, or one object a line), each with its template's tag first among its tags, newest first."""
+    rows = read_json_rows(spark, path, "paper_id string, title string, template string, created_at string, domain_tags array<string>", lines=lines)
     tags = tx.distinct_in_order(F.concat(F.array(tx.domain_tag(F.col("template"))), F.coalesce("domain_tags", F.array().cast("array<string>"))))
     return rows.withColumn("domain_tags", tags).orderBy(F.desc("created_at"), "paper_id")
 
 
 def templates(spark: SparkSession, folder: str) -> DataFrame:
     """(name, content) of the Markdown files of a folder, by name."""
-    rows = spark.read.option("wholetext", True).option("pathGlobFilter", "*.md").text(folder)
+    rows = spark.read.option("pathGlobFilter", "*.md").text(folder, wholetext=True)
     return rows.select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("name"), F.col("value").alias("content")).orderBy("name")
 
 
@@ -55,11 +56,36 @@ def read_template(spark: SparkSession, folder: str, name: str, default: str) ->
 
 
 def results(spark: SparkSession, root: str, kinds: DataFrame) -> DataFrame:
-    """``kinds`` (paper_id, name) with the content of each result file, an empty text where there is none."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(root)
+    """``kinds`` (paper_id, kind, template) with the content of each result file, an empty text where there is none."""
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(root, wholetext=True)
     parts = F.split(F.input_file_name(), "/")
-    found = files.select(F.element_at(parts, -2).alias("paper_id"), F.element_at(parts, -1).alias("name"), F.col("value").alias("content"))
-    return kinds.join(found, ["paper_id", "name"], "left").withColumn("content", F.coalesce("content", F.lit("")))
+    found = files.select(F.element_at(parts, -2).alias("_paper"), F.element_at(parts, -1).alias("_name"), F.col("value").alias("content"))
+    own = kinds.withColumn("_paper", F.col("paper_id").cast("string")).withColumn("_name", result_name(F.col("kind"), F.col("template")))
+    return own.join(found, ["_paper", "_name"], "left").select(*kinds.columns, F.coalesce("content", F.lit("")).alias("content"))
+
+
+def states(spark: SparkSession, folder: str) -> DataFrame:
+    """(id, paper_id, status, payload, broken) of a folder of JSON files, one a state: a file that is no such object is a broken row
+    and not dropped unseen; missing fields have defaults."""
+    fields = "request_id string, paper_id string, status string, payload string, _corrupt_record string"
+    rows = spark.read.schema(fields).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(folder)
+    broken = F.col("_corrupt_record").isNotNull() | F.col("request_id").isNull()
+    return rows.select(F.col("request_id").alias("id"), "paper_id", F.when(~broken, F.coalesce("status", F.lit("pending"))).alias("status"), F.coalesce("payload", F.lit("{}")).alias("payload"), broken.alias("broken"))
+
+
+def tool_folders(spark: SparkSession, root: str) -> DataFrame:
+    """(folder, tool, description, prompt, problem) of each folder that has a prompt or a schema: a tool needs both, and a schema
+    that names it in one of three layouts. Of a folder that is none, ``problem`` says why."""
+    files = spark.read.option("recursiveFileLookup", True).text(root, wholetext=True)
+    parts = F.split(F.input_file_name(), "/")
+    named = files.select(F.element_at(parts, -2).alias("folder"), F.element_at(parts, -1).alias("name"), "value")
+    per = named.groupBy("folder").agg(F.max(F.when(F.col("name") == "prompt.md", F.col("value"))).alias("prompt"), F.max(F.when(F.col("name") == "schema.json", F.col("value"))).alias("schema"))
+    own = lambda key: F.coalesce(*(F.nullif(F.get_json_object("schema", f"$.{at}{key}"), F.lit("")) for at in ("function.", "tool.function.", "")))
+    problem = (
+        F.when(F.col("prompt").isNull(), "no prompt").when(F.col("schema").isNull(), "no schema").when(F.try_parse_json("schema").isNull(), "schema is no JSON").when(own("name").isNull(), "schema names no tool")
+    )
+    some = per.where("prompt IS NOT NULL OR schema IS NOT NULL")
+    return some.select("folder", F.when(problem.isNull(), own("name")).alias("tool"), F.when(problem.isNull(), F.coalesce(own("description"), F.lit(""))).alias("description"), "prompt", problem.alias("problem"))
 
 
 def pdf_pages(pages: DataFrame) -> DataFrame:
@@ -87,17 +113,17 @@ def atom_entries(feeds: DataFrame, xml: str = "xml") -> DataFrame:
     return rows.where("title IS NOT NULL AND title <> ''")
 
 
-def web_results(payloads: DataFrame, column: str = "payload", most: int = 3) -> DataFrame:
+def web_results(payloads: DataFrame, column: str = "payload", most: int = 3, keys: list[str] | None = None) -> DataFrame:
     """(title, url, content, score) of a search service's JSON answer; the number is held between 1 and 5."""
     n = max(1, min(most, 5))
     schema = "struct<results:array<struct<title:string,url:string,content:string,score:double>>>"
-    one = payloads.select(F.posexplode(F.slice(F.from_json(F.col(column), schema)["results"], 1, n)).alias("pos", "r"))
-    return one.select("pos", F.col("r.title").alias("title"), F.col("r.url").alias("url"), F.substring("r.content", 1, 500).alias("content"), F.col("r.score").alias("score"))
+    one = payloads.select(*keys or [], F.posexplode(F.slice(F.from_json(F.col(column), schema)["results"], 1, n)).alias("pos", "r"))
+    return one.select(*keys or [], "pos", F.col("r.title").alias("title"), F.col("r.url").alias("url"), F.substring("r.content", 1, 500).alias("content"), F.col("r.score").alias("score"))
 
 
 def uploads(spark: SparkSession, folder: str) -> DataFrame:
     """A stream of new PDF files; other files are not seen."""
-    return spark.readStream.format("binaryFile").option("pathGlobFilter", "*.pdf").load(folder)
+    return spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", "*.pdf").load(folder)
 
 
 def token_table(lines: DataFrame, column: str = "value") -> DataFrame:

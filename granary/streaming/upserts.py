@@ -38,7 +38,7 @@ def version(spark: SparkSession, path: str) -> dict:
     names = versions(spark, path)
     if not names:
         return {"buckets": {}, "applied": {}}
-    return json.loads(spark.read.option("wholetext", True).text(f"{path}/ledger/{names[-1]}").first()[0])
+    return json.loads(spark.read.text(f"{path}/ledger/{names[-1]}", wholetext=True).first()[0])
 
 
 def _commit(spark: SparkSession, path: str, content: dict) -> None:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from granary.functions import text as tx
 from granary.operators import collaborate as co
-from granary.sources import sinks, tables
+from granary.sources import files, sinks, tables
 
 
 def test_chunks_are_replaced_by_paper(spark, tmp_path):
@@ -39,8 +41,14 @@ def test_logs_and_results(spark, sf_dir, tmp_path):
     for _ in range(2):
         sinks.append_log(sinks.token_rows(calls), str(tmp_path / "log"))
     assert [r["total_tokens"] for r in spark.read.parquet(str(tmp_path / "log")).collect()] == [5, 5]
-    sinks.write_results(spark.createDataFrame([("summary", "a"), ("ideas", "b")], "kind string, content string"), str(tmp_path / "out"))
-    assert {(r["kind"], r["value"]) for r in spark.read.text(str(tmp_path / "out")).collect()} == {("summary", "a"), ("ideas", "b")}
+    rows = [(1, "summary", "a.md", "one"), (1, "ideas", "a.md", "two"), (2, "summary", "b.v2.md", None)]
+    sinks.write_results(spark.createDataFrame(rows, "paper_id long, kind string, template string, content string"), str(tmp_path / "out"))
+    sinks.write_results(spark.createDataFrame([(1, "ideas", "a.md", "three\nlines")], "paper_id long, kind string, template string, content string"), str(tmp_path / "out"))
+    kinds = spark.createDataFrame([(1, "summary", "a.md"), (1, "ideas", "x.md"), (2, "summary", "b.v2.md"), (3, "summary", "a.md")], "paper_id long, kind string, template string")
+    assert {(r["paper_id"], r["kind"]): r["content"] for r in tables.results(spark, str(tmp_path / "out"), kinds).collect()} == {(1, "summary"): "one", (1, "ideas"): "three\nlines", (2, "summary"): "", (3, "summary"): ""}
+    assert (tmp_path / "out" / "2" / "summary_b.v2.md").exists()
+    with pytest.raises(PySparkException):
+        files.write_files(spark.createDataFrame([("../x", "y")], "path string, content string"), str(tmp_path / "out"))
     calls.write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(calls.schema).parquet(str(tmp_path / "in"))
     sinks.stream_log(stream, str(tmp_path / "s"), str(tmp_path / "state")).awaitTermination()
