@@ -193,14 +193,21 @@ def q_pdf_title(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "pages").select("page_id", src.pdf_title(t, F.concat(F.lit("/up/file_"), F.col("page_id").cast("string"), F.lit(".pdf"))).alias("title"))
 
 
-@query(f"SELECT page_id, trim(title) AS title, url, substr(summary, 1, 320) AS summary FROM (SELECT page_id, 'T ' || page_id AS title, 'http://x.example.com/' || page_id AS url, {q.collapse('repeat($$word $$, CAST(page_id AS BIGINT))')} AS summary FROM pages WHERE page_id % 3 <> 0)")
+#: What XML may not hold, and letters beyond ASCII.
+_NOT_PLAIN = r"[^\x20-\x7e\n\t]"
+
+
+@query(f"""
+WITH f AS (SELECT page_id, CASE WHEN page_id % 3 <> 0 THEN {q.collapse("regexp_extract(html, '<title>([^<]*)', 1)")} ELSE '' END AS title, url, {q.collapse(f"regexp_replace(html, {q.quoted(_NOT_PLAIN)}, ' ', 'g')")} AS summary FROM pages)
+SELECT page_id, title, url, substr(summary, 1, 320) AS summary FROM f WHERE title <> ''
+""")
 def q_feed_entries(spark: SparkSession, d: str) -> DataFrame:
-    """Entries of Atom feeds; those without a title go."""
-    i = F.col("page_id").cast("string")
-    title = F.when(F.col("page_id") % 3 == 0, "").otherwise(F.concat(F.lit("<title>T  "), i, F.lit("</title>")))
-    xml = F.concat(F.lit("<feed><entry>"), title, F.lit("<published>2024</published><id>http://x.example.com/"), i, F.lit("</id><summary>"), F.expr("repeat('word ', cast(page_id as int))"), F.lit("</summary></entry><entry><id>none</id></entry></feed>"))
-    got = src.atom_entries(load(spark, d, "pages").select(xml.alias("xml")))
-    return got.select(F.regexp_extract("title", r"(\d+)$", 1).cast("long").alias("page_id"), "title", "url", F.coalesce("summary", F.lit("")).alias("summary"))
+    """Entries of Atom feeds made of pages, whole HTML as the summary; those without a title go. The number of a page goes with its feed."""
+    text = lambda c: tx.html_escape(c)
+    title = F.when(F.col("page_id") % 3 == 0, "").otherwise(F.concat(F.lit("<title> "), text(F.regexp_extract("html", "<title>([^<]*)", 1)), F.lit("\n</title>")))
+    plain = F.regexp_replace("html", _NOT_PLAIN, " ")
+    xml = F.concat(F.lit("<feed><entry>"), title, F.lit("<published>2024</published><id> "), text(F.col("url")), F.lit("</id><summary>"), text(plain), F.lit("</summary></entry><entry><id>none</id></entry></feed>"))
+    return src.atom_entries(load(spark, d, "pages").select("page_id", xml.alias("xml")), keys=["page_id"]).select("page_id", "title", "url", F.coalesce("summary", F.lit("")).alias("summary"))
 
 
 @query("SELECT conv_id, array_to_string(list_transform(list_sort(list_transform(list_distinct(list(v)), lambda x: {'k': list_position(list(v ORDER BY turn), x), 'v': x})), lambda s: s.v), '|') AS seen FROM (SELECT conv_id, turn, role AS v FROM conversations) GROUP BY 1")

@@ -104,12 +104,12 @@ def pdf_title(title: Column, file_name: Column) -> Column:
     return F.when((F.length(F.trim(title)) > 2) & ~F.contains(F.lower(title), F.lit("untitled")), F.trim(title)).otherwise(stem)
 
 
-def atom_entries(feeds: DataFrame, xml: str = "xml") -> DataFrame:
+def atom_entries(feeds: DataFrame, xml: str = "xml", keys: list[str] | None = None) -> DataFrame:
     """(title, published, url, summary) of the entries of Atom feeds; entries without a title go, summaries are cut at 320."""
     schema = "struct<entry:array<struct<title:string,published:string,id:string,summary:string>>>"
-    parsed = feeds.select(F.from_xml(F.col(xml), schema).alias("f"))
-    e = parsed.select(F.explode("f.entry").alias("e"))
-    rows = e.select(tx.collapse(F.col("e.title")).alias("title"), F.col("e.published").alias("published"), F.trim("e.id").alias("url"), F.substring(tx.collapse(F.col("e.summary")), 1, 320).alias("summary"))
+    parsed = feeds.select(*keys or [], F.from_xml(F.col(xml), schema).alias("f"))
+    e = parsed.select(*keys or [], F.explode("f.entry").alias("e"))
+    rows = e.select(*keys or [], tx.collapse(F.col("e.title")).alias("title"), F.col("e.published").alias("published"), F.trim("e.id").alias("url"), F.substring(tx.collapse(F.col("e.summary")), 1, 320).alias("summary"))
     return rows.where("title IS NOT NULL AND title <> ''")
 
 
