@@ -37,25 +37,30 @@ def _fold(*parts: np.ndarray) -> np.ndarray:
     return np.unique((h * _MIX) >> np.uint64(64 - 18)).astype(np.int32)
 
 
-#: Lengths of runs of one word that have a feature each.
-RUNS = (2, 3, 5, 8, 16)
+_PAIR, _NEXT = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
+#: Words of the n-grams that are told by which of their words are equal.
+EQUALS = 4
+
+
+def equalities(w: np.ndarray, n: int = EQUALS) -> np.ndarray:
+    """For each n-gram a number for which of its words are equal, whatever they are."""
+    m = max(0, len(w) - n + 1)
+    out = np.full(m, np.uint64(n))
+    for i in range(n):
+        for j in range(i + 1, n):
+            out = out * _PAIR + (w[i : i + m] == w[j : j + m])
+    return out * _NEXT
 
 
 def quality_features(text: bytes) -> np.ndarray:
-    """Words, shapes of words, pairs of shapes, and n-grams of repeated words, each as an indicator."""
+    """Words and pairs of words; their shapes, and pairs of shapes with whether the words are equal; and n-grams by which of their
+    words are equal: each as an indicator."""
     ws = text.split()
     if not ws:
         return np.zeros(0, np.int32)
     w, s = _hash.array(ws), _shape.array(ws)
-    pairs = s[:-1] * np.uint64(0xD6E8FEB86659FD93) + s[1:]
-    edge = np.flatnonzero(np.append(True, w[1:] != w[:-1]))
-    longest = int(np.diff(np.append(edge, len(w))).max())
-    same = w[1:] == w[:-1]
-    # "a a b b" and "a a b b c c": n-grams by which of their words are equal.
-    twice = same[:-2] & ~same[1:-1] & same[2:]
-    thrice = twice[:-2] & twice[2:]
-    flags = [_h(b"run%d" % r, 6) for r in RUNS if longest >= r] + [_h(b"aabb", 6)] * bool(twice.any()) + [_h(b"aabbcc", 6)] * bool(thrice.any())
-    return _fold(w, s, pairs, np.array(flags, np.uint64))
+    same = (w[1:] == w[:-1]).astype(np.uint64)
+    return _fold(w, s, w[:-1] * _NEXT + w[1:], s[:-1] * _PAIR + s[1:] + same * _NEXT, equalities(w))
 
 
 #: Lower case of A-Z, and the punctuation that is taken off a word's ends.

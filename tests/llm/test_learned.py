@@ -428,3 +428,40 @@ def test_memory_of_words_is_bounded(crf, monkeypatch):
     want = [pii.Crf(*crf.__getstate__())._scores(w)[0].tolist() for w in words]
     small = pii.Crf(*crf.__getstate__())
     assert [small._scores(w)[0].tolist() for w in words] == want and len(small.memo) <= 21 and len(small.old) <= 21
+
+
+def test_quality_features_are_the_plain_ones():
+    """As many as the distinct words, shapes, pairs and patterns of equal words, told apart by plain Python."""
+    for text in ("", "one", "a b", "The 3 cats, the 3 cats!", "x x y y x x z", "a1 B2 c3 d4 a1 B2 c3 d4 e5"):
+        ws = text.encode().split()
+        shapes = [features.shape(w) for w in ws]
+        pattern = lambda i: tuple(ws[i : i + 4].index(w) for w in ws[i : i + 4])  # noqa: B023, E731
+        want = {(1, w) for w in ws} | {(2, x) for x in shapes} | {(3, *p) for p in zip(ws, ws[1:], strict=False)}
+        want |= {(4, shapes[i], shapes[i + 1], ws[i] == ws[i + 1]) for i in range(len(ws) - 1)} | {(5, pattern(i)) for i in range(len(ws) - 3)}
+        assert len(features.quality_features(text.encode())) == len(want)
+
+
+def test_ratios_and_sigmoid():
+    rows, y = [np.array([1, 2]), np.array([2]), np.array([3])], np.array([1, 1, 0])
+    got = nbsvm.log_ratios(rows, y)
+    assert np.allclose(got[[1, 2, 3, 4]], np.log([2 / 4 / (1 / 3), 3 / 4 / (1 / 3), 1 / 4 / (2 / 3), 1 / 4 / (1 / 3)]))
+    margin = np.linspace(-3, 3, 400)
+    true = 1 / (1 + np.exp(-(2.0 * margin - 0.5)))
+    y = (np.random.default_rng(1).random(400) < true).astype(int)
+    a, b = nbsvm.sigmoid_fit(margin, y)
+    p = 1 / (1 + np.exp(-(a * margin + b)))
+    assert abs(p.mean() - y.mean()) < 0.01 and abs((p * margin).mean() - (y * margin).mean()) < 0.02
+
+
+def test_whole_quality_query_is_the_plain_one(spark, sf_dir):
+    """Labels chosen, texts read and scored by plain Python, with the same fit."""
+    import duckdb
+
+    docs = duckdb.sql(f"SELECT doc_id, coalesce(text, '') FROM '{sf_dir}/documents.parquet'").fetchall()
+    labels = dict(duckdb.sql(f"SELECT doc_id, quality FROM '{sf_dir}/labels.parquet' WHERE quality IS NOT NULL").fetchall())
+    out = lambda i: zlib.crc32(str(i).encode()) % 5 == 0
+    learn = sorted((i, t) for i, t in docs if i in labels and not out(i))
+    model = nbsvm.fit([features.quality_features(t.encode()) for _, t in learn], np.array([labels[i] for i, _ in learn]))
+    want = {i: model.scores([features.quality_features(t.encode())])[0] for i, t in docs}
+    got = QUERIES["op2_quality"](spark, sf_dir).collect()
+    assert len(got) == len(docs) and all(abs(r.score - want[r.doc_id]) < 1e-9 and r.held_out == out(r.doc_id) and r.predicted == int(r.score >= 0.3) for r in got)
