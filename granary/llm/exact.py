@@ -18,7 +18,6 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import id_and_text, kept, numbered, table
 
@@ -82,8 +81,11 @@ def duplicates(docs: DataFrame) -> DataFrame:
     # Counted again for each use, a winner could differ only if its input did: it is fixed here, at most COUNTERS rows.
     winners = F.broadcast(kept(winners))
     heavy = d.join(winners, "digest")
-    w = Window.partitionBy("digest", "check", "chars")
-    rest = d.join(winners, "digest", "left_anti").withColumn("best", best.over(w)).withColumn("group_size", F.count("*").over(w))
+    # Groups are partial sums joined back, a join that adaptive execution splits where one is large; most rows have no group.
+    rest, same = d.join(winners, "digest", "left_anti"), ["digest", "check", "chars"]
+    groups = rest.groupBy(*same).agg(best.alias("best"), F.count("*").alias("group_size")).where("group_size > 1")
+    alone = F.struct("doc_id", "row")
+    rest = rest.join(groups, same, "left").withColumn("best", F.coalesce("best", alone)).withColumn("group_size", F.coalesce("group_size", F.lit(1)))
     both = heavy.select("row", "doc_id", "digest", "best", "group_size").unionByName(rest.select("row", "doc_id", "digest", "best", "group_size"))
     return both.select("row", "doc_id", "digest", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("best.row")).alias("kept"))
 
