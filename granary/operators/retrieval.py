@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from granary.functions import scalars
 from granary.functions import text as tx
 
+from . import tiles
 from .overlap import best_shared
 from .relational import best_per
 
@@ -56,23 +57,40 @@ def first_chunks(questions: DataFrame, chunks: DataFrame, question_id: str, chun
     return best_per(rows.withColumn("score", F.lit(0.0)), [question_id], list(map(F.col, chunk_key)), k, "rank")
 
 
-#: Blocks that the vectors fall into; each query meets each of them.
-BLOCKS = 64
+#: Rows of one key, or of one block, that one task takes.
+BLOCK = 50_000
+#: Bytes of queries up to which every task holds them.
+FEW_VECTORS = 64 << 20
 
 
 def vector_pairs(vectors: DataFrame, queries: Column, id_col: str, vector: str, same: str | None = None) -> DataFrame:
     """(query_id, id, a, b) of each query and each other vector: joined on the column ``same``, or else block by block.
 
-    A block join sends each query to each block and no vector anywhere else, and neither side has to fit a broadcast.
+    Keys are split into blocks of about ``BLOCK`` rows by the count of the largest one, and a query is sent to each block of its
+    key, so no key is one task; a vector is sent nowhere else, and neither side has to fit a broadcast.
     """
-    v = vectors.select(F.col(id_col).alias("id"), F.col(vector).alias("b"), *([F.col(same).alias("key")] if same else [F.pmod(F.xxhash64(id_col), F.lit(BLOCKS)).cast("int").alias("key")]))
-    key = F.col(same) if same else F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1)))
-    q = vectors.where(queries).select(F.col(id_col).alias("query_id"), F.col(vector).alias("a"), key.alias("key"))
-    return v.join(q, "key").where("id <> query_id").drop("key")
+    key = F.col(same) if same else F.lit(0)
+    largest = vectors.groupBy(key.alias("key")).count().agg(F.max("count")).first()[0] or 0
+    blocks = -(-largest // BLOCK) or 1
+    v = vectors.select(F.col(id_col).alias("id"), F.col(vector).alias("b"), key.alias("key"), F.pmod(F.xxhash64(id_col), F.lit(blocks)).cast("int").alias("block"))
+    q = vectors.where(queries).select(F.col(id_col).alias("query_id"), F.col(vector).alias("a"), key.alias("key"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    return v.join(q, ["key", "block"]).where("id <> query_id").drop("key", "block")
 
 
-def cosine_top_k(vectors: DataFrame, queries: Column, k: int, id_col: str, vector: str, same: str | None = None) -> DataFrame:
-    """(query_id, rank, id, similarity): vectors are made unit once, so a pair costs one inner product."""
+def cosine_top_k(vectors: DataFrame, queries: Column, k: int, id_col: str, vector: str, same: str | None = None, few: int = FEW_VECTORS) -> DataFrame:
+    """(query_id, rank, id, similarity): the k nearest other vectors.
+
+    Queries of up to ``few`` bytes are held by every task, which multiplies its vectors with them and shuffles the best ones; more
+    queries, and those within a key, are joined. Vectors are made unit once, so a pair costs one inner product. Both give the same rows.
+    """
+    ids = F.col(id_col).cast("long")
+    if not same:
+        asked = vectors.where(queries & ids.isNotNull()).select(ids.alias("query_id"), F.col(vector).cast("array<double>").alias("v")).where("v IS NOT NULL AND forall(v, x -> x IS NOT NULL AND NOT isnan(x))")
+        if (asked.agg(F.sum(F.size("v") + 1)).first()[0] or 0) * 8 <= few:
+            held = [(r["query_id"], r["v"]) for r in asked.distinct().collect()]
+            rows = vectors.where(ids.isNotNull()).select(ids.alias("id"), F.col(vector).cast("array<double>").alias("v"))
+            near = rows.mapInArrow(tiles.best_cosines(held, k), "query_id long, id long, cosine double")
+            return best_per(near.select("query_id", "id", F.round("cosine", 6).alias("similarity")), ["query_id"], [F.desc("similarity"), F.col("id")], k, "rank")
     unit = vectors.withColumn(vector, scalars.unit(F.col(vector)))
     scored = vector_pairs(unit, queries, id_col, vector, same).select("query_id", "id", F.round(scalars.dot(F.col("a"), F.col("b")), 6).alias("similarity"))
     return best_per(scored, ["query_id"], [F.desc("similarity"), F.col("id")], k, "rank")

@@ -166,5 +166,9 @@ def q_hashed_search(spark: SparkSession, d: str) -> DataFrame:
     chunks = chunk_rows(spark, d).join(load(spark, d, "documents").select("doc_id", "source"), "doc_id")
     rows = chunks.select("doc_id", "chunk_index", "source", enc.hashed_vector(F.col("chunk")).alias("v"))
     asked = load(spark, d, "benchmark").select("item_id", F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("source"), enc.hashed_vector(F.col("text")).alias("qv"))
-    scored = rows.join(asked, "source").select("item_id", "doc_id", "chunk_index", F.round(scalars.dot(F.col("v"), F.col("qv")), 6).alias("similarity"))
+    largest = rows.groupBy("source").count().agg(F.max("count")).first()[0] or 0
+    blocks = -(-largest // ret.BLOCK) or 1
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "chunk_index"), F.lit(blocks)).cast("int"))
+    asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    scored = rows.join(asked, ["source", "block"]).select("item_id", "doc_id", "chunk_index", F.round(scalars.dot(F.col("v"), F.col("qv")), 6).alias("similarity"))
     return rel.best_per(scored, ["item_id"], [F.desc("similarity"), F.col("doc_id"), F.col("chunk_index")], 3, "rank")

@@ -17,9 +17,15 @@ def documents(spark: SparkSession, d: str, *names: str) -> DataFrame:
     return spread(load(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *names), "doc_id")
 
 
+def unfolded(rows: DataFrame, parts: Column, place: str, name: str) -> DataFrame:
+    """(doc_id, place, name): a row for each entry. By explode() Spark would put a filter on the number of entries below the dealing
+    out of small tables, and work all of them out twice."""
+    return rows.select("doc_id", F.posexplode_outer(parts).alias(place, name)).where(F.col(place).isNotNull())
+
+
 def chunk_rows(spark: SparkSession, d: str) -> DataFrame:
     """(doc_id, chunk_index, chunk)."""
-    return documents(spark, d).select("doc_id", F.posexplode(tx.chunks(F.col("text"))).alias("chunk_index", "chunk"))
+    return unfolded(documents(spark, d), tx.chunks(F.col("text")), "chunk_index", "chunk")
 
 
 @query(f"SELECT doc_id, chunk_index, chunk, doc_id || ':' || chunk_index || ':' || substr(sha1(doc_id || ':' || chunk_index), 1, 16) AS chunk_id FROM ({q.CHUNKS})")
@@ -29,7 +35,7 @@ def q_chunks(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT doc_id, CAST(generate_subscripts(s, 1) - 1 AS INTEGER) AS pos, unnest(s) AS sentence FROM (SELECT doc_id, {q.sentences(q.strip("coalesce(text, '')"))} AS s FROM documents)")
 def q_sentences(spark: SparkSession, d: str) -> DataFrame:
-    return documents(spark, d).select("doc_id", F.posexplode(tx.sentences(tx.strip(F.col("text")))).alias("pos", "sentence"))
+    return unfolded(documents(spark, d), tx.sentences(tx.strip(F.col("text"))), "pos", "sentence")
 
 
 @query(f"SELECT doc_id, CAST(len(s) AS INTEGER) AS n_units, array_to_string(s, chr(31)) AS units FROM (SELECT doc_id, list_slice(list_transform({q.sentences("coalesce(text, '')")}, lambda x: x[1:280]), 1, 40) AS s FROM documents)")
@@ -85,7 +91,6 @@ UNION ALL SELECT doc_id, 0, '{tx.WHOLE_TEXT}', string_agg(line, chr(10) ORDER BY
 
 @query(_SECTIONS)
 def q_sections(spark: SparkSession, d: str) -> DataFrame:
-    # Spark would put a filter on the size of what inline takes below the dealing out, and work all sections out twice.
     return section_lists(spark, d).select("doc_id", F.inline_outer("s")).where("section IS NOT NULL")
 
 
@@ -103,7 +108,7 @@ def q_sections_merged(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def q_pack500(spark: SparkSession, d: str) -> DataFrame:
-    return documents(spark, d).select("doc_id", F.posexplode(tx.pack(tx.sentences(tx.strip(F.col("text"))))).alias("pos", "part"))
+    return unfolded(documents(spark, d), tx.pack(tx.sentences(tx.strip(F.col("text")))), "pos", "part")
 
 
 def _template(c: Column) -> Column:

@@ -6,6 +6,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from granary.operators import overlap, retrieval
 
@@ -45,3 +46,25 @@ def test_blocks_of_cells(monkeypatch):
     parts = list(asked.shared(lists))
     assert len(parts) == 20 and (np.concatenate([m for _, m in parts]) == want).all()
     assert want[:5].tolist() == [[2, 1, 1], [0, 0, 0], [0, 0, 0], [1, 1, 1], [1, 0, 3]]
+
+
+@pytest.mark.parametrize("few", [0, retrieval.FEW_VECTORS])
+def test_cosine_top_k(spark, few, monkeypatch):
+    """By tiles or by a join in blocks: the rows of a plain loop, with many ties."""
+    from granary.operators import tiles
+
+    monkeypatch.setattr(retrieval, "BLOCK", 30)
+    monkeypatch.setattr(tiles, "TILE", 7)
+    rng = random.Random(3)
+    rows = [(i, [float(rng.randrange(-2, 3)) for _ in range(3)]) for i in range(150)]
+    rows = [(i, v) for i, v in rows if any(v)]
+    norm = lambda v: sum(x * x for x in v) ** 0.5
+    want = []
+    for i, a in rows:
+        if i % 10 == 0:
+            near = sorted((-round(sum(x * y for x, y in zip(a, b, strict=True)) / norm(a) / norm(b), 6), j) for j, b in rows if j != i)[:4]
+            want += [(i, n, j) for n, (_, j) in enumerate(near, 1)]
+    df = spark.createDataFrame(rows, "vec_id long, e array<double>").repartition(3)
+    got = retrieval.cosine_top_k(df, F.col("vec_id") % 10 == 0, 4, "vec_id", "e", few=few)
+    assert sorted((r["query_id"], r["rank"], r["id"]) for r in got.collect()) == sorted(want)
+    assert retrieval.cosine_top_k(df.where("vec_id < 0"), F.col("vec_id") % 10 == 0, 4, "vec_id", "e", few=few).count() == 0
