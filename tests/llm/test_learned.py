@@ -10,11 +10,12 @@ from collections import Counter
 
 import corpus_pipeline
 import numpy as np
+import public_tokenizers
 import pytest
 from llm_odd import documents, nothing
 from pyspark.sql import functions as F
 
-from granary.llm import exact, features, nbsvm, nnpu, pii, simhash, topk
+from granary.llm import binary, bpe, exact, features, nbsvm, nnpu, packing, pii, records, simhash, substring, topk
 from granary.llm.queries import ORACLE_SQL, QUERIES
 
 BIG = "/root/testdata/sf0.1"
@@ -379,6 +380,20 @@ def test_operators_take_clashing_names(spark, of):
     assert sorted(map(str, of(clash).collect())) == sorted(map(str, of(plain).collect()))
 
 
+@pytest.mark.parametrize("name", ["quality", "toxicity", "pack", "pack_by_powers", "records", "bpe", "repeats"])
+def test_other_operators_take_clashing_names(spark, sf_dir, tmp_path, name):
+    """Rows of an operator but for the numbers of sequences, which hang on how rows fall into tasks."""
+    words, ranks = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    of = {
+        "quality": lambda d, n: nbsvm.quality(d, labels), "toxicity": lambda d, n: nnpu.toxicity(d, labels), "repeats": lambda d, n: substring.remove_repeats(d), "bpe": lambda d, n: bpe.encode_decode(d, ranks, public_tokenizers.PATTERN, digests=True),
+        "pack": lambda d, n: packing.pack(d, words).drop("sequence_id", "offset"), "pack_by_powers": lambda d, n: binary.pack_by_powers(d, words).drop("sequence_id"),
+        "records": lambda d, n: records.read_token_records(records.write_token_records(d, f"file://{tmp_path}/{n}", public_tokenizers.path("byte_bpe_50k.json"))),
+    }[name]
+    plain, clash = documents(spark).select("doc_id", "text").coalesce(1), clashing(documents(spark)).coalesce(1)
+    assert sorted(map(str, of(clash, "a").collect())) == sorted(map(str, of(plain, "b").collect()))
+
+
 def test_exact_stage_keeps_what_brute_force_keeps(spark):
     rows = [(r["doc_id"], r["text"] or "") for r in documents(spark).collect()]
     best: dict = {}
