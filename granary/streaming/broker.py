@@ -125,6 +125,7 @@ def _frames(rows: list[tuple]) -> pd.DataFrame:
 
 def frames(commands: DataFrame, every: int = 15, clock: str = "event", ttl: int | None = None) -> DataFrame:
     """The frames of a stream of commands."""
+    ship(commands.sparkSession)
     processing = clock == "processing"
     if ttl and not processing:
         raise ValueError("a time to live is one of the machine's clock")

@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from granary.session import ship
+
 ANSWERS = "owner long, seq long, what string, session string, ok boolean, n long"
 
 
@@ -57,7 +59,9 @@ class Sessions(StatefulProcessor):
             self.said.appendValue((session, text))
         elif what == "close":
             self.open.removeKey((session,))
-            self.said.put([x for x in self.said.get() if x[0] != session]) if n else None
+            if n:
+                rest = [x for x in self.said.get() if x[0] != session]
+                self.said.put(rest) if rest else self.said.clear()  # a list without entries is no value
             n = self._count()
         return session, True, n
 
@@ -70,4 +74,5 @@ class Sessions(StatefulProcessor):
 
 def answers(commands: DataFrame, ttl: int | None = None) -> DataFrame:
     """The answers to a stream of commands."""
+    ship(commands.sparkSession)
     return commands.groupBy("owner").transformWithStateInPandas(Sessions(ttl), ANSWERS, "Append", "ProcessingTime" if ttl else "None")

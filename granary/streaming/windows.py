@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from granary.session import ship
+
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
@@ -130,6 +132,7 @@ def in_goes(spark: SparkSession, rows: list[DataFrame], plan: Callable[[DataFram
     """
     from .broker import start
 
+    ship(spark)
     folder = scratch(spark)
     for lot in rows:
         lot.write.mode("append").parquet(f"{folder}/in")
