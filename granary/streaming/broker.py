@@ -13,6 +13,10 @@ since the last state, so states alone tell them all. Frames do not depend on how
 before a command are sent with it, later ones by a timer, as far as the watermark is. On ``clock="processing"`` the time of the
 machine decides instead, commands count when they come, and tasks are forgotten ``ttl`` seconds after their last command.
 
+A subscriber that waits long is sent many signs of life, as many as the seconds by ``every``, whatever the number of commands. With
+``signs=False`` states alone are sent: ``idle`` is worked out from the time of the last one and no timer is set, so the work grows
+with the commands. The states and their ``idle`` are the same.
+
 A task's commands of one micro-batch are held together, and its subscribers are looked through at each.
 """
 
@@ -48,8 +52,8 @@ def start(spark: SparkSession, write: Callable):
 
 
 class Broker(StatefulProcessor):
-    def __init__(self, every: int, processing: bool, ttl: int | None):
-        self.every, self.processing, self.ttl = every * 1000, processing, ttl
+    def __init__(self, every: int, processing: bool, ttl: int | None, signs: bool = True):
+        self.every, self.processing, self.ttl, self.signs = every * 1000, processing, ttl, signs
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -59,42 +63,56 @@ class Broker(StatefulProcessor):
     def close(self) -> None:
         pass
 
-    def _life(self, key: tuple, until: int, out: list[tuple]) -> None:
+    def _heard(self) -> dict[str, tuple[int, int]]:
+        return {who: tuple(at) for (who,), at in self.listeners.iterator()}
+
+    def _keep(self, before: dict[str, tuple[int, int]], heard: dict[str, tuple[int, int]]) -> None:
+        """State is read and written once for all commands that come together, as each access is a call of the JVM."""
+        for who in before.keys() - heard.keys():
+            self.listeners.removeKey((who,))
+        for who, at in heard.items():
+            if before.get(who) != at:
+                self.listeners.updateValue((who,), at)
+        if self.signs:
+            self._timer(heard)
+
+    def _life(self, key: tuple, heard: dict[str, tuple[int, int]], until: int, out: list[tuple]) -> None:
         """Signs of life of all subscribers before a time, which is in milliseconds."""
-        for (who,), (last, idle) in list(self.listeners.iterator()):
+        for who, (last, idle) in heard.items():
             n = max(0, (until - last - 1) // self.every)
             out += [(*key, who, last + k * self.every, "keep-alive", None, None, idle + k) for k in range(1, n + 1)]
-            if n:
-                self.listeners.updateValue((who,), (last + n * self.every, idle + n))
+            heard[who] = (last + n * self.every, idle + n)
 
-    def _tell(self, key: tuple, who: str, at: int, last: tuple, out: list[tuple]) -> None:
+    def _tell(self, key: tuple, state: tuple, heard: dict[str, tuple[int, int]], who: str, at: int, out: list[tuple]) -> None:
         """A subscriber is sent the state."""
-        status, model = self.task.get()
-        out.append((*key, who, at, "state", status, model, last[1]))
-        if status in LAST:
-            self.listeners.removeKey((who,))
+        last, idle = heard[who]
+        out.append((*key, who, at, "state", *state, idle if self.signs else max(0, (at - last - 1) // self.every)))
+        if state[0] in LAST:
+            del heard[who]
         else:
-            self.listeners.updateValue((who,), (at, 0))
+            heard[who] = (at, 0)
 
-    def _timer(self) -> None:
+    def _timer(self, heard: dict[str, tuple[int, int]]) -> None:
         """One timer, for the next sign of life."""
         for t in list(self.handle.listTimers()):
             self.handle.deleteTimer(t)
-        due = [last for _, (last, _) in self.listeners.iterator()]
-        if due:
-            self.handle.registerTimer(min(due) + self.every)
+        if heard:
+            self.handle.registerTimer(min(last for last, _ in heard.values()) + self.every)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         out: list[tuple] = []
         text = lambda x: x if isinstance(x, str) else None
+        before = state = tuple(self.task.get()) if self.task.exists() else None
+        listened = self._heard()
+        heard = dict(listened)
         for r in pd.concat(list(rows)).sort_values(["at", "seq"], kind="stable").itertuples():
             at = timerValues.getCurrentProcessingTimeInMs() if self.processing else r.at.value // 1_000_000
-            self._life(key, at, out)
-            state = self.task.get() if self.task.exists() else None
+            if self.signs:
+                self._life(key, heard, at, out)
             if r.what == "subscribe":
-                self.listeners.updateValue((r.subscriber,), (at, 0))
+                heard[r.subscriber] = (at, 0)
                 if state:
-                    self._tell(key, r.subscriber, at, (at, 0), out)
+                    self._tell(key, state, heard, r.subscriber, at, out)
                 continue
             if r.what == "create":
                 state = (r.status, text(r.model))
@@ -104,17 +122,20 @@ class Broker(StatefulProcessor):
                 state = ("cancelled", state[1])
             else:
                 continue
+            for who in list(heard):
+                self._tell(key, state, heard, who, at, out)
+        if state and (self.ttl or state != before):
             self.task.update(state)
-            for (who,), last in list(self.listeners.iterator()):
-                self._tell(key, who, at, last, out)
-        self._timer()
+        self._keep(listened, heard)
         yield _frames(out)
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         out: list[tuple] = []
         now = timerValues.getCurrentProcessingTimeInMs() + 1 if self.processing else timerValues.getCurrentWatermarkInMs()
-        self._life(key, now, out)
-        self._timer()
+        listened = self._heard()
+        heard = dict(listened)
+        self._life(key, heard, now, out)
+        self._keep(listened, heard)
         yield _frames(out)
 
 
@@ -123,11 +144,13 @@ def _frames(rows: list[tuple]) -> pd.DataFrame:
     return out.assign(at=pd.to_datetime(out["at"].astype("int64"), unit="ms"), idle=out["idle"].astype("int64"), task=out["task"].astype("int64"))
 
 
-def frames(commands: DataFrame, every: int = 15, clock: str = "event", ttl: int | None = None) -> DataFrame:
-    """The frames of a stream of commands."""
+def frames(commands: DataFrame, every: int = 15, clock: str = "event", ttl: int | None = None, signs: bool = True) -> DataFrame:
+    """The frames of a stream of commands, with the signs of life or the states alone."""
     ship(commands.sparkSession)
     processing = clock == "processing"
     if ttl and not processing:
         raise ValueError("a time to live is one of the machine's clock")
+    if processing and not signs:
+        raise ValueError("on the machine's clock there are signs of life")
     timed = commands if processing else commands.withWatermark("at", "0 seconds")
-    return timed.groupBy("task").transformWithStateInPandas(Broker(every, processing, ttl), FRAMES, "Append", "ProcessingTime" if processing else "EventTime")
+    return timed.groupBy("task").transformWithStateInPandas(Broker(every, processing, ttl, signs), FRAMES, "Append", "ProcessingTime" if processing else "EventTime")

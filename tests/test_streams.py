@@ -112,6 +112,20 @@ def test_frames_do_not_depend_on_micro_batches(spark, cuts):
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
 
 
+@pytest.mark.parametrize("cuts", [[0, 99], [0, 2, 5, 7, 99]])
+def test_states_without_their_signs_of_life(spark, cuts):
+    """A subscriber who waits for ten years: the state tells of the signs of life before it, and none is made."""
+    year = 31_536_000
+    rows = [
+        (1, 10, 0, "subscribe", "a", None, None), (1, 40, 1, "create", None, "queued", "m"), (1, 50, 2, "subscribe", "b", None, None), (1, 55, 3, "cancel", None, None, None), (1, 60, 4, "cancel", None, None, None),
+        (1, 70, 5, "update", None, "parsing", None), (1, 70 + 10 * year, 6, "update", None, "done", None), (1, 80 + 10 * year, 7, "update", None, "failed", None), (2, 90 + 10 * year, 8, "create", None, "queued", None),
+    ]
+    lots = [x.withColumn("at", F.timestamp_seconds("second")).drop("second") for x in lots_of(spark, rows, COMMANDS, cuts)]
+    got = windows.in_goes(spark, lots, lambda s: broker.frames(s, signs=False)).select("subscriber", F.unix_seconds("at"), "kind", "status", "idle")
+    want = [("a", 40, "state", "queued", 1), ("b", 50, "state", "queued", 0)] + [(w, 55, "state", "cancelled", 0) for w in "ab"] + [(w, 70, "state", "parsing", 0) for w in "ab"] + [(w, 70 + 10 * year, "state", "done", (10 * year - 1) // 15) for w in "ab"]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
 def test_signs_of_life_by_the_clock_of_the_machine(spark, tmp_path):
     """No command comes, yet frames do; and a task is forgotten when its time is over."""
     rows = [(1, 100, 0, "create", None, "queued", None), (1, 101, 1, "subscribe", "a", None, None)]
