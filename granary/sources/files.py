@@ -1,21 +1,35 @@
-"""A sink that writes a file for each row: ``rows.write.format("files")`` of (path, content), text or bytes.
+"""A sink that writes a file for each row: ``rows.write.format("files")`` of (path, content), text or bytes; and trees of files read.
 
 Paths are relative to the folder; one that leaves it is an error. A file is written under another name and moved, so it is whole or
 not there; a path that comes again replaces its file. Tasks write through ``pyarrow.fs``, wherever the folder is.
+
+``read_files`` and ``new_files`` list a tree in tasks, so the driver knows the number of slices and no file: entries of the first
+level that has as many folders as there are slices are dealt out by hash of their path, and each task walks its own. A flat folder
+is listed once by each slice, so writers of many files had better put them in ``shard`` folders. Names that begin with a dot or an
+underscore are not seen, as by Spark's own sources.
 """
 
 from __future__ import annotations
 
+import time
 import uuid
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from datetime import UTC, datetime
 from pathlib import PurePosixPath
 
+import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, Row
-from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
+from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceStreamReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from granary.session import ship
 
+#: Shard folders; bytes and rows of a batch of contents.
+SHARDS, BATCH, ROWS = 256, 4 << 20, 1024
+
 
 def safe(path: str) -> bool:
     p = PurePosixPath(path or "")
@@ -28,11 +42,14 @@ class FileWriter(DataSourceWriter):
 
     def write(self, iterator: Iterator[Row]) -> WriterCommitMessage:
         system, base = fs.FileSystem.from_uri(self.path)
+        made = None
         for row in iterator:
             if not safe(row["path"]):
                 raise ValueError(f"{row['path']!r} is no path within the folder")
             whole = PurePosixPath(base, row["path"])
-            system.create_dir(str(whole.parent), recursive=True)
+            if whole.parent != made:
+                system.create_dir(str(whole.parent), recursive=True)
+                made = whole.parent
             part = str(whole.parent / f".{uuid.uuid4().hex}")
             content = row["content"]
             with system.open_output_stream(part) as f:
@@ -58,3 +75,157 @@ def write_files(rows: DataFrame, folder: str) -> None:
     ship(spark)
     spark.dataSource.register(FileSink)
     rows.select("path", "content").write.format("files").mode("append").option("path", folder).save()
+
+
+def shard(key: Column) -> Column:
+    """A folder for a key, one of ``SHARDS``."""
+    return F.lower(F.lpad(F.hex(F.pmod(F.xxhash64(key), F.lit(SHARDS))), 2, "0"))
+
+
+def _entries(system: fs.FileSystem, folder: str) -> list[fs.FileInfo]:
+    found = system.get_file_info(fs.FileSelector(folder, allow_not_found=True))
+    return [x for x in found if x.base_name[:1] not in ("", ".", "_")]
+
+
+def _level(system: fs.FileSystem, base: str, slices: int) -> tuple[list[fs.FileInfo], list[fs.FileInfo]]:
+    """The files above the level that is dealt out, and its folders."""
+    above, level = [], [base]
+    while True:
+        entries = [x for folder in level for x in _entries(system, folder)]
+        above += [x for x in entries if x.type == fs.FileType.File]
+        folders = [x for x in entries if x.type == fs.FileType.Directory]
+        if not folders or len(folders) >= slices:
+            return above, folders
+        level = [x.path for x in folders]
+
+
+def _mine(base: str, own: int, slices: int) -> Callable[[fs.FileInfo], bool]:
+    return lambda x: zlib.crc32(x.path.removeprefix(base).encode()) % slices == own
+
+
+def owned(system: fs.FileSystem, base: str, ending: str, own: int, slices: int) -> Iterator[fs.FileInfo]:
+    """The files of one slice of a tree; all slices together are the whole."""
+    mine = _mine(base, own, slices)
+    above, folders = _level(system, base, slices)
+    yield from (x for x in above if x.base_name.endswith(ending) and mine(x))
+    todo = [x.path for x in folders if mine(x)]
+    while todo:
+        for x in _entries(system, todo.pop()):
+            if x.type == fs.FileType.Directory:
+                todo.append(x.path)
+            elif x.base_name.endswith(ending):
+                yield x
+
+
+def _slices(spark: SparkSession) -> int:
+    return min(SHARDS, 4 * spark.sparkContext.defaultParallelism)
+
+
+def _contents(system: fs.FileSystem, base: str, paths: Iterator[str]) -> Iterator[pa.RecordBatch]:
+    """(path, content) of files by their relative paths."""
+    names, found, held = [], [], 0
+    for path in paths:
+        with system.open_input_stream(f"{base}/{path}") as f:
+            found.append(f.read())
+        names.append(path)
+        held += len(found[-1])
+        if held >= BATCH or len(names) >= ROWS:
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(found, pa.binary())], ["path", "content"])
+            names, found, held = [], [], 0
+    if names:
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(found, pa.binary())], ["path", "content"])
+
+
+def _tree(folder: str, ending: str, slices: int) -> Callable:
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base = fs.FileSystem.from_uri(folder)
+        for b in it:
+            for own in b.column(0).to_pylist():
+                yield from _contents(system, base, (x.path.removeprefix(base).lstrip("/") for x in owned(system, base, ending, own, slices)))
+
+    return run
+
+
+def read_files(spark: SparkSession, folder: str, ending: str = "") -> DataFrame:
+    """(path, content) of the files of a tree whose names end so; paths are relative to the folder, contents are bytes."""
+    ship(spark)
+    n = _slices(spark)
+    return spark.range(0, n, 1, n).mapInArrow(_tree(_uri(folder), ending, n), "path string, content binary")
+
+
+def clear(spark: SparkSession, folder: str) -> None:
+    """Tasks delete the ``shard`` folders of a tree; what lies above them stays."""
+    uri, slices = _uri(folder), _slices(spark)
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base = fs.FileSystem.from_uri(uri)
+        for b in it:
+            for k in (k for own in b.column(0).to_pylist() for k in range(own, SHARDS, slices)):
+                if system.get_file_info(f"{base}/{k:02x}").type == fs.FileType.Directory:
+                    system.delete_dir(f"{base}/{k:02x}")
+            yield b
+
+    ship(spark)
+    spark.range(0, slices, 1, slices).mapInArrow(run, "id long").count()
+
+
+def _uri(folder: str) -> str:
+    return folder if "://" in folder else f"file://{folder.removeprefix('file:')}"
+
+
+@dataclass
+class Slice(InputPartition):
+    own: int
+    until: int
+
+
+class FolderStream(DataSourceStreamReader):
+    """Every trigger lists the files that were there by its time; those of earlier ones are told apart by state, not here."""
+
+    def __init__(self, options: dict):
+        self.path, self.ending, self.slices = options["path"], options["ending"], int(options["slices"])
+
+    def initialOffset(self) -> dict:
+        return {"until": 0}
+
+    def latestOffset(self) -> dict:
+        return {"until": time.time_ns() // 1000}
+
+    def partitions(self, start: dict, end: dict) -> list[Slice]:
+        return [Slice(k, end["until"]) for k in range(self.slices)]
+
+    def read(self, partition: Slice) -> Iterator[tuple]:
+        system, base = fs.FileSystem.from_uri(self.path)
+        for x in owned(system, base, self.ending, partition.own, self.slices):
+            if (at := (x.mtime_ns or 0) // 1000) <= partition.until:
+                yield x.path.removeprefix(base).lstrip("/"), datetime.fromtimestamp(at / 1e6, UTC), x.size
+
+
+class FolderSource(DataSource):
+    @classmethod
+    def name(cls) -> str:
+        return "folder"
+
+    def schema(self) -> str:
+        return "path string, modificationTime timestamp, length long"
+
+    def streamReader(self, schema) -> FolderStream:
+        return FolderStream(self.options)
+
+
+def _opened(folder: str) -> Callable:
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base = fs.FileSystem.from_uri(folder)
+        for b in it:
+            yield from _contents(system, base, iter(b.column(0).to_pylist()))
+
+    return run
+
+
+def new_files(spark: SparkSession, folder: str, ending: str = "") -> DataFrame:
+    """A stream of (path, content) of the files that come into a tree, each path once; which ones were seen is state of the stream,
+    kept by executors. A micro-batch that is run again lists what was there by its time."""
+    ship(spark)
+    spark.dataSource.register(FolderSource)
+    there = spark.readStream.format("folder").option("path", _uri(folder)).option("ending", ending).option("slices", _slices(spark)).load()
+    return there.select("path").dropDuplicates(["path"]).mapInArrow(_opened(_uri(folder)), "path string, content binary")

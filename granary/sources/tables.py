@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from granary.functions import text as tx
 from granary.operators.render import result_name
 
+from .files import new_files, read_files
 
 # Fixed value: what stands for a document without readable text.
 NO_TEXT = "未提取到可读文本，上传的 PDF 可能是扫描件或受保护文档。"
@@ -57,9 +58,8 @@ def read_template(spark: SparkSession, folder: str, name: str, default: str) ->
 
 def results(spark: SparkSession, root: str, kinds: DataFrame) -> DataFrame:
     """``kinds`` (paper_id, kind, template) with the content of each result file, an empty text where there is none."""
-    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(root, wholetext=True)
-    parts = F.split(F.input_file_name(), "/")
-    found = files.select(F.element_at(parts, -2).alias("_paper"), F.element_at(parts, -1).alias("_name"), F.col("value").alias("content"))
+    parts = F.split("path", "/")
+    found = read_files(spark, root, ".md").where(F.size(parts) > 1).select(F.element_at(parts, -2).alias("_paper"), F.element_at(parts, -1).alias("_name"), F.col("content").cast("string").alias("content"))
     own = kinds.withColumn("_paper", F.col("paper_id").cast("string")).withColumn("_name", result_name(F.col("kind"), F.col("template")))
     return own.join(found, ["_paper", "_name"], "left").select(*kinds.columns, F.coalesce("content", F.lit("")).alias("content"))
 
@@ -67,18 +67,17 @@ def results(spark: SparkSession, root: str, kinds: DataFrame) -> DataFrame:
 def states(spark: SparkSession, folder: str) -> DataFrame:
     """(id, paper_id, status, payload, broken) of a folder of JSON files, one a state: a file that is no such object is a broken row
     and not dropped unseen; missing fields have defaults."""
-    fields = "request_id string, paper_id string, status string, payload string, _corrupt_record string"
-    rows = spark.read.schema(fields).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(folder)
-    broken = F.col("_corrupt_record").isNotNull() | F.col("request_id").isNull()
-    return rows.select(F.col("request_id").alias("id"), "paper_id", F.when(~broken, F.coalesce("status", F.lit("pending"))).alias("status"), F.coalesce("payload", F.lit("{}")).alias("payload"), broken.alias("broken"))
+    fields = "array<struct<request_id:string,paper_id:string,status:string,payload:string>>"
+    parsed = read_files(spark, folder).select(F.explode_outer(F.from_json(F.col("content").cast("string"), fields)).alias("s")).select("s.*")
+    broken = F.col("request_id").isNull()
+    return parsed.select(F.col("request_id").alias("id"), "paper_id", F.when(~broken, F.coalesce("status", F.lit("pending"))).alias("status"), F.coalesce("payload", F.lit("{}")).alias("payload"), broken.alias("broken"))
 
 
 def tool_folders(spark: SparkSession, root: str) -> DataFrame:
     """(folder, tool, description, prompt, problem) of each folder that has a prompt or a schema: a tool needs both, and a schema
     that names it in one of three layouts. Of a folder that is none, ``problem`` says why."""
-    files = spark.read.option("recursiveFileLookup", True).text(root, wholetext=True)
-    parts = F.split(F.input_file_name(), "/")
-    named = files.select(F.element_at(parts, -2).alias("folder"), F.element_at(parts, -1).alias("name"), "value")
+    parts = F.split("path", "/")
+    named = read_files(spark, root).where(F.size(parts) > 1).select(F.element_at(parts, -2).alias("folder"), F.element_at(parts, -1).alias("name"), F.col("content").cast("string").alias("value"))
     per = named.groupBy("folder").agg(F.max(F.when(F.col("name") == "prompt.md", F.col("value"))).alias("prompt"), F.max(F.when(F.col("name") == "schema.json", F.col("value"))).alias("schema"))
     own = lambda key: F.coalesce(*(F.nullif(F.get_json_object("schema", f"$.{at}{key}"), F.lit("")) for at in ("function.", "tool.function.", "")))
     problem = (
@@ -122,8 +121,8 @@ def web_results(payloads: DataFrame, column: str = "payload", most: int = 3, key
 
 
 def uploads(spark: SparkSession, folder: str) -> DataFrame:
-    """A stream of new PDF files; other files are not seen."""
-    return spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", "*.pdf").load(folder)
+    """A stream of (path, content) of new PDF files of a tree; other files are not seen."""
+    return new_files(spark, folder, ".pdf")
 
 
 def token_table(lines: DataFrame, column: str = "value") -> DataFrame:

@@ -103,15 +103,19 @@ def drop(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def settled(rows: DataFrame, path: str) -> DataFrame:
+def settled(rows: DataFrame, path: str, sharded: tuple[str, ...] = ()) -> DataFrame:
     """A checkpoint of what was read from a scratch folder, which is dropped then; the checkpoint goes with the last reference to
-    it, as Spark's cleaner is told so on the running context."""
+    it, as Spark's cleaner is told so on the running context. Folders of shards within it are emptied by tasks."""
+    from granary.sources.files import clear
+
     spark = rows.sparkSession
     shared_dir(spark)
     spark.sparkContext._jsc.sc().conf().set("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     try:
         return rows.checkpoint(eager=True)
     finally:
+        for own in sharded:
+            clear(spark, f"{path}{own}")
         drop(spark, path)
 
 

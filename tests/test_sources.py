@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from granary.functions import encode as enc
 from granary.operators import relational as rel
 from granary.operators import render
+from granary.sources import files
 from granary.sources import tables as src
 
 
@@ -51,3 +52,39 @@ def test_upserts_and_tools(spark):
     t.register("add", lambda a, b: a + b, ("a", "b"))
     assert t.run("add", {"a": 1, "b": 2}) == {"result": 3} and "missing" in t.run("add", {})["error"] and "unknown" in t.run("x", {})["error"]
     assert t.run("add", {"a": 1, "b": None})["error"] and t.calls["add"] == 3
+
+
+def test_trees_are_listed_by_tasks(spark, tmp_path):
+    """Flat and deep, few and many folders: each file once, and no file known to the driver."""
+    names = ["a.md", "b.txt", ".c.md", "_d/e.md", "deep/er/f.md"] + [f"many/{i}/g {i}.md" for i in range(40)]
+    for name in names:
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(name)
+    want = sorted(x for x in names if x.endswith(".md") and x[0] not in "._")
+    got = files.read_files(spark, str(tmp_path), ".md")
+    assert sorted(map(tuple, got.select("path", F.col("content").cast("string")).collect())) == [(x, x) for x in want]
+    assert files.read_files(spark, str(tmp_path / "none")).isEmpty()
+    for rows in (src.tool_folders(spark, str(tmp_path)), src.states(spark, str(tmp_path)), src.results(spark, str(tmp_path), spark.createDataFrame([(1, "ideas", "x")], "paper_id long, kind string, template string"))):
+        assert not rows.inputFiles() and "FileScan" not in rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_state_files_that_are_none(spark, tmp_path):
+    for name, text in {"a": '{"request_id": "a", "payload": {"x": 1}}', "b": "", "c": "{broken", "d": '{"other": 1}', "e": "[]", "f": '[{"request_id": "f", "status": "done"},\n {"request_id": "g"}]'}.items():
+        (tmp_path / f"{name}.json").write_text(text)
+    got = {(r["id"], r["status"], r["payload"]) for r in src.states(spark, str(tmp_path)).where("NOT broken").collect()}
+    assert got == {("a", "pending", '{"x":1}'), ("f", "done", "{}"), ("g", "pending", "{}")} and src.states(spark, str(tmp_path)).where("broken").count() == 4
+
+
+def test_uploads_come_once(spark, tmp_path):
+    """A stream over folders that is started again sees only what is new, and the driver has no list of it."""
+    def go() -> None:
+        src.uploads(spark, str(tmp_path / "in")).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "state")).option("path", str(tmp_path / "out")).trigger(availableNow=True).start().awaitTermination()
+
+    for lot in ({"a.pdf": "1", "x/b.pdf": "2", "x/c.txt": "3"}, {"x/d.pdf": "4", "a.pdf": "5"}, {}):
+        for name, text in lot.items():
+            (tmp_path / "in" / name).parent.mkdir(parents=True, exist_ok=True)
+            (tmp_path / "in" / name).write_text(text)
+        go()
+    got = spark.read.parquet(str(tmp_path / "out")).select("path", F.col("content").cast("string"))
+    assert sorted(map(tuple, got.collect())) == [("a.pdf", "1"), ("x/b.pdf", "2"), ("x/d.pdf", "4")]
+    assert not any("a.pdf" in f.read_text(errors="replace") for f in (tmp_path / "state" / "offsets").iterdir())
