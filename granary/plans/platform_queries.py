@@ -12,6 +12,7 @@ from granary.operators import relational as rel
 from granary.operators import render
 from granary.sources import pdf
 from granary.sources import tables as src
+from granary.sources.files import slices_of
 from granary.sources.tables import load, spread
 from granary.streaming import windows
 
@@ -174,9 +175,9 @@ def q_pdf_text(spark: SparkSession, d: str) -> DataFrame:
     files = load(spark, d, "documents").select(
         F.col("doc_id").cast("string").alias("name"), F.when(~broken, tx.blocks(text, PAGE)).alias("pages"), F.when(broken, F.encode(text, "UTF-8")).alias("raw")
     )
-    spread(files, "name").write.format("pdf").mode("append").option("path", path).save()
-    got = pdf.texts(spark.read.format("pdf").load(path))
-    return windows.settled(got.select(F.regexp_extract("path", r"(-?\d+)\.pdf$", 1).cast("long").alias("paper_id"), "text"), path)
+    spread(files, "name").write.format("pdf").mode("append").option("path", path).option("sharded", True).save()
+    got = pdf.texts(spark.read.format("pdf").option("slices", slices_of(spark)).load(path))
+    return windows.settled(got.select(F.regexp_extract("path", r"(-?\d+)\.pdf$", 1).cast("long").alias("paper_id"), "text"), path, ("",))
 
 
 @query(f"SELECT doc_id AS paper_id, coalesce(nullif(array_to_string(list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda p, i: CASE WHEN {q.strip('p')} <> '' THEN '[Page ' || i || ']' || chr(10) || {q.strip('p')} END), lambda x: x IS NOT NULL), chr(10) || chr(10)), ''), '{src.NO_TEXT}') AS text FROM documents")

@@ -117,7 +117,8 @@ def owned(system: fs.FileSystem, base: str, ending: str, own: int, slices: int)
                 yield x
 
 
-def _slices(spark: SparkSession) -> int:
+def slices_of(spark: SparkSession) -> int:
+    """Tasks among which a tree is dealt out."""
     return min(SHARDS, 4 * spark.sparkContext.defaultParallelism)
 
 
@@ -149,13 +150,13 @@ def _tree(folder: str, ending: str, slices: int) -> Callable:
 def read_files(spark: SparkSession, folder: str, ending: str = "") -> DataFrame:
     """(path, content) of the files of a tree whose names end so; paths are relative to the folder, contents are bytes."""
     ship(spark)
-    n = _slices(spark)
+    n = slices_of(spark)
     return spark.range(0, n, 1, n).mapInArrow(_tree(_uri(folder), ending, n), "path string, content binary")
 
 
 def clear(spark: SparkSession, folder: str) -> None:
     """Tasks delete the ``shard`` folders of a tree; what lies above them stays."""
-    uri, slices = _uri(folder), _slices(spark)
+    uri, slices = _uri(folder), slices_of(spark)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, base = fs.FileSystem.from_uri(uri)
@@ -227,5 +228,5 @@ def new_files(spark: SparkSession, folder: str, ending: str = "") -> DataFrame:
     kept by executors. A micro-batch that is run again lists what was there by its time."""
     ship(spark)
     spark.dataSource.register(FolderSource)
-    there = spark.readStream.format("folder").option("path", _uri(folder)).option("ending", ending).option("slices", _slices(spark)).load()
+    there = spark.readStream.format("folder").option("path", _uri(folder)).option("ending", ending).option("slices", slices_of(spark)).load()
     return there.select("path").dropDuplicates(["path"]).mapInArrow(_opened(_uri(folder)), "path string, content binary")
