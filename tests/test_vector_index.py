@@ -61,3 +61,22 @@ def test_no_vectors(spark, tmp_path):
     vector_index.build(spark.createDataFrame([("p", 5, [2.0])], empty.schema), str(tmp_path / "b"), "paper", "id", "e")
     assert [tuple(r) for r in vector_index.search(spark, str(tmp_path / "b"), one, 3).collect()] == [(1, 1, 5, 1.0)]
     assert vector_index.search(spark, str(tmp_path / "b"), one.where(F.lit(False)), 3).count() == 0
+
+
+@pytest.mark.parametrize("same", [False, True])
+def test_held_queries_give_the_rows_of_joined_ones(spark, tmp_path, monkeypatch, same):
+    """Ties, copies, null papers, few probes; work is dealt out by pairs, however few bytes it has."""
+    rng = random.Random(6)
+    rows = [(f"p{i % 3}" if i % 11 else None, i, [float(rng.randrange(-2, 3)) for _ in range(4)]) for i in range(400)]
+    table = spark.createDataFrame(rows, "paper string, id long, e array<double>")
+    vector_index.build(table, str(tmp_path), "paper", "id", "e", lists=7)
+    asked = table.where("id % 9 = 0").select(F.col("id").alias("query_id"), "paper", F.col("e").alias("v"))
+    monkeypatch.setattr(vector_index, "PAIRS", 1000)
+    monkeypatch.setattr(vector_index, "TILE", 16)
+    for probes in (2, 99):
+        held = vector_index.search(spark, str(tmp_path), asked, 3, probes, same)
+        assert "REPARTITION_BY_NUM" in held._jdf.queryExecution().executedPlan().toString() and "Join" not in held._jdf.queryExecution().optimizedPlan().toString()
+        got = sorted(map(tuple, held.collect()))
+        monkeypatch.setattr(vector_index, "FEW", 0)
+        assert got == sorted(map(tuple, vector_index.search(spark, str(tmp_path), asked, 3, probes, same).collect())) and got
+        monkeypatch.setattr(vector_index, "FEW", 64 << 20)
