@@ -1,6 +1,7 @@
 """Near duplicates by the similarity of shingle sets: candidates by MinHash, every link verified by exact Jaccard.
 
-Each text gets ``BANDS`` keys of ``ROWS`` minima. Texts that share a key are candidates; a pair at similarity s shares none with
+Candidates of two kinds: texts whose fingerprints another method links, where one is given (SimHash, in the pipeline), and texts that
+share a key. Each text gets ``BANDS`` keys of ``ROWS`` minima. Texts that share a key are candidates; a pair at similarity s shares none with
 a chance of (1 - s^ROWS)^BANDS, 1.3e-7 at 0.8 and less above. Components of candidates meet with their whole shingle sets, each
 set once, and all pairs of a component are compared, so a link needs no key of its own. A component gives a spanning forest of
 its links; a large one is dealt out in blocks by the number of its shingles, two at a time.
@@ -59,12 +60,13 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(raw[8 * ROWS * k : 8 * ROWS * (k + 1)], k) for k in range(BANDS)], np.uint64).view(np.int64)
 
 
-def _sketched(shingle: int) -> Callable:
+def _sketched(shingle: int, fingerprint: Callable[[bytes], int]) -> Callable:
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, texts in batches(it):
             sets = [shingle_set(t, shingle) for t in texts]
             bands = pa.ListArray.from_arrays(np.arange(len(sets) + 1, dtype=np.int32) * BANDS, np.concatenate([band_keys(s) for s in sets]))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("digest"), pa.array([set_key(s) for s in sets], pa.int64()), bands], ["doc_id", "digest", "key", "bands"])
+            fp = pa.array(np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("digest"), pa.array([set_key(s) for s in sets], pa.int64()), bands, fp], ["doc_id", "digest", "key", "bands", "fp"])
 
     return run
 
@@ -134,12 +136,17 @@ def text_digest(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
 
 
-def similar(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, digest, component) of each row whose doc_id is not null; rows of one component are linked by similar texts."""
+def similar(docs: DataFrame, fingerprint: Callable[[bytes], int], links: Callable[[DataFrame], DataFrame], shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """(doc_id, digest, component) of each row whose doc_id is not null; rows of one component are linked by similar texts.
+
+    ``links`` gives (a, b) of distinct fingerprints ``fp``; texts of fingerprints that it joins are candidates, as are those of a key.
+    """
     text_batches(docs.sparkSession)
     own = id_and_text(docs).where("doc_id IS NOT NULL").select("doc_id", text_digest(F.col("text")).alias("digest"), "text")
-    rows = kept(own.mapInArrow(_sketched(shingle), "doc_id long, digest long, key long, bands array<long>"))
-    index = rows.select("key", F.explode("bands").alias("band"))
+    rows = kept(own.mapInArrow(_sketched(shingle, fingerprint), "doc_id long, digest long, key long, bands array<long>, fp long"))
+    linked = connected_components(links(rows.select("fp").distinct()))
+    joined = rows.select("key", "fp").distinct().join(linked.withColumnRenamed("node", "fp"), "fp", "left").select("key", F.xxhash64(F.lit("fp"), F.coalesce("root", "fp")).alias("band"))
+    index = rows.select("key", F.explode("bands").alias("band")).unionByName(joined)
     lists = index.groupBy("band").agg(F.min("key").alias("hub"), F.max("key").alias("top")).where("hub < top").select("band", "hub")
     candidates = connected_components(index.join(lists, "band").where("key <> hub").select(F.col("hub").alias("a"), F.col("key").alias("b")))
     candidates = kept(candidates.select(F.col("node").alias("key"), F.col("root").alias("group")))

@@ -190,12 +190,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame, shingle: int = near.SHINGLE, similarity: float = near.SIMILARITY) -> DataFrame:
     """``docs``, one row of each component: of its smallest doc_id, and within that id any one; rows with a null doc_id stay.
 
-    Components are those of ``near.similar``: exact Jaccard of shingle sets, not the fingerprints, whose four bits answer to a
-    similarity of about 0.96. Rows go by id and text, so a row of another text stays where its id occurs again. Rows that repeat
-    both are rare and are cut to one apart from the others.
+    Texts that the index of positional bytes links are candidates, as in op1. Four bits answer to a similarity of about 0.96, so
+    those that share a MinHash band are candidates beside them; ``near.similar`` holds both to the exact Jaccard of their sets.
+    Rows go by id and text, so a row of another text stays where its id occurs again. Rows that repeat both are rare and are cut to
+    one apart from the others.
     """
     plain, (doc_id, text) = numbered(docs, "doc_id", "text")
-    rows = kept(near.similar(docs, shingle, similarity))
+    rows = kept(near.similar(docs, fingerprint, links, shingle, similarity))
     own = F.struct("doc_id", "digest")
     first = rows.groupBy("component").agg(F.min(own).alias("first"))
     # Most rows are their component alone; the pairs of the others are few beside the texts.

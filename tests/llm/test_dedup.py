@@ -271,3 +271,14 @@ def test_windows_of_words_in_a_pattern_are_told_apart(spark):
     data = np.frombuffer("".join(words).encode(), np.uint8)
     end = np.cumsum([len(w) for w in words])
     assert all(len(set(byte_hashes(spare(data), end - [len(w) for w in words], end, which).tolist())) == len(words) for which in (0, 1))
+
+
+def test_links_of_fingerprints_reach_the_near_stage(spark, monkeypatch):
+    """Candidates of the byte index are taken without any shared band, and those that are not similar enough are left."""
+    near_docs = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(400))), (2, " ".join(f"w{i}" for i in range(399)) + " other"), (3, "nothing like it at all")], "doc_id long, text string")
+    apart = iter(range(1 << 40))
+    monkeypatch.setattr(near, "band_keys", lambda hashes: np.array([hash((hashes.tobytes(), next(apart))) >> 1 for _ in range(near.BANDS)], np.int64))
+    one = lambda docs, **kw: {r["doc_id"] for r in simhash.drop_near_duplicates(docs, **kw).collect()}
+    linked = simhash.fingerprint(near_docs.first()["text"].encode()) ^ simhash.fingerprint(near_docs.collect()[1]["text"].encode())
+    assert linked.bit_count() <= simhash.MAX_BITS
+    assert one(near_docs) == {1, 3} and one(near_docs, similarity=0.999) == {1, 2, 3}
