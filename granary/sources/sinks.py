@@ -29,7 +29,8 @@ def write_chunks(chunks: DataFrame, path: str, key: str = "paper_id", buckets: i
 
     Papers lie in ``buckets`` folders by hash, in order of the key. Only folders that a given paper falls into are written again:
     what they hold of other papers, found by an anti-join, with the new chunks. Each folder has a row without a chunk, so that one
-    which is left empty is overwritten too; ``read_chunks`` leaves it out.
+    which is left empty is overwritten too; ``read_chunks`` leaves it out. Adaptive execution splits a large folder, so several tasks
+    write it.
     """
     spark = chunks.sparkSession
     full = chunks.withColumn("chunk", F.nullif(tx.strip(F.col("chunk")), F.lit(""))).withColumn("chunk_id", tx.chunk_id(F.col(key), F.col("chunk_index"))).withColumn("bucket", _bucket(F.col(key), buckets))
@@ -40,7 +41,7 @@ def write_chunks(chunks: DataFrame, path: str, key: str = "paper_id", buckets: i
         old = spark.read.schema(rows.schema).parquet(path).where(F.col("bucket").isin(touched) & F.col("chunk").isNotNull())
         rows = rows.unionByName(old.join(papers.select(key), key, "left_anti"))
     marks = papers.select("bucket").distinct()
-    rows.unionByName(marks, allowMissingColumns=True).repartition("bucket").sortWithinPartitions("bucket", key).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    rows.unionByName(marks, allowMissingColumns=True).hint("rebalance", F.col("bucket")).sortWithinPartitions("bucket", key).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
 
 
 def read_chunks(spark: SparkSession, path: str, paper, key: str = "paper_id", buckets: int = BUCKETS) -> DataFrame:

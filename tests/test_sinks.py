@@ -36,6 +36,18 @@ def test_papers_that_share_a_folder(spark, tmp_path):
     assert sinks.read_chunks(spark, path, 15, "paper", 3).count() == 0
 
 
+def test_a_large_folder_of_chunks_is_written_by_several_tasks(spark, tmp_path):
+    size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    spark.conf.set(size, "64k")
+    try:
+        chunks = spark.range(20_000).repartition(4).select(F.col("id").alias("paper"), F.lit(0).alias("chunk_index"), F.sha2(F.col("id").cast("string"), 256).alias("chunk"))
+        sinks.write_chunks(chunks, str(tmp_path / "c"), "paper", 1)
+    finally:
+        spark.conf.unset(size)
+    assert len(list((tmp_path / "c" / "bucket=0").glob("*.parquet"))) > 1
+    assert spark.read.parquet(str(tmp_path / "c")).where("chunk IS NOT NULL").agg(F.count("*"), F.countDistinct("paper")).first()[:] == (20_000, 20_000)
+
+
 def test_logs_and_results(spark, sf_dir, tmp_path):
     calls = spark.createDataFrame([(1, "m", 2, 3, "chat", "t")], "user_id long, model string, prompt_tokens long, completion_tokens long, action string, created_at string")
     for _ in range(2):
