@@ -61,7 +61,8 @@ def results(spark: SparkSession, root: str, kinds: DataFrame) -> DataFrame:
     parts = F.split("path", "/")
     found = read_files(spark, root, ".md").where(F.size(parts) > 1).select(F.element_at(parts, -2).alias("_paper"), F.element_at(parts, -1).alias("_name"), F.col("content").cast("string").alias("content"))
     own = kinds.withColumn("_paper", F.col("paper_id").cast("string")).withColumn("_name", result_name(F.col("kind"), F.col("template")))
-    return own.join(found, ["_paper", "_name"], "left").select(*kinds.columns, F.coalesce("content", F.lit("")).alias("content"))
+    # Spark takes what comes from few slices for small; it is all contents, which no driver is to broadcast.
+    return own.join(found.hint("merge"), ["_paper", "_name"], "left").select(*kinds.columns, F.coalesce("content", F.lit("")).alias("content"))
 
 
 def states(spark: SparkSession, folder: str) -> DataFrame:

@@ -65,7 +65,8 @@ def test_trees_are_listed_by_tasks(spark, tmp_path):
     assert sorted(map(tuple, got.select("path", F.col("content").cast("string")).collect())) == [(x, x) for x in want]
     assert files.read_files(spark, str(tmp_path / "none")).isEmpty()
     for rows in (src.tool_folders(spark, str(tmp_path)), src.states(spark, str(tmp_path)), src.results(spark, str(tmp_path), spark.createDataFrame([(1, "ideas", "x")], "paper_id long, kind string, template string"))):
-        assert not rows.inputFiles() and "FileScan" not in rows._jdf.queryExecution().executedPlan().toString()
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert not rows.inputFiles() and "FileScan" not in plan and "Broadcast" not in plan
 
 
 def test_state_files_that_are_none(spark, tmp_path):
