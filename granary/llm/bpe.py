@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from .chunks import Encoder, cut_attached
-from .common import id_and_text, table, text_batches
+from .common import at_work, id_and_text, table, text_batches
 
 NONE = np.int32(2**31 - 1)
 #: Rows of a matrix and bytes of a match that goes into one.
@@ -179,7 +179,8 @@ _loaded: dict[tuple[str, str], tuple[Bpe, Encoder]] = {}
 
 
 def load(path: str, pattern: str) -> tuple[Bpe, Encoder]:
-    """One per worker."""
+    """One per worker, until another operator is at work there."""
+    at_work(f"{path} {pattern}", _loaded.clear)
     if (path, pattern) not in _loaded:
         bpe = Bpe(read_ranks(path), pattern)
         _loaded[path, pattern] = bpe, Encoder(cut_attached, False, bpe.encode_chunks)

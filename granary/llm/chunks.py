@@ -21,7 +21,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 
-from .common import byte_hashes, pieces, raw_texts, same_bytes, spare
+from .common import at_work, byte_hashes, pieces, raw_texts, same_bytes, spare
 
 #: Chunks in either half of a worker's cache, and ids and bytes in either half: bounds on memory, not on what is encoded.
 CACHE, POOL, BYTES = 400_000, 4_000_000, 16 << 20
@@ -289,10 +289,11 @@ _encoders: dict[tuple, Encoder] = {}
 
 
 def library_encoder(path: str, drops_space: bool) -> Encoder:
-    """By the tokenizers library; one per worker and file.
+    """By the tokenizers library; one per worker, until another one or another operator is at work there.
 
     Single words go straight to the library's model, after its normaliser; all else goes through the library's whole chain.
     """
+    at_work(f"{path} {drops_space}", _encoders.clear)
     if (path, drops_space) not in _encoders:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer

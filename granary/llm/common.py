@@ -102,8 +102,8 @@ def words(text: bytes) -> list[bytes]:
     return text.split()
 
 
-#: Bytes of texts that are worked on at once; a longer text is worked on alone.
-PIECE = 4 << 20
+#: Bytes of texts that are worked on at once, each of which takes some hundred bytes on the way; a longer text is worked on alone.
+PIECE = 1 << 19
 
 
 def pieces(it: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
@@ -261,6 +261,23 @@ def same_bytes(a: np.ndarray, at: np.ndarray, b: np.ndarray, by: np.ndarray, siz
     return out
 
 
+_at_work: dict[str, Callable[[], None]] = {}
+
+
+def at_work(what: str, forget: Callable[[], None] = lambda: None) -> None:
+    """Tell that from now on this worker remembers things of one kind, and how they are let go of.
+
+    A worker serves all operators of a session in turn. What it remembers for the last one would stay beside what the next one
+    does, until the worker ends; so that goes first, and with it the memory that Arrow keeps for later.
+    """
+    if what not in _at_work:
+        for other in _at_work.values():
+            other()
+        _at_work.clear()
+        _at_work[what] = forget
+        pa.default_memory_pool().release_unused()
+
+
 class Memo(dict):
     """What a function gives for a word, remembered: when ``size`` words are known they become the old ones, and words that are
     met again move back, so common words stay however many rare ones go by."""
@@ -273,6 +290,10 @@ class Memo(dict):
         v = self[w] = self.of(w) if v is None else v
         return v
 
+    def forget(self) -> None:
+        self.clear()
+        self.old = {}
+
     def array(self, ws: list[bytes]) -> np.ndarray:
         if len(self) > self.size:
             self.old = dict(self)

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SEGMENT, Memo, batches, held_out, id_and_text, kept, range_hashes, raw_texts, running, segments, word_ranges
+from .common import SEGMENT, Memo, at_work, batches, held_out, id_and_text, kept, range_hashes, raw_texts, running, segments, word_ranges
 
 DIM = 1 << 18
 #: Feature ids of a sample that reach the driver at most.
@@ -32,6 +32,11 @@ _hash = Memo(lambda w: _h(w, 1), REMEMBERED)
 _shape = Memo(lambda w: _h(shape(w), 2), REMEMBERED)
 
 
+def _forget() -> None:
+    _hash.forget()
+    _shape.forget()
+
+
 def _fold(*parts: np.ndarray) -> np.ndarray:
     h = np.concatenate(parts)
     return np.unique((h * _MIX) >> np.uint64(64 - 18)).astype(np.int32)
@@ -58,6 +63,7 @@ def quality_features(text: bytes) -> np.ndarray:
     ws = text.split()
     if not ws:
         return np.zeros(0, np.int32)
+    at_work("words", _forget)
     w, s = _hash.array(ws), _shape.array(ws)
     same = (w[1:] == w[:-1]).astype(np.uint64)
     return _fold(w, s, w[:-1] * _NEXT + w[1:], s[:-1] * _PAIR + s[1:] + same * _NEXT, equalities(w))

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, id_and_text, kept, text_batches
+from .common import at_work, batches, id_and_text, kept, text_batches
 from .components import connected_components
 
 SHINGLE, SIMILARITY, SEED = 5, 0.8, 42
@@ -62,6 +62,7 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
 
 def _sketched(shingle: int, fingerprint: Callable[[bytes], int]) -> Callable:
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at_work("shingles")
         for b, texts in batches(it):
             sets = [shingle_set(t, shingle) for t in texts]
             bands = pa.ListArray.from_arrays(np.arange(len(sets) + 1, dtype=np.int32) * BANDS, np.concatenate([band_keys(s) for s in sets]))

@@ -187,7 +187,9 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids: bo
     pieces = kept(id_and_text(docs).mapInArrow(_pieces(tokenizer, capacity, with_ids), schema))
     by_part = kept(pieces.groupBy("part", "length").agg(F.count("*").alias("n")))
     lengths = {r["length"]: r["n"] for r in by_part.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most ``capacity`` rows
-    runs = spark.createDataFrame(slots(plan(lengths, capacity)) or [(0, 0, 0, 0, 1, 0)], "r_length long, first long, after long, sequence long, each long, at long")
+    rows = slots(plan(lengths, capacity)) or [(0, 0, 0, 0, 1, 0)]
+    # As an Arrow table: a list of rows would go through workers of another kind, which every executor then holds beside its own.
+    runs = spark.createDataFrame(pa.Table.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], ["r_length", "first", "after", "sequence", "each", "at"]))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")
     bases = by_part.select("part", "length", before.alias("base"))
     slot = F.col("base") + F.col("nth")
