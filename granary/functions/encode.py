@@ -14,10 +14,14 @@ from .text import let, tokens
 DIM = 64
 
 
+def hashed_slots(c: Column, dim: int = DIM) -> Column:
+    """For each distinct word the dimension that it counts in."""
+    return F.transform(tokens(c), lambda w: F.pmod(F.xxhash64(w), F.lit(dim)).cast("int"))
+
+
 def hashed_vector(c: Column, dim: int = DIM) -> Column:
     """Distinct words hashed into ``dim`` counts, of length one: what stands in for a sentence encoder."""
-    slots = F.transform(tokens(c), lambda w: F.pmod(F.xxhash64(w), F.lit(dim)).cast("int"))
-    counts = let(slots, lambda own: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(own, lambda s: s == i)).cast("double")))
+    counts = let(hashed_slots(c, dim), lambda own: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: (F.size(own) - F.size(F.array_remove(own, i))).cast("double")))
     return let(counts, unit)
 
 

@@ -68,3 +68,17 @@ def test_cosine_top_k(spark, few, monkeypatch):
     got = retrieval.cosine_top_k(df, F.col("vec_id") % 10 == 0, 4, "vec_id", "e", few=few)
     assert sorted((r["query_id"], r["rank"], r["id"]) for r in got.collect()) == sorted(want)
     assert retrieval.cosine_top_k(df.where("vec_id < 0"), F.col("vec_id") % 10 == 0, 4, "vec_id", "e", few=few).count() == 0
+
+
+def test_hashed_search_in_one_pass(spark, sf_dir, monkeypatch):
+    """Few questions are held by the tasks, so chunks are cut once and not joined; many are joined, with the same rows."""
+    from granary.plans.catalogue import QUERIES
+
+    held = QUERIES["q_hashed_search"](spark, sf_dir)
+    plan = held._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("MapInArrow") == 1
+    monkeypatch.setattr(retrieval, "FEW_VECTORS", 0)
+    joined = QUERIES["q_hashed_search"](spark, sf_dir)
+    assert "Join" in joined._jdf.queryExecution().optimizedPlan().toString()
+    columns = ["item_id", "rank", "doc_id", "chunk_index", "similarity"]
+    assert sorted(map(tuple, held.select(columns).collect())) == sorted(map(tuple, joined.select(columns).collect()))
