@@ -73,11 +73,17 @@ def decisions(requests: DataFrame, answers: DataFrame, seconds: int = 3600) -> D
 
 
 def decision_stream(requests: DataFrame, answers: DataFrame, seconds: int = 3600) -> DataFrame:
-    """The same as a join of two streams: both are watermarked, so state is dropped once the time is over."""
-    r = requests.select(F.col("event_id").alias("request"), "user_id", F.col("value").alias("own"), F.col("ts").alias("asked")).withWatermark("asked", "10 minutes")
-    a = answers.select(F.col("event_id").alias("answer"), F.col("user_id").alias("answered_by"), F.col("ts").alias("answered"), "event_type", F.col("value").alias("other")).withWatermark("answered", "10 minutes")
-    within = (F.col("user_id") == F.col("answered_by")) & (F.col("answered") >= F.col("asked")) & (F.col("answered") <= F.col("asked") + F.expr(f"INTERVAL {seconds} SECONDS"))
-    return r.join(a, within, "left")
+    """The same as a join of two streams: both are watermarked, so state is dropped once the time is over.
+
+    State is kept by user and bucket of time, as long as the interval: a row is held against those of about its time and not
+    against all of its user. A request waits in its own bucket and the next one, so it comes twice where neither has an answer,
+    and with an answer of one bucket it may come without one from the other.
+    """
+    bucket = F.floor(F.unix_micros("ts") / F.lit(seconds * 1_000_000))
+    r = requests.select(F.col("event_id").alias("request"), "user_id", F.col("value").alias("own"), F.col("ts").alias("asked"), F.explode(F.array(bucket, bucket + 1)).alias("b")).withWatermark("asked", "10 minutes")
+    a = answers.select(F.col("event_id").alias("answer"), F.col("user_id").alias("answered_by"), F.col("ts").alias("answered"), "event_type", F.col("value").alias("other"), bucket.alias("c")).withWatermark("answered", "10 minutes")
+    within = (F.col("user_id") == F.col("answered_by")) & (F.col("b") == F.col("c")) & (F.col("answered") >= F.col("asked")) & (F.col("answered") <= F.col("asked") + F.expr(f"INTERVAL {seconds} SECONDS"))
+    return r.join(a, within, "left").drop("b", "c")
 
 
 def shared_dir(spark: SparkSession) -> str:

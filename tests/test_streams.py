@@ -158,3 +158,19 @@ def test_sessions_of_owners(spark, cuts):
     want = [("", True, 0), ("1-1", True, 1), ("1-1", True, 0), ("1-3", True, 2), ("1-1", True, 1), ("1-1", True, 2), ("1-3", True, 1), ("1-1", True, 2)]
     want += [("1-1,1-3", True, 2), ("1-1", True, 1), ("1-1", False, 1), ("1-1", False, 0), ("1-3", True, 1), (None, False, 0), ("1-3", True, 1), ("1-3", False, 0), ("", True, 0), ("1-3", True, 0), ("", True, 0), ("1-19", True, 1), ("1-19", True, 1)]
     assert [(r["session"], r["ok"], r["n"]) for r in got.collect()] == want
+
+
+def test_decisions_meet_by_bucket(spark):
+    """Rows are matched by user and time together; pairs at the edges of the hour and of a bucket are those of a plain loop."""
+    hour, base = 3600, 1_704_067_200
+    asked = [(i, base + s, i % 2) for i, s in enumerate((0, 1, hour - 1, hour, hour + 1, 5 * hour - 1))]
+    told = [(100 + i, base + s, i % 2) for i, s in enumerate((0, 1, hour - 1, hour, hour, hour + 1, 2 * hour - 1, 2 * hour, 2 * hour + 1, 6 * hour))]
+    frame = lambda rows: spark.createDataFrame(rows, "event_id long, s long, user_id long").select("event_id", F.timestamp_seconds("s").alias("ts"), "user_id", F.lit("x").alias("event_type"), F.lit(1.0).alias("value"))
+    met = windows.decision_stream(frame(asked), frame(told))
+    keys = met._jdf.queryExecution().optimizedPlan().toString().split("Join LeftOuter", 1)[1].split("\n", 1)[0]
+    assert "(b#" in keys and "user_id" in keys
+    rows = met.collect()
+    want = {(r, a) for r, t, u in asked for a, x, v in told if u == v and t <= x <= t + hour}
+    pairs = [(r["request"], r["answer"]) for r in rows if r["answer"] is not None]
+    assert len(pairs) == len(want) and set(pairs) == want
+    assert {r["request"] for r in rows} == {r for r, _, _ in asked}
