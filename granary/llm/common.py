@@ -12,6 +12,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import numpy as np
@@ -45,12 +46,30 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+_SWEEP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def swept(spark: SparkSession) -> Iterator[None]:
+    """What is planned and run in here leaves no shuffle files: Spark drops them as the query ends, and not when the driver happens to
+    collect its garbage. For frames that run once; one that was made before keeps its own way, and a ``select("*")`` makes it anew."""
+    before = spark.conf.get(_SWEEP, "false")
+    spark.conf.set(_SWEEP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_SWEEP, before)
+
+
 def kept(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint of a narrow table: it cuts the lineage and survives lost executors. Spark's cleaner drops its files with
-    the last reference to it, as the running context is told so here; by default it would leave them."""
-    shared_dir(df.sparkSession)
-    df.sparkSession.sparkContext._jsc.sc().conf().set("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
-    return df.checkpoint(eager=True)
+    """A reliable checkpoint of a narrow table: it cuts the lineage and survives lost executors, and its shuffle files go at once.
+    Spark's cleaner drops its own files with the last reference to it, as the running context is told so here; by default it would
+    leave them."""
+    spark = df.sparkSession
+    shared_dir(spark)
+    spark.sparkContext._jsc.sc().conf().set("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
+    with swept(spark):
+        return df.select("*").checkpoint(eager=True)
 
 
 def scratch(spark: SparkSession, what: str) -> str:

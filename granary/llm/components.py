@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept
+from .common import kept, swept
 
 
 def connected_components(links: DataFrame, rounds: int = 60) -> DataFrame:
@@ -37,5 +37,6 @@ def connected_components(links: DataFrame, rounds: int = 60) -> DataFrame:
 
 def _state(edges: DataFrame) -> tuple:
     """Equal for equal sets of edges, but for a chance of about 2^-64."""
-    n, x = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
+    with swept(edges.sparkSession):
+        n, x = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
     return n, x

@@ -8,7 +8,8 @@ from pathlib import Path
 
 import pytest
 
-from granary.llm.common import shared_dir
+from granary.llm.common import kept, shared_dir
+from granary.llm.components import connected_components
 from granary.llm.queries import QUERIES
 
 
@@ -25,3 +26,22 @@ def test_nothing_stays(name, spark, sf_dir, tmp_path):
             break
         time.sleep(0.5)
     assert not left() - before
+
+
+def test_rounds_leave_no_shuffle_files(spark):
+    """Shuffle files of a round go with it, and not when the driver collects its garbage; the setting is for these frames alone."""
+    folders = [Path(d.getPath()) for d in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    left = lambda: {p for d in folders for p in d.rglob("shuffle_*")}
+    links = spark.range(400).selectExpr("id AS a", "id + 1 AS b")
+    setting = spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    before = left()
+    roots = connected_components(links)
+    for _ in range(10):
+        if not left() - before:
+            break
+        time.sleep(0.5)
+    assert not left() - before
+    assert {tuple(r) for r in roots.collect()} == {(i, 0) for i in range(401)}
+    own = links.groupBy("a").count()
+    assert kept(own).count() == own.count() == len(own.collect()) == len(own.collect()) == 400
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == setting
