@@ -7,33 +7,47 @@ not there; a path that comes again replaces its file. Tasks write through ``pyar
 level that has as many folders as there are slices are dealt out by hash of their path, and each task walks its own. A flat folder
 is listed once by each slice, so writers of many files had better put them in ``shard`` folders. Names that begin with a dot or an
 underscore are not seen, as by Spark's own sources.
+
+Millions of small files are more than a file system holds (an inode and a block each) and far slower to make than to fill.
+``write_files(packed=True)`` puts them in zip archives, each of which stands for the folder it lies in, and ``read_versions`` reads
+archives and single files of a tree alike. Archives are only added, under names that grow with time: a path that comes again is a
+newer version, and the largest ``written`` of a path is the file. A task's archives are hidden until the write is committed, so those
+of failed attempts are never read.
 """
 
 from __future__ import annotations
 
+import io
+import re
 import time
 import uuid
+import zipfile
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from datetime import UTC, datetime
+from itertools import chain
 from pathlib import PurePosixPath
 
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceStreamReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceStreamReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from granary.session import ship
 
 #: Shard folders; bytes and rows of a batch of contents.
 SHARDS, BATCH, ROWS = 256, 4 << 20, 1024
+#: Bytes and members after which an archive is closed; contents up to this many bytes are not compressed. A task holds one archive.
+FULL, MEMBERS, SHORT = 16 << 20, 16_384, 128
+#: Time of the write in nanoseconds, number within it.
+ARCHIVE = re.compile(r"\d{20}-\d{6}\.zip")
 
 
 def safe(path: str) -> bool:
     p = PurePosixPath(path or "")
-    return bool(p.name) and not p.is_absolute() and ".." not in p.parts
+    return bool(p.name) and not p.is_absolute() and ".." not in p.parts and "\0" not in path
 
 
 class FileWriter(DataSourceWriter):
@@ -58,23 +72,67 @@ class FileWriter(DataSourceWriter):
         return WriterCommitMessage()
 
 
+@dataclass
+class Packed(WriterCommitMessage):
+    names: list[str]
+
+
+class ArchiveWriter(DataSourceArrowWriter):
+    def __init__(self, path: str):
+        self.path = path
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Packed:
+        system, base = fs.FileSystem.from_uri(self.path)
+        system.create_dir(base, recursive=True)
+        rows = ((path, content) for b in iterator for path, content in zip(b.column("path").to_pylist(), b.column("content").cast(pa.binary()).to_pylist(), strict=True))
+        return Packed([_archive(system, base, chain([first], rows)) for first in rows])
+
+    def commit(self, messages: list[Packed | None]) -> None:
+        system, base = fs.FileSystem.from_uri(self.path)
+        last = max((int(x.base_name[:20]) for x in _entries(system, base) if ARCHIVE.fullmatch(x.base_name)), default=0)
+        at = max(time.time_ns(), last + 1)
+        for k, name in enumerate(name for m in messages if m for name in m.names):
+            system.move(f"{base}/{name}", f"{base}/{at:020d}-{k:06d}.zip")
+
+    def abort(self, messages: list[Packed | None]) -> None:
+        system, base = fs.FileSystem.from_uri(self.path)
+        for name in (name for m in messages if m for name in m.names):
+            if system.get_file_info(f"{base}/{name}").type == fs.FileType.File:
+                system.delete_file(f"{base}/{name}")
+
+
+def _archive(system: fs.FileSystem, base: str, rows: Iterator[tuple[str, bytes | None]]) -> str:
+    """One hidden archive of the next rows, until it is full."""
+    name, held = f".{uuid.uuid4().hex}", io.BytesIO()
+    with zipfile.ZipFile(held, "w") as z:
+        for n, (path, content) in enumerate(rows, 1):
+            if not safe(path):
+                raise ValueError(f"{path!r} is no path within the folder")
+            z.writestr(str(PurePosixPath(path)), content or b"", zipfile.ZIP_DEFLATED if len(content or b"") > SHORT else zipfile.ZIP_STORED, 1)
+            if n == MEMBERS or held.tell() >= FULL:
+                break
+    with system.open_output_stream(f"{base}/{name}") as f:
+        f.write(held.getbuffer())
+    return name
+
+
 class FileSink(DataSource):
     @classmethod
     def name(cls) -> str:
         return "files"
 
-    def writer(self, schema, overwrite: bool) -> FileWriter:
+    def writer(self, schema, overwrite: bool) -> FileWriter | ArchiveWriter:
         if overwrite:
             raise ValueError("the sink adds files")
-        return FileWriter(self.options["path"])
+        return (ArchiveWriter if self.options.get("packed") == "true" else FileWriter)(self.options["path"])
 
 
-def write_files(rows: DataFrame, folder: str) -> None:
-    """Write (path, content) rows below a folder."""
+def write_files(rows: DataFrame, folder: str, packed: bool = False) -> None:
+    """Write (path, content) rows below a folder, each as a file or as a member of an archive of many."""
     spark = rows.sparkSession
     ship(spark)
     spark.dataSource.register(FileSink)
-    rows.select("path", "content").write.format("files").mode("append").option("path", folder).save()
+    rows.select("path", "content").write.format("files").mode("append").option("path", _uri(folder)).option("packed", packed).save()
 
 
 def shard(key: Column) -> Column:
@@ -103,7 +161,7 @@ def _mine(base: str, own: int, slices: int) -> Callable[[fs.FileInfo], bool]:
     return lambda x: zlib.crc32(x.path.removeprefix(base).encode()) % slices == own
 
 
-def owned(system: fs.FileSystem, base: str, ending: str, own: int, slices: int) -> Iterator[fs.FileInfo]:
+def owned(system: fs.FileSystem, base: str, ending: str | tuple[str, ...], own: int, slices: int) -> Iterator[fs.FileInfo]:
     """The files of one slice of a tree; all slices together are the whole."""
     mine = _mine(base, own, slices)
     above, folders = _level(system, base, slices)
@@ -122,19 +180,24 @@ def slices_of(spark: SparkSession) -> int:
     return min(SHARDS, 4 * spark.sparkContext.defaultParallelism)
 
 
-def _contents(system: fs.FileSystem, base: str, paths: Iterator[str]) -> Iterator[pa.RecordBatch]:
-    """(path, content) of files by their relative paths."""
-    names, found, held = [], [], 0
-    for path in paths:
-        with system.open_input_stream(f"{base}/{path}") as f:
-            found.append(f.read())
-        names.append(path)
-        held += len(found[-1])
-        if held >= BATCH or len(names) >= ROWS:
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(found, pa.binary())], ["path", "content"])
-            names, found, held = [], [], 0
-    if names:
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(found, pa.binary())], ["path", "content"])
+def _batches(rows: Iterator[tuple], *names: str) -> Iterator[pa.RecordBatch]:
+    """Rows of texts that end with bytes, as batches of bounded size."""
+    kinds = [pa.binary() if name == "content" else pa.string() for name in names]
+    batch = lambda: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)], list(names))
+    found, held = [], 0
+    for row in rows:
+        found.append(row)
+        held += len(row[-1])
+        if held >= BATCH or len(found) >= ROWS:
+            yield batch()
+            found, held = [], 0
+    if found:
+        yield batch()
+
+
+def _read(system: fs.FileSystem, path: str) -> bytes:
+    with system.open_input_stream(path) as f:
+        return f.read()
 
 
 def _tree(folder: str, ending: str, slices: int) -> Callable:
@@ -142,7 +205,7 @@ def _tree(folder: str, ending: str, slices: int) -> Callable:
         system, base = fs.FileSystem.from_uri(folder)
         for b in it:
             for own in b.column(0).to_pylist():
-                yield from _contents(system, base, (x.path.removeprefix(base).lstrip("/") for x in owned(system, base, ending, own, slices)))
+                yield from _batches(((x.path.removeprefix(base).lstrip("/"), _read(system, x.path)) for x in owned(system, base, ending, own, slices)), "path", "content")
 
     return run
 
@@ -154,6 +217,41 @@ def read_files(spark: SparkSession, folder: str, ending: str = "") -> DataFrame:
     return spark.range(0, n, 1, n).mapInArrow(_tree(_uri(folder), ending, n), "path string, content binary")
 
 
+def _members(data: bytes, at: str, endings: tuple[str, ...]) -> Iterator[tuple[str, str, bytes]]:
+    """(path, written, content) of an archive's members; ``at`` is the archive's own path."""
+    folder, _, name = at.rpartition("/")
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        for n, x in enumerate(z.infolist()):
+            if x.filename.endswith(endings) and not any(part[:1] in ("", ".", "_") for part in x.filename.split("/")):
+                yield f"{folder}/{x.filename}".lstrip("/"), f"{name.removesuffix('.zip')}-{n:06d}", z.read(x)
+
+
+def _versions(folder: str, endings: tuple[str, ...], slices: int) -> Callable:
+    def found(system: fs.FileSystem, base: str, own: int) -> Iterator[tuple[str, str, bytes]]:
+        for x in owned(system, base, (*endings, ".zip"), own, slices):
+            path = x.path.removeprefix(base).lstrip("/")
+            if ARCHIVE.fullmatch(x.base_name):
+                yield from _members(_read(system, x.path), path, endings)
+            elif x.base_name.endswith(endings):
+                yield path, f"{x.mtime_ns or 0:020d}-{path}", _read(system, x.path)
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base = fs.FileSystem.from_uri(folder)
+        for b in it:
+            for own in b.column(0).to_pylist():
+                yield from _batches(found(system, base, own), "path", "written", "content")
+
+    return run
+
+
+def read_versions(spark: SparkSession, folder: str, *endings: str) -> DataFrame:
+    """(path, written, content) of the files of a tree, and of the members of its archives, whose names end in one of these. A path comes as often as it was written;
+    the largest ``written`` of a path, a text that begins with the time, is what it holds."""
+    ship(spark)
+    n = slices_of(spark)
+    return spark.range(0, n, 1, n).mapInArrow(_versions(_uri(folder), endings or ("",), n), "path string, written string, content binary")
+
+
 def clear(spark: SparkSession, folder: str) -> None:
     """Tasks delete the ``shard`` folders of a tree; what lies above them stays."""
     uri, slices = _uri(folder), slices_of(spark)
@@ -218,7 +316,7 @@ def _opened(folder: str) -> Callable:
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, base = fs.FileSystem.from_uri(folder)
         for b in it:
-            yield from _contents(system, base, iter(b.column(0).to_pylist()))
+            yield from _batches(((path, _read(system, f"{base}/{path}")) for path in b.column(0).to_pylist()), "path", "content")
 
     return run
 

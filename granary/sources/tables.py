@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from granary.functions import text as tx
 from granary.operators.render import result_name
 
-from .files import new_files, read_files
+from .files import new_files, read_files, read_versions
 
 # Fixed value: what stands for a document without readable text.
 NO_TEXT = "未提取到可读文本，上传的 PDF 可能是扫描件或受保护文档。"
@@ -78,8 +78,9 @@ def tool_folders(spark: SparkSession, root: str) -> DataFrame:
     """(folder, tool, description, prompt, problem) of each folder that has a prompt or a schema: a tool needs both, and a schema
     that names it in one of three layouts. Of a folder that is none, ``problem`` says why."""
     parts = F.split("path", "/")
-    named = read_files(spark, root).where(F.size(parts) > 1).select(F.element_at(parts, -2).alias("folder"), F.element_at(parts, -1).alias("name"), F.col("content").cast("string").alias("value"))
-    per = named.groupBy("folder").agg(F.max(F.when(F.col("name") == "prompt.md", F.col("value"))).alias("prompt"), F.max(F.when(F.col("name") == "schema.json", F.col("value"))).alias("schema"))
+    named = read_versions(spark, root, "prompt.md", "schema.json").where(F.size(parts) > 1).select(F.element_at(parts, -2).alias("folder"), F.element_at(parts, -1).alias("name"), "written", F.col("content").cast("string").alias("value"))
+    newest = lambda name: F.max_by("value", F.when(F.col("name") == name, F.col("written")))
+    per = named.where(F.col("name").isin("prompt.md", "schema.json")).groupBy("folder").agg(newest("prompt.md").alias("prompt"), newest("schema.json").alias("schema"))
     own = lambda key: F.coalesce(*(F.nullif(F.get_json_object("schema", f"$.{at}{key}"), F.lit("")) for at in ("function.", "tool.function.", "")))
     problem = (
         F.when(F.col("prompt").isNull(), "no prompt").when(F.col("schema").isNull(), "no schema").when(F.try_parse_json("schema").isNull(), "schema is no JSON").when(own("name").isNull(), "schema names no tool")

@@ -67,6 +67,63 @@ def test_logs_and_results(spark, sf_dir, tmp_path):
     assert spark.read.parquet(str(tmp_path / "s")).count() == 1
 
 
+def test_packed_files_are_few_archives_and_the_newest_counts(spark, tmp_path):
+    names = [f"p {i}/{n}" for i in range(300) for n in ("a.md", "b.txt", ".c.md")] + ["é/_d/e.md", "long/" * 40 + "f.md"]
+    rows = lambda names, text: spark.createDataFrame([(x, text * (i % 40)) for i, x in enumerate(names)], "path string, content string").repartition(3)
+    for text, some in (("old", names), ("new", names[::7]), ("last", names[::21])):
+        files.write_files(rows(some, text), str(tmp_path), packed=True)
+    there = [x for x in tmp_path.rglob("*") if not x.name.endswith(".crc")]
+    assert 3 <= len(there) <= 9 and all(files.ARCHIVE.fullmatch(x.name) for x in there)
+    (tmp_path / "p 1").mkdir()
+    (tmp_path / "p 1" / "a.md").write_text("single")
+    (tmp_path / "other.zip").write_text("none")
+    want = {x: "old" * (i % 40) for i, x in enumerate(names)} | {x: "new" * (i % 40) for i, x in enumerate(names[::7])} | {x: "last" * (i % 40) for i, x in enumerate(names[::21])}
+    want = {x: text for x, text in want.items() if x.endswith(".md") and not any(part[0] in "._" for part in x.split("/"))} | {"p 1/a.md": "single"}
+    newest = files.read_versions(spark, str(tmp_path), ".md").groupBy("path").agg(F.max_by("content", "written").cast("string").alias("content"), F.count("*").alias("n"), F.countDistinct("written").alias("d"))
+    got = newest.collect()
+    assert {r["path"]: r["content"] for r in got} == want and all(r["n"] == r["d"] for r in got)
+    for bad in ("../x", "/x", "a\0b"):
+        with pytest.raises(PySparkException):
+            files.write_files(spark.createDataFrame([(bad, "y")], "path string, content string"), str(tmp_path), packed=True)
+    assert {r["path"] for r in files.read_versions(spark, str(tmp_path), ".md").select("path").distinct().collect()} == set(want)
+
+
+def test_archives_are_closed_when_full(spark, tmp_path):
+    files.write_files(spark.range(0, 40_000, 1, 1).select(F.concat("id", F.lit("/x")).alias("path"), F.lit(None).cast("binary").alias("content")), str(tmp_path), packed=True)
+    assert len(list(tmp_path.glob("*.zip"))) == 3
+    assert files.read_versions(spark, str(tmp_path)).agg(F.countDistinct("path"), F.sum(F.length("content"))).first()[:] == (40_000, 0)
+
+
+def test_archives_of_failed_attempts_are_not_read(spark, tmp_path):
+    import pyarrow as pa
+
+    w = files.ArchiveWriter(f"file://{tmp_path}")
+    batch = lambda text: pa.RecordBatch.from_pydict({"path": ["a/summary.md"], "content": [text]}, pa.schema([("path", pa.string()), ("content", pa.string())]))
+    lost, kept, gone = (w.write(iter([batch(x)])) for x in ("lost", "kept", "gone"))
+    w.commit([kept, None])
+    w.abort([gone, None])
+    assert lost.names and [bytes(r["content"]) for r in files.read_versions(spark, str(tmp_path)).collect()] == [b"kept"]
+    w.commit([w.write(iter([batch("again")]))])
+    assert bytes(files.read_versions(spark, str(tmp_path)).agg(F.max_by("content", "written")).first()[0]) == b"again"
+
+
+@pytest.mark.parametrize("name", ["q_tool_folders"])
+def test_queries_of_many_files_make_few(name, spark, sf_dir, monkeypatch):
+    from pathlib import Path
+
+    from granary.plans.catalogue import QUERIES
+    from granary.streaming import windows
+
+    made, settled = [], windows.settled
+
+    def counted(rows, path, *more):
+        made.extend(x for x in Path(path.removeprefix("file:").replace("//", "/")).rglob("*") if x.suffix != ".crc")
+        return settled(rows, path, *more)
+
+    monkeypatch.setattr(windows, "settled", counted)
+    assert QUERIES[name](spark, sf_dir).count() and 0 < len(made) <= 16
+
+
 def test_state_files_skip_what_does_not_parse(spark, tmp_path):
     (tmp_path / "a.json").write_text('{"id": "a", "status": "pending"}')
     (tmp_path / "b.json").write_text('{"id": "b", "status": "approved"}')
