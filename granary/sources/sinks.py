@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from granary.functions import text as tx
 from granary.operators.render import result_name
 
-from .files import shard, write_files
+from .files import write_files
 
 
 #: Folders of a chunk table; a table keeps the number it was first written with.
@@ -50,11 +50,11 @@ def read_chunks(spark: SparkSession, path: str, paper, key: str = "paper_id", bu
     return spark.read.parquet(path).where(mine & (F.col(key) == paper) & F.col("chunk").isNotNull()).drop("bucket")
 
 
-def write_results(results: DataFrame, folder: str, sharded: bool = False) -> None:
+def write_results(results: DataFrame, folder: str, packed: bool = False) -> None:
     """(paper_id, kind, template, content): a file for each result, in its paper's folder, named by kind and template. Results of
-    other papers and kinds stay; ``tables.results`` reads them. ``sharded`` puts papers in shard folders, for many of them."""
+    other papers and kinds stay; ``tables.results`` reads them. ``packed`` puts the files of many papers in archives."""
     name, paper = result_name(F.col("kind"), F.col("template")), F.col("paper_id").cast("string")
-    write_files(results.select(F.concat_ws("/", *[shard(paper)] * sharded, paper, name).alias("path"), F.coalesce("content", F.lit("")).alias("content")), folder)
+    write_files(results.select(F.concat_ws("/", paper, name).alias("path"), F.coalesce("content", F.lit("")).alias("content")), folder, packed)
 
 
 def append_log(rows: DataFrame, path: str) -> None:

@@ -107,7 +107,7 @@ def test_archives_of_failed_attempts_are_not_read(spark, tmp_path):
     assert bytes(files.read_versions(spark, str(tmp_path)).agg(F.max_by("content", "written")).first()[0]) == b"again"
 
 
-@pytest.mark.parametrize("name", ["q_tool_folders"])
+@pytest.mark.parametrize("name", ["q_results", "q_tool_folders"])
 def test_queries_of_many_files_make_few(name, spark, sf_dir, monkeypatch):
     from pathlib import Path
 
