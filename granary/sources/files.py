@@ -10,7 +10,7 @@ underscore are not seen, as by Spark's own sources.
 
 Millions of small files are more than a file system holds (an inode and a block each) and far slower to make than to fill.
 ``write_files(packed=True)`` puts them in zip archives, each of which stands for the folder it lies in, and ``read_versions`` reads
-archives and single files of a tree alike. Archives are only added, under names that grow with time: a path that comes again is a
+archives and single files of a tree alike (``read_places`` and ``read_at``: first where they lie, then what is asked for). Archives are only added, under names that grow with time: a path that comes again is a
 newer version, and the largest ``written`` of a path is the file. A task's archives are hidden until the write is committed, so those
 of failed attempts are never read.
 """
@@ -181,7 +181,7 @@ def slices_of(spark: SparkSession) -> int:
 
 
 def _batches(rows: Iterator[tuple], *names: str) -> Iterator[pa.RecordBatch]:
-    """Rows of texts that end with bytes, as batches of bounded size."""
+    """Rows of texts, the last one a text or bytes, as batches of bounded size."""
     kinds = [pa.binary() if name == "content" else pa.string() for name in names]
     batch = lambda: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)], list(names))
     found, held = [], 0
@@ -217,39 +217,88 @@ def read_files(spark: SparkSession, folder: str, ending: str = "") -> DataFrame:
     return spark.range(0, n, 1, n).mapInArrow(_tree(_uri(folder), ending, n), "path string, content binary")
 
 
-def _members(data: bytes, at: str, endings: tuple[str, ...]) -> Iterator[tuple[str, str, bytes]]:
-    """(path, written, content) of an archive's members; ``at`` is the archive's own path."""
+def _members(z: zipfile.ZipFile, at: str, endings: tuple[str, ...]) -> Iterator[tuple[str, str, int]]:
+    """(path, written, number) of an archive's members; ``at`` is the archive's own path."""
     folder, _, name = at.rpartition("/")
-    with zipfile.ZipFile(io.BytesIO(data)) as z:
-        for n, x in enumerate(z.infolist()):
-            if x.filename.endswith(endings) and not any(part[:1] in ("", ".", "_") for part in x.filename.split("/")):
-                yield f"{folder}/{x.filename}".lstrip("/"), f"{name.removesuffix('.zip')}-{n:06d}", z.read(x)
+    for n, x in enumerate(z.infolist()):
+        if x.filename.endswith(endings) and not any(part[:1] in ("", ".", "_") for part in x.filename.split("/")):
+            yield f"{folder}/{x.filename}".lstrip("/"), f"{name.removesuffix('.zip')}-{n:06d}", n
 
 
-def _versions(folder: str, endings: tuple[str, ...], slices: int) -> Callable:
-    def found(system: fs.FileSystem, base: str, own: int) -> Iterator[tuple[str, str, bytes]]:
+def _sliced(spark: SparkSession, folder: str, endings: tuple[str, ...], found: Callable, schema: str) -> DataFrame:
+    """What ``found`` yields of the archives and files of a tree, which are dealt out over tasks."""
+    ship(spark)
+    uri, slices, endings = _uri(folder), slices_of(spark), endings or ("",)
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def rows(system: fs.FileSystem, base: str, own: int) -> Iterator[tuple]:
         for x in owned(system, base, (*endings, ".zip"), own, slices):
-            path = x.path.removeprefix(base).lstrip("/")
-            if ARCHIVE.fullmatch(x.base_name):
-                yield from _members(_read(system, x.path), path, endings)
-            elif x.base_name.endswith(endings):
-                yield path, f"{x.mtime_ns or 0:020d}-{path}", _read(system, x.path)
+            if (packed := bool(ARCHIVE.fullmatch(x.base_name))) or x.base_name.endswith(endings):
+                yield from found(system, x, x.path.removeprefix(base).lstrip("/"), packed, endings)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, base = fs.FileSystem.from_uri(folder)
+        system, base = fs.FileSystem.from_uri(uri)
         for b in it:
             for own in b.column(0).to_pylist():
-                yield from _batches(found(system, base, own), "path", "written", "content")
+                yield from _batches(rows(system, base, own), *names)
 
-    return run
+    return spark.range(0, slices, 1, slices).mapInArrow(run, schema)
+
+
+def _whole(system: fs.FileSystem, x: fs.FileInfo, path: str, packed: bool, endings: tuple[str, ...]) -> Iterator[tuple[str, str, bytes]]:
+    if not packed:
+        yield path, f"{x.mtime_ns or 0:020d}-{path}", _read(system, x.path)
+        return
+    with zipfile.ZipFile(io.BytesIO(_read(system, x.path))) as z:
+        members = z.infolist()
+        yield from ((name, written, z.read(members[n])) for name, written, n in _members(z, path, endings))
+
+
+def _places(system: fs.FileSystem, x: fs.FileInfo, path: str, packed: bool, endings: tuple[str, ...]) -> Iterator[tuple[str, str, str, str]]:
+    if not packed:
+        yield path, f"{x.mtime_ns or 0:020d}-{path}", path, ""
+        return
+    with system.open_input_file(x.path) as f, zipfile.ZipFile(f) as z:
+        yield from ((name, written, path, str(n)) for name, written, n in _members(z, path, endings))
 
 
 def read_versions(spark: SparkSession, folder: str, *endings: str) -> DataFrame:
-    """(path, written, content) of the files of a tree, and of the members of its archives, whose names end in one of these. A path comes as often as it was written;
-    the largest ``written`` of a path, a text that begins with the time, is what it holds."""
+    """(path, written, content) of the files of a tree, and of the members of its archives, whose names end in one of these. A path
+    comes as often as it was written; the largest ``written`` of a path, a text that begins with the time, is what it holds."""
+    return _sliced(spark, folder, endings, _whole, "path string, written string, content binary")
+
+
+def read_places(spark: SparkSession, folder: str, *endings: str) -> DataFrame:
+    """(path, written, at, n) of the same: not what it holds but where it lies, by the directories of the archives alone."""
+    return _sliced(spark, folder, endings, _places, "path string, written string, at string, n string")
+
+
+def read_at(rows: DataFrame, folder: str) -> DataFrame:
+    """Rows with ``at`` and ``n`` of ``read_places``, both replaced by the content; null where they are null. Rows go to the archive,
+    which is opened once and of which only what is asked for is read, and no content is shuffled."""
+    spark = rows.sparkSession
     ship(spark)
-    n = slices_of(spark)
-    return spark.range(0, n, 1, n).mapInArrow(_versions(_uri(folder), endings or ("",), n), "path string, written string, content binary")
+    uri, kept = _uri(folder), [c for c in rows.columns if c not in ("at", "n")]
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base = fs.FileSystem.from_uri(uri)
+        opened, z, members = None, None, []
+        for b in it:
+            contents, held, begin = [], 0, 0
+            own = b.select(kept)
+            for i, (at, n) in enumerate(zip(b.column("at").to_pylist(), b.column("n").to_pylist(), strict=True), 1):
+                if n and at != opened:
+                    opened, z = at, zipfile.ZipFile(io.BytesIO(_read(system, f"{base}/{at}")))
+                    members = z.infolist()
+                contents.append(None if at is None else z.read(members[int(n)]) if n else _read(system, f"{base}/{at}"))
+                held += len(contents[-1] or b"")
+                if held >= BATCH or len(contents) >= ROWS or i == b.num_rows:
+                    yield pa.RecordBatch.from_arrays([*own.slice(begin, len(contents)).columns, pa.array(contents, pa.binary())], [*kept, "content"])
+                    contents, held, begin = [], 0, i
+
+    # A row without a place goes anywhere, and not to one task with all its like.
+    dealt = rows.repartition(slices_of(spark), F.coalesce("at", F.xxhash64(*kept).cast("string"))).sortWithinPartitions("at", F.col("n").cast("int"))
+    return dealt.mapInArrow(run, rows.select(*kept, F.lit(None).cast("binary").alias("content")).schema)
 
 
 def clear(spark: SparkSession, folder: str) -> None:

@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from granary.functions import text as tx
 from granary.operators.render import result_name
 
-from .files import new_files, read_files, read_versions
+from .files import new_files, read_at, read_files, read_places, read_versions
 
 # Fixed value: what stands for a document without readable text.
 NO_TEXT = "未提取到可读文本，上传的 PDF 可能是扫描件或受保护文档。"
@@ -60,12 +59,11 @@ def read_template(spark: SparkSession, folder: str, name: str, default: str) ->
 def results(spark: SparkSession, root: str, kinds: DataFrame) -> DataFrame:
     """``kinds`` (paper_id, kind, template) with the newest content of each result file, an empty text where there is none."""
     parts = F.split("path", "/")
-    versions = read_versions(spark, root, ".md").where(F.size(parts) > 1).select(F.element_at(parts, -2).alias("_paper"), F.element_at(parts, -1).alias("_name"), "written", F.col("content").cast("string").alias("content"))
-    # The window needs the very shuffle and sort of the join, so contents are moved once.
-    found = versions.withColumn("_newest", F.max("written").over(Window.partitionBy("_paper", "_name"))).where("written = _newest").drop("written", "_newest")
+    found = read_places(spark, root, ".md").where(F.size(parts) > 1).groupBy(F.element_at(parts, -2).alias("_paper"), F.element_at(parts, -1).alias("_name")).agg(F.max(F.struct("written", "at", "n")).alias("_v"))
     own = kinds.withColumn("_paper", F.col("paper_id").cast("string")).withColumn("_name", result_name(F.col("kind"), F.col("template")))
-    # Spark takes what comes from few slices for small; it is all contents, which no driver is to broadcast.
-    return own.join(found.hint("merge"), ["_paper", "_name"], "left").select(*kinds.columns, F.coalesce("content", F.lit("")).alias("content"))
+    # Spark takes what comes from few slices for small; it is the names of all files, which no driver is to broadcast.
+    places = own.join(found.hint("merge"), ["_paper", "_name"], "left").select(*kinds.columns, F.col("_v.at").alias("at"), F.col("_v.n").alias("n"))
+    return read_at(places, root).select(*kinds.columns, F.coalesce(F.col("content").cast("string"), F.lit("")).alias("content"))
 
 
 def states(spark: SparkSession, folder: str) -> DataFrame:

@@ -107,6 +107,20 @@ def test_archives_of_failed_attempts_are_not_read(spark, tmp_path):
     assert bytes(files.read_versions(spark, str(tmp_path)).agg(F.max_by("content", "written")).first()[0]) == b"again"
 
 
+def test_contents_of_results_are_not_shuffled(spark, tmp_path):
+    schema = "paper_id long, kind string, template string, content string"
+    rows = lambda text, ids: spark.createDataFrame([(i, k, "a.md", f"{text} {k} {i}") for i in ids for k in ("summary", "ideas")], schema)
+    sinks.write_results(rows("old", range(60)), str(tmp_path), packed=True)
+    sinks.write_results(rows("new", range(0, 60, 7)), str(tmp_path), packed=True)
+    sinks.write_results(rows("single", [3]), str(tmp_path))
+    kinds = spark.createDataFrame([(i, k, "a.md") for i in range(70) for k in ("summary", "ideas")], "paper_id long, kind string, template string")
+    got = tables.results(spark, str(tmp_path), kinds)
+    text = lambda i: "single" if i == 3 else "new" if i % 7 == 0 else "old"
+    assert {(r["paper_id"], r["kind"]): r["content"] for r in got.collect()} == {(i, k): f"{text(i)} {k} {i}" if i < 60 else "" for i in range(70) for k in ("summary", "ideas")}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" in plan and "content" not in plan[plan.index("RepartitionByExpression"):]
+
+
 @pytest.mark.parametrize("name", ["q_results", "q_tool_folders"])
 def test_queries_of_many_files_make_few(name, spark, sf_dir, monkeypatch):
     from pathlib import Path
